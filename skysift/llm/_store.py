@@ -39,7 +39,7 @@ def staged(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
 
 def size_of(df: DataFrame) -> int:
     """Catalyst's size estimate in bytes; for a staged table, that of its files."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def drop_table(spark: SparkSession, path: str) -> None:
