@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact_dedup, sentencepiece_codec, sharding, warc
+from . import decontaminate, exact_dedup, sentencepiece_codec, sharding, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.decisions(table(spark, sf_dir, "documents"))
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 #: As many shards as a training job of this size reads in parallel.
 SHARDS = [f"shard-{k:03d}" for k in range(256)]
 
@@ -44,6 +48,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_exact_dedup": op4_exact_dedup,
         "op5_sentencepiece": op5_sentencepiece,
+        "op7_decontaminate": op7_decontaminate,
         "op8_sharding": op8_sharding,
         "op10_warc": op10_warc,
     }
@@ -58,5 +63,30 @@ from d window g as (partition by text_sha256)
 """
 
 
+OP7_SQL = r"""
+with dw as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+  from documents
+), iw as (
+  select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+  from benchmark
+), it as (select item_id, w, least(10, len(w)) as n from iw where len(w) > 0
+), win as (select distinct item_id, n, array_to_string(w[i : i + n - 1], ' ') as t from (select *, unnest(range(1, len(w) - n + 2)) as i from it)
+), sizes as (select distinct n from win
+), dwin as (
+  select doc_id, n, i, array_to_string(w[i : i + n - 1], ' ') as t
+  from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as i from dw, sizes where len(w) >= n)
+), hit as (select doc_id, i, dwin.n, item_id from dwin join win using (n, t)
+), covered as (select doc_id, count(distinct k) as n_hit from (select doc_id, unnest(range(i, i + n)) as k from hit) group by doc_id
+), named as (
+  select doc_id, count(*) as n_items, string_agg(name, ',' order by name) as names
+  from (select distinct doc_id, item_id::varchar as name from hit) group by doc_id
+)
+select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+       sha256(coalesce(names, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from dw left join covered using (doc_id) left join named using (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": OP4_SQL}
+    return {"op4_exact_dedup": OP4_SQL, "op7_decontaminate": OP7_SQL}
