@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, exact_dedup, sentencepiece_codec, sharding, warc
+from . import decontaminate, exact_dedup, sentencepiece_codec, sharding, token_file, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,16 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def byte_tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op2_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_file.round_trip(table(spark, sf_dir, "documents"), byte_tokenizer())
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode_decode(table(spark, sf_dir, "documents"), piece_model())
 
@@ -46,6 +56,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_token_file": op2_token_file,
         "op4_exact_dedup": op4_exact_dedup,
         "op5_sentencepiece": op5_sentencepiece,
         "op7_decontaminate": op7_decontaminate,
