@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, exact_dedup, sentencepiece_codec, sharding, token_file, warc
+from . import decontaminate, exact_dedup, ngram_join, sentencepiece_codec, sharding, token_file, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.decisions(table(spark, sf_dir, "documents"))
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.components(table(spark, sf_dir, "documents"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -59,6 +63,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_token_file": op2_token_file,
         "op4_exact_dedup": op4_exact_dedup,
         "op5_sentencepiece": op5_sentencepiece,
+        "op6_ngram_join": op6_ngram_join,
         "op7_decontaminate": op7_decontaminate,
         "op8_sharding": op8_sharding,
         "op10_warc": op10_warc,
