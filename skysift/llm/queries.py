@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, exact_dedup, ngram_join, quality, sentencepiece_codec, sharding, token_file, toxicity, warc
+from . import decontaminate, exact_dedup, language_model, ngram_join, quality, sentencepiece_codec, sharding, token_file, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def byte_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(table(spark, sf_dir, "documents"))
+
+
 def op2_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.round_trip(table(spark, sf_dir, "documents"), byte_tokenizer())
 
@@ -68,6 +72,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_language_model": op1_language_model,
         "op2_token_file": op2_token_file,
         "op3_quality": op3_quality,
         "op4_exact_dedup": op4_exact_dedup,
