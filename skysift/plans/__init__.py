@@ -1,5 +1,5 @@
 """The queries over the driver's tables; importing this package's ``registry`` users fills it."""
 
-from . import registry, tables
+from . import projections, registry, tables
 
-__all__ = ["registry", "tables"]
+__all__ = ["projections", "registry", "tables"]
