@@ -1,5 +1,5 @@
 """The queries over the driver's tables; importing this package's ``registry`` users fills it."""
 
-from . import projections, registry, tables
+from . import aggregates, joins, projections, registry, tables
 
-__all__ = ["projections", "registry", "tables"]
+__all__ = ["aggregates", "joins", "projections", "registry", "tables"]
