@@ -2,21 +2,24 @@
 
 Sets whose sizes lie in one band are cut into ``m`` segments, by ranges of the
 shingles' hashes. Two linked sets differ in at most ``h`` shingles, so with more than
-``h`` segments at least one is equal in both: equal segments are what documents meet
-on. Empty segments are equal in far too many documents. They are left out, and what
-that costs is bought back where it is cheapest: in the first ``c`` segments a document
-also emits the segment less any one shingle, so that these hold up to one difference
-and still meet. By pigeonhole a document with e empty segments, and d of the first c with
-two shingles or more, misses nothing as long as m - e + d > h; the few documents
-for which that fails emit their empty segments too, and meet each other there. m and c
-are chosen per band for the least expected number of keys.
+``h`` segments at least m - h are equal in both: equal segments are what documents meet
+on. Cost decides what each document makes of that. Empty segments, equal in far too many
+documents, are left out. Where that would cost too much, the first ``c`` segments
+also emit what remains of them without any one shingle: they hold one difference
+and still meet, and count double. And of its other segments a document leaves out as many as it can spare,
+the most frequent ones first: with e empty segments and d of the first c that have
+two shingles or more, links keep a weight of m - e + d - h in equal
+segments, and all but one of that may go. As all documents rank keys alike, the rarest segment of
+a link is kept by both sides. Documents that have nothing to spare emit their empty
+segments too, and meet each other there. m and c are chosen per band for the least expected number of keys.
 
 A document takes part in its own band and in those of sizes that it could link down
 to. Documents that meet are not compared pair by pair: each key's smallest document is
-compared with the others (a row per document and key, pairs once), components of what
-is found are taken, and only documents of one key that are still in different components
-are compared further, with other partners in every round and at last with each other.
-Every pair that shares a key thus ends up in one component or compared, on the full sets.
+compared with the others, components of what is found are taken, and members of one
+key that are still in different components are compared with a member of the largest, another one in
+every round. Who is then still apart from its family's largest component is compared with the whole family,
+in blocks of bounded size. Every pair that shares a key thus ends up in one component or
+compared, on the full sets.
 
 Defined results: null and empty texts have no shingles and link with nothing; fewer
 words than a shingle make one shingle; equal sets link; repeated rows count as rows of
@@ -28,11 +31,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
-from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+import pyarrow.compute
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ._store import size_of, staged
 from ._vector import BASE, U64, chunks, mix, powers, text_bytes, word_hashes, word_spans
@@ -42,8 +45,11 @@ SHINGLE = 4
 NUM, DEN = 85, 100
 #: Ids up to this size are broadcast to find their texts again.
 BROADCAST_BYTES = 64 << 20
-#: Rounds with one partner per component before what is left is compared with each other.
-ROUNDS = 3
+#: Rounds with one partner per component before what is left is compared with its family, in blocks.
+ROUNDS = 2
+BLOCK_LEFT, BLOCK_ALL = 256, 1024
+#: Segments per difference that a link may have, at least: what is above 1 can be spared.
+ROOM = 1.25
 _SEEN = 200_000
 
 
@@ -105,44 +111,66 @@ def bands_of(size: int, num: int, den: int) -> range:
 
 
 @lru_cache(maxsize=None)
-def plan(k: int, num: int, den: int) -> tuple[int, int, int]:
-    """Of band k: segments m, segments with one-deletion keys c, and differences h that links have at most."""
+def differences(n: int, k: int, num: int, den: int) -> int:
+    """What a set of n shingles and one that it links with differ in at most, the smaller being in band k."""
+    hi = band_edges(k)[1]
+    largest = n * den // num if n <= hi else hi
+    return (den - num) * (n + largest) // (den + num)
+
+
+@lru_cache(maxsize=None)
+def plan(k: int, num: int, den: int) -> tuple[int, int]:
+    """Segments m of band k, and how many of them have one-deletion keys."""
     lo, hi = band_edges(k)
-    h = max(most_apart(a, hi, num, den) for a in range(hi, den * hi // num + 1))
+    h = differences(hi, k, num, den)
     mean = (lo + hi) / 2
-    best, chosen = float("inf"), (h + 1, 0)
-    for slack in range(6):
-        for c in range(min(6, h + 1)):
-            m = h + 1 + slack
+    best, least = float("inf"), -int(-ROOM * (h + 1) // 1)
+    chosen = (least, 0)
+    for m in range(least, least + 6):
+        for c in range(min(4, m + 1)):
             empty = (1 - 1 / m) ** mean
-            fail = 1 - sum(comb(m, e) * empty**e * (1 - empty) ** (m - e) for e in range(min(m, slack + c) + 1))
+            p = (1 - empty) ** m if empty < 1 else 0.0  # no empty segment; then one, two, ...
+            fail = 1 - p
+            for e in range(1, min(m, m - h - 1 + c, 60) + 1):
+                p *= (m - e + 1) / e * empty / max(1 - empty, 1e-300)
+                fail -= p
             cost = m + c * mean / m + 200 * max(0.0, fail) * m  # an overflow's keys meet many others'
             if cost < best:
                 best, chosen = cost, (m, c)
-    return (*chosen, h)
+    return chosen
 
 
-def keys_of(hashes: np.ndarray, num: int, den: int) -> np.ndarray:
-    """What one set meets others on; ``hashes`` are sorted and distinct."""
-    n, out = len(hashes), []
+def keys_of(hashes: np.ndarray, num: int, den: int) -> tuple[np.ndarray, list[int]]:
+    """What one set meets others on, and per band (its number, then) how many keys can be spared.
+
+    ``hashes`` are sorted and distinct. A key's last eight bits are its band and whether it may be spared.
+    """
+    n, out, spare = len(hashes), [], []
     total = np.concatenate((np.zeros(1, U64), np.cumsum(mix(hashes), dtype=U64)))
     for k in bands_of(n, num, den):
-        m, c, h = plan(k, num, den)
+        m, c = plan(k, num, den)
+        h = differences(n, k, num, den)
         edges = (np.arange(1, m, dtype=np.float64) * (2.0**64 / m)).astype(U64)
         cut = np.concatenate(([0], np.searchsorted(hashes, edges), [n]))
         size = np.diff(cut)
         salt = mix(np.arange(m, dtype=U64) + U64(k * 1_000_003 + 7))
         content = total[cut[1:]] - total[cut[:-1]]
-        full = size > 0
-        out.append((content * U64(BASE | 1) ^ salt)[full])
-        bought = 0
-        for i in range(min(c, m)):
+        plain = size > 0
+        firm, bought = [], 0
+        plain[:c] = False
+        for i in range(c):
+            if size[i] >= 1:
+                firm.append(content[i : i + 1] * U64(BASE | 1) ^ salt[i])
             if size[i] >= 2:
                 bought += 1
-                out.append((content[i] - mix(hashes[cut[i] : cut[i + 1]])) * U64(BASE | 1) ^ salt[i])
-        if m - int((~full).sum()) + bought <= h:
-            out.append((salt ^ U64(0x5BD1E995))[~full])  # the empty ones too
-    return np.unique(mix(np.concatenate(out)))
+                firm.append((content[i] - mix(hashes[cut[i] : cut[i + 1]])) * U64(BASE | 1) ^ salt[i])
+        over = m - int((size == 0).sum()) + bought - h - 1
+        if over < 0:
+            firm.append((salt ^ U64(0x5BD1E995))[size == 0])  # the empty ones too
+        for part, free in ((content * U64(BASE | 1) ^ salt)[plain], 1), (np.concatenate(firm) if firm else np.zeros(0, U64), 0):
+            out.append(mix(part) << U64(8) | U64(k << 1 | free))
+        spare += [k, max(0, over)]
+    return np.unique(np.concatenate(out)), spare
 
 
 _SETS = "row long, id long, n long, print_hi long, print_lo long"
@@ -153,7 +181,7 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, size: int, what: str, num
 
     Keys are given once per distinct set and worker, as far as a worker remembers.
     """
-    column = {"keys": "keys", "hashes": "hashes"}[what]
+    column = {"keys": "keys array<long>, spare array<int>", "hashes": "hashes array<long>"}[what]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -166,12 +194,15 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, size: int, what: str, num
                 high, low = (t[ends] - t[ends - counts] for t in totals)
                 given, taken = [], 0
                 lists: list = []
+                spares: list = []
                 for i, (e, n) in enumerate(zip(ends.tolist(), counts.tolist())):
                     if what == "hashes":
                         lists.append(hashes[e - n : e])
                     else:
                         p = int(high[i]) << 64 | int(low[i])
-                        lists.append(np.zeros(0, U64) if not n or p in seen else keys_of(hashes[e - n : e], num, den))
+                        keys, spare = (np.zeros(0, U64), []) if not n or p in seen else keys_of(hashes[e - n : e], num, den)
+                        lists.append(keys)
+                        spares.append(spare)
                         if len(seen) < _SEEN:
                             seen.add(p)
                     taken += len(lists[-1])
@@ -182,11 +213,13 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, size: int, what: str, num
                     batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(counts, pa.int64()),
                     pa.array(high.view(np.int64)), pa.array(low.view(np.int64)), pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(flat)),
                 ]
-                yield pa.RecordBatch.from_arrays(cols, ["row", "id", "n", "print_hi", "print_lo", column])
+                if what == "keys":
+                    cols.append(pa.array(spares, pa.list_(pa.int32())))
+                yield pa.RecordBatch.from_arrays(cols, ["row", "id", "n", "print_hi", "print_lo", *(["keys", "spare"] if what == "keys" else ["hashes"])])
 
     return docs.select(
         F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text")
-    ).mapInArrow(run, f"{_SETS}, {column} array<long>")
+    ).mapInArrow(run, f"{_SETS}, {column}")
 
 
 def connected(edges: DataFrame, labels: DataFrame | None = None) -> DataFrame:
@@ -237,6 +270,67 @@ def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return full.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def spare_of(spare: Column, band: Column) -> Column:
+    """What a set can spare in a band: the number after the band's."""
+    bands = F.filter(spare, lambda x, i: i % 2 == 0)
+    return F.element_at(F.filter(spare, lambda x, i: i % 2 == 1), F.array_position(bands, band).cast("int"))
+
+
+def _within_families(at: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links between members of one family in different components.
+
+    ``at`` has (key, id, component). A family is what hangs together by keys; its members outside
+    its largest component are compared with all its members, a block of each at a time. So a
+    member's set is sent once per block of the others and no pair is a row.
+    """
+    first = at.groupBy("key").agg(F.min("id").alias("a"))
+    family = connected(at.join(first, "key").select("a", F.col("id").alias("b"))).withColumnRenamed("component", "family")
+    members = staged(at.select("id", "component").distinct().join(family, "id"), "members")
+    parts = members.groupBy("family", "component").agg(F.count(F.lit(1)).alias("k"))
+    main = parts.groupBy("family").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.sum("k").alias("all"), (F.sum("k") - F.max("k")).alias("left"))
+    blocks = lambda n, size: F.ceil(F.col(n) / size).cast("int")
+    members = members.join(main, "family").withColumns({"n_left": blocks("left", BLOCK_LEFT), "n_all": blocks("all", BLOCK_ALL), "apart": F.col("component") != F.col("main")})
+    members = members.join(sets, "id")
+    number = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.col(n)).cast("int")
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    common = ["family", "id", "component", "hashes"]
+    rows = members.where("apart").select(*common, F.lit(True).alias("asks"), number("n_left", 1).alias("i"), spread("n_all").alias("j")).union(
+        members.select(*common, F.lit(False), spread("n_left"), number("n_all", 2))
+    )
+
+    def run(group: pa.Table) -> pa.Table:
+        a, b = _block_links(group.filter(group.column("asks")), group.filter(pa.compute.invert(group.column("asks"))), num, den)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    found = rows.groupBy("family", "i", "j").applyInArrow(run, "a long, b long")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _block_links(some: pa.Table, others: pa.Table, num: int, den: int) -> tuple[list, list]:
+    """Links between rows of two blocks that are in different components: shared shingles are counted for a whole block at once."""
+    if not some.num_rows or not others.num_rows:
+        return [], []
+    ids, comp = others.column("id").to_numpy(), others.column("component").to_numpy()
+    lists = others.column("hashes").combine_chunks()
+    values, size = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
+    starts = np.cumsum(size) - size
+    names, place = np.unique(values, return_inverse=True)
+    here = np.zeros(len(names) + 1, np.int32)
+    a, b = [], []
+    for i, c, x in zip(some.column("id").to_pylist(), some.column("component").to_pylist(), some.column("hashes")):
+        x = x.values.to_numpy()
+        at = np.searchsorted(names, x)
+        at = at[(at < len(names)) & (names[np.minimum(at, len(names) - 1)] == x)]
+        here[at] = 1
+        common = np.add.reduceat(here[place], starts)
+        here[at] = 0
+        hit = (comp != c) & (den * common.astype(np.int64) >= num * (len(x) + size - common))
+        for j in ids[hit].tolist():
+            a.append(i)
+            b.append(j)
+    return a, b
+
+
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, num: int = NUM, den: int = DEN) -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, component_id (the smallest id reachable by links)."""
     spark = docs.sparkSession
@@ -246,13 +340,20 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     able = rows.where("n > 0 and id is not null")
     groups = able.groupBy(*prints).agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     reps = staged(able.select("id", *prints).distinct().join(groups, prints).select("id", "rep").groupBy("id").agg(F.min("rep").alias("rep"), F.max("rep").alias("rep2")), "reps")
-    # keys that several sets share, with the smallest of them
+    # keys that several sets share; of those a set leaves out the most frequent ones that it can spare
     met = able.where("size(keys) > 0").select(F.explode("keys").alias("key"), "id").repartition("key")
-    shared = met.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("k > 1 and lo != hi").select("key")
-    hits = met.join(shared, "key").join(reps, "id").select("key", F.col("rep").alias("id")).distinct()
-    hits = staged(hits, "hits")
+    shared = met.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo != hi").select("key")
+    hits = staged(met.join(shared, "key").join(reps.select("id", "rep"), "id").select("key", F.col("rep").alias("id")).distinct(), "shared")
+    often = hits.groupBy("key").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
+    spare = able.where("size(keys) > 0").join(reps.select("id", "rep"), "id").groupBy(F.col("rep").alias("id")).agg(F.min("spare").alias("spare"))
+    band, free = F.expr("int(key & 255) div 2"), F.col("key").bitwiseAND(1) == 1
+    hits = hits.join(often, "key").join(spare, "id").withColumns({"band": band, "free": free})
+    hits = hits.withColumn("place", F.row_number().over(Window.partitionBy("id", "band", "free").orderBy(F.desc("often"), "key")))
+    hits = hits.where(~F.col("free") | (F.col("place") > spare_of(F.col("spare"), F.col("band"))))
+    hits = staged(hits.select("key", "id"), "hits")
     pivots = hits.groupBy("key").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("k")).where("k > 1").select("key", "a")
-    pairs = staged(hits.join(pivots, "key").where("id != a").select("a", F.col("id").alias("b")).distinct(), "pairs")
+    met_first = hits.join(pivots, "key").where("id != a").select("a", F.col("id").alias("b")).distinct()
+    pairs = staged(met_first, "pairs")
     # full sets of whoever has a partner, from their texts
     wanted = staged(pairs.select(F.col("a").alias(id_col)).union(pairs.select("b")).distinct(), "wanted")
     mark = F.broadcast(wanted) if size_of(wanted) <= BROADCAST_BYTES else wanted
@@ -260,30 +361,30 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sets = staged(_sets(texts, id_col, text_col, size, "hashes").groupBy("id").agg(F.min_by("hashes", F.struct("n", "print_hi")).alias("hashes")), "hashes")
     links = staged(_linked(pairs, sets, num, den), "links")
     same = reps.where("id != rep").select(F.col("rep").alias("a"), F.col("id").alias("b")).union(reps.where("rep != rep2").select(F.col("rep").alias("a"), F.col("rep2").alias("b")))
-    tested, label = pairs, connected(links.union(same))
+    label = connected(links.union(same))
+    tested = pairs
     for turn in range(ROUNDS + 1):
         at = hits.join(label, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
         # of two documents that meet, one is the other's partner already
         mixed = at.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count(F.lit(1)).alias("k")).where("c0 != c1 and k > 2")
-        hits = staged(at.join(mixed.select("key"), "key").select("key", "id", "component"), "mixed")
-        if not hits.limit(1).count():
+        at = staged(at.join(mixed.select("key"), "key"), "mixed")
+        if not at.limit(1).count():
             break
+        hits = at.select("key", "id")
         if turn < ROUNDS:
             # one partner per key: a member of its largest component, another one each time
             order = F.xxhash64("id", F.lit(turn))
-            of = hits.groupBy("key", "component").agg(F.count(F.lit(1)).alias("k"), F.min_by("id", order).alias("one"))
+            of = at.groupBy("key", "component").agg(F.count(F.lit(1)).alias("k"), F.min_by("id", order).alias("one"))
             of = of.groupBy("key").agg(F.max_by(F.struct("component", "one"), F.struct("k", "component")).alias("to"))
-            new = hits.join(of, "key").where("component != to.component").select(F.least("id", "to.one").alias("a"), F.greatest("id", "to.one").alias("b"))
+            new = at.join(of, "key").where("component != to.component").select(F.least("id", "to.one").alias("a"), F.greatest("id", "to.one").alias("b"))
+            new = staged(new.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+            found = staged(_linked(new, sets, num, den), "links")
+            tested = tested.union(new)
         else:
-            other = hits.select("key", F.col("id").alias("b"), F.col("component").alias("other"))
-            new = hits.join(other, "key").where("id < b and component != other").select(F.col("id").alias("a"), "b")
-        hits = hits.select("key", "id")
-        new = staged(new.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-        found = staged(_linked(new, sets, num, den), "links")
+            found = staged(_within_families(at, sets, num, den), "links")
         if found.limit(1).count():
             links = links.union(found)
             label = connected(links.union(same))
-        tested = tested.union(new)
     out = rows.select("id", "n").join(label, "id", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 

@@ -2,6 +2,7 @@
 
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -57,20 +58,47 @@ def corpus(seed, groups=14):
     return [(k * 3 + 1, t) for k, t in enumerate(out)]
 
 
-def test_linked_sets_share_a_key():
-    r = np.random.default_rng(0)
+def kept_keys(sets):
+    """Keys that each set keeps when all spare their most frequent ones, as the join does."""
+    keys = [nj.keys_of(x, 85, 100) for x in sets]
+    often = Counter(k for ks, _ in keys for k in ks.tolist())
+    out = []
+    for ks, spare in keys:
+        left = dict(zip(spare[::2], spare[1::2]))
+        kept = set()
+        for k in sorted(ks.tolist(), key=lambda k: (-often[k], np.int64(np.uint64(k).view(np.int64)))):
+            if k & 1 and left[(k & 255) // 2]:
+                left[(k & 255) // 2] -= 1
+            else:
+                kept.add(k)
+        out.append(kept)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_linked_sets_keep_a_common_key(seed):
+    r = np.random.default_rng(seed)
     for size in [*range(1, 40), 55, 80, 130, 333, 900]:
+        base = np.unique(r.integers(0, 2**63, size).astype(np.uint64))
+        family = [base]
         for _ in range(12):
-            a = np.unique(r.integers(0, 2**63, size).astype(np.uint64))
-            for extra in range(len(a) * 3 // 17 + 1):
-                # take some out and put others in, as far apart as a link allows
-                h = nj.most_apart(len(a), len(a) - extra, 85, 100)
-                swap = max(0, (h - extra) // 2)
-                if h < extra or swap + extra >= len(a):
-                    continue
-                b = np.unique(np.concatenate((r.permutation(a)[: len(a) - extra - swap], r.integers(0, 2**63, swap).astype(np.uint64))))
+            out = int(r.integers(0, len(base) * 3 // 20 + 2))
+            come = int(r.integers(0, len(base) * 3 // 20 + 2))
+            family.append(np.unique(np.concatenate((r.permutation(base)[: max(1, len(base) - out)], r.integers(0, 2**63, come).astype(np.uint64)))))
+        kept = kept_keys(family)
+        for i, a in enumerate(family):
+            for j, b in enumerate(family[:i]):
                 if 100 * len(np.intersect1d(a, b)) >= 85 * len(np.union1d(a, b)):
-                    assert np.intersect1d(nj.keys_of(a, 85, 100), nj.keys_of(b, 85, 100)).size
+                    assert np.array_equal(a, b) or kept[i] & kept[j]
+
+
+def test_differences():
+    for a in range(1, 60):
+        for k in nj.bands_of(a, 85, 100):
+            lo, hi = nj.band_edges(k)
+            for b in range(1, 80):
+                if lo <= min(a, b) <= hi and nj.most_apart(a, b, 85, 100) >= 0:
+                    assert nj.most_apart(a, b, 85, 100) <= nj.differences(a, k, 85, 100)
 
 
 def test_most_apart():
