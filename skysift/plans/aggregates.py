@@ -34,6 +34,11 @@ def far(v: Views):
     return _nb(v).select("inj_id", r(sensitivity.far(col("nb"), F.lit(_TB))).alias("far"), r(F.lit(YEAR / _TB)).alias("min_far"))
 
 
+@query("min_far", f"select slide, round({YEAR} / tb, 8) as min_far from tb")
+def min_far(v: Views):
+    return v.tb.select("slide", r(sensitivity.far(F.lit(0), col("tb")), 8).alias("min_far"))
+
+
 @query("significance", _NB + f" select inj_id, round(1 - exp(-86400.0 * (1 + nb) / {_TB}), 8) as significance from n")
 def significance(v: Views):
     return _nb(v).select("inj_id", r(sensitivity.significance(col("nb"), F.lit(_TB), 86400.0), 8).alias("significance"))
@@ -50,7 +55,7 @@ def livetime(v: Views):
     return each.groupBy((col("slide") == 0).alias("zero_lag")).agg(F.sum("tb").alias("tb"))
 
 
-@query("num_shifts_for_tb", """
+@query("num_shifts_for_Tb", """
 , k as (select k, sum(greatest(stop - start - 64 - k * 1000, 0)) as tb from seg, range(1, 201) t(k) where o_orderkey % 100 = 0 group by k),
 s as (select k, sum(tb) over (order by k) as total from k)
 select min(k) as shifts from s where total >= 100000000

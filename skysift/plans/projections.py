@@ -185,6 +185,16 @@ def sort_by(v: Views):
     return v.ev.withColumn("previous", before).groupBy("slide").agg(F.count_if(col("detection_statistic") < col("previous")).alias("descents"))
 
 
+@query("is_sorted_by", "select slide, count(*) filter (detection_time < previous) = 0 as by_time, count(*) filter (detection_statistic < before) = 0 as by_statistic from (select slide, detection_time, detection_statistic, lag(detection_time) over w as previous, lag(detection_statistic) over w as before from ev window w as (partition by slide order by detection_time, event_id)) group by slide")
+def is_sorted_by(v: Views):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("slide").orderBy("detection_time", "event_id")
+    down = lambda c: col(c) < F.lag(c).over(w)
+    rows = v.ev.select("slide", down("detection_time").alias("t"), down("detection_statistic").alias("s"))
+    return rows.groupBy("slide").agg((F.count_if("t") == 0).alias("by_time"), (F.count_if("s") == 0).alias("by_statistic"))
+
+
 @query("loudest", "select event_id, detection_statistic from ev order by detection_statistic desc, event_id limit 50")
 def loudest(v: Views):
     return v.ev.orderBy(F.desc("detection_statistic"), "event_id").limit(50).select("event_id", "detection_statistic")

@@ -159,9 +159,10 @@ def enumerate_timeslides(v: Views):
     return priors.timeslides(v.seg.where("o_orderkey % 300 = 0"), "o_orderkey", kernel=1.5, livetime=30000000.0, most=20).select("o_orderkey", "shift", r(col("used"), 4).alias("used"))
 
 
-@query("worker_seed")
+@query("worker_seed", "select o_orderkey, 42 + ('0x' || substr(md5(o_orderkey::varchar || '|0|1'), 1, 12))::bigint as seed from seg")
 def worker_seed(v: Views):
-    return v.seg.select("o_orderkey", (F.xxhash64("start", "stop", F.array(F.lit(0.0), F.lit(1.0))) + 42).alias("seed"))
+    """A seed per job and its shifts: a hash of what names the job, plus the campaign's."""
+    return v.seg.select("o_orderkey", (sampling.hashed(col("o_orderkey"), "0", "1") + 42).alias("seed"))
 
 
 @query("mass_grid", "select user_id, k, round(1.2 * pow(60 / 1.2, k / 31.0), 6) as log_mass, round(1.2 + k * (60 - 1.2) / 31, 6) as linear_mass from (select distinct user_id from events), range(0, 32) t(k)")
