@@ -119,5 +119,28 @@ from dw left join covered using (doc_id) left join named using (doc_id)
 """
 
 
+OP6_SQL = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents
+), s as (
+  select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')]
+    else list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i : i + 3], ' ')) end) as s from w
+), n as (select doc_id, count(*) as n from s group by doc_id
+), p as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.s = b.s and a.doc_id < b.doc_id group by all
+), e as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 85 * (x.n + y.n - c)
+), both_ways as (select a, b from e union all select b, a from e
+), reach as (select doc_id, doc_id as r from documents union select reach.doc_id, b from reach join both_ways on a = r
+)
+select doc_id, coalesce(any_value(n), 0) as n_shingles, min(r) as component_id from reach left join n using (doc_id) group by doc_id
+"""
+
+OP10_SQL = """
+with p as (select page_id, strlen(coalesce(html, '')) as payload_bytes, sha1(coalesce(html, '')) as h, min(page_id) over (partition by coalesce(html, '')) as first from pages)
+select page_id, payload_bytes, list_reduce(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, (i // 4 * 5 + 1)::int, 5))::int >> (15 - i % 4 * 5)::int) & 31) + 1, 1)), lambda a, b: a || b) as payload_digest,
+  case when page_id = first then 'response' else 'revisit' end as record_type, case when page_id <> first then first end as refers_to
+from p
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": OP4_SQL, "op7_decontaminate": OP7_SQL}
+    return {"op4_exact_dedup": OP4_SQL, "op6_ngram_join": OP6_SQL, "op7_decontaminate": OP7_SQL, "op10_warc": OP10_SQL}

@@ -11,8 +11,8 @@ Reading decodes all stretches between checkpoints of a block side by side: every
 looks one code per stretch up in a table of 2**limit entries.
 
 Encoding with a memo is exact: no token crosses a single space between two characters
-that aren't white space, so texts are cut there and each distinct part is encoded once
-per worker.
+that aren't white space, nor the place where marks follow a letter, so texts are cut
+there and each distinct part is encoded once per worker.
 
 Defined results: null text counts as empty and has only the end id; null document ids
 come first; rows with the same id stand next to each other, ordered by text; an empty
@@ -42,6 +42,8 @@ LIMIT = 18
 MEMO = 500_000
 
 _DOUBLE_WHITE = re.compile(r"\s\s")
+#: Marks that never join a letter before them in a token.
+_MARKS = ".,;:!?%$&*#|)"
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _BLOCKS = "part int, seq int, start long, doc_ids array<long>, lens array<long>, ids binary"
 
@@ -92,10 +94,24 @@ class Encoder:
                 if (tail := " " + parts[-1])[-1].isspace():
                     new_other.add(tail)
         new_other -= other.keys()
-        plain = [p for p in new_inner if p and not p[-1].isspace()]
-        fresh = dict(zip(plain, self._parts(plain))) if plain else {}
-        firsts = list(new_other)
+        # a part that ends in marks is its stem and the marks, each encoded by itself
+        split: dict[str, tuple[str, str]] = {}
+        plain: set[str] = set()
+        for p in new_inner:
+            if p and not p[-1].isspace():
+                stem = p.rstrip(_MARKS)
+                if len(stem) < len(p) and stem and stem[-1].isalpha():
+                    split[p] = stem, p[len(stem) :]
+                else:
+                    stem = p
+                if stem not in inner:
+                    plain.add(stem)
+        new_other.update(marks for _, marks in split.values() if marks not in other)
+        stems, firsts = list(plain), list(new_other)
+        fresh = dict(zip(stems, self._parts(stems))) if stems else {}
         fresh_other = dict(zip(firsts, self._whole(firsts)))
+        for p, (stem, marks) in split.items():
+            fresh[p] = (fresh[stem] if stem in fresh else inner[stem]) + (fresh_other[marks] if marks in fresh_other else other[marks])
         fresh |= {p: fresh_other.get(" " + p) or other[" " + p] for p in new_inner if not p or p[-1].isspace()}
         if len(inner) + len(other) < MEMO:
             inner.update(fresh)
