@@ -13,7 +13,7 @@ from skysift.llm import token_file
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 LIB = Tokenizer.from_file(PATH)
-PARTS = ["a", "Word", " ", "  ", "\n", "é", "中", "😀", "\x00", "ing", " the ", "<|endoftext|>", "\t", "'s", "12", "\xa0", " ", "\x1c", "　", "!?", " x", "\r\n"]
+PARTS = ["a", "Word", " ", "  ", "\n", "é", "中", "😀", "\x00", "ing", " the ", "<|endoftext|>", "\t", "'s", "12", "\xa0", " ", "\x1c", "　", "!?", "word.", "Été!!", "a%%%", "x)", " 'tis.", " x", "\r\n"]
 
 
 def texts(n, seed):
