@@ -21,6 +21,8 @@ from ._store import staged
 #: 32 MiB of bits: the bound of what is broadcast.
 MAX_BITS = 1 << 28
 BITS_PER_ROW = 16
+#: Parts that a group of equal texts may be dealt over.
+SALTS = 64
 #: What ``bitmap_construct_agg`` packs into one row.
 BUCKET = 32768
 
@@ -77,9 +79,12 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     rows = maybe_repeated(keys, "sha", seen, bits, "maybe")
     order = F.struct(F.col("id").isNull().alias("none"), "id", "row")
     alone = rows.where("not maybe").select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha")
-    left = rows.where("maybe").select("id", "row", "sha")
-    groups = left.groupBy("sha").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("group_size"))
-    shared = left.join(groups, "sha").select(
+    left = rows.where("maybe").select("id", "row", "sha", F.pmod(F.xxhash64("id", "row"), F.lit(SALTS)).alias("salt"))
+    # a large group is dealt by salt, summed part by part, and each part told the whole's result
+    parts = left.groupBy("sha", "salt").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("group_size"))
+    wholes = parts.groupBy("sha").agg(F.min("first").alias("first"), F.sum("group_size").alias("group_size"))
+    told = parts.select("sha", "salt").join(wholes, "sha")
+    shared = left.join(told, ["sha", "salt"]).select(
         "id", F.col("first.id").alias("keep_id"), "group_size", (F.col("row") == F.col("first.row")).alias("kept"), "sha"
     )
     return alone.unionByName(shared).select(
