@@ -41,6 +41,8 @@ FEATURES = 4 * DIM + 4
 MAX_LABELLED = 20_000
 THRESHOLD = 0.3
 HIDDEN = 32
+#: Bytes of text that are worked on at once; each takes some hundred bytes of arrays.
+PART = 1 << 20
 
 #: Shapes: a byte's class; marks stand for themselves.
 _SHAPE = np.arange(256, dtype=np.uint8)
@@ -89,7 +91,7 @@ def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
         total = np.zeros((BUCKETS, DIM + 1))
         for batch in batches:
             raw, offsets = text_bytes(batch.column(0))
-            for lo, hi in chunks(offsets):
+            for lo, hi in chunks(offsets, PART):
                 words, shapes, rows = buckets_of(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                 for ids in (words, shapes):
                     _context(ids, rows, total, places, signs)
@@ -150,7 +152,7 @@ def pooled(docs: DataFrame, vectors: np.ndarray, id_col: str = "doc_id", text_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = text_bytes(batch.column(1))
-            for lo, hi in chunks(offsets):
+            for lo, hi in chunks(offsets, PART):
                 x = features(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], context.value)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([r.tobytes() for r in x], pa.binary())], ["id", "x"])
 
@@ -244,18 +246,17 @@ def keep(docs: DataFrame, labels: DataFrame, column: str = "quality", modulus: i
     known = docs.select(id_col, text_col).join(F.broadcast(chosen.select(F.col("id").alias(id_col))), id_col, "left_semi")
     net = fit(staged(pooled(known, vectors, id_col, text_col), "pooled"), labels, column, modulus, held)
     context = docs.sparkSession.sparkContext.broadcast((vectors, net))
-    marked = docs.withColumn("_quality_bytes", F.col(text_col).cast("binary"))
-    columns = marked.columns
+    columns = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors, net = context.value
         for batch in batches:
-            raw, offsets = text_bytes(batch.column(len(columns) - 1))
-            for lo, hi in chunks(offsets):
+            raw, offsets = text_bytes(batch.column(columns.index(text_col)))
+            for lo, hi in chunks(offsets, PART):
                 part = batch.slice(lo, hi - lo)
                 if net is not None:
                     x = features(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], vectors)
                     part = part.filter(pa.array(net.score(x.astype(np.float64)) >= threshold))
-                yield pa.RecordBatch.from_arrays(part.columns[:-1], columns[:-1])
+                yield pa.RecordBatch.from_arrays(part.columns, columns)
 
-    return marked.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)
