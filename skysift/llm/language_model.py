@@ -11,9 +11,9 @@ distribution over the words seen and the unknown one. A GRU reads the units; its
 softmax is factored into classes of units. Its first state of training, with output
 weights of zero and biases from the counts, is the unigram model.
 
-Training. A constant share of the training documents, chosen by hash, whatever their
-number, is dealt to tasks by size; each runs truncated backpropagation with state
-carried from window to window, and the weights are averaged, for each of ROUNDS rounds.
+Training. All training documents are dealt to tasks by size; each runs truncated
+backpropagation with state carried from window to window, and the weights are averaged,
+for each of ROUNDS rounds.
 
 Scoring. Documents of a batch run side by side, longest first, in windows; the state is
 carried to the document's end, which is scored as a token.
@@ -43,8 +43,6 @@ UNITS = WORDS + SHARED
 CLASSES = 32
 PER_CLASS = UNITS // CLASSES
 HIDDEN = 24
-#: One in so many training documents fits the weights.
-SHARE = 8
 ROUNDS = 2
 LANES, WINDOW = 64, 24
 #: Bytes of units (two per token) that one training task gets, about.
@@ -249,64 +247,107 @@ class Trainer:
 
     def window(self, came: np.ndarray, goes: np.ndarray, first: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, dict]:
         """The state after a window (steps x lanes) and the gradients of its mean loss."""
-        net, steps = self.net, len(came)
-        kept, states = [], []
+        net, (steps, lanes) = self.net, came.shape
+        # a step's values lie unit by unit, lanes side by side
+        keep = (~first)[:, None, :].astype(np.float32)
+        a = np.ascontiguousarray(net.wx[came].transpose(0, 2, 1))
+        zr, n = a[:, : 2 * HIDDEN], a[:, 2 * HIDDEN :]  # in place
+        before, hs, u = (np.empty((steps, HIDDEN, lanes), np.float32) for _ in range(3))
+        w, h = np.ascontiguousarray(net.wh.T), h.T
         for t in range(steps):
-            h = h * ~first[t][:, None]
-            nxt, z, r, u, n = net.step(came[t], h)
-            kept.append((h, z, r, u, n))
-            states.append(nxt)
-            h = nxt
-        hs, unit = np.concatenate(states), goes.ravel()
+            was = np.multiply(h, keep[t], out=before[t])
+            b = w @ was
+            g, m = zr[t], n[t]
+            g += b[: 2 * HIDDEN]
+            np.negative(g, g)
+            np.exp(g, g)
+            g += 1
+            np.reciprocal(g, g)
+            u[t] = b[2 * HIDDEN :]
+            m += g[HIDDEN:] * u[t]
+            np.tanh(m, m)
+            h = np.subtract(was, m, out=hs[t])
+            h *= g[:HIDDEN]
+            h += m
+        # the output, tokens sorted by class
+        unit = goes.ravel()
         count = len(unit)
-        kind, place = unit // PER_CLASS, unit % PER_CLASS
-        at = np.arange(count)
-        c = hs @ net.wc + net.bc
-        c = np.exp(c - c.max(1, keepdims=True))
-        c /= c.sum(1, keepdims=True)
-        c[at, kind] -= 1
-        c /= count
-        g = {"wc": hs.T @ c, "bc": c.sum(0), "wo": np.zeros_like(net.wo), "bo": np.zeros_like(net.bo)}
-        dh = c @ net.wc.T
-        by = np.argsort(kind, kind="stable")
-        cuts = np.searchsorted(kind[by], np.arange(CLASSES + 1))
-        for k in range(CLASSES):
-            rows = by[cuts[k] : cuts[k + 1]]
-            if len(rows):
-                o = hs[rows] @ net.wo[k] + net.bo[k]
-                o = np.exp(o - o.max(1, keepdims=True))
-                o /= o.sum(1, keepdims=True)
-                o[np.arange(len(rows)), place[rows]] -= 1
-                o /= count
-                g["wo"][k], g["bo"][k] = hs[rows].T @ o, o.sum(0)
-                dh[rows] += o @ net.wo[k].T
-        dh = dh.reshape(steps, -1, HIDDEN)
-        back, da, gw = np.zeros_like(h), [None] * steps, np.zeros_like(net.wh)
+        by = np.argsort(unit // PER_CLASS, kind="stable")
+        unit, x = unit[by], hs.transpose(0, 2, 1).reshape(count, HIDDEN)[by]
+        kind, place, at = unit // PER_CLASS, unit % PER_CLASS, np.arange(count)
+        c = x @ net.wc + net.bc
+        self._loss(c, at, kind)
+        grads = {"wc": x.T @ c, "bc": c.sum(0), "wo": np.zeros_like(net.wo), "bo": np.zeros_like(net.bo)}
+        dx = c @ net.wc.T
+        cuts = np.searchsorted(kind, np.arange(CLASSES + 1)).tolist()
+        spans = [(k, i, j) for k, (i, j) in enumerate(zip(cuts, cuts[1:])) if i < j]
+        o = np.empty((count, PER_CLASS), np.float32)
+        for k, i, j in spans:
+            np.matmul(x[i:j], net.wo[k], out=o[i:j])
+        o += net.bo[kind]
+        self._loss(o, at, place)
+        for k, i, j in spans:
+            np.matmul(x[i:j].T, o[i:j], out=grads["wo"][k])
+            dx[i:j] += o[i:j] @ net.wo[k].T
+        grads["bo"][[k for k, _, _ in spans]] = np.add.reduceat(o, [i for _, i, _ in spans])
+        dh = np.empty_like(dx)
+        dh[by] = dx
+        dh = np.ascontiguousarray(dh.reshape(steps, lanes, HIDDEN).transpose(0, 2, 1))
+        # back through the steps: what doesn't depend on the later ones at once
+        z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
+        to_n, to_z, to_r = (1 - z) * (1 - n * n), (before - n) * z * (1 - z), u * r * (1 - r)
+        db, dn, back = np.empty_like(a), np.empty_like(hs), np.float32(0)
         for t in range(steps - 1, -1, -1):
-            before, z, r, u, n = kept[t]
-            d = dh[t] + back
-            dn = d * (1 - z) * (1 - n * n)
-            dz = d * (before - n) * z * (1 - z)
-            dr = dn * u * r * (1 - r)
-            db = np.concatenate((dz, dr, dn * r), 1)
-            da[t] = np.concatenate((dz, dr, dn), 1)
-            gw += before.T @ db
-            back = (d * z + db @ net.wh.T) * ~first[t][:, None]
-        g["wh"], g["wx"] = gw, np.zeros_like(net.wx)
-        np.add.at(g["wx"], came.ravel(), np.concatenate(da))
-        return h, g
+            d = dh[t]
+            d += back
+            m, g = dn[t], db[t]
+            np.multiply(d, to_n[t], out=m)
+            np.multiply(d, to_z[t], out=g[:HIDDEN])
+            np.multiply(m, to_r[t], out=g[HIDDEN : 2 * HIDDEN])
+            np.multiply(m, r[t], out=g[2 * HIDDEN :])
+            d *= z[t]
+            d += net.wh @ g
+            d *= keep[t]
+            back = d
+        rows = lambda y: y.transpose(0, 2, 1).reshape(count, -1)
+        grads["wh"] = rows(before).T @ rows(db)
+        db[:, 2 * HIDDEN :] = dn
+        grads["wx"] = np.zeros_like(net.wx)
+        units = came.ravel()
+        by = np.argsort(units, kind="stable")
+        units = units[by]
+        starts = np.flatnonzero(np.concatenate(([True], units[1:] != units[:-1])))
+        grads["wx"][units[starts]] = np.add.reduceat(rows(db)[by], starts)
+        return h.T.copy(), grads
+
+    @staticmethod
+    def _loss(logits: np.ndarray, at: np.ndarray, want: np.ndarray) -> None:
+        """Turn logits into the gradients of the mean loss."""
+        logits -= logits.max(1, keepdims=True)
+        np.exp(logits, logits)
+        logits /= logits.sum(1, keepdims=True)
+        logits[at, want] -= 1
+        logits /= len(at)
 
     def update(self, g: dict) -> None:
-        norm = np.sqrt(sum(float((x * x).sum()) for x in g.values()))
+        norm = np.sqrt(sum(float(np.vdot(x, x)) for x in g.values()))
         self.t += 1
         a = self.rate * np.sqrt(1 - 0.999**self.t) / (1 - 0.9**self.t)
         for n, x in g.items():
             if norm > 1:
-                x = x / np.float32(norm)
-            self.m[n] += np.float32(0.1) * (x - self.m[n])
-            self.v[n] += np.float32(0.001) * (x * x - self.v[n])
-            w = getattr(self.net, n)
-            w -= np.float32(a) * self.m[n] / (np.sqrt(self.v[n]) + np.float32(1e-8))
+                x /= np.float32(norm)
+            m, v, w = self.m[n], self.v[n], getattr(self.net, n)
+            m *= np.float32(0.9)
+            m += np.float32(0.1) * x
+            x *= x
+            x *= np.float32(0.001)
+            v *= np.float32(0.999)
+            v += x
+            np.sqrt(v, x)
+            x += np.float32(1e-8)
+            np.divide(m, x, x)
+            x *= np.float32(a)
+            w -= x
 
     def run(self, documents: Iterator[np.ndarray], end: int) -> int:
         """Train over a stream of documents (their units); gives the number of tokens."""
@@ -359,8 +400,8 @@ def _average(rows: DataFrame) -> tuple[np.ndarray, int] | None:
     return sum(np.frombuffer(bytes(r.weights), np.float32).astype(np.float64) * (r.n / n) for r in got), n
 
 
-def train(docs: DataFrame, vocabulary: Vocabulary, id_col: str, text_col: str) -> Gru:
-    """Fit the network on a constant share of ``docs``."""
+def train(docs: DataFrame, vocabulary: Vocabulary, text_col: str) -> Gru:
+    """Fit the network on all ``docs``."""
     spark = docs.sparkSession
     known = spark.sparkContext.broadcast(vocabulary)
 
@@ -373,14 +414,13 @@ def train(docs: DataFrame, vocabulary: Vocabulary, id_col: str, text_col: str) -
                 ends = np.cumsum(np.bincount(rows, minlength=hi - lo))
                 yield pa.RecordBatch.from_arrays([pa.array([units[a:b].tobytes() for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())], pa.binary())], ["units"])
 
-    chosen = docs.where(F.pmod(F.xxhash64(F.col(id_col), F.lit(21)), F.lit(SHARE)) == 0)
-    sample = staged(chosen.select(F.col(text_col).cast("binary")).mapInArrow(encode, "units binary"), "units")
-    size = sample.agg(F.coalesce(F.sum(F.octet_length("units")), F.lit(0))).first()[0]
+    coded = staged(docs.select(F.col(text_col).cast("binary")).mapInArrow(encode, "units binary"), "units")
+    size = coded.agg(F.coalesce(F.sum(F.octet_length("units")), F.lit(0))).first()[0]
     net = Gru.fresh(vocabulary)
     end = vocabulary.end
     if not size:
         return net
-    dealt = staged(sample.repartition(-(-size // TASK_BYTES)), "units")
+    dealt = staged(coded.repartition(-(-size // TASK_BYTES)), "units")
     for turn in range(ROUNDS):
         start = spark.sparkContext.broadcast(net)
 
@@ -429,7 +469,7 @@ def score(docs: DataFrame, modulus: int = 7, held: int = 2, id_col: str = "doc_i
     learn = docs.where(_labels.remainder(F.col(id_col), modulus) != held)
     counts = count_words(learn, text_col)
     vocabulary = Vocabulary(counts)
-    net = train(learn, vocabulary, id_col, text_col)
+    net = train(learn, vocabulary, text_col)
     context = spark.sparkContext.broadcast((vocabulary, net))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

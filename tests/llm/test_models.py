@@ -172,6 +172,17 @@ def test_gradients():
             assert g[n][at] == pytest.approx((up - down) / (2 * e), rel=2e-2, abs=1e-5), n
 
 
+def test_all_training_documents_fit_the_weights(spark, monkeypatch):
+    rows = [(i, f"alpha w{i} omega " * (1 + i % 5)) for i in range(60)] + [(None, "nameless"), (60, ""), (61, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    seen = []
+    average = lm._average
+    monkeypatch.setattr(lm, "_average", lambda rows: (seen.append(rows.agg(F.sum("n")).first()[0]), average(rows))[1])
+    (tokens,) = {r.train_tokens for r in lm.score(docs).collect()}
+    # every round learns from every token that is counted, the ends included
+    assert seen == [tokens] * lm.ROUNDS
+
+
 def test_state_is_carried_to_the_end():
     net, r = network(), np.random.default_rng(4)
     docs = [r.integers(0, lm.UNITS, n) for n in (1, 150, 3, 70, 64, 65)]
