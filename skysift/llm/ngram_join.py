@@ -179,7 +179,7 @@ _SETS = "row long, id long, n long, print_hi long, print_lo long"
 def _sets(docs: DataFrame, id_col: str, text_col: str, size: int, what: str, num: int = NUM, den: int = DEN) -> DataFrame:
     """Rows (row, id, n, print_hi, print_lo) and, by ``what``, the column keys or hashes.
 
-    Keys are given once per distinct set and worker, as far as a worker remembers.
+    Keys are given once per distinct set and worker, as far as a worker remembers; rows with null ids have none.
     """
     column = {"keys": "keys array<long>, spare array<int>", "hashes": "hashes array<long>"}[what]
 
@@ -187,6 +187,7 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, size: int, what: str, num
         seen: set[int] = set()
         for batch in batches:
             raw, offsets = text_bytes(batch.column(2))
+            named = batch.column(1).is_valid().to_pylist()
             for lo, hi in chunks(offsets):
                 hashes, counts = shingles(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], size)
                 ends = np.cumsum(counts)
@@ -200,10 +201,10 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, size: int, what: str, num
                         lists.append(hashes[e - n : e])
                     else:
                         p = int(high[i]) << 64 | int(low[i])
-                        keys, spare = (np.zeros(0, U64), []) if not n or p in seen else keys_of(hashes[e - n : e], num, den)
+                        keys, spare = (np.zeros(0, U64), []) if not n or not named[lo + i] or p in seen else keys_of(hashes[e - n : e], num, den)
                         lists.append(keys)
                         spares.append(spare)
-                        if len(seen) < _SEEN:
+                        if named[lo + i] and len(seen) < _SEEN:
                             seen.add(p)
                     taken += len(lists[-1])
                     given.append(len(lists[-1]))
@@ -335,17 +336,17 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per row of ``docs``: id, n_shingles, component_id (the smallest id reachable by links)."""
     spark = docs.sparkSession
     rows = staged(_sets(docs, id_col, text_col, size, "keys", num, den), "sets")
-    # equal sets: one stands for all
+    # equal sets are one, named by its first row; ids come back for the components only
     prints = ["n", "print_hi", "print_lo"]
     able = rows.where("n > 0 and id is not null")
-    groups = able.groupBy(*prints).agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    reps = staged(able.select("id", *prints).distinct().join(groups, prints).select("id", "rep").groupBy("id").agg(F.min("rep").alias("rep"), F.max("rep").alias("rep2")), "reps")
+    groups = able.groupBy(*prints).agg(F.min("row").alias("set"), F.min("id").alias("rep"))
+    of = staged(able.select("row", "id", *prints).join(groups, prints).select("row", "id", "set", "rep", *prints), "reps")
     # keys that several sets share; of those a set leaves out the most frequent ones that it can spare
-    met = able.where("size(keys) > 0").select(F.explode("keys").alias("key"), "id").repartition("key")
-    shared = met.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo != hi").select("key")
-    hits = staged(met.join(shared, "key").join(reps.select("id", "rep"), "id").select("key", F.col("rep").alias("id")).distinct(), "shared")
+    met = able.where("size(keys) > 0").select(F.explode("keys").alias("key"), "row").repartition("key")
+    shared = met.groupBy("key").agg(F.min("row").alias("lo"), F.max("row").alias("hi")).where("lo != hi").select("key")
+    hits = staged(met.join(shared, "key").join(of.select("row", "set"), "row").select("key", F.col("set").alias("id")).distinct(), "shared")
     often = hits.groupBy("key").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
-    spare = able.where("size(keys) > 0").join(reps.select("id", "rep"), "id").groupBy(F.col("rep").alias("id")).agg(F.min("spare").alias("spare"))
+    spare = able.where("size(keys) > 0").select("row", "spare").join(of.select("row", "set"), "row").groupBy(F.col("set").alias("id")).agg(F.min("spare").alias("spare"))
     band, free = F.expr("int(key & 255) div 2"), F.col("key").bitwiseAND(1) == 1
     hits = hits.join(often, "key").join(spare, "id").withColumns({"band": band, "free": free})
     hits = hits.withColumn("place", F.row_number().over(Window.partitionBy("id", "band", "free").orderBy(F.desc("often"), "key")))
@@ -354,13 +355,18 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     pivots = hits.groupBy("key").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("k")).where("k > 1").select("key", "a")
     met_first = hits.join(pivots, "key").where("id != a").select("a", F.col("id").alias("b")).distinct()
     pairs = staged(met_first, "pairs")
-    # full sets of whoever has a partner, from their texts
-    wanted = staged(pairs.select(F.col("a").alias(id_col)).union(pairs.select("b")).distinct(), "wanted")
-    mark = F.broadcast(wanted) if size_of(wanted) <= BROADCAST_BYTES else wanted
+    # full sets of whoever has a partner, from the texts of an id that each is found under
+    partners = pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct()
+    wanted = staged(of.where("row = set").drop("row", "id").join(partners, "set").withColumnRenamed("rep", "id"), "wanted")
+    ids = staged(wanted.select(F.col("id").alias(id_col)).distinct(), "wanted-ids")
+    mark = F.broadcast(ids) if size_of(ids) <= BROADCAST_BYTES else ids
     texts = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col)).join(mark, id_col, "left_semi")
-    sets = staged(_sets(texts, id_col, text_col, size, "hashes").groupBy("id").agg(F.min_by("hashes", F.struct("n", "print_hi")).alias("hashes")), "hashes")
+    full = _sets(texts, id_col, text_col, size, "hashes").groupBy("id", *prints).agg(F.first("hashes").alias("hashes"))
+    sets = staged(full.join(wanted, ["id", *prints]).select(F.col("set").alias("id"), "hashes"), "hashes")
     links = staged(_linked(pairs, sets, num, den), "links")
-    same = reps.where("id != rep").select(F.col("rep").alias("a"), F.col("id").alias("b")).union(reps.where("rep != rep2").select(F.col("rep").alias("a"), F.col("rep2").alias("b")))
+    # the sets of one id hang together
+    several = of.groupBy("id").agg(F.min("set").alias("a"), F.max("set").alias("b")).where("a != b").select("id", "a")
+    same = of.select("id", F.col("set").alias("b")).join(several, "id").select("a", "b").where("a != b").distinct()
     label = connected(links.union(same))
     tested = pairs
     for turn in range(ROUNDS + 1):
@@ -374,9 +380,9 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if turn < ROUNDS:
             # one partner per key: a member of its largest component, another one each time
             order = F.xxhash64("id", F.lit(turn))
-            of = at.groupBy("key", "component").agg(F.count(F.lit(1)).alias("k"), F.min_by("id", order).alias("one"))
-            of = of.groupBy("key").agg(F.max_by(F.struct("component", "one"), F.struct("k", "component")).alias("to"))
-            new = at.join(of, "key").where("component != to.component").select(F.least("id", "to.one").alias("a"), F.greatest("id", "to.one").alias("b"))
+            to = at.groupBy("key", "component").agg(F.count(F.lit(1)).alias("k"), F.min_by("id", order).alias("one"))
+            to = to.groupBy("key").agg(F.max_by(F.struct("component", "one"), F.struct("k", "component")).alias("to"))
+            new = at.join(to, "key").where("component != to.component").select(F.least("id", "to.one").alias("a"), F.greatest("id", "to.one").alias("b"))
             new = staged(new.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
             found = staged(_linked(new, sets, num, den), "links")
             tested = tested.union(new)
@@ -385,7 +391,10 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if found.limit(1).count():
             links = links.union(found)
             label = connected(links.union(same))
-    out = rows.select("id", "n").join(label, "id", "left")
+    # the smallest id of each component that has several
+    named = of.select("id", "set").join(label.withColumnRenamed("id", "set"), "set", "left").select("id", F.coalesce("component", "set").alias("part"))
+    least = named.groupBy("part").agg(F.min("id").alias("component"), F.max("id").alias("last")).where("component != last").select("part", "component")
+    out = rows.select("id", "n").join(named.join(least, "part").select("id", "component").distinct(), "id", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
 

@@ -126,3 +126,24 @@ def test_odd_rows(spark):
     assert sorted((r.doc_id or 0, r.text) for r in nj.keep_one(docs).collect() if r.text) == [(0, "a b c d e"), (1, "a b c d e"), (1, "a b c d e")]
     assert nj.components(docs.limit(0)).count() == 0
     assert nj.keep_one(docs.limit(0)).columns == docs.columns
+
+
+def test_null_ids_take_no_keys_from_others(spark):
+    a = " ".join(f"w{k}" for k in range(60))
+    rows = [(None, a), (2, a), (1, a.replace("w59", "x"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert sorted((r.doc_id or 0, r.component_id) for r in nj.components(docs).collect()) == [(0, None), (1, 1), (2, 1)]
+    assert {r.doc_id for r in nj.keep_one(docs).collect()} == {None, 1}
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_every_text_of_an_id_links(spark, seed):
+    a, b = (" ".join(f"{c}{k}" for k in range(n)) for c, n in (("a", 60), ("b", 80)))
+    rows = [(9005, a), (9005, b), (9003, a.replace("a59", "x")), (9007, b.replace("b79", "y")), (9007, "")]
+    r = random.Random(seed)
+    rows += [(r.choice([i, i, i, i % 40, None]), t) for i, t in corpus(seed)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(tuple(x) for x in nj.components(docs).where("doc_id is not null").collect())
+    root = {i: c for i, _, c in brute(rows)}
+    assert {i: c for i, _, c in got} == root and len(got) == sum(i is not None for i, _ in rows)
+    assert root[9007] == root[9005] == 9003
