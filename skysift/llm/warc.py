@@ -141,8 +141,12 @@ def _inflate(data: memoryview, at: int) -> tuple[bytes, int]:
 def _parse(data, at: int) -> tuple[dict, int]:
     """The record at a version line, checked, and where it ends."""
     view = memoryview(data)
-    top = bytes(view[at : at + 65536])
-    end = top.find(b"\r\n\r\n")
+    size = 65536
+    top = bytes(view[at : at + size])
+    # a header is as long as its values are
+    while (end := top.find(b"\r\n\r\n")) < 0 and top.startswith(b"WARC/1.") and len(top) == size:
+        size *= 4
+        top = bytes(view[at : at + size])
     if not top.startswith(b"WARC/1.") or end < 0:
         raise Damaged("no record header")
     lines = top[:end].split(b"\r\n")[1:]

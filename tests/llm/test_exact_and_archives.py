@@ -127,3 +127,12 @@ def test_salvage():
     assert [b - a for a, b in gaps] == [4, len(broken), len(wrong), len(parts[4]) - 9]
     assert sum(b - a for a, b in gaps) + len(parts[0] + parts[2] + plain[0] + plain[2] + parts[3]) == len(data)
     assert list(warc.salvage(b"")) == []
+
+
+def test_long_urls(spark):
+    pages = [(1, "u" * 65536, "a"), (2, "é" * 300000, "b"), (3, "u" * 65536, "a"), (4, "short", "c")]
+    got = warc.round_trip(spark.createDataFrame(pages, "page_id long, url string, html string"))
+    assert Counter(map(tuple, got.collect())) == brute(pages, 0)
+    uris = [u for _, u, _ in pages[:2]]
+    whole = b"".join(warc.record(str(i), u, b"p", None) for i, u in enumerate(uris))  # without compression, too
+    assert [r["uri"] for r in warc.salvage(whole)] == uris
