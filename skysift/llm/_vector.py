@@ -8,9 +8,8 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-#: An odd multiplier and its inverse modulo 2**64, for positional hashes of words.
+#: An odd multiplier, for hashes of runs of words.
 BASE = 0x9E3779B97F4A7C15
-BASE_INV = pow(BASE, -1, 1 << 64)
 
 UPPER_TO_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _WHITE = np.zeros(256, bool)
@@ -30,6 +29,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: Random numbers of a byte in the first places of a word.
+_BY_PLACE = mix(np.arange(64 << 8, dtype=U64) + U64(BASE))
+
+
 def powers(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64, kept between calls."""
     have = _POWERS.get(base)
@@ -78,17 +81,25 @@ def word_spans(raw: np.ndarray, offsets: np.ndarray, white: np.ndarray = _WHITE)
 
 
 def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
-    """A 64-bit hash of each run of bytes; ``lower`` folds A-Z first.
+    """A 64-bit hash of each run of bytes, the runs in ascending order and apart; ``lower`` folds A-Z first.
 
-    The sum of byte times BASE**position, moved back to position 0, then mixed with the length.
+    The sum of a random number per byte and its place in the run, mixed with the length.
     """
     if not len(starts):
         return np.zeros(0, U64)
-    b = (_LOWER[raw] if lower else raw).astype(U64)
-    b = mix(b + U64(1)) * powers(BASE, len(raw))
+    kind = np.int32 if len(raw) < 1 << 22 else np.int64
+    code = np.zeros(len(raw), kind)
+    code[starts] = starts
+    np.subtract(np.arange(len(raw), dtype=kind), np.maximum.accumulate(code, out=code), out=code)
+    far = int((ends - starts).max()) > len(_BY_PLACE) >> 8
+    code <<= 8
+    code |= _LOWER[raw] if lower else raw
+    b = _BY_PLACE.take(code, mode="clip")
+    if far:
+        late = code >= len(_BY_PLACE)
+        b[late] = mix(code[late].astype(U64) + U64(BASE))
     total = np.concatenate((np.zeros(1, U64), np.cumsum(b, dtype=U64)))
-    h = (total[ends] - total[starts]) * powers(BASE_INV, len(raw))[starts]
-    return mix(h + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
+    return mix(total[ends] - total[starts] + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
 
 
 def lists_of(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Array:
@@ -98,15 +109,30 @@ def lists_of(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Ar
 
 
 class HashIndex:
-    """Open addressing over unique 64-bit keys; finds arrays of keys at once."""
+    """Open addressing over unique 64-bit keys; finds and adds arrays of keys at once."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
         keys, first = np.unique(keys.astype(U64), return_index=True)
-        values = np.asarray(values)[first]
-        self.bits = max(4, int(2 * len(keys) + 1).bit_length())
+        self.n = 0
+        self._make(len(keys), np.asarray(values).dtype)
+        self.add(keys, np.asarray(values)[first])
+
+    def _make(self, n: int, dtype: np.dtype) -> None:
+        self.bits = max(4, int(2 * n + 1).bit_length())
         size = 1 << self.bits
         self.mask = size - 1
-        self.key, self.used, self.value = np.zeros(size, U64), np.zeros(size, bool), np.zeros(size, values.dtype)
+        self.key, self.used, self.value = np.zeros(size, U64), np.zeros(size, bool), np.zeros(size, dtype)
+
+    def add(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """``keys`` are distinct and new."""
+        self.n += len(keys)
+        if 2 * self.n > self.mask:
+            old = self.key[self.used], self.value[self.used]
+            self._make(2 * self.n, self.value.dtype)
+            self._put(*old)
+        self._put(keys, values)
+
+    def _put(self, keys: np.ndarray, values: np.ndarray) -> None:
         left, at = np.arange(len(keys)), self._home(keys)
         while len(left):
             free = ~self.used[at]
@@ -121,11 +147,11 @@ class HashIndex:
 
     def find(self, keys: np.ndarray, missing=-1) -> np.ndarray:
         out = np.full(len(keys), missing, self.value.dtype)
-        at, left = self._home(keys), np.arange(len(keys))
-        while len(left):
-            used, same = self.used[at], self.key[at] == keys[left]
-            hit = used & same
-            out[left[hit]] = self.value[at[hit]]
-            go = used & ~same
-            left, at = left[go], (at[go] + 1) & self.mask
+        at, left = self._home(keys), None
+        while len(at):
+            used, same = self.used[at], self.key[at] == (keys if left is None else keys[left])
+            hit = np.flatnonzero(used & same)
+            out[hit if left is None else left[hit]] = self.value[at[hit]]
+            go = np.flatnonzero(used & ~same)
+            left, at = go if left is None else left[go], (at[go] + 1) & self.mask
         return out

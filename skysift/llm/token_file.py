@@ -11,17 +11,18 @@ Reading decodes all stretches between checkpoints of a block side by side: every
 looks one code per stretch up in a table of 2**limit entries.
 
 Encoding with a memo is exact: no token crosses a single space between two characters
-that aren't white space, nor the place where marks follow a letter, so texts are cut
-there and each distinct part is encoded once per worker.
+that aren't white space, nor the place where a word's last marks follow a letter, so texts
+are cut there and the library encodes each distinct piece once per worker. Pieces are found
+by hash, and compared byte by byte with those that the memo's ids are of.
 
-Defined results: null text counts as empty and has only the end id; null document ids
+Defined results: null text counts as empty and has only the end id; bytes that aren't
+UTF-8 count as U+FFFD; null document ids
 come first; rows with the same id stand next to each other, ordered by text; an empty
 table gives an empty file; other columns are not read.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -31,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ._store import new_path, staged
+from ._vector import HashIndex, U64, chunks, text_bytes, word_hashes
 
 END_ID = 0
 #: Ids in a block, about; a longer document stands in a block of its own.
@@ -39,22 +41,98 @@ BLOCK = 1 << 17
 STEP = 128
 #: The longest code: decoding tables have 2**LIMIT entries.
 LIMIT = 18
-MEMO = 500_000
-
-_DOUBLE_WHITE = re.compile(r"\s\s")
+#: Pieces that a worker remembers, and the bytes of the longest of them.
+MEMO, LONGEST = 1_000_000, 48
+
+#: Bytes that are white space by themselves (the separators 1C-1F too, beside which nothing is cut).
+_WHITE = np.zeros(256, bool)
+_WHITE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
+#: White space of several bytes, as numbers.
+_WIDE_WHITE = np.array([int.from_bytes(chr(c).encode(), "big") for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)])
 #: Marks that never join a letter before them in a token.
-_MARKS = ".,;:!?%$&*#|)"
-_CUT = re.compile(r"(?<=\S) (?=\S)")
+_MARK = np.zeros(256, bool)
+_MARK[list(b".,;:!?%$&*#|)")] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+#: First bytes of two-byte letters (all but two signs after C3).
+_LEAD = np.zeros(256, bool)
+_LEAD[[0xC3, 0xC4, 0xC5, 0xD0, 0xD1]] = True
 _BLOCKS = "part int, seq int, start long, doc_ids array<long>, lens array<long>, ids binary"
 
 
+def _white(raw: np.ndarray) -> np.ndarray:
+    """Which bytes belong to white space."""
+    white = _WHITE[raw]
+    for lead, width in (0xC2, 2), (0xE1, 3), (0xE2, 3), (0xE3, 3):
+        at = np.flatnonzero(raw == lead)
+        at = at[at <= len(raw) - width]
+        if len(at):
+            code = sum(raw[at + k].astype(np.int64) << 8 * (width - 1 - k) for k in range(width))
+            at = at[np.isin(code, _WIDE_WHITE)]
+            for k in range(width):
+                white[at + k] = True
+    return white
+
+
+def pieces(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the pieces that rows are cut into start (one ends where the next starts), and which begin at a cut space."""
+    n = len(raw)
+    white = _white(raw)
+    edge = np.zeros(n + 1, bool)
+    edge[offsets] = True
+    space = np.flatnonzero(raw == 32)
+    space = space[~edge[space] & ~edge[space + 1]]
+    space = space[~white[space - 1] & ~white[space + 1]]
+    start, cut = edge[:n], np.zeros(n, bool)
+    start[space] = cut[space] = True
+    # a piece's last marks, after a letter, are a piece
+    first = np.flatnonzero(start)
+    after = np.arange(1, n + 1)
+    after[_MARK[raw]] = 0
+    stem = np.maximum.accumulate(after)[np.append(first[1:], n) - 1] if len(first) else first
+    stem = stem[(stem > first + 1) & (stem < np.append(first[1:], n))]
+    last, before = raw[stem - 1], raw[stem - 2]
+    two = _LEAD[before] & (last >= 0x80) & (last < 0xC0) & ~((before == 0xC3) & ((last == 0x97) | (last == 0xB7)))
+    start[stem[_LETTER[last] | two]] = True
+    first = np.flatnonzero(start)
+    inner = cut[first] & ~white[np.append(first[1:], n) - 1] if len(first) else cut[first]
+    return first, inner
+
+
+def _spread(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """The numbers start .. start + len - 1 of each run, end to end."""
+    return np.repeat(starts - (np.cumsum(lens) - lens), lens) + np.arange(int(lens.sum()))
+
+
+class _Pool:
+    """Runs of numbers laid end to end, by number of the run."""
+
+    def __init__(self, kind):
+        self.data, self.start, self.len, self.n = np.zeros(1 << 16, kind), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), 0
+
+    def end(self) -> int:
+        return int(self.start[self.n - 1] + self.len[self.n - 1]) if self.n else 0
+
+    def add(self, values: np.ndarray, lens: np.ndarray) -> None:
+        at, n = self.end(), self.n + len(lens)
+        for name, need in ("data", at + len(values)), ("start", n), ("len", n):
+            old = getattr(self, name)
+            if len(old) < need:
+                new = np.zeros(2 * need, old.dtype)
+                new[: len(old)] = old
+                setattr(self, name, new)
+        self.data[at : at + len(values)] = values
+        self.start[self.n : n], self.len[self.n : n] = at + np.cumsum(lens) - lens, lens
+        self.n = n
+
+
 class Encoder:
-    """The tokenizers library with a memo of parts."""
+    """The tokenizers library with a memo of pieces."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memo: int = MEMO):
         from tokenizers import Tokenizer
 
-        self.lib = Tokenizer.from_file(path)
+        self.lib, self.memo = Tokenizer.from_file(path), memo
         size = self.lib.get_vocab_size(with_added_tokens=True)
         self.kind = np.uint16 if size <= 1 << 16 else np.uint32
         #: Bytes that each id stands for; the vocabulary has one character per byte, added tokens their own text.
@@ -62,68 +140,74 @@ class Encoder:
         added = self.lib.get_added_tokens_decoder()
         for token, i in self.lib.get_vocab(with_added_tokens=True).items():
             self.width[i] = len(token.encode()) if i in added else len(token)
-        self.inner: dict[str, bytes] = {}
-        self.other: dict[str, bytes] = {}
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _parts(self, parts: list[str]) -> list[bytes]:
-        """Each part after a space: encoded in one text, which is taken apart by the tokens' widths."""
-        texts = [" " + p for p in parts]
-        ids = np.array(self.lib.encode_batch_fast(["".join(texts)], add_special_tokens=False)[0].ids, self.kind)
-        ends = np.cumsum([len(t.encode()) for t in texts])
+        self.index = HashIndex(np.zeros(0, U64), np.zeros(0, np.int32))
+        self.ids, self.text = _Pool(self.kind), _Pool(np.uint8)
+
+    def _each(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts, end to end, and their numbers."""
+        found = [e.ids for e in self.lib.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
+        return np.array([i for ids in found for i in ids], self.kind), np.array([len(ids) for ids in found], np.int64)
+
+    def _joined(self, text: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same of pieces that begin with a space: encoded as one text, which is taken apart by the tokens' widths."""
+        ends = np.cumsum(lens)
+        ids = np.array(self.lib.encode_batch_fast([text.tobytes().decode("utf-8", "replace")], add_special_tokens=False)[0].ids, self.kind)
         at = np.cumsum(self.width[ids])
         cuts = np.searchsorted(at, ends)
         if len(cuts) and not (cuts[-1] < len(at) and (at[cuts] == ends).all()):
-            return self._whole(texts)
-        size, raw = ids.itemsize, ids.tobytes()
-        cuts = ((cuts + 1) * size).tolist()
-        return [raw[a:b] for a, b in zip([0, *cuts[:-1]], cuts)]
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """The ids of each text, as the library gives them, as little-endian numbers."""
-        cut = [_CUT.split(t) if _DOUBLE_WHITE.search(t) else t.split(" ") for t in texts]
-        inner, other = self.inner, self.other
-        new_inner, new_other = set(), set()
-        for parts in cut:
-            if parts[0] not in other:
-                new_other.add(parts[0])
-            if len(parts) > 1:
-                new_inner.update(p for p in parts[1:] if p not in inner)
-                if (tail := " " + parts[-1])[-1].isspace():
-                    new_other.add(tail)
-        new_other -= other.keys()
-        # a part that ends in marks is its stem and the marks, each encoded by itself
-        split: dict[str, tuple[str, str]] = {}
-        plain: set[str] = set()
-        for p in new_inner:
-            if p and not p[-1].isspace():
-                stem = p.rstrip(_MARKS)
-                if len(stem) < len(p) and stem and stem[-1].isalpha():
-                    split[p] = stem, p[len(stem) :]
-                else:
-                    stem = p
-                if stem not in inner:
-                    plain.add(stem)
-        new_other.update(marks for _, marks in split.values() if marks not in other)
-        stems, firsts = list(plain), list(new_other)
-        fresh = dict(zip(stems, self._parts(stems))) if stems else {}
-        fresh_other = dict(zip(firsts, self._whole(firsts)))
-        for p, (stem, marks) in split.items():
-            fresh[p] = (fresh[stem] if stem in fresh else inner[stem]) + (fresh_other[marks] if marks in fresh_other else other[marks])
-        fresh |= {p: fresh_other.get(" " + p) or other[" " + p] for p in new_inner if not p or p[-1].isspace()}
-        if len(inner) + len(other) < MEMO:
-            inner.update(fresh)
-            other.update(fresh_other)
-            fresh = fresh_other = {}
-        for parts in cut:
-            first = other.get(parts[0])
-            head = fresh_other[parts[0]] if first is None else first
-            if fresh:
-                yield head + b"".join([inner[p] if p in inner else fresh[p] for p in parts[1:]])
-            else:
-                yield head + b"".join(map(inner.__getitem__, parts[1:]))
+            return self._each([text[a:b].tobytes() for a, b in zip((ends - lens).tolist(), ends.tolist())])
+        return ids, np.diff(cuts + 1, prepend=0)
+
+    def _learn(self, raw: np.ndarray, starts: np.ndarray, lens: np.ndarray, inner: np.ndarray) -> None:
+        """Add pieces to the pools, those that begin with a space last."""
+        for some in ~inner, inner:
+            if some.any():
+                a, n = starts[some], lens[some]
+                text = raw[_spread(a, n)]
+                cut = np.cumsum(n).tolist()
+                ids = self._joined(text, n) if some is inner else self._each([text[i:j].tobytes() for i, j in zip([0, *cut[:-1]], cut)])
+                self.text.add(text, n)
+                self.ids.add(*ids)
+
+    def encode(self, raw: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all rows as the library gives them, each row's followed by ``end_id``, and the rows' numbers of ids."""
+        starts, inner = pieces(raw, offsets)
+        lens = np.diff(np.append(starts, len(raw)))
+        h = word_hashes(raw, starts, starts + lens, lower=False)
+        which, known = self.index.find(h), self.ids.n
+        new = np.flatnonzero(which < 0)
+        if len(new):
+            keys, one, group = np.unique(h[new], return_index=True, return_inverse=True)
+            one = new[one]
+            order = np.lexsort((inner[one], lens[one] > LONGEST))  # long ones last: they are forgotten
+            place = np.empty(len(one), np.int32)
+            place[order] = known + np.arange(len(one))
+            short = int((lens[one] <= LONGEST).sum())
+            for part in order[:short], order[short:]:
+                self._learn(raw, starts[one[part]], lens[one[part]], inner[one[part]])
+            which[new] = place[group]
+        # the pieces lie end to end, so all bytes are compared at once
+        differs = self.text.len[which] != lens
+        some = np.flatnonzero(~differs)
+        here = raw if len(some) == len(which) else raw[_spread(starts[some], lens[some])]
+        byte = self.text.data[_spread(self.text.start[which[some]], lens[some])] != here
+        if byte.any():
+            differs[some] = np.add.reduceat(byte, np.cumsum(lens[some]) - lens[some], dtype=np.int64) > 0
+        if differs.any():  # equal hashes of different pieces
+            bad = np.flatnonzero(differs)
+            which[bad] = self.ids.n + np.arange(len(bad), dtype=np.int32)
+            self._learn(raw, starts[bad], lens[bad], np.zeros(len(bad), bool))
+        counts = self.ids.len[which]
+        row = np.searchsorted(offsets, starts, "right") - 1
+        per_row = np.bincount(row, counts, len(offsets) - 1).astype(np.int64) + 1
+        out = np.full(int(per_row.sum()), end_id, self.kind)
+        out[_spread(np.cumsum(counts) - counts + row, counts)] = self.ids.data[_spread(self.ids.start[which], counts)]
+        kept = known
+        if len(new) and known < self.memo:
+            self.index.add(keys[order[:short]], place[order[:short]])
+            kept += short
+        self.ids.n = self.text.n = kept
+        return out, per_row
 
 
 @lru_cache(maxsize=2)
@@ -226,34 +310,39 @@ def _ids_table(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str, t
     """Blocks of ids, part by part in the order of documents; ``start`` counts from the part's first id."""
     from pyspark import TaskContext
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     rows = rows.repartitionByRange("id").sortWithinPartitions("id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(tokenizer_path)
         part, seq, start = TaskContext.get().partitionId(), 0, 0
-        end = np.array([end_id], coder.kind).tobytes()
         names, lens, data, held = [], [], [], 0
 
         def block() -> pa.RecordBatch:
             cols = [
                 pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([start], pa.int64()),
-                pa.array([names], pa.list_(pa.int64())), pa.array([lens], pa.list_(pa.int64())), pa.array([b"".join(data)], pa.binary()),
+                pa.array([names], pa.list_(pa.int64())), pa.array([np.concatenate(lens)], pa.list_(pa.int64())), pa.array([b"".join(data)], pa.binary()),
             ]
             return pa.RecordBatch.from_arrays(cols, ["part", "seq", "start", "doc_ids", "lens", "ids"])
 
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            for lo in range(0, len(ids), 256):
-                for name, x in zip(ids[lo : lo + 256], coder.encode(batch.column(1).slice(lo, 256).to_pylist())):
-                    n = len(x) // coder.kind().itemsize + 1
-                    if held and held + n > BLOCK:
+            raw, offsets = text_bytes(batch.column(1))
+            for lo, hi in chunks(offsets):
+                ids, n = coder.encode(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], end_id)
+                ends, named, at = np.cumsum(n), batch.column(0).slice(lo, hi - lo).to_pylist(), 0
+                while at < hi - lo:
+                    done = int(ends[at - 1]) if at else 0
+                    to = int(np.searchsorted(ends, done + BLOCK - held, "right"))
+                    if to <= at and held:
                         yield block()
                         seq, start, names, lens, data, held = seq + 1, start + held, [], [], [], 0
-                    names.append(name)
-                    lens.append(n)
-                    data += [x, end]
-                    held += n
+                        continue
+                    to = max(to, at + 1)
+                    names += named[at:to]
+                    lens.append(n[at:to])
+                    data.append(ids[done : ends[to - 1]].tobytes())
+                    held += int(ends[to - 1]) - done
+                    at = to
         if held:
             yield block()
 

@@ -21,13 +21,25 @@ def texts(n, seed):
     return ["".join(r.choice(PARTS) for _ in range(r.randint(0, 25))) for _ in range(n)] + ["", " ", " a", "a ", "a \n b", "é" * 3000]
 
 
-@pytest.mark.parametrize("memo", [0, token_file.MEMO])
-def test_parts_equal_whole_texts(monkeypatch, memo):
-    monkeypatch.setattr(token_file, "MEMO", memo)
-    coder, given = token_file.Encoder(PATH), texts(3000, 5)
+def encoded(coder, given):
+    raw = [t.encode() for t in given]
+    ids, n = coder.encode(np.frombuffer(b"".join(raw), np.uint8), np.concatenate(([0], np.cumsum([len(x) for x in raw]))), 0)
+    return [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])]
+
+
+@pytest.mark.parametrize("memo", [0, 300, token_file.MEMO])
+def test_parts_equal_whole_texts(memo):
+    coder, given = token_file.Encoder(PATH, memo), texts(3000, 5) * 2
     for k in range(0, len(given), 500):
-        for t, x in zip(given[k : k + 500], coder.encode(given[k : k + 500])):
-            assert np.frombuffer(x, coder.kind).tolist() == LIB.encode(t, add_special_tokens=False).ids, repr(t)
+        for t, x in zip(given[k : k + 500], encoded(coder, given[k : k + 500])):
+            assert x == [*LIB.encode(t, add_special_tokens=False).ids, 0], repr(t)
+
+
+def test_equal_hashes_of_different_pieces(monkeypatch):
+    monkeypatch.setattr(token_file, "word_hashes", lambda raw, starts, ends, lower: np.zeros(len(starts), np.uint64))
+    coder, given = token_file.Encoder(PATH), ["one two one", "two", "", "four one five"]
+    for _ in range(2):
+        assert encoded(coder, given) == [[*LIB.encode(t, add_special_tokens=False).ids, 0] for t in given]
 
 
 def huffman_cost(counts):
