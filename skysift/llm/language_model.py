@@ -11,12 +11,12 @@ distribution over the words seen and the unknown one. A GRU reads the units; its
 softmax is factored into classes of units. Its first state of training, with output
 weights of zero and biases from the counts, is the unigram model.
 
-Training. All training documents are dealt to tasks by size; each runs truncated
-backpropagation with state carried from window to window, and the weights are averaged,
-for each of ROUNDS rounds.
+Training. All training documents take part, each in one of ROUNDS rounds. A round deals its
+documents to tasks of about TASK_BYTES; each runs truncated backpropagation with state
+carried from window to window, and the next round starts from the mean of their weights.
 
-Scoring. Documents of a batch run side by side, longest first, in windows; the state is
-carried to the document's end, which is scored as a token.
+Scoring. Documents of a batch run side by side, in windows; the state is carried to the
+document's end, which is scored as a token.
 
 Defined results: null text counts as empty; an empty text has one token, the end; without
 training documents all words are unknown; repeated rows get equal scores; null ids count
@@ -25,6 +25,7 @@ as the empty text for the fold; other columns are not read.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,13 +45,15 @@ CLASSES = 32
 PER_CLASS = UNITS // CLASSES
 HIDDEN = 24
 ROUNDS = 2
-LANES, WINDOW = 64, 24
+LANES, WINDOW = 128, 24
+#: Logits lie between this and its negative.
+LIMIT = 60
 #: Bytes of units (two per token) that one training task gets, about.
-TASK_BYTES = 4 << 20
+TASK_BYTES = 8 << 20
 #: Documents that are scored side by side.
 BESIDE = 512
 END = int(mix(np.array([0xE17D], U64))[0])
-RATE = 4e-3
+RATE = 2e-3
 
 
 def tokens(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -210,96 +213,113 @@ class Gru:
         n = np.tanh(a[:, 2 * HIDDEN :] + r * u)
         return n + z * (h - n), z, r, u, n
 
-    def log_probs(self, h: np.ndarray, unit: np.ndarray) -> np.ndarray:
-        """Natural log-probabilities of units after states, class by class."""
-        kind, place = unit // PER_CLASS, unit % PER_CLASS
-        out = np.empty(len(h), np.float32)
-        c = h @ self.wc
-        c += self.bc
-        at = np.arange(len(h))
-        picked = c[at, kind]
-        top = c.max(1)
-        c -= top[:, None]
-        np.exp(c, c)
-        head = picked - top - np.log(c.sum(1))
-        by = np.argsort(kind, kind="stable")
-        cuts = np.searchsorted(kind[by], np.arange(CLASSES + 1))
-        for k in range(CLASSES):
-            rows = by[cuts[k] : cuts[k + 1]]
-            if len(rows):
-                o = h[rows] @ self.wo[k]
-                o += self.bo[k]
-                p = o[np.arange(len(rows)), place[rows]]
-                top = o.max(1)
-                o -= top[:, None]
-                np.exp(o, o)
-                out[rows] = p - top - np.log(o.sum(1))
-        return out + head
-
-
-class Trainer:
-    """Adam over windows of LANES streams; the state runs on from window to window and starts anew with each document."""
-
-    def __init__(self, net: Gru, rate: float = RATE):
-        self.net, self.rate, self.t = net, rate, 0
-        self.m = {n: np.zeros_like(getattr(net, n)) for n in Gru.NAMES}
-        self.v = {n: np.zeros_like(getattr(net, n)) for n in Gru.NAMES}
-
-    def window(self, came: np.ndarray, goes: np.ndarray, first: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, dict]:
-        """The state after a window (steps x lanes) and the gradients of its mean loss."""
-        net, (steps, lanes) = self.net, came.shape
+    def forward(self, came: np.ndarray, first: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
+        """States (steps x HIDDEN x lanes) over a window of units (steps x lanes) from ``h`` (HIDDEN x lanes), and what going back needs."""
+        steps, lanes = came.shape
         # a step's values lie unit by unit, lanes side by side
-        keep = (~first)[:, None, :].astype(np.float32)
-        a = np.ascontiguousarray(net.wx[came].transpose(0, 2, 1))
+        keep = (~first)[:, None, :].astype(h.dtype)
+        a = np.ascontiguousarray(self.wx.take(came.ravel(), 0).reshape(steps, lanes, 3 * HIDDEN).transpose(0, 2, 1))
         zr, n = a[:, : 2 * HIDDEN], a[:, 2 * HIDDEN :]  # in place
-        before, hs, u = (np.empty((steps, HIDDEN, lanes), np.float32) for _ in range(3))
-        w, h = np.ascontiguousarray(net.wh.T), h.T
+        before, hs, u = (np.empty((steps, HIDDEN, lanes), h.dtype) for _ in range(3))
+        w = np.ascontiguousarray(self.wh.T)
+        b = np.empty((3 * HIDDEN, lanes), h.dtype)
         for t in range(steps):
             was = np.multiply(h, keep[t], out=before[t])
-            b = w @ was
+            np.matmul(w, was, out=b)
             g, m = zr[t], n[t]
             g += b[: 2 * HIDDEN]
             np.negative(g, g)
+            np.minimum(g, LIMIT, g)
             np.exp(g, g)
             g += 1
             np.reciprocal(g, g)
             u[t] = b[2 * HIDDEN :]
-            m += g[HIDDEN:] * u[t]
+            m += np.multiply(g[HIDDEN:], u[t], out=b[:HIDDEN])
             np.tanh(m, m)
             h = np.subtract(was, m, out=hs[t])
             h *= g[:HIDDEN]
             h += m
-        # the output, tokens sorted by class
-        unit = goes.ravel()
-        count = len(unit)
-        by = np.argsort(unit // PER_CLASS, kind="stable")
-        unit, x = unit[by], hs.transpose(0, 2, 1).reshape(count, HIDDEN)[by]
-        kind, place, at = unit // PER_CLASS, unit % PER_CLASS, np.arange(count)
-        c = x @ net.wc + net.bc
-        self._loss(c, at, kind)
-        grads = {"wc": x.T @ c, "bc": c.sum(0), "wo": np.zeros_like(net.wo), "bo": np.zeros_like(net.bo)}
-        dx = c @ net.wc.T
-        cuts = np.searchsorted(kind, np.arange(CLASSES + 1)).tolist()
-        spans = [(k, i, j) for k, (i, j) in enumerate(zip(cuts, cuts[1:])) if i < j]
-        o = np.empty((count, PER_CLASS), np.float32)
+        return hs, before, zr, u, n, keep
+
+    def log_probs(self, h: np.ndarray, unit: np.ndarray) -> np.ndarray:
+        """Natural log-probabilities of units after states (a row each), class by class."""
+        by, kind, place, spans = by_class(unit)
+        x, at = h[by], np.arange(len(by))
+        c = x @ self.wc
+        c += self.bc
+        o = self.within(x, spans)
+        out = np.empty(len(h), h.dtype)
+        head, tail = ((picked := y[at, want]) - np.log(np.exp(y, y) @ np.ones(y.shape[1], y.dtype)) for y, want in ((np.clip(c, -LIMIT, LIMIT, c), kind), (o, place)))
+        out[by] = head + tail
+        return out
+
+    def within(self, x: np.ndarray, spans: list[tuple[int, int, int]]) -> np.ndarray:
+        """Logits within the class of each row; rows lie class by class."""
+        o = np.empty((len(x), PER_CLASS), x.dtype)
         for k, i, j in spans:
-            np.matmul(x[i:j], net.wo[k], out=o[i:j])
-        o += net.bo[kind]
-        self._loss(o, at, place)
+            np.matmul(x[i:j], self.wo[k], out=o[i:j])
+            o[i:j] += self.bo[k]
+        return np.clip(o, -LIMIT, LIMIT, o)
+
+
+def by_class(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+    """The order of tokens by class, their classes and places in that order, and where each class stands (class, from, to)."""
+    kind = (unit // PER_CLASS).astype(np.uint8)
+    by = np.argsort(kind, kind="stable")
+    cuts = np.concatenate(([0], np.cumsum(np.bincount(kind, minlength=CLASSES)))).tolist()
+    return by, kind[by], (unit % PER_CLASS)[by], [(k, i, j) for k, (i, j) in enumerate(zip(cuts, cuts[1:])) if i < j]
+
+
+class Trainer:
+    """Adam over windows of LANES streams; the state runs on from window to window and starts anew with each document."""
+
+    def __init__(self, net: Gru, rate: float = RATE):
+        self.net, self.rate, self.t = net, rate, 0
+        self.m = {n: np.zeros_like(getattr(net, n)) for n in Gru.NAMES}
+        self.v = {n: np.zeros_like(getattr(net, n)) for n in Gru.NAMES}
+
+    def window(self, came: np.ndarray, goes: np.ndarray, first: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, dict]:
+        """The state (lanes x HIDDEN) after a window (steps x lanes) and the gradients of its mean loss."""
+        net, (steps, lanes) = self.net, came.shape
+        hs, before, zr, u, n, keep = net.forward(came, first, h.T)
+        count = came.size
+        # the class of each token
+        c = np.matmul(net.wc.T, hs)
+        c += net.bc[:, None]
+        np.clip(c, -LIMIT, LIMIT, c)
+        np.exp(c, c)
+        c *= 1 / (count * c.sum(1, keepdims=True))
+        c[np.arange(steps)[:, None], goes // PER_CLASS, np.arange(lanes)] -= 1 / count
+        grads = {"wc": np.matmul(hs, c.transpose(0, 2, 1)).sum(0), "bc": c.sum((0, 2)), "wo": np.zeros_like(net.wo), "bo": np.zeros_like(net.bo)}
+        # its place there, tokens sorted by class
+        by, _, place, spans = by_class(goes.ravel())
+        x = hs.transpose(0, 2, 1).reshape(count, HIDDEN)[by]
+        o = net.within(x, spans)
+        np.exp(o, o)
+        o *= (1 / (count * (o @ np.ones(PER_CLASS, o.dtype))))[:, None]
+        o[np.arange(count), place] -= 1 / count
+        dx, ones = np.empty_like(x), np.ones(count, o.dtype)
         for k, i, j in spans:
             np.matmul(x[i:j].T, o[i:j], out=grads["wo"][k])
-            dx[i:j] += o[i:j] @ net.wo[k].T
-        grads["bo"][[k for k, _, _ in spans]] = np.add.reduceat(o, [i for _, i, _ in spans])
+            np.matmul(o[i:j], net.wo[k].T, out=dx[i:j])
+            np.matmul(ones[: j - i], o[i:j], out=grads["bo"][k])
         dh = np.empty_like(dx)
         dh[by] = dx
         dh = np.ascontiguousarray(dh.reshape(steps, lanes, HIDDEN).transpose(0, 2, 1))
+        dh += np.matmul(net.wc, c)
         # back through the steps: what doesn't depend on the later ones at once
         z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-        to_n, to_z, to_r = (1 - z) * (1 - n * n), (before - n) * z * (1 - z), u * r * (1 - r)
-        db, dn, back = np.empty_like(a), np.empty_like(hs), np.float32(0)
+        free = 1 - z
+        to_n, to_z, to_r = free * (1 - n * n), np.subtract(before, n, out=n), 1 - r
+        to_z *= z
+        to_z *= free
+        to_r *= r
+        to_r *= u
+        db, dn, back = np.empty((steps, 3 * HIDDEN, lanes), hs.dtype), np.empty_like(hs), None
         for t in range(steps - 1, -1, -1):
             d = dh[t]
-            d += back
+            if back is not None:
+                d += back
             m, g = dn[t], db[t]
             np.multiply(d, to_n[t], out=m)
             np.multiply(d, to_z[t], out=g[:HIDDEN])
@@ -309,25 +329,15 @@ class Trainer:
             d += net.wh @ g
             d *= keep[t]
             back = d
-        rows = lambda y: y.transpose(0, 2, 1).reshape(count, -1)
-        grads["wh"] = rows(before).T @ rows(db)
+        grads["wh"] = np.matmul(before, db.transpose(0, 2, 1)).sum(0)
         db[:, 2 * HIDDEN :] = dn
-        grads["wx"] = np.zeros_like(net.wx)
-        units = came.ravel()
+        units = came.ravel().astype(np.uint16)
         by = np.argsort(units, kind="stable")
         units = units[by]
         starts = np.flatnonzero(np.concatenate(([True], units[1:] != units[:-1])))
-        grads["wx"][units[starts]] = np.add.reduceat(rows(db)[by], starts)
-        return h.T.copy(), grads
-
-    @staticmethod
-    def _loss(logits: np.ndarray, at: np.ndarray, want: np.ndarray) -> None:
-        """Turn logits into the gradients of the mean loss."""
-        logits -= logits.max(1, keepdims=True)
-        np.exp(logits, logits)
-        logits /= logits.sum(1, keepdims=True)
-        logits[at, want] -= 1
-        logits /= len(at)
+        grads["wx"] = np.zeros_like(net.wx)
+        grads["wx"][units[starts]] = np.add.reduceat(db.transpose(1, 0, 2).reshape(3 * HIDDEN, count)[:, by], starts, 1).T
+        return hs[-1].T.copy(), grads
 
     def update(self, g: dict) -> None:
         norm = np.sqrt(sum(float(np.vdot(x, x)) for x in g.values()))
@@ -351,32 +361,45 @@ class Trainer:
 
     def run(self, documents: Iterator[np.ndarray], end: int) -> int:
         """Train over a stream of documents (their units); gives the number of tokens."""
-        lanes: list[np.ndarray] = [np.zeros(0, np.int64)] * LANES
-        starts: list[np.ndarray] = [np.zeros(0, bool)] * LANES
+        held: list[list[np.ndarray]] = [[] for _ in range(LANES)]  # documents, or what is left of one, lane by lane
+        size, fresh = np.zeros(LANES, np.int64), np.ones(LANES, bool)
         h, seen, more = np.zeros((LANES, HIDDEN), np.float32), 0, True
         last = np.full(LANES, end)
         while True:
+            # lanes are filled for many windows at once
             for k in range(LANES):
-                while len(lanes[k]) < WINDOW and more:
+                while more and size[k] < 16 * WINDOW:
                     x = next(documents, None)
                     if x is None:
                         more = False
                         break
-                    lanes[k] = np.concatenate((lanes[k], x))
-                    starts[k] = np.concatenate((starts[k], np.arange(len(x)) == 0))
-            live = [k for k in range(LANES) if len(lanes[k])]
-            if not live:
+                    held[k].append(x)
+                    size[k] += len(x)
+            live = np.flatnonzero(size)
+            if not len(live):
                 return seen
-            steps = min(WINDOW, min(len(lanes[k]) for k in live))
-            goes = np.stack([lanes[k][:steps] for k in live], 1)
-            first = np.stack([starts[k][:steps] for k in live], 1)
+            steps = int(size[live].min())
+            steps = steps // WINDOW * WINDOW or steps
+            goes, first = np.empty((steps, len(live)), np.int64), np.zeros((steps, len(live)), bool)
+            for i, k in enumerate(live.tolist()):
+                lens = np.array([len(x) for x in held[k]])
+                at = np.cumsum(lens) - lens
+                line = np.concatenate(held[k])
+                starts = at[(at < steps) & (lens > 0)]
+                first[starts[0 if fresh[k] else 1 :], i] = True
+                goes[:, i] = line[:steps]
+                cut = int(np.searchsorted(at + lens, steps, "right"))  # documents that are over
+                fresh[k] = cut == len(lens) or at[cut] == steps
+                held[k] = [] if cut == len(lens) else [held[k][cut][steps - at[cut] :], *held[k][cut + 1 :]]
+                size[k] -= steps
             came = np.where(first, end, np.concatenate((last[live][None], goes[:-1])))
-            state, g = self.window(came, goes, first, h[live])
-            self.update(g)
+            state = h[live]
+            for t in range(0, steps, WINDOW):
+                w = slice(t, t + WINDOW)
+                state, g = self.window(came[w], goes[w], first[w], state)
+                self.update(g)
             h[live], last[live] = state, goes[-1]
             seen += goes.size
-            for k in live:
-                lanes[k], starts[k] = lanes[k][steps:], starts[k][steps:]
 
 
 def _average(rows: DataFrame) -> tuple[np.ndarray, int] | None:
@@ -402,26 +425,27 @@ def _average(rows: DataFrame) -> tuple[np.ndarray, int] | None:
 
 def train(docs: DataFrame, vocabulary: Vocabulary, text_col: str) -> Gru:
     """Fit the network on all ``docs``."""
+    from pyspark import TaskContext
+
     spark = docs.sparkSession
     known = spark.sparkContext.broadcast(vocabulary)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn = TaskContext.get().partitionId()
         for batch in batches:
             raw, offsets = text_bytes(batch.column(0))
             for lo, hi in chunks(offsets):
                 h, shared, rows = tokens(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                 units = known.value.units(h, shared)[0].astype(np.uint16)
                 ends = np.cumsum(np.bincount(rows, minlength=hi - lo))
-                yield pa.RecordBatch.from_arrays([pa.array([units[a:b].tobytes() for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())], pa.binary())], ["units"])
-
-    coded = staged(docs.select(F.col(text_col).cast("binary")).mapInArrow(encode, "units binary"), "units")
-    size = coded.agg(F.coalesce(F.sum(F.octet_length("units")), F.lit(0))).first()[0]
-    net = Gru.fresh(vocabulary)
-    end = vocabulary.end
-    if not size:
-        return net
-    dealt = staged(coded.repartition(-(-size // TASK_BYTES)), "units")
-    for turn in range(ROUNDS):
+                turns = pa.array((turn + np.arange(hi - lo)) % ROUNDS, pa.int32())
+                turn += hi - lo
+                yield pa.RecordBatch.from_arrays([turns, pa.array([units[a:b].tobytes() for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())], pa.binary())], ["turn", "units"])
+
+    coded = staged(docs.select(F.col(text_col).cast("binary")).mapInArrow(encode, "turn int, units binary"), "units")
+    sizes = {r.turn: r.size for r in coded.groupBy("turn").agg(F.sum(F.octet_length("units")).alias("size")).collect()}
+    net, end = Gru.fresh(vocabulary), vocabulary.end
+    for turn in sorted(sizes):
         start = spark.sparkContext.broadcast(net)
 
         def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -430,6 +454,7 @@ def train(docs: DataFrame, vocabulary: Vocabulary, text_col: str) -> Gru:
             if n:
                 yield pa.RecordBatch.from_arrays([pa.array([trainer.net.flat().tobytes()], pa.binary()), pa.array([n], pa.int64())], ["weights", "n"])
 
+        dealt = coded.where(F.col("turn") == turn).select("units").repartition(-(-sizes[turn] // TASK_BYTES))
         mean = _average(staged(dealt.mapInArrow(learn, "weights binary, n long"), "weights"))
         if mean is not None:
             net = net.like(mean[0])
@@ -437,27 +462,39 @@ def train(docs: DataFrame, vocabulary: Vocabulary, text_col: str) -> Gru:
 
 
 def log_likelihoods(net: Gru, end: int, units: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Natural log-probability of each document's units; all run side by side, the state carried to the end."""
-    out = np.zeros(len(starts))
-    order = np.argsort(starts - ends, kind="stable")  # longest first
-    for lo in range(0, len(order), BESIDE):
-        group = order[lo : lo + BESIDE]
-        lens = (ends - starts)[group]
-        h = np.zeros((len(group), HIDDEN), np.float32)
-        came = np.full(len(group), end)
-        for t0 in range(0, int(lens[0]) if len(lens) else 0, 64):
-            states, goes, owner = [], [], []
-            for t in range(t0, min(t0 + 64, int(lens[0]))):
-                live = int(np.searchsorted(-lens, -t, "left"))  # documents longer than t
-                unit = units[starts[group[:live]] + t]
-                h, came = h[:live], came[:live]
-                h = net.step(came, h)[0]
-                states.append(h)
-                goes.append(unit)
-                owner.append(group[:live])
-                came = unit
-            out += np.bincount(np.concatenate(owner), net.log_probs(np.concatenate(states), np.concatenate(goes)), len(out))
-    return out
+    """Natural log-probability of each document's units, the state carried to its end.
+
+    Documents are dealt to lanes, the longest first, each to the lane that is shortest so far; lanes run side by side.
+    """
+    n, lens = len(starts), ends - starts
+    if not n:
+        return np.zeros(0)
+    dealt: list[list[int]] = [[] for _ in range(min(BESIDE, n))]
+    load = [(0, k) for k in range(len(dealt))]
+    for i in np.argsort(-lens, kind="stable").tolist():
+        size, k = load[0]
+        dealt[k].append(i)
+        heapq.heapreplace(load, (size + int(lens[i]), k))
+    dealt = [dealt[k] for _, k in sorted(load, reverse=True)]
+    order = np.array([i for lane in dealt for i in lane])
+    along = np.array([sum(lens[i] for i in lane) for lane in dealt])
+    lane_at = np.cumsum(along) - along
+    at = np.cumsum(lens[order]) - lens[order]
+    goes = units[np.repeat(starts[order] - at, lens[order]) + np.arange(int(lens.sum()))]
+    first = np.zeros(len(goes), bool)
+    first[at[lens[order] > 0]] = True
+    came = np.where(first, end, np.concatenate(([end], goes[:-1])))
+    logs = np.zeros(len(goes), np.float32)
+    h = np.zeros((HIDDEN, len(dealt)), net.wx.dtype)
+    for t0 in range(0, int(along[0]), WINDOW):
+        live = int(np.searchsorted(-along, -t0, "left"))  # lanes longer than t0
+        t = t0 + np.arange(min(WINDOW, int(along[0]) - t0))[:, None]
+        here = t < along[:live]
+        where = np.minimum(lane_at[:live] + t, len(goes) - 1)
+        hs = net.forward(came[where], first[where], h[:, :live])[0]
+        h = hs[-1]
+        logs[where[here]] = net.log_probs(hs.transpose(0, 2, 1)[here], goes[where[here]])
+    return np.bincount(np.repeat(order, lens[order]), logs, n)
 
 
 _SCORED = "row long, id {}, n_tokens long, n_known long, count_logs double, rare_logs double, net_logs double, words array<long>, times array<int>"
