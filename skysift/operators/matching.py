@@ -9,38 +9,57 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .ranks import row_ids
 
 
-def nearest(left: DataFrame, right: DataFrame, by: Sequence[str], left_time: str, right_time: str, right_id: str, bin_width: float | None = None) -> DataFrame:
+def beside(left: DataFrame, right: DataFrame, by: Sequence[str], left_order: str, right_order: str, width: float) -> DataFrame:
+    """Each row of ``left`` as _l, with the last row of ``right`` not after it as _before and the first not before it as _after.
+
+    ``right`` has at most one row per place and key. No pairs are made: both tables are laid in one order, in ranges of ``width``,
+    and each row sees the last and the next row of the other; the ranges' own last and first rows, a row per range,
+    tell what lies beyond. Rows with a null or no place are beside nothing.
+    """
+    cell = lambda x: F.floor(F.col(x) / width).cast("long")
+    own = left.select(*by, F.col(left_order).alias("_t"), cell(left_order).alias("_cell"), F.lit(1).alias("_kind"), F.struct(*left.columns).alias("_l"))
+    other = right.where(F.col(right_order).isNotNull()).select(*by, F.col(right_order).alias("_t"), cell(right_order).alias("_cell"), F.lit(0).alias("_kind"), F.struct(*right.columns).alias("_r"))
+    both = own.unionByName(other, allowMissingColumns=True)
+    up = Window.partitionBy(*by, "_cell").orderBy("_t", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy(*by, "_cell").orderBy(F.desc("_t"), "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    both = both.withColumns({"_before": F.last("_r", ignorenulls=True).over(up), "_after": F.last("_r", ignorenulls=True).over(down)}).where("_kind = 1")
+    # beyond the range: the last and first row of each range that has any, and ranges in order
+    ends = other.groupBy(*by, "_cell").agg(F.max_by("_r", "_t").alias("_last"), F.min_by("_r", "_t").alias("_first"))
+    ends = ends.unionByName(own.where("_cell is not null").select(*by, "_cell").distinct(), allowMissingColumns=True)
+    ends = ends.groupBy(*by, "_cell").agg(F.max_by("_last", F.col("_last").isNotNull()).alias("_last"), F.max_by("_first", F.col("_first").isNotNull()).alias("_first"))
+    cells = Window.partitionBy(*by).orderBy("_cell")
+    back = Window.partitionBy(*by).orderBy(F.desc("_cell"))
+    past = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(*by, "_cell", F.last("_last", ignorenulls=True).over(past(cells)).alias("_earlier"), F.last("_first", ignorenulls=True).over(past(back)).alias("_later"))
+    joined = both.join(ends, [*by, "_cell"], "left")
+    return joined.select(*by, "_l", F.coalesce("_before", "_earlier").alias("_before"), F.coalesce("_after", "_later").alias("_after"))
+
+
+def nearest(left: DataFrame, right: DataFrame, by: Sequence[str], left_time: str, right_time: str, right_id: str, width: float = 3600.0) -> DataFrame:
     """Each row of ``left`` with the row of ``right`` nearest in time and equal in ``by``; rows without any are left out.
 
-    Of equally near ones the earlier wins, of simultaneous ones that with the smallest id. No pairs are made: the
-    tables are laid in one order and each row sees the last and the next row of the other.
+    Of equally near ones the earlier wins, of simultaneous ones that with the smallest id.
     """
     cols = [c for c in right.columns if c not in by]
-    once = right.groupBy(*by, right_time).agg(F.min_by(F.struct(*cols), F.col(right_id)).alias("_r"))
-    own = left.select(*by, F.col(left_time).alias("_t"), F.lit(1).alias("_kind"), F.struct(*left.columns).alias("_l"))
-    both = own.unionByName(once.select(*by, F.col(right_time).alias("_t"), F.lit(0).alias("_kind"), "_r"), allowMissingColumns=True)
-    w = Window.partitionBy(*by).orderBy("_t", "_kind")
-    before = F.last("_r", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("_r", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    both = both.withColumns({"_before": before, "_after": after}).where("_kind = 1")
-    back, on = F.col("_t") - F.col(f"_before.{right_time}"), F.col(f"_after.{right_time}") - F.col("_t")
+    once = right.groupBy(*by, right_time).agg(F.min_by(F.struct(*(c for c in cols if c != right_time)), F.col(right_id)).alias("_o"))
+    both = beside(left, once.select(*by, right_time, "_o.*"), by, left_time, right_time, width)
+    back, on = F.col(f"_l.{left_time}") - F.col(f"_before.{right_time}"), F.col(f"_after.{right_time}") - F.col(f"_l.{left_time}")
     pick = F.when(F.col("_after").isNull() | (back <= on), F.col("_before")).otherwise(F.coalesce("_after", "_before"))
     return both.withColumn("_r", pick).where("_r is not null").select("_l.*", *(F.col(f"_r.{c}").alias(c) for c in cols if c not in left.columns))
 
 
-def interpolate(queries: DataFrame, x: str, grid: DataFrame, gx: str, gy: str, out: str) -> DataFrame:
-    """``queries`` with the linear interpolation of a grid of bounded size at ``x``; outside the grid, its end values.
+def interpolate(queries: DataFrame, x: str, grid: DataFrame, gx: str, gy: str, out: str, width: float = 64.0) -> DataFrame:
+    """``queries`` with the linear interpolation of a grid at ``x``; outside the grid, its end values; null for a null ``x``.
 
-    The grid is broadcast as one sorted array of points.
+    ``width`` is about as wide as many grid points lie; repeated grid places count with their least value.
     """
-    points = grid.agg(F.sort_array(F.collect_list(F.struct(F.col(gx).alias("x"), F.col(gy).alias("y")))).alias("_grid"))
-    q = queries.join(F.broadcast(points))
-    below = F.size(F.filter("_grid", lambda p: p.x <= F.col(x)))
-    a, b = F.try_element_at("_grid", F.greatest(below, F.lit(1))), F.try_element_at("_grid", F.least(below + 1, F.size("_grid")))
-    q = q.withColumns({"_a": a, "_b": b})
-    inside = (F.col(x) > F.col("_a.x")) & (F.col("_b.x") > F.col("_a.x"))
-    y = F.when(inside, F.col("_a.y") + (F.col("_b.y") - F.col("_a.y")) * (F.col(x) - F.col("_a.x")) / (F.col("_b.x") - F.col("_a.x"))).otherwise(F.col("_a.y"))
-    return q.withColumn(out, y).drop("_grid", "_a", "_b")
+    points = grid.groupBy(F.col(gx).cast("double").alias("_gx")).agg(F.min(gy).alias("_gy"))
+    q = beside(queries.withColumn("_q", F.col(x).cast("double")), points, [], "_q", "_gx", width)
+    lo, hi = F.coalesce("_before", "_after"), F.coalesce("_after", "_before")
+    q = q.withColumns({"_a": lo, "_b": hi}).select("_l.*", "_a", "_b")
+    part = F.when(F.col("_b._gx") > F.col("_a._gx"), (F.col("_q") - F.col("_a._gx")) / (F.col("_b._gx") - F.col("_a._gx"))).otherwise(0.0)
+    y = F.when(F.col("_q").isNotNull(), F.col("_a._gy") + (F.col("_b._gy") - F.col("_a._gy")) * part)
+    return q.withColumn(out, y).select(*queries.columns, out)
 
 
 def uniform_grid(queries: DataFrame, x: Column, lo: float, step: float, values: DataFrame, out: str) -> DataFrame:

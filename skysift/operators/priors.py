@@ -84,12 +84,23 @@ def injection_grid(segments: DataFrame, spacing: float, buffer: float, duration:
     return rows.withColumn("t", F.col("start") + b + F.col("k") * step)
 
 
-def timeslides(segments: DataFrame, key: str, kernel: float, livetime: float, most: int) -> DataFrame:
-    """(key, shift, used): shifts 1, -1, 2, -2, ... of all segments in turn until the livetime is used up; the last one is cut."""
+def timeslides(segments: DataFrame, key: str, kernel: float, livetime: float) -> DataFrame:
+    """(key, shift, used): shifts 1, -1, 2, -2, ... of all segments in turn until the livetime is used up; the last one is cut.
+
+    Where the livetime is more than all shifts give, all with room are used.
+    """
+    room = F.greatest(F.col("stop") - F.col("start") - kernel, F.lit(0.0))
+    longest = segments.agg(F.max(F.ceil(room))).first()[0] or 0
+    most = 1
+    while most < longest:  # the livetime of shifts up to ``most``, both ways, in closed form
+        n = F.least(F.floor(room), F.lit(most)).cast("double")
+        if (segments.agg(F.sum(2 * (room * n - n * (n + 1) / 2))).first()[0] or 0.0) >= livetime:
+            break
+        most = min(2 * most, int(longest))
     j = segments.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2 * most - 1).cast("long"))))
     size = F.expr("j div 2 + 1")
     rows = j.withColumn("shift", F.when(F.col("j") % 2 == 0, size).otherwise(-size))
-    rows = rows.withColumn("used", F.greatest(F.col("stop") - F.col("start") - kernel - F.abs("shift"), F.lit(0.0)))
+    rows = rows.withColumn("used", F.greatest(room - F.abs("shift"), F.lit(0.0))).where("used > 0")
     rows = running(rows, "j", {"total": "used"}, descending=False, then=("start", key))
     before = F.col("total") - F.col("used")
     return rows.where(before < livetime - 0.001).withColumn("used", F.least("used", livetime - before))

@@ -17,16 +17,21 @@ def uniform(*parts: Column | str) -> Column:
 
 
 def contiguous_runs(df: DataFrame, file: str, order: str, draws: int, size: int) -> DataFrame:
-    """For each draw a file, as likely as it has rows, and a run of ``size`` rows of it."""
+    """For each draw a file, as likely as it has rows, and a run of ``size`` rows of it.
+
+    A draw's file is found by counting the files that begin at or before the picked row, over ranges as all ranks are.
+    """
+    from .ranks import counts_at_least, running
+
     rows = df.withColumn("row_id", F.row_number().over(Window.partitionBy(file).orderBy(order)).cast("long") - 1)
-    files = df.groupBy(file).agg(F.count(F.lit(1)).alias("n"))
-    files = files.withColumn("before", F.sum("n").over(Window.orderBy(file)) - F.col("n"))  # a row per file
+    files = running(df.groupBy(file).agg(F.count(F.lit(1)).alias("n")), file, {"upto": "n", "number": "1L"}, descending=False)
     total = df.count()
-    asked = df.sparkSession.range(draws).select(F.col("id").alias("draw"), (hashed(F.col("id"), "file") % total).alias("pick"), hashed(F.col("id"), "row").alias("h"))
-    runs = asked.join(F.broadcast(files), (F.col("pick") >= F.col("before")) & (F.col("pick") < F.col("before") + F.col("n")))
+    asked = df.sparkSession.range(draws).select(F.col("id").alias("draw"), (-(hashed(F.col("id"), "file") % total)).alias("pick"), hashed(F.col("id"), "row").alias("h"))
+    begun = files.select((F.col("n") - F.col("upto")).alias("start"))
+    runs = counts_at_least(begun, asked, "start", "pick").join(files, F.col("nb") == F.col("number"))
     runs = runs.select("draw", file, (F.col("h") % F.greatest(F.col("n") - size + 1, F.lit(1))).alias("start"))
     wanted = runs.select("draw", file, F.explode(F.sequence("start", F.col("start") + size - 1)).alias("row_id"))
-    return F.broadcast(wanted).join(rows, [file, "row_id"])
+    return wanted.join(rows, [file, "row_id"])
 
 
 def batches_of_chunk(df: DataFrame, chunk: str, key: str, batches: int, size: int) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..sources.store import fixed
+
 
 def boxcar(df: DataFrame, width: int, by: Sequence[str], order: str = "i", value: str = "y") -> DataFrame:
     """Trailing mean over ``width`` samples with zeros before the start; a width of 1 changes nothing."""
@@ -24,43 +26,135 @@ def clock(t0: float, psd_length: float, fduration: float, integration: float) ->
     return t0 + psd_length - fduration / 2 - integration
 
 
-def _peaks(y: np.ndarray, half: int) -> list[int]:
-    """Where the greedy walk stops: every sample that none of the next ``half`` exceeds, reached from the last stop."""
-    out: list[int] = []
-    at = int(np.argmax(y[:half])) if len(y) else 0
-    while at < len(y):
-        ahead = y[at + 1 : at + 1 + half]
-        if len(ahead) and ahead.max() > y[at]:
-            at += 1 + int(np.argmax(ahead))
-        else:
-            out.append(at)
-            at += half + 1
-    return out
+def _ranged(df: DataFrame, by: Sequence[str], place: Column, length: float, halo: float) -> DataFrame:
+    """Rows by range of their place, with the head of the next range beside each range's own (``_own`` is false there)."""
+    k = F.floor(place / length).cast("long")
+    heads = F.when(place - k * length < halo, F.array(k, k - 1)).otherwise(F.array(k))
+    return df.withColumn("_range", F.explode(heads)).withColumn("_own", F.col("_range") == k)
+
+
+def _entries(exits: DataFrame, by: Sequence[str], follow: Callable[[pd.DataFrame], list]) -> DataFrame:
+    """(by, _range, _entry): where a walk enters each range, from what each range makes of every possible entry (a row per range)."""
+    kinds = ", ".join(f"{c} {exits.schema[c].dataType.simpleString()}" for c in by)
+
+    def chain(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("_range", ignore_index=True)
+        return part[[*by, "_range"]].assign(_entry=np.array(follow(part), np.float64))
+
+    return exits.groupBy(*by).applyInPandas(chain, f"{kinds}, _range long, _entry double")
+
 
+def _successors(y: np.ndarray, half: int) -> np.ndarray:
+    """For every sample the first largest of the ``half`` after it if that is larger, else the sample past those."""
+    n = len(y)
+    ahead = np.lib.stride_tricks.sliding_window_view(np.concatenate((y[1:], np.full(half, -np.inf))), half)
+    first = np.concatenate([x.argmax(1) for x in np.array_split(ahead, max(1, n * half >> 22))])
+    at = np.arange(n)
+    return np.where(ahead[at, first] > y, at + 1 + first, at + half + 1)
 
-def cluster_peaks(df: DataFrame, window: int, by: Sequence[str], order: str = "i", value: str = "y") -> DataFrame:
-    """(by, order, value) of the peaks of each series; each series (bounded by a segment's length) is walked in one task."""
-    kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in [*by, order, value])
+
+def cluster_peaks(df: DataFrame, window: int, by: Sequence[str], order: str = "i", value: str = "y", length: int = 1 << 16) -> DataFrame:
+    """(by, order, value) of each series' greedy peaks: samples that none of the next ``window // 2`` exceeds, each reached from
+    the one before by way of larger and larger samples, beginning at the largest of the first ``window // 2``.
+
+    ``order`` numbers the samples; missing ones and null values are lower than all others and never are peaks. A series is cut into ranges: every sample's successor is
+    known from its range and the head of the next, so a range can tell for each of the few places at which a
+    walk may enter where it leaves. Only those short lists are followed one after the other; then ranges are walked side by side.
+    """
+    half, rows = max(window // 2, 1), df.select(*by, order, value).where(F.col(order).isNotNull())
+    parts = _ranged(rows, by, F.col(order), length, half)
+    kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in by)
+
+    def successors(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        y = np.full(length + half, -np.inf)
+        x = part[value].to_numpy(np.float64)
+        y[part[order].to_numpy(np.int64) - int(part["_range"].iloc[0]) * length] = np.where(np.isnan(x), -np.inf, x)
+        return y, _successors(y, half)[:length]
+
+    def leave(part: pd.DataFrame) -> pd.DataFrame:
+        y, to = successors(part)
+        jump = np.concatenate((to, np.arange(length, length + half + 1)))
+        while (jump[:length] < length).any():  # twice as far each time
+            jump = jump[jump]
+        own = part.loc[part["_own"], order]
+        begin = int(own.min()) - int(part["_range"].iloc[0]) * length if len(own) else 0
+        begin += int(y[begin : begin + half].argmax())
+        exits = [int(jump[begin]) - length, *(jump[: half + 1] - length).tolist()]
+        return part.iloc[:1][[*by, "_range"]].assign(some=bool(len(own)), begin=begin, exits=[exits])
+
+    def follow(part: pd.DataFrame) -> list:
+        out, at, before = [], 0, None
+        for k, some, begin, exits in zip(part["_range"].tolist(), part["some"].tolist(), part["begin"].tolist(), part["exits"].tolist()):
+            if before is None:  # the series begins with its first samples
+                out.append(begin)
+                at, before = (int(exits[0]), k) if some else (0, None)
+                continue
+            empty = (k - before - 1) * length  # ranges without samples are walked in whole steps
+            at += max(0, -(-(empty - at) // (half + 1))) * (half + 1) - empty
+            out.append(at)
+            at, before = int(exits[1 + at]), k
+        return out
+
+    exits = parts.groupBy(*by, "_range").applyInPandas(leave, f"{kinds}, _range long, some boolean, begin long, exits array<long>")
+    names = [c for c in df.columns if c in (*by, order, value)]
 
     def walk(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(order)
-        return part.iloc[_peaks(part[value].to_numpy(), window // 2)][[*by, order, value]]
+        y, to = successors(part)
+        at, peaks = int(part["_entry"].iloc[0]), []
+        while at < length:
+            if to[at] == at + half + 1:
+                peaks.append(at)
+            at = int(to[at])
+        here = part["_own"].to_numpy() & np.isin(part[order].to_numpy(np.int64) - int(part["_range"].iloc[0]) * length, peaks)
+        return part[here & part[value].notna().to_numpy()][names]
+
+    entered = parts.join(_entries(fixed(exits, "exits"), by, follow), [*by, "_range"])
+    out = entered.groupBy(*by, "_range").applyInPandas(walk, df.select(*names).schema)
+    return out.select(*by, order, value)
 
-    return df.select(*by, order, value).groupBy(*by).applyInPandas(walk, kinds)
 
+def refractory(df: DataFrame, by: Sequence[str], time: str, period: float, length: float | None = None) -> DataFrame:
+    """Detections of each run at least ``period`` after the last one that was kept.
 
-def refractory(df: DataFrame, by: Sequence[str], time: str, period: float) -> DataFrame:
-    """Detections of each run at least ``period`` after the last one that was kept."""
+    Runs are cut into ranges of time, longer than a period: a range tells for each detection that could be its first kept one which
+    one is its last, those lists are followed one after the other, and then ranges are walked side by side. Rows without a time go.
+    """
+    length = max(length or 256 * period, 2 * period)
+    rows = df.where(F.col(time).isNotNull()).withColumn("_range", F.floor(F.col(time) / length).cast("long"))
+    kinds, names = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in by), df.columns
+
+    def last_kept(part: pd.DataFrame) -> pd.DataFrame:
+        t = np.sort(part[time].to_numpy(np.float64))
+        to = np.append(np.searchsorted(t, t + period), len(t))
+        last = np.where(to[:-1] == len(t), np.arange(len(t)), to[:-1])
+        while (last[last] != last).any():
+            last = last[last]
+        # the last one before the range lets one of these in, or the first after them
+        may = int(np.searchsorted(t, int(part["_range"].iloc[0]) * length + period)) + 1
+        return part.iloc[:1][[*by, "_range"]].assign(first=[t[:may].tolist()], last=[t[last][:may].tolist()])
+
+    def follow(part: pd.DataFrame) -> list:
+        out, free = [], -np.inf
+        for first, last in zip(part["first"].tolist(), part["last"].tolist()):
+            out.append(free)
+            k = int(np.searchsorted(np.asarray(first), free))
+            free = last[k] + period if k < len(last) else free
+        return out
+
+    lists = rows.groupBy(*by, "_range").applyInPandas(last_kept, f"{kinds}, _range long, first array<double>, last array<double>")
 
     def walk(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(time)
-        keep, last = [], -np.inf
-        for t in part[time]:
-            keep.append(t - last >= period)
-            last = t if keep[-1] else last
-        return part[keep]
-
-    return df.groupBy(*by).applyInPandas(walk, df.schema)
+        part = part.sort_values(time, kind="stable")
+        t = part[time].to_numpy(np.float64)
+        to, kept = np.searchsorted(t, t + period), []
+        at = int(np.searchsorted(t, part["_entry"].iloc[0]))
+        while at < len(t):
+            kept.append(at)
+            at = int(to[at])
+        return part.iloc[kept][names]
+
+    entered = rows.join(_entries(fixed(lists, "lists"), by, follow), [*by, "_range"])
+    return entered.groupBy(*by, "_range").applyInPandas(walk, df.schema)
 
 
 def unfold(samples: Column, size: int, stride: int) -> Column:

@@ -56,20 +56,20 @@ def livetime(v: Views):
 
 
 @query("num_shifts_for_Tb", """
-, k as (select k, sum(greatest(stop - start - 64 - k * 1000, 0)) as tb from seg, range(1, 201) t(k) where o_orderkey % 100 = 0 group by k),
+, k as (select k, sum(greatest(stop - start - 64 - k * 1000, 0)) as tb from seg, range(1, 201) t(k) group by k),
 s as (select k, sum(tb) over (order by k) as total from k)
-select min(k) as shifts from s where total >= 100000000
+select min(k) as shifts from s where total >= 10000000000
 """)
 def num_shifts_for_tb(v: Views):
-    return sensitivity.shifts_for_livetime(v.seg.where("o_orderkey % 100 = 0"), 100000000.0, 1000.0, 64.0, 200)
+    return sensitivity.shifts_for_livetime(v.seg, 10000000000.0, 1000.0, 64.0, 200)
 
 
 @query("num_shifts_for_signals", """
-, t as (select sum(stop - start) as t from seg where o_orderkey % 100 = 0)
+, t as (select sum(stop - start) as t from seg)
 select ceil((-(t - 2 * 12 - 0.5) + sqrt((t - 2 * 12 - 0.5) * (t - 2 * 12 - 0.5) - 2 * 1.0 * 1000000 * 24)) / -1.0)::bigint as shifts from t
 """)
 def num_shifts_for_signals(v: Views):
-    return sensitivity.shifts_for_signals(v.seg.where("o_orderkey % 100 = 0"), spacing=16.0, shift=1.0, buffer=8.0, duration=8.0, n=1000000)
+    return sensitivity.shifts_for_signals(v.seg, spacing=16.0, shift=1.0, buffer=8.0, duration=8.0, n=1000000)
 
 
 _W = """

@@ -59,14 +59,13 @@ def plan_slides(v: Views):
 
 @query("intersect_segments", """
 , o as (select flag, start, stop, sum(case when start <= reach then 0 else 1 end) over (partition by flag order by start, stop) as isle
-  from (select *, max(stop) over (partition by flag order by start, stop rows between unbounded preceding and 1 preceding) as reach from seg where flag in ('O', 'F')
-        and o_orderkey % 50 = 0)),
+  from (select *, max(stop) over (partition by flag order by start, stop rows between unbounded preceding and 1 preceding) as reach from seg where flag in ('O', 'F'))),
 m as (select flag, min(start) as start, max(stop) as stop from o group by flag, isle)
 select round(greatest(a.start, b.start), 6) as start, round(least(a.stop, b.stop), 6) as stop from m a join m b on a.flag = 'O' and b.flag = 'F' and a.start < b.stop and b.start < a.stop
 where least(a.stop, b.stop) - greatest(a.start, b.start) >= 100
 """)
 def intersect_segments(v: Views):
-    return intervals.intersect(v.seg.where("o_orderkey % 50 = 0"), "flag", ["O", "F"], 100.0).select(r(col("start")).alias("start"), r(col("stop")).alias("stop"))
+    return intervals.intersect(v.seg, "flag", ["O", "F"], 100.0).select(r(col("start")).alias("start"), r(col("stop")).alias("stop"))
 
 
 @query("flag_partition", "select o_orderkey, flag in ('O', 'P') as open from seg")
@@ -84,20 +83,20 @@ def merge_intervals(v: Views):
     return intervals.merge(v.veto, ["ifo", "category"])
 
 
-@query("files_for_interval", "select inj_id, o_orderkey from (select inj_id, (injection_time - 1704067200) * 80 + 694224000 as t from inj) join seg on start < t + 1 and stop > t - 1 where o_orderkey % 40 = 0")
+@query("files_for_interval", "select inj_id, o_orderkey from (select inj_id, (injection_time - 1704067200) * 80 + 694224000 as t from inj) join seg on start < t + 1 and stop > t - 1")
 def files_for_interval(v: Views):
     t = (col("injection_time") - 1704067200) * 80 + 694224000  # over the years of the segments
     asked = v.inj.select("inj_id", (t - 1).alias("r_start"), (t + 1).alias("r_stop"))
-    return intervals.overlapping(asked, v.seg.where("o_orderkey % 40 = 0"), 150000.0).select("inj_id", "o_orderkey")
+    return intervals.overlapping(asked, v.seg, 150000.0).select("inj_id", "o_orderkey")
 
 
 @query("injections_for_segment", """
-, s as (select o_orderkey, start, stop, o_orderkey % 4 as slide from seg where o_orderkey % 40 = 0)
+, s as (select o_orderkey, start, stop, o_orderkey % 4 as slide from seg)
 select o_orderkey, count(inj_id) as n, coalesce(count(inj_id) > 0, false) as foreground
 from s left join (select inj_id, slide, (injection_time - 1704067200) * 80 + 694224000 as t from inj) i on s.slide = i.slide and t + 6 > start and t - 6 < stop group by o_orderkey
 """)
 def injections_for_segment(v: Views):
-    s = v.seg.where("o_orderkey % 40 = 0").withColumn("slide", col("o_orderkey") % 4)
+    s = v.seg.withColumn("slide", col("o_orderkey") % 4)
     t = (col("injection_time") - 1704067200) * 80 + 694224000
     asked = v.inj.select("inj_id", col("slide").alias("own"), (t - 6).alias("r_start"), (t + 6).alias("r_stop"))
     n = intervals.overlapping(asked, s, 150000.0).where("own = slide").groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("n"))
@@ -105,13 +104,13 @@ def injections_for_segment(v: Views):
 
 
 @query("inject_signals", """
-, sig as (select inj_id, (injection_time - 1704067200)::bigint // 64 as block, (injection_time::bigint % 64) as pos, snr from inj where inj_id % 20 = 0),
+, sig as (select inj_id, (injection_time - 1704067200)::bigint // 64 as block, (injection_time::bigint % 64) as pos, snr from inj),
 s as (select block * 64 + pos + j as i, sum(snr * (1 - abs(j - 2) / 3.0)) as v from sig, range(0, 5) t(j) group by 1)
 select i // 64 as block, count(*) as n, round(sum(v), 4) as total, round(max(v), 4) as peak from s group by 1
 """)
 def inject_signals(v: Views):
     """Waveforms of five samples, added where they overlap; a waveform may reach into the next block."""
-    sig = v.inj.where("inj_id % 20 = 0").select(F.expr("bigint(round(injection_time - 1704067200)) div 64").alias("block"), (F.round("injection_time").cast("long") % 64).alias("at"), "snr")
+    sig = v.inj.select(F.expr("bigint(round(injection_time - 1704067200)) div 64").alias("block"), (F.round("injection_time").cast("long") % 64).alias("at"), "snr")
     wave = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda j: col("snr") * (1 - F.abs(j - 2) / 3.0))
     samples = sig.select("block", "at", F.posexplode(wave).alias("j", "v")).groupBy((col("block") * 64 + col("at") + col("j")).alias("i")).agg(F.sum("v").alias("v"))
     return samples.groupBy(F.expr("i div 64").alias("block")).agg(F.count(F.lit(1)).alias("n"), r(F.sum("v"), 4).alias("total"), r(F.max("v"), 4).alias("peak"))

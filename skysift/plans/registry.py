@@ -15,7 +15,7 @@ _VIEWS = """
 with recursive ev as (
   select event_id, value as detection_statistic, epoch_us(ts) / 1e6 as detection_time, user_id % 4 as slide,
          [0.0, (user_id % 4)::double] as shift, event_type, user_id from events
-), tb as (select s::bigint as slide, 30 * 86400.0::double as tb from range(4) t(s)
+), tb as (select user_id % 4 as slide, 3600.0::double * count(distinct epoch_us(ts) // 3600000000) as tb from events group by 1
 ), veto as (
   select user_id % 2 as ifo, case when user_id % 3 = 0 then 'CAT1' when user_id % 3 = 1 then 'CAT2' else 'GATES' end as category,
          epoch_us(ts) / 1e6 - 60 - (props->>'k')::int as start, epoch_us(ts) / 1e6 + 60 + (props->>'k')::int as stop
@@ -64,7 +64,9 @@ class Views:
 
     @cached_property
     def tb(self) -> DataFrame:
-        return self.spark.range(4).select(F.col("id").alias("slide"), F.lit(30 * 86400.0).alias("tb"))
+        """The hours with events of each slide, in seconds."""
+        hour = F.floor(F.col("t") / 3600)
+        return self.events.groupBy("slide").agg((3600.0 * F.count_distinct(hour)).alias("tb"))
 
     @cached_property
     def veto(self) -> DataFrame:

@@ -108,31 +108,41 @@ def augment_flip(v: Views):
 
 @query("swap_channels", """
 , n as (select block, row_number() over (order by md5(block::varchar || '|swap'), block) - 1 as k, case when ('0x' || substr(md5(block::varchar || '|channel'), 1, 12))::bigint % 2 = 0 then 'H1' else 'L1' end as c from (select distinct block from win)),
-p as (select a.block, b.block as other, case when a.k < 20 then a.c else b.c end as ifo from n a join n b on b.k = case when a.k < 20 then a.k + 20 else a.k - 20 end where a.k < 40)
+h as (select greatest(floor(count(*) * 0.16 / 2), 1)::bigint as h from n),
+p as (select a.block, b.block as other, case when a.k < h then a.c else b.c end as ifo from h, n a join n b on b.k = case when a.k < h then a.k + h else a.k - h end where a.k < 2 * h)
 select w.block, w.ifo, p.other is not null as swapped, round(coalesce(o.samples[1], w.samples[1])::double, 6) as first from win w left join p on p.block = w.block and p.ifo = w.ifo left join win o on o.block = p.other and o.ifo = p.ifo
 """)
 def swap_channels(v: Views):
-    """Of 40 blocks chosen by hash, each of the first half exchanges one channel with one of the second."""
-    blocks = v.win.select("block").distinct()
-    chosen = blocks.orderBy(F.md5(F.concat_ws("|", col("block").cast("string"), F.lit("swap"))), "block").limit(40)
-    k = F.row_number().over(Window.orderBy(F.md5(F.concat_ws("|", col("block").cast("string"), F.lit("swap"))), "block")) - 1  # 40 rows
-    chosen = chosen.withColumn("k", k).withColumn("c", F.when(sampling.hashed(col("block"), "channel") % 2 == 0, "H1").otherwise("L1"))
-    a = chosen.where("k < 20").select("block", "k", "c")
-    b = chosen.where("k >= 20").select(col("block").alias("other"), (col("k") - 20).alias("k"))
+    """Of the blocks a fraction is chosen by hash, an even number and two at least; each of its first half exchanges one channel with one of the second."""
+    from ..operators.ranks import row_ids
+
+    blocks = v.win.select("block").distinct().withColumn("mix", F.md5(F.concat_ws("|", col("block").cast("string"), F.lit("swap"))))
+    half = max(int(blocks.count() * 0.16 / 2), 1)
+    chosen = row_ids(blocks, "mix", ("block",), name="k").where(col("k") < 2 * half).withColumn("c", F.when(sampling.hashed(col("block"), "channel") % 2 == 0, "H1").otherwise("L1"))
+    a = chosen.where(col("k") < half).select("block", "k", "c")
+    b = chosen.where(col("k") >= half).select(col("block").alias("other"), (col("k") - half).alias("k"))
     one = a.join(b, "k").select("block", "other", col("c").alias("ifo"))
-    both = F.broadcast(one.union(one.select(col("other").alias("block"), col("block").alias("other"), "ifo")))
+    both = one.union(one.select(col("other").alias("block"), col("block").alias("other"), "ifo"))
     given = v.win.select(col("block").alias("other"), "ifo", col("samples").alias("theirs"))
     out = v.win.join(both, ["block", "ifo"], "left").join(given, ["other", "ifo"], "left")
     return out.select("block", "ifo", col("other").isNotNull().alias("swapped"), r(F.coalesce("theirs", "samples")[0].cast("double")).alias("first"))
 
 
 @query("mute_channels", """
-, p as (select distinct ('0x' || substr(md5(d::varchar || '|mute'), 1, 12))::bigint % 250 as block, case when ('0x' || substr(md5(d::varchar || '|channel'), 1, 12))::bigint % 2 = 0 then 'H1' else 'L1' end as ifo from range(0, 60) t(d))
+, b as (select block, row_number() over (order by block) - 1 as k from (select distinct block from win)), m as (select count(*) as m from b),
+p as (select distinct block, case when ('0x' || substr(md5(d::varchar || '|channel'), 1, 12))::bigint % 2 = 0 then 'H1' else 'L1' end as ifo
+  from m, b join (select d, ('0x' || substr(md5(d::varchar || '|mute'), 1, 12))::bigint as h from (select k as d from b)) t on b.k = h % m where d < floor(m * 0.24))
 select w.block, w.ifo, p.block is not null as muted, case when p.block is null then round(samples[1]::double, 6) else 0 end as first from win w left join p using (block, ifo)
 """)
 def mute_channels(v: Views):
-    picks = v.spark.range(60).select((sampling.hashed(col("id"), "mute") % 250).alias("block"), F.when(sampling.hashed(col("id"), "channel") % 2 == 0, "H1").otherwise("L1").alias("ifo"))
-    out = v.win.join(F.broadcast(picks.distinct().withColumn("muted", F.lit(True))), ["block", "ifo"], "left")
+    """As many draws as a fraction of the blocks, with replacement; each mutes one channel of its block."""
+    from ..operators.ranks import row_ids
+
+    blocks = row_ids(v.win.select("block").distinct(), "block", name="k")
+    m = blocks.count()
+    picks = v.spark.range(int(m * 0.24)).select((sampling.hashed(col("id"), "mute") % max(m, 1)).alias("k"), F.when(sampling.hashed(col("id"), "channel") % 2 == 0, "H1").otherwise("L1").alias("ifo"))
+    muted = picks.distinct().join(blocks, "k").select("block", "ifo", F.lit(True).alias("muted"))
+    out = v.win.join(muted, ["block", "ifo"], "left")
     quiet = F.when(col("muted"), F.array_repeat(F.lit(0.0), 64)).otherwise(F.transform("samples", lambda x: x.cast("double")))
     return out.select("block", "ifo", F.coalesce("muted", F.lit(False)).alias("muted"), r(quiet[0]).alias("first"))
 

@@ -1,4 +1,4 @@
-"""Streaming queries: blocks of the driver's events, hour by hour and detector by detector, replayed as a stream."""
+"""Streaming queries: blocks of five minutes of the driver's events, detector by detector, replayed as a stream."""
 
 from __future__ import annotations
 
@@ -12,8 +12,8 @@ col = F.col
 _SCHEMA = "ifo long, i long, ts timestamp, y double, ready boolean"
 _BLOCKS = """
 , blocks as (
-  select user_id % 2 as ifo, (epoch_us(ts) - epoch_us(timestamp '2024-01-01')) // 3600000000 as i, round(max(value), 4) as y, not bool_or(event_type = 'error' and value > 60) as ready
-  from events where user_id % 3 = 0 and value is not null group by 1, 2),
+  select user_id % 2 as ifo, (epoch_us(ts) - epoch_us(timestamp '2024-01-01')) // 300000000 as i, round(max(value), 4) as y, not bool_or(event_type = 'error' and value > 60) as ready
+  from events where value is not null group by 1, 2),
 lagged as (select *, lag(i) over w as before, row_number() over w - 1 as n from blocks window w as (partition by ifo order by i))
 """
 
@@ -23,10 +23,10 @@ def r(x, n=6):
 
 
 def blocks(v: Views) -> DataFrame:
-    hour = F.expr("(unix_micros(cast(ts as timestamp)) - 1704067200000000) div 3600000000")
-    rows = v.events.where("user_id % 3 = 0 and value is not null").withColumns({"ifo": col("user_id") % 2, "i": hour})
+    block = F.expr("(unix_micros(cast(ts as timestamp)) - 1704067200000000) div 300000000")
+    rows = v.events.where("value is not null").withColumns({"ifo": col("user_id") % 2, "i": block})
     rows = rows.groupBy("ifo", "i").agg(F.round(F.max("value"), 4).alias("y"), (~F.bool_or((col("event_type") == "error") & (col("value") > 60))).alias("ready"))
-    return rows.select("ifo", "i", F.timestamp_seconds(col("i") * 3600 + 1704067200).alias("ts"), "y", "ready")
+    return rows.select("ifo", "i", F.timestamp_seconds(col("i") * 300 + 1704067200).alias("ts"), "y", "ready")
 
 
 def stream(v: Views, files: int = 3, per_batch: int | None = None) -> DataFrame:
@@ -41,8 +41,8 @@ def walked(v: Views, walker: live.Walker) -> DataFrame:
 
 @query("stream_blocks", _BLOCKS + "select i, count(*) as n, round(sum(y), 4) as total, count(*) = 2 as complete from blocks group by i")
 def stream_blocks(v: Views):
-    rows = live.newest(live.drain(live.assemble(stream(v), "ts", "1 hour", 2), "update"), "second")
-    return rows.select(((F.unix_timestamp("second") - 1704067200) / 3600).cast("long").alias("i"), "n", r(col("total"), 4).alias("total"), "complete")
+    rows = live.newest(live.drain(live.assemble(stream(v), "ts", "5 minutes", 2), "update"), "second")
+    return rows.select(((F.unix_timestamp("second") - 1704067200) / 300).cast("long").alias("i"), "n", r(col("total"), 4).alias("total"), "complete")
 
 
 @query("stream_frames", _BLOCKS + "select ifo, i, y from blocks")
@@ -103,7 +103,7 @@ def flush_partial(v: Views):
 
 @query("event_window", _BLOCKS + "select e.ifo, e.i, count(*) as n, round(sum(b.y), 4) as total from blocks e join blocks b on e.ifo = b.ifo and b.i between e.i - 3 and e.i + 1 where e.y > 150 group by e.ifo, e.i")
 def event_window(v: Views):
-    found = live.drain(live.around(stream(v).where("y > 150"), stream(v), "3 hours", "1 hour"))
+    found = live.drain(live.around(stream(v).where("y > 150"), stream(v), "15 minutes", "5 minutes"))
     return found.groupBy(col("e_ifo").alias("ifo"), col("e_i").alias("i")).agg(F.count(F.lit(1)).alias("n"), r(F.sum("y"), 4).alias("total"))
 
 
@@ -113,15 +113,24 @@ def stream_far(v: Views):
 
 
 @query("stream_p_astro", _BLOCKS + """
-, p as (select user_id % 2 as ifo, (epoch_us(ts) - epoch_us(timestamp '2024-01-01')) // 3600000000 as i, avg((value < 20)::int) as low from events where event_type = 'click' group by 1, 2)
-select ifo, i, round(y / (y + 50), 8) as p_astro, round(y / (y + 50) * coalesce(low, 0), 8) as bns, round(y / (y + 50) * (1 - coalesce(low, 0)), 8) as bbh from blocks left join p using (ifo, i) where y > 60
+, p as (select user_id % 2 as ifo, (epoch_us(ts) - epoch_us(timestamp '2024-01-01')) // 300000000 as i, avg((value < 20)::int) as low from events where event_type = 'click' group by 1, 2),
+till as (select least((select max(i) * 300 from blocks where y > 60), (select max(i * 300 + case when i % 3 = 0 then 20 else 5 end) from p)) - 10 as t),
+e as (select ifo, i, y, case when i % 3 <> 0 then low end as low from blocks left join p using (ifo, i), till where y > 60 and (low is not null and i % 3 <> 0 or i * 300 + 10 < t))
+select ifo, i, round(y / (y + 50), 8) as p_astro, round(y / (y + 50) * coalesce(low, 0), 8) as bns, round(y / (y + 50) * (1 - coalesce(low, 0)), 8) as bbh from e
 """)
 def stream_p_astro(v: Views):
-    hour = F.expr("(unix_micros(cast(ts as timestamp)) - 1704067200000000) div 3600000000")
-    low = v.events.where("event_type = 'click'").groupBy((col("user_id") % 2).alias("ifo"), hour.alias("i")).agg(F.avg((col("value") < 20).cast("int")).alias("low"))
-    p = col("y") / (col("y") + 50)
-    rows = stream(v).where("y > 60").join(low, ["ifo", "i"], "left").withColumn("low", F.coalesce("low", F.lit(0.0)))
-    return live.drain(rows.select("ifo", "i", r(p, 8).alias("p_astro"), r(p * col("low"), 8).alias("bns"), r(p * (1 - col("low")), 8).alias("bbh"))).drop("_batch")
+    """Events wait ten seconds of event time for their posterior, which comes five or, every third time, twenty seconds later, and then take the default.
+
+    What still waits when the stream ends, by the watermark, is not told.
+    """
+    block = F.expr("(unix_micros(cast(ts as timestamp)) - 1704067200000000) div 300000000")
+    low = v.events.where("event_type = 'click'").groupBy((col("user_id") % 2).alias("ifo"), block.alias("i")).agg(F.avg((col("value") < 20).cast("int")).alias("low"))
+    path = folder(v.spark, "posteriors")
+    late = F.when(col("i") % 3 == 0, 20).otherwise(5)
+    low.withColumn("p_ts", F.timestamp_seconds(col("i") * 300 + late + 1704067200)).coalesce(2).write.parquet(path)
+    found = live.awaited(stream(v).where("y > 60"), live.follow(v.spark, path, "ifo long, i long, low double, p_ts timestamp"), ["ifo", "i"], "10 seconds")
+    p, low = col("y") / (col("y") + 50), F.coalesce("low", F.lit(0.0))
+    return live.drain(found.select("ifo", "i", r(p, 8).alias("p_astro"), r(p * low, 8).alias("bns"), r(p * (1 - low), 8).alias("bbh"))).drop("_batch")
 
 
 @query("fan_out", _BLOCKS + "select 'alerts' as sink, count(*) as n, round(sum(y), 4) as total from blocks where y > 100 union all select 'archive', count(*), round(sum(y), 4) from blocks")
@@ -137,9 +146,9 @@ def fan_out(v: Views):
     return sums("alerts").unionByName(sums("archive")).select("sink", "n", "total")
 
 
-@query("live_monitor", _BLOCKS + "select ifo, max(i) as i, arg_max(y, i) as y from blocks group by ifo")
+@query("live_monitor", _BLOCKS + "select ifo, max(i) as i, arg_max(y, i) as y, sum(ready::int) * 300.0::double as live from blocks group by ifo")
 def live_monitor(v: Views):
+    """The newest block of each detector and its live time so far, refreshed by each micro-batch."""
     path = folder(v.spark, "monitor")
-    done = live.drain(stream(v, files=3, per_batch=1), each=live.upsert(path, "ifo", ["i"]))
-    last = done.agg(F.max("_batch")).first()[0]
-    return v.spark.read.parquet(f"{path}/{last}").select("ifo", "i", "y")
+    live.drain(stream(v, files=3, per_batch=1), each=live.upsert(path, "ifo", ["i"], {"live": "if(ready, 300.0D, 0.0D)"}))
+    return live.current(v.spark, path, "ifo", ["i"], ["live"]).select("ifo", "i", "y", "live")

@@ -45,14 +45,14 @@ def cluster_peaks(v: Views):
 @query("search", _BOX + _WALK.format(t="box", h=12) + f"""
 select slide, i, round(y, 6) as y, (select count(*) from peaks b where b.slide > 0 and b.y >= p.y) as nb,
   round(greatest({c.YEAR_FAR} * (select count(*) from peaks b where b.slide > 0 and b.y >= p.y) / 7776000.0, {c.YEAR_FAR} / 7776000.0), 6) as far
-from peaks p where slide = 0 order by y desc, i limit 20
+from peaks p where slide = 0
 """)
 def search(v: Views):
     """Score series of every time slide to zero-lag candidates with their false-alarm rates."""
     peaks = series.cluster_peaks(_box(v), 24, ["slide"])
     counted = ranks.counts_at_least(peaks.where("slide > 0"), peaks.where("slide = 0"), "y", "y")
     out = counted.withColumn("far", r(sensitivity.far(col("nb"), F.lit(7776000.0))))
-    return out.orderBy(F.desc("y"), "i").limit(20).select("slide", "i", r(col("y")).alias("y"), "nb", "far")
+    return out.select("slide", "i", r(col("y")).alias("y"), "nb", "far")
 
 
 @query("unfold_windows", "select block, ifo, k, round(list_sum(list_transform(samples[k * 8 + 1 : k * 8 + 16], lambda x: x::double)), 5) as total from (select *, unnest(range(0, 7)) as k from win)")
@@ -111,14 +111,14 @@ def refractory(v: Views):
 
 
 @query("injection_grid", """
-, g as (select o_orderkey, start, stop, k from seg, range(0, 25000) t(k) where o_orderkey % 500 = 0 and start + 12 + k * 24 < stop - 1 - 12)
-select o_orderkey, k, round(12 + k * 24.0 + (('0x' || substr(md5(o_orderkey::varchar || '|' || k::varchar), 1, 12))::bigint / 281474976710656.0 - 0.5) * 2, 4) as since_start from g
+, g as (select o_orderkey, start, stop, k from seg, range(0, 60) t(k) where start + 12 + k * 25000 < stop - 1 - 12)
+select o_orderkey, k, round(12 + k * 25000.0 + (('0x' || substr(md5(o_orderkey::varchar || '|' || k::varchar), 1, 12))::bigint / 281474976710656.0 - 0.5) * 2, 4) as since_start from g
 """)
 def injection_grid(v: Views):
-    rows = priors.injection_grid(v.seg.where("o_orderkey % 500 = 0"), spacing=16.0, buffer=8.0, duration=8.0, max_shift=1.0)
+    rows = priors.injection_grid(v.seg, spacing=24992.0, buffer=8.0, duration=8.0, max_shift=1.0)
     # exact to the sample only as a time since the segment's start
     jitter = (sampling.uniform(col("o_orderkey"), col("k")) - 0.5) * 2
-    return rows.select("o_orderkey", "k", r(12 + col("k") * 24.0 + jitter, 4).alias("since_start"))
+    return rows.select("o_orderkey", "k", r(12 + col("k") * 25000.0 + jitter, 4).alias("since_start"))
 
 
 @query("sample_prior", """
@@ -151,12 +151,12 @@ def reject_by_snr(v: Views):
 
 
 @query("enumerate_timeslides", """
-, s as (select o_orderkey, start, stop, j, case when j % 2 = 0 then j // 2 + 1 else -(j // 2 + 1) end as shift from seg, range(0, 40) t(j) where o_orderkey % 300 = 0),
+, s as (select o_orderkey, start, stop, j, case when j % 2 = 0 then j // 2 + 1 else -(j // 2 + 1) end as shift from seg, range(0, 40) t(j)),
 d as (select *, greatest(stop - start - 1.5 - abs(shift), 0) as dur from s), t as (select *, sum(dur) over (order by j, start, o_orderkey) as total from d)
-select o_orderkey, shift, round(least(dur, dur - (total - 30000000)), 4) as used from t where total - dur < 30000000 - 0.001
+select o_orderkey, shift, round(least(dur, dur - (total - 3000000000)), 4) as used from t where total - dur < 3000000000 - 0.001
 """)
 def enumerate_timeslides(v: Views):
-    return priors.timeslides(v.seg.where("o_orderkey % 300 = 0"), "o_orderkey", kernel=1.5, livetime=30000000.0, most=20).select("o_orderkey", "shift", r(col("used"), 4).alias("used"))
+    return priors.timeslides(v.seg, "o_orderkey", kernel=1.5, livetime=3000000000.0).select("o_orderkey", "shift", r(col("used"), 4).alias("used"))
 
 
 @query("worker_seed", "select o_orderkey, 42 + ('0x' || substr(md5(o_orderkey::varchar || '|0|1'), 1, 12))::bigint as seed from seg")

@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from ..sources.store import folder
 
@@ -60,6 +61,8 @@ def newest(rows: DataFrame, key: str) -> DataFrame:
 class Walker:
     """A stateful operator per detector: subclasses say what a block does to the state and what it emits."""
 
+    #: How long without a block, in event time, until ``silence``; never if None.
+    wait: str | None = None
     #: DDL of the state and of the output.
     state = "last long"
     output = "ifo long, i long"
@@ -70,32 +73,63 @@ class Walker:
     def block(self, state: list, i: int, y: float, ready: bool) -> Iterator[tuple]:
         raise NotImplementedError
 
+    def silence(self, state: list) -> Iterator[tuple]:
+        return iter(())
+
     def apply(self, stream: DataFrame) -> DataFrame:
         names = [f.split()[0] for f in self.output.split(", ")]
+        wait = pd.Timedelta(self.wait) // pd.Timedelta("1ms") if self.wait else None
 
         def run(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
             now = list(state.get) if state.exists else list(self.start())
-            rows = pd.concat(parts).sort_values("i", kind="stable")
             out = []
+            if state.hasTimedOut:
+                out += [(key[0], *x) for x in self.silence(now)]
+                state.update(tuple(now))
+                if out:
+                    yield pd.DataFrame(out, columns=names)
+                return
+            rows = pd.concat(parts).sort_values("i", kind="stable")
             for i, y, ready in zip(rows["i"].tolist(), rows["y"].tolist(), rows["ready"].tolist()):
                 if i > now[0]:
                     out += [(key[0], *x) for x in self.block(now, i, y, ready)]
                     now[0] = i
             state.update(tuple(now))
+            if wait:
+                newest = rows["ts"].max()
+                newest = newest.tz_localize("UTC") if newest.tzinfo is None else newest
+                state.setTimeoutTimestamp(max(int(newest.timestamp() * 1000), state.getCurrentWatermarkMs()) + wait)
             if out:
                 yield pd.DataFrame(out, columns=names)
 
-        return stream.groupBy("ifo").applyInPandasWithState(run, self.output, self.state, "append", "NoTimeout")
+        timed = stream.withWatermark("ts", LATENESS) if wait else stream
+        return timed.groupBy("ifo").applyInPandasWithState(run, self.output, self.state, "append", "EventTimeTimeout" if wait else "NoTimeout")
 
 
 class Gaps(Walker):
-    """A row for each stretch of missing blocks; what follows starts anew."""
+    """A row for each stretch of missing blocks; what follows starts anew.
+
+    With ``wait`` a stretch is also told, once, when no block came for so long in event time by the watermark:
+    its row has a null length, and the stretch is not told again when a block ends it.
+    """
+
+    state, output = "last long, told boolean", "ifo long, first long, missing long"
 
-    output = "ifo long, first long, missing long"
+    def __init__(self, wait: str | None = None):
+        self.wait = wait
+
+    def start(self):
+        return -1, False
 
     def block(self, state, i, y, ready):
-        if state[0] >= 0 and i > state[0] + 1:
+        if state[0] >= 0 and i > state[0] + 1 and not state[1]:
             yield state[0] + 1, i - state[0] - 1
+        state[1] = False
+
+    def silence(self, state):
+        if state[0] >= 0 and not state[1]:
+            state[1] = True
+            yield state[0] + 1, None
 
 
 class Rolling(Walker):
@@ -216,20 +250,54 @@ def around(events: DataFrame, blocks: DataFrame, before: str, after: str) -> Dat
     return e.join(b, F.expr(f"e_ifo = ifo and ts >= e_ts - interval {before} and ts <= e_ts + interval {after}"))
 
 
-def with_far(events: DataFrame, background: DataFrame, stat: str, threshold: float, tb: float) -> DataFrame:
-    """Alarms per second from a background of bounded size, trimmed to the threshold and broadcast as one sorted array."""
-    steps = F.broadcast(background.where(F.col(stat) >= threshold).agg(F.sort_array(F.collect_list(stat)).alias("_steps")))
-    nb = F.size("_steps") - F.size(F.filter("_steps", lambda x: x < F.col("y")))
-    return events.join(steps).withColumn("far", F.greatest(nb, F.lit(1)) / tb).drop("_steps")
+def awaited(events: DataFrame, posteriors: DataFrame, keys: Sequence[str], wait: str) -> DataFrame:
+    """Left outer stream-stream join: each event with its posterior if that comes at most ``wait`` after it, else with nulls."""
+    e = events.withWatermark("ts", LATENESS)
+    p = posteriors.select(*(F.col(k).alias(f"p_{k}") for k in keys), *(c for c in posteriors.columns if c not in keys)).withWatermark("p_ts", LATENESS)
+    same = " and ".join(f"{k} = p_{k}" for k in keys)
+    return e.join(p, F.expr(f"{same} and p_ts >= ts and p_ts <= ts + interval {wait}"), "left").drop(*(f"p_{k}" for k in keys))
 
 
-def upsert(path: str, key: str, version: Sequence[str]) -> Callable[[DataFrame, int], None]:
-    """For ``drain``: keep a table of the newest row per key, a version of it per micro-batch."""
+def far_steps(background: DataFrame, stat: str, threshold: float, width: float) -> DataFrame:
+    """Of a background from the threshold on, per cell of ``width``: _cell, _above (how many lie in higher cells), _steps (value and number of each).
 
-    def put(batch: DataFrame, number: int) -> None:
-        from ..sources.ledger import latest
+    As large as there are different values; cells without any are there, too.
+    """
+    from ..operators.ranks import running
 
-        rows = batch if number == 0 else batch.unionByName(batch.sparkSession.read.parquet(f"{path}/{number - 1}"))
-        latest(rows, key, version).write.mode("overwrite").parquet(f"{path}/{number}")
+    values = background.where(F.col(stat) >= threshold).groupBy(F.col(stat).cast("double").alias("x")).agg(F.count(F.lit(1)).alias("n"))
+    cells = values.groupBy(F.floor(F.col("x") / width).cast("long").alias("_cell")).agg(F.collect_list(F.struct("x", "n")).alias("_steps"), F.sum("n").alias("_n"))
+    last = cells.agg(F.max("_cell").alias("last"))
+    every = last.select(F.explode(F.sequence(F.lit(int(threshold // width)).cast("long"), F.greatest("last", F.lit(int(threshold // width)).cast("long")))).alias("_cell"))
+    cells = every.join(cells, "_cell", "left").withColumn("_n", F.coalesce("_n", F.lit(0).cast("long")))
+    return running(cells, "_cell", {"_upto": "_n"}).select("_cell", (F.col("_upto") - F.col("_n")).alias("_above"), "_steps")
+
+
+def with_far(events: DataFrame, background: DataFrame, stat: str, threshold: float, tb: float, width: float = 1.0) -> DataFrame:
+    """Alarms per second of events (y) by a background: an equi-join on cells, then the exact count within a cell."""
+    steps = far_steps(background, stat, threshold, width)
+    found = events.withColumn("_cell", F.floor(F.greatest(F.col("y"), F.lit(threshold)) / width).cast("long")).join(steps, "_cell", "left")
+    here = F.aggregate(F.coalesce("_steps", F.array().cast("array<struct<x:double,n:bigint>>")), F.lit(0).cast("long"), lambda k, p: k + F.when(p.x >= F.col("y"), p.n).otherwise(0))
+    return found.withColumn("far", F.greatest(F.coalesce("_above", F.lit(0)) + here, F.lit(1)) / tb).drop("_cell", "_above", "_steps")
+
+
+def upsert(path: str, key: str, version: Sequence[str], sums: dict[str, str]) -> Callable[[DataFrame, int], None]:
+    """For ``drain`` or ``monitor``: per micro-batch and key the newest row and sums of expressions; a batch that comes again replaces its own."""
+
+    def put(batch: DataFrame, number: int) -> None:
+        newest = F.max_by(F.struct(*batch.columns), F.struct(*version)).alias("newest")
+        batch.groupBy(key).agg(newest, *(F.sum(F.expr(e)).alias(k) for k, e in sums.items())).drop(key).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return put
+
+
+def current(spark: SparkSession, path: str, key: str, version: Sequence[str], sums: Sequence[str]) -> DataFrame:
+    """The table that ``upsert`` keeps: of all batches the newest row per key, and the sums over all."""
+    last = F.max_by("newest", F.struct(*(f"newest.{c}" for c in version))).alias("newest")
+    rows = spark.read.parquet(path).groupBy(F.col(f"newest.{key}").alias("_key"))
+    return rows.agg(last, *(F.sum(k).alias(k) for k in sums)).select("newest.*", *sums)
+
+
+def monitor(stream: DataFrame, path: str, cadence: str, put: Callable[[DataFrame, int], None]) -> StreamingQuery:
+    """Run ``put`` on what has come every ``cadence``, until the query is stopped."""
+    return stream.writeStream.option("checkpointLocation", f"{path}/_state").foreachBatch(put).trigger(processingTime=cadence).start()

@@ -13,6 +13,7 @@ def spark():
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "4g")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-"))
         .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="spark-"))
         .getOrCreate()
     )

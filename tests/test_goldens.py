@@ -1,5 +1,6 @@
 """Small exact cases of the operators."""
 
+import datetime
 import math
 
 import numpy as np
@@ -131,6 +132,80 @@ def test_peaks_and_boxcar(spark):
         assert np.allclose([box[s, i] for i in range(200)], np.convolve(x, np.ones(7) / 7)[:200])
 
 
+def test_peaks_do_not_depend_on_ranges(spark):
+    r = np.random.default_rng(8)
+    rows = [(s, i, float(r.integers(0, 30))) for s in range(3) for i in range(40 * s, 400 + s) if r.random() > 0.03 and not (s == 2 and 150 < i < 290)]
+    df = spark.createDataFrame(rows, "slide long, i long, y double").repartition(4)
+    want = None
+    for length in (16, 37, 1 << 16):
+        got = sorted((g.slide, g.i, g.y) for g in series.cluster_peaks(df, 10, ["slide"], length=length).collect())
+        want = want or got
+        assert got == want
+    # missing samples count as lower than all others
+    for s in range(3):
+        y = {i: v for k, i, v in rows if k == s}
+        line = [y.get(i, -1.0) for i in range(min(y), max(y) + 1)]
+        assert [i for k, i, _ in want if k == s] == [i + min(y) for i in brute_peaks(line, 5) if i + min(y) in y]
+
+
+def test_refractory_by_ranges(spark):
+    r = np.random.default_rng(9)
+    rows = [(s, float(t)) for s in range(3) for t in np.sort(r.choice([r.uniform(0, 500, 300), np.arange(300) * 1.5][s % 2], 200))]
+    want = []
+    for s in range(3):
+        last = -np.inf
+        for t in sorted(t for k, t in rows if k == s):
+            if t - last >= 5:
+                want.append((s, t))
+                last = t
+    df = spark.createDataFrame(rows, "slide long, t double").repartition(4)
+    for length in (10.0, 33.0, None):
+        assert sorted(tuple(g) for g in series.refractory(df, ["slide"], "t", 5.0, length).collect()) == want
+
+
+def test_beside_across_ranges(spark):
+    r = np.random.default_rng(10)
+    left = [(int(k), float(t)) for k, t in zip(r.integers(0, 2, 60), r.uniform(0, 1000, 60))]
+    right = [(int(k), i, float(t)) for i, (k, t) in enumerate(zip(r.integers(0, 2, 25), r.uniform(0, 1000, 25)))]
+    a, b = spark.createDataFrame(left, "slide long, injection_time double"), spark.createDataFrame(right, "slide long, event_id long, detection_time double")
+    want = sorted((k, t, min((abs(u - t), u, i) for j, i, u in right if j == k)[2]) for k, t in left)
+    for width in (7.0, 100.0, 1e6):
+        got = matching.nearest(a, b, ["slide"], "injection_time", "detection_time", "event_id", width).collect()
+        assert sorted((g.slide, g.injection_time, g.event_id) for g in got) == want
+    grid = spark.createDataFrame([(float(x), float(x * x)) for x in range(0, 100, 3)], "x double, y double")
+    q = spark.createDataFrame([(v,) for v in (-5.0, 0.0, 1.0, 50.2, 99.0, 120.0, None)], "q double")
+    for width in (2.0, 64.0):
+        got = {g.q: g.out for g in matching.interpolate(q, "q", grid, "x", "y", "out", width).collect()}
+        assert got.pop(None) is None
+        assert all(v == pytest.approx(np.interp(k, np.arange(0, 100, 3), np.arange(0, 100, 3.0) ** 2)) for k, v in got.items())
+
+
+def test_merged_intervals(spark):
+    r = np.random.default_rng(11)
+    rows = [(int(g), float(s), float(s + w)) for g, s, w in zip(r.integers(0, 2, 200), r.integers(0, 900, 200), r.integers(0, 9, 200))]
+    got = sorted(tuple(x) for x in intervals.merge(spark.createDataFrame(rows, "g long, start double, stop double"), ["g"]).collect())
+    want = []
+    for g, s, e in sorted(x for x in rows if x[1] < x[2]):
+        if want and want[-1][0] == g and s <= want[-1][2]:
+            want[-1] = (g, want[-1][1], max(want[-1][2], e))
+        else:
+            want.append((g, s, e))
+    assert got == want
+
+
+def test_silence_is_told_without_a_later_block(spark, tmp_path):
+    import time
+
+    at = lambda k: datetime.datetime(2024, 1, 1, 0, 0) + datetime.timedelta(seconds=10 * k)
+    batches = [[(0, k, at(k), 1.0, True) for k in range(3)] + [(1, 0, at(0), 1.0, True)], [(0, k, at(k), 1.0, True) for k in range(3, 30)], [(0, 30, at(30), 1.0, True)], [(1, 30, at(30), 1.0, True)]]
+    for rows in batches:
+        spark.createDataFrame(rows, "ifo long, i long, ts timestamp, y double, ready boolean").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(1.1)
+    stream = live.follow(spark, str(tmp_path / "in"), "ifo long, i long, ts timestamp, y double, ready boolean", 1)
+    got = live.drain(live.Gaps("60 seconds").apply(stream)).select("ifo", "first", "missing").collect()
+    assert [tuple(g) for g in got] == [(1, 1, None)]
+
+
 def test_signal_jobs(spark):
     r = np.random.default_rng(5)
     x = r.normal(0, 1, (40, 512))
