@@ -11,7 +11,11 @@ the most frequent ones first: with e empty segments and d of the first c that ha
 two shingles or more, links keep a weight of m - e + d - h in equal
 segments, and all but one of that may go. As all documents rank keys alike, the rarest segment of
 a link is kept by both sides. Documents that have nothing to spare emit their empty
-segments too, and meet each other there. m and c are chosen per band for the least expected number of keys.
+segments too, and meet each other there. m and c are chosen per band, among all pairs that
+suffice, for the least expected number of keys.
+
+Keys that many rows have are found in a sample and dealt by salt wherever rows meet by key; the
+sample decides on that alone.
 
 A document takes part in its own band and in those of sizes that it could link down
 to. Documents that meet are not compared pair by pair: each key's smallest document is
@@ -37,7 +41,7 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ._store import size_of, staged
+from ._store import size_of, staged, unused
 from ._vector import BASE, U64, chunks, mix, powers, text_bytes, word_hashes, word_spans
 
 SHINGLE = 4
@@ -51,6 +55,8 @@ BLOCK_LEFT, BLOCK_ALL = 256, 1024
 #: Segments per difference that a link may have, at least: what is above 1 can be spared.
 ROOM = 1.25
 _SEEN = 200_000
+#: One in SAMPLED rows tells which keys are heavy: SEEN_OFTEN of them have it. At most HEAVY keys, the heaviest, are dealt over SALTS parts.
+SAMPLED, SEEN_OFTEN, HEAVY, SALTS = 64, 8, 50_000, 32
 
 
 def shingles(raw: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -118,26 +124,27 @@ def differences(n: int, k: int, num: int, den: int) -> int:
     return (den - num) * (n + largest) // (den + num)
 
 
-@lru_cache(maxsize=None)
-def plan(k: int, num: int, den: int) -> tuple[int, int]:
-    """Segments m of band k, and how many of them have one-deletion keys."""
+def expected_keys(k: int, m: int, c: int, num: int, den: int) -> float:
+    """What a set of band k makes of m segments, c of them with one-deletion keys; running out of segments to spare costs."""
     lo, hi = band_edges(k)
-    h = differences(hi, k, num, den)
     mean = (lo + hi) / 2
-    best, least = float("inf"), -int(-ROOM * (h + 1) // 1)
-    chosen = (least, 0)
-    for m in range(least, least + 6):
-        for c in range(min(4, m + 1)):
-            empty = (1 - 1 / m) ** mean
-            p = (1 - empty) ** m if empty < 1 else 0.0  # no empty segment; then one, two, ...
-            fail = 1 - p
-            for e in range(1, min(m, m - h - 1 + c, 60) + 1):
-                p *= (m - e + 1) / e * empty / max(1 - empty, 1e-300)
-                fail -= p
-            cost = m + c * mean / m + 200 * max(0.0, fail) * m  # an overflow's keys meet many others'
-            if cost < best:
-                best, chosen = cost, (m, c)
-    return chosen
+    empty = (1 - 1 / m) ** mean
+    p = (1 - empty) ** m if empty < 1 else 0.0  # no empty segment; then one, two, ...
+    fail = 1 - p
+    for e in range(1, min(m, m - differences(hi, k, num, den) - 1 + c, 400) + 1):
+        p *= (m - e + 1) / e * empty / max(1 - empty, 1e-300)
+        fail -= p
+    return m + c * mean / m + 200 * max(0.0, fail) * m  # an overflow's keys meet many others'
+
+
+@lru_cache(maxsize=None)
+def plan(k: int, num: int, den: int) -> tuple[int, int]:
+    """Segments m of band k, and how many of them have one-deletion keys: together as many as a link may have differences, and ROOM."""
+    need = -int(-ROOM * (differences(band_edges(k)[1], k, num, den) + 1) // 1)
+    most = need + 6
+    some = sorted({*range((need + 1) // 2, most, max(1, need // 60)), *range(need, most)})
+    each = ((m, c) for m in some for c in range(max(0, need - m), min(max(0, need - m) + 4, m + 1)))
+    return min(each, key=lambda x: expected_keys(k, *x, num, den))
 
 
 def keys_of(hashes: np.ndarray, num: int, den: int) -> tuple[np.ndarray, list[int]]:
@@ -177,9 +184,9 @@ _SETS = "row long, id long, n long, print_hi long, print_lo long"
 
 
 def _sets(docs: DataFrame, id_col: str, text_col: str, size: int, what: str, num: int = NUM, den: int = DEN) -> DataFrame:
-    """Rows (row, id, n, print_hi, print_lo) and, by ``what``, the column keys or hashes.
+    """Rows (row, id, n, print_hi, print_lo) and, by ``what``, the column hashes, or keys and what can be spared in each key's band.
 
-    Keys are given once per distinct set and worker, as far as a worker remembers; rows with null ids have none.
+    Keys are given once per distinct set and task, for its first row there, or more often when a task has too many to remember; rows with null ids have none.
     """
     column = {"keys": "keys array<long>, spare array<int>", "hashes": "hashes array<long>"}[what]
 
@@ -203,7 +210,9 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, size: int, what: str, num
                         p = int(high[i]) << 64 | int(low[i])
                         keys, spare = (np.zeros(0, U64), []) if not n or not named[lo + i] or p in seen else keys_of(hashes[e - n : e], num, den)
                         lists.append(keys)
-                        spares.append(spare)
+                        by_band = np.zeros(128, np.int32)
+                        by_band[spare[::2]] = spare[1::2]
+                        spares.append(by_band[(keys & U64(255)).astype(np.int64) >> 1])
                         if named[lo + i] and len(seen) < _SEEN:
                             seen.add(p)
                     taken += len(lists[-1])
@@ -215,7 +224,7 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, size: int, what: str, num
                     pa.array(high.view(np.int64)), pa.array(low.view(np.int64)), pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(flat)),
                 ]
                 if what == "keys":
-                    cols.append(pa.array(spares, pa.list_(pa.int32())))
+                    cols.append(pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(np.concatenate(spares) if taken else np.zeros(0, np.int32))))
                 yield pa.RecordBatch.from_arrays(cols, ["row", "id", "n", "print_hi", "print_lo", *(["keys", "spare"] if what == "keys" else ["hashes"])])
 
     return docs.select(
@@ -271,21 +280,21 @@ def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return full.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def spare_of(spare: Column, band: Column) -> Column:
-    """What a set can spare in a band: the number after the band's."""
-    bands = F.filter(spare, lambda x, i: i % 2 == 0)
-    return F.element_at(F.filter(spare, lambda x, i: i % 2 == 1), F.array_position(bands, band).cast("int"))
+def _told(rows: DataFrame, facts: DataFrame) -> DataFrame:
+    """``rows`` (key, salt, ...) with the facts of their keys, a row per key; those of heavy keys, which have salts, by broadcast."""
+    heavy = facts.join(F.broadcast(rows.where("salt >= 0").select("key").distinct()), "key", "left_semi")
+    return rows.where("salt < 0").join(facts, "key").unionByName(rows.where("salt >= 0").join(F.broadcast(heavy), "key"))
 
 
 def _within_families(at: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Links between members of one family in different components.
 
-    ``at`` has (key, id, component). A family is what hangs together by keys; its members outside
+    ``at`` has (key, salt, id, component). A family is what hangs together by keys; its members outside
     its largest component are compared with all its members, a block of each at a time. So a
     member's set is sent once per block of the others and no pair is a row.
     """
-    first = at.groupBy("key").agg(F.min("id").alias("a"))
-    family = connected(at.join(first, "key").select("a", F.col("id").alias("b"))).withColumnRenamed("component", "family")
+    first = staged(at.groupBy("key").agg(F.min("id").alias("a")), "firsts")
+    family = connected(_told(at, first).select("a", F.col("id").alias("b"))).withColumnRenamed("component", "family")
     members = staged(at.select("id", "component").distinct().join(family, "id"), "members")
     parts = members.groupBy("family", "component").agg(F.count(F.lit(1)).alias("k"))
     main = parts.groupBy("family").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.sum("k").alias("all"), (F.sum("k") - F.max("k")).alias("left"))
@@ -334,26 +343,27 @@ def _block_links(some: pa.Table, others: pa.Table, num: int, den: int) -> tuple[
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, num: int = NUM, den: int = DEN) -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, component_id (the smallest id reachable by links)."""
-    spark = docs.sparkSession
     rows = staged(_sets(docs, id_col, text_col, size, "keys", num, den), "sets")
     # equal sets are one, named by its first row; ids come back for the components only
     prints = ["n", "print_hi", "print_lo"]
-    able = rows.where("n > 0 and id is not null")
-    groups = able.groupBy(*prints).agg(F.min("row").alias("set"), F.min("id").alias("rep"))
-    of = staged(able.select("row", "id", *prints).join(groups, prints).select("row", "id", "set", "rep", *prints), "reps")
-    # keys that several sets share; of those a set leaves out the most frequent ones that it can spare
-    met = able.where("size(keys) > 0").select(F.explode("keys").alias("key"), "row").repartition("key")
-    shared = met.groupBy("key").agg(F.min("row").alias("lo"), F.max("row").alias("hi")).where("lo != hi").select("key")
-    hits = staged(met.join(shared, "key").join(of.select("row", "set"), "row").select("key", F.col("set").alias("id")).distinct(), "shared")
-    often = hits.groupBy("key").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
-    spare = able.where("size(keys) > 0").select("row", "spare").join(of.select("row", "set"), "row").groupBy(F.col("set").alias("id")).agg(F.min("spare").alias("spare"))
-    band, free = F.expr("int(key & 255) div 2"), F.col("key").bitwiseAND(1) == 1
-    hits = hits.join(often, "key").join(spare, "id").withColumns({"band": band, "free": free})
-    hits = hits.withColumn("place", F.row_number().over(Window.partitionBy("id", "band", "free").orderBy(F.desc("often"), "key")))
-    hits = hits.where(~F.col("free") | (F.col("place") > spare_of(F.col("spare"), F.col("band"))))
-    hits = staged(hits.select("key", "id"), "hits")
-    pivots = hits.groupBy("key").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("k")).where("k > 1").select("key", "a")
-    met_first = hits.join(pivots, "key").where("id != a").select("a", F.col("id").alias("b")).distinct()
+    able = rows.where("n > 0 and id is not null").withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)))
+    parts = able.groupBy(*prints, "salt").agg(F.min("row").alias("set"), F.min("id").alias("rep"))
+    groups = parts.select(*prints, "salt").join(parts.groupBy(*prints).agg(F.min("set").alias("set"), F.min("rep").alias("rep")), prints)
+    of = staged(able.select("row", "id", "salt", *prints).join(groups, [*prints, "salt"]).select("row", "id", "set", "rep", *prints), "reps")
+    # keys that several rows have; of those a set leaves out the most frequent ones that it can spare
+    met = able.select("row", F.explode(F.arrays_zip("keys", "spare")).alias("k")).select("row", F.col("k.keys").alias("key"), F.col("k.spare").alias("spare"))
+    sampled = met.where(F.pmod(F.xxhash64("row", F.lit(7)), F.lit(SAMPLED)) == 0).groupBy("key").agg((F.count(F.lit(1)) * SAMPLED).alias("about"))
+    heavy = staged(sampled.where(F.col("about") >= SEEN_OFTEN * SAMPLED).orderBy(F.desc("about"), "key").limit(HEAVY), "heavy")
+    met = met.join(F.broadcast(heavy), "key", "left").withColumn("salt", F.when(F.col("about").isNull(), -1).otherwise(F.pmod(F.hash("row"), F.lit(SALTS))))
+    # all rows of a key rank it alike: by their number, a heavy one by what the sample says
+    often = F.coalesce("about", F.count(F.lit(1)).over(Window.partitionBy("key", "salt")))
+    hits = met.repartition("key", "salt").withColumn("often", often).where("often > 1")
+    free = F.col("key").bitwiseAND(1) == 1
+    order = Window.partitionBy("row", F.expr("int(key & 255) div 2"), free).orderBy(F.desc("often"), "key")
+    hits = hits.withColumn("place", F.row_number().over(order)).where(~free | (F.col("place") > F.col("spare")))
+    hits = staged(hits.join(of.where("row = set").select("row"), "row", "left_semi").select("key", "salt", F.col("row").alias("id")), "hits")
+    pivots = staged(hits.groupBy("key").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("k")).where("k > 1").select("key", "a"), "pivots")
+    met_first = _told(hits, pivots).where("id != a").select("a", F.col("id").alias("b")).distinct()
     pairs = staged(met_first, "pairs")
     # full sets of whoever has a partner, from the texts of an id that each is found under
     partners = pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct()
@@ -370,19 +380,19 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     label = connected(links.union(same))
     tested = pairs
     for turn in range(ROUNDS + 1):
-        at = hits.join(label, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+        at = hits.join(label, "id", "left").select("key", "salt", "id", F.coalesce("component", "id").alias("component"))
         # of two documents that meet, one is the other's partner already
         mixed = at.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count(F.lit(1)).alias("k")).where("c0 != c1 and k > 2")
-        at = staged(at.join(mixed.select("key"), "key"), "mixed")
+        at = staged(_told(at, staged(mixed.select("key"), "mixed-keys")), "mixed")
         if not at.limit(1).count():
             break
-        hits = at.select("key", "id")
+        hits = at.select("key", "salt", "id")
         if turn < ROUNDS:
             # one partner per key: a member of its largest component, another one each time
             order = F.xxhash64("id", F.lit(turn))
             to = at.groupBy("key", "component").agg(F.count(F.lit(1)).alias("k"), F.min_by("id", order).alias("one"))
-            to = to.groupBy("key").agg(F.max_by(F.struct("component", "one"), F.struct("k", "component")).alias("to"))
-            new = at.join(to, "key").where("component != to.component").select(F.least("id", "to.one").alias("a"), F.greatest("id", "to.one").alias("b"))
+            to = staged(to.groupBy("key").agg(F.max_by(F.struct("component", "one"), F.struct("k", "component")).alias("to")), "partners")
+            new = _told(at, to).where("component != to.component").select(F.least("id", "to.one").alias("a"), F.greatest("id", "to.one").alias("b"))
             new = staged(new.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
             found = staged(_linked(new, sets, num, den), "links")
             tested = tested.union(new)
@@ -394,16 +404,27 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # the smallest id of each component that has several
     named = of.select("id", "set").join(label.withColumnRenamed("id", "set"), "set", "left").select("id", F.coalesce("component", "set").alias("part"))
     least = named.groupBy("part").agg(F.min("id").alias("component"), F.max("id").alias("last")).where("component != last").select("part", "component")
-    out = rows.select("id", "n").join(named.join(least, "part").select("id", "component").distinct(), "id", "left")
+    named = named.join(least, "part").select("id", "component").distinct()
+    out = rows.where("id is not null").select("id", "n").join(named, "id", "left").unionByName(rows.where("id is null").select("id", "n", F.lit(None).cast("long").alias("component")))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs``, whole, of which one per component stays: that with the smallest id.
+    """The rows of ``docs``, whole, of which one document per component stays: that with the smallest id.
 
-    Only the ids that go are joined to the rows.
+    An id names a document: all its texts go or stay, and of its rows with one text one stays. Rows with
+    null ids stay. Only the ids that go, and those of several rows, are joined to the rows.
     """
-    found = components(docs, id_col, text_col, **options)
-    gone = staged(found.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct(), "gone")
-    gone = F.broadcast(gone) if size_of(gone) <= BROADCAST_BYTES else gone
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    found = staged(components(docs, id_col, text_col, **options).select(F.col(id_col).alias("id"), F.col("component_id").alias("to")), "components")
+    gone = found.where("id != to").select("id", F.lit(False).alias("stays"))
+    again = found.where("id = to").groupBy("id").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("id", F.lit(True).alias("stays"))
+    i, stays = unused(docs, "_join_id"), unused(docs, "_join_stays")
+    marks = staged(gone.distinct().unionByName(again), "marks").withColumnsRenamed({"id": i, "stays": stays})
+    some = F.broadcast(marks) if size_of(marks) <= BROADCAST_BYTES else marks
+    rows = docs.join(some, docs[id_col].cast("long") == F.col(i), "left")
+    columns = [docs[c] for c in docs.columns]
+    out = rows.where(F.col(stays).isNull()).select(*columns)
+    if marks.where(F.col(stays)).limit(1).count():
+        one = rows.where(F.col(stays)).groupBy(i, F.sha2(docs[text_col], 256)).agg(F.first(F.struct(*columns)).alias("row"))
+        out = out.unionByName(one.select("row.*"))
+    return out
