@@ -45,16 +45,19 @@ def importance(df: DataFrame, weight: str) -> DataFrame:
     return df.join(F.broadcast(total)).withColumn(weight, F.col(weight) / F.col("_total")).drop("_total")
 
 
-def volume(df: DataFrame, thresholds: DataFrame, stat: str, weight: str, v0: float) -> DataFrame:
-    """Sensitive volume and its error at each threshold, by running sums instead of a product of tables."""
-    rows = thresholds.select(F.col("threshold").alias("_x"), F.lit(0.0).alias("w"), F.lit(0.0).alias("w2"), F.lit(True).alias("asked")).unionByName(
-        df.select(F.col(stat).alias("_x"), F.col(weight).alias("w"), (F.col(weight) * F.col(weight)).alias("w2"), F.lit(False).alias("asked"))
-    )
-    out = running(rows, "_x", {"mu": "w", "s2": "w2"}, ties=True).where("asked")
-    total = df.agg(F.sum(F.col(weight) * F.col(weight)).alias("all2"))
-    out = out.join(F.broadcast(total))
-    variance = (1 - 2 * F.col("mu")) * F.col("s2") + F.col("mu") * F.col("mu") * F.col("all2")
-    return out.select(F.col("_x").alias("threshold"), (F.col("mu") * v0).alias("volume"), (F.sqrt(variance) * v0).alias("sigma"))
+def volume(df: DataFrame, thresholds: DataFrame, stat: str, weights: dict[str, str], v0: float) -> DataFrame:
+    """(name, threshold, volume, sigma): sensitive volume and its error of each weighting at each threshold, in one pass of running sums."""
+    ask = thresholds.select(F.col("threshold").alias("_x"), *(F.lit(0.0).alias(f"w{i}") for i in range(len(weights))), F.lit(True).alias("asked"))
+    rows = df.select(F.col(stat).alias("_x"), *(F.col(w).alias(f"w{i}") for i, w in enumerate(weights.values())), F.lit(False).alias("asked"))
+    sums = {f"mu{i}": f"w{i}" for i in range(len(weights))} | {f"s{i}": f"w{i} * w{i}" for i in range(len(weights))}
+    out = running(ask.unionByName(rows), "_x", sums, ties=True).where("asked")
+    out = out.join(F.broadcast(df.agg(*(F.sum(F.col(w) * F.col(w)).alias(f"all{i}") for i, w in enumerate(weights.values())))))
+    each = []
+    for i, name in enumerate(weights):
+        mu = F.col(f"mu{i}")
+        variance = (1 - 2 * mu) * F.col(f"s{i}") + mu * mu * F.col(f"all{i}")
+        each.append(F.struct(F.lit(name).alias("name"), (mu * v0).alias("volume"), (F.sqrt(F.greatest(variance, F.lit(0.0))) * v0).alias("sigma")))
+    return out.select(F.col("_x").alias("threshold"), F.inline(F.array(*each))).select("name", "threshold", "volume", "sigma")
 
 
 def threshold_grid(df: DataFrame, stat: str, max_far: float, tb: float) -> DataFrame:
@@ -65,13 +68,16 @@ def threshold_grid(df: DataFrame, stat: str, max_far: float, tb: float) -> DataF
 
 
 def log_vt(df: DataFrame, thresholds: DataFrame, stat: str, log_weight: str, span: float, drawn: int) -> DataFrame:
-    """log VT and the effective number of events at each threshold, by sums of exponentials shifted by the largest."""
+    """log VT, the logarithm of its error and the effective number of events at each threshold, by sums of exponentials shifted by the largest."""
     top = df.agg(F.max(log_weight).alias("m"))
     e = F.exp(F.col(log_weight) - F.col("m"))
     rows = df.join(F.broadcast(top)).select(F.col(stat).alias("_x"), e.alias("e"), (e * e).alias("e2"), F.lit(False).alias("asked"))
     rows = rows.unionByName(thresholds.select(F.col("threshold").alias("_x"), F.lit(0.0).alias("e"), F.lit(0.0).alias("e2"), F.lit(True).alias("asked")))
     out = running(rows, "_x", {"s1": "e", "s2": "e2"}, ties=True).where("asked and s1 > 0").join(F.broadcast(top))
-    return out.select(F.col("_x").alias("threshold"), (math.log(span) - math.log(drawn) + F.col("m") + F.log("s1")).alias("log_vt"), (F.col("s1") * F.col("s1") / F.col("s2")).alias("n_eff"))
+    scale, rest = math.log(span) - math.log(drawn) + F.col("m"), F.col("s2") - F.col("s1") * F.col("s1") / drawn
+    return out.select(
+        F.col("_x").alias("threshold"), (scale + F.log("s1")).alias("log_vt"), (scale + F.log(rest) / 2).alias("log_sigma"), (F.col("s1") * F.col("s1") / rest).alias("n_eff")
+    )
 
 
 def log_spin_density(spin: Column, largest: Column) -> Column:
@@ -132,9 +138,28 @@ def survival(df: DataFrame, stat: str, bins: int) -> DataFrame:
     return all_bins.select("bin", F.sum(F.coalesce("n", F.lit(0))).over(Window.orderBy(F.desc("bin"))).alias("survivors"), (F.col("lo") + (F.col("bin") + 0.5) * width).alias("centre"))
 
 
-def rate(df: DataFrame, time: str, seconds: int) -> DataFrame:
-    """(hour, n): events per span of seconds from the first event's whole hour on, empty spans included."""
+def rate(df: DataFrame, time: str, seconds: int, back: int | None = None) -> DataFrame:
+    """(hour, n): events per span of seconds from the first event's whole hour on, empty spans included; with ``back`` only spans that begin so many seconds before the last event, or later."""
     first = F.broadcast(df.agg(F.min(F.unix_timestamp(F.date_trunc("hour", time))).alias("a"), F.max(F.unix_timestamp(time)).alias("b")))
     n = df.join(first).groupBy(F.expr(f"(unix_timestamp({time}) - a) div {seconds}").alias("k")).agg(F.count(F.lit(1)).alias("n"))
-    spans = first.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(b - a) div {seconds}"))).alias("k"))
+    spans = first.select("a", "b", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(b - a) div {seconds}"))).alias("k"))
+    if back is not None:
+        spans = spans.where(F.col("a") + F.col("k") * seconds >= F.col("b") - back)
     return spans.join(n, "k", "left").select((F.col("a") + F.col("k") * seconds).alias("hour"), F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+
+
+def log_bins(df: DataFrame, by: str, value: str, bins: int) -> DataFrame:
+    """(by, bin, n, median, p90): counts in bins of equal ratio from the least to the largest value above 0, empty ones included; null values are dropped."""
+    rows = df.where(F.col(value) > 0)
+    facts = rows.groupBy(by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.median(value).alias("median"), F.percentile(value, 0.9).alias("p90"))
+    place = F.when(F.col("_hi") > F.col("_lo"), F.floor(F.log(F.col(value) / F.col("_lo")) / F.log(F.col("_hi") / F.col("_lo")) * bins)).otherwise(0)
+    n = rows.join(facts, by).groupBy(by, F.least(place, F.lit(bins - 1)).cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    every = facts.select(by, "median", "p90", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bins - 1).cast("long"))).alias("bin"))
+    return every.join(n, [by, "bin"], "left").select(by, "bin", F.coalesce("n", F.lit(0).cast("long")).alias("n"), "median", "p90")
+
+
+def poisson_interval(mean: Column, z: float) -> tuple[Column, Column]:
+    """About where a count of this mean lies within z standard deviations (Wilson and Hilferty), half a count wider and not below 0."""
+    low = mean * F.pow(1 - 1 / (9 * mean) - z / (3 * F.sqrt(mean)), F.lit(3))
+    up = mean + 1
+    return F.greatest(low - 0.5, F.lit(0.0)), up * F.pow(1 - 1 / (9 * up) + z / (3 * F.sqrt(up)), F.lit(3)) + 0.5

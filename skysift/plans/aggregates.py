@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from ..functions import columns as c
-from ..operators import ranks, sensitivity, series
+from ..operators import cosmology, ranks, sensitivity, series
 from .registry import Views, query
 
 col = F.col
@@ -88,14 +88,52 @@ def importance_weights(v: Views):
     return _weights(v).groupBy("recovered").agg(F.count(F.lit(1)).alias("n"), r(F.sum("w"), 8).alias("total"), r(F.sum(col("w") * col("w")), 10).alias("squares"))
 
 
-@query("sensitive_volume", _W + """
-, t as (select k * 10.0::double as threshold from range(0, 11) t(k)), m as (select threshold, coalesce(sum(w) filter (s >= threshold), 0) as mu from t, (select * from w where recovered) group by threshold)
-select threshold, round(mu * 1000, 6) as volume, round(sqrt((select sum(pow(w * (case when s >= threshold then 1 else 0 end - mu), 2)) from w where recovered)) * 1000, 6) as sigma from m
-""")
-def sensitive_volume(v: Views):
+#: Pairs of masses that volumes are told for.
+PAIRS = [(35.0, 35.0), (35.0, 20.0), (20.0, 20.0), (20.0, 10.0)]
+_PAIR_SQL = """
+, pw as (select * from (values {pairs}) t(name, a, b)),
+pw0 as (select name, detection_statistic as s, recovered, exp(-(pow(ln(mass_1 / a), 2) + pow(ln(mass_2 / b), 2)) / 0.5) / (1 + redshift) as w from camp, pw),
+pwn as (select name, s, recovered, w / sum(w) over (partition by name) as w from pw0),
+pvol as (select name, threshold, coalesce(sum(w) filter (s >= threshold), 0) as mu, coalesce(sum(w * w) filter (s >= threshold), 0) as s2, sum(w * w) as a2 from pwn, (select k * 10.0::double as threshold from range(0, 11) t(k)) where recovered group by name, threshold),
+pair_volumes as (select name, threshold, mu * 1000 as volume, sqrt(greatest((1 - 2 * mu) * s2 + mu * mu * a2, 0)) * 1000 as sigma from pvol)
+""".format(pairs=", ".join(f"('{a:g}-{b:g}', {a}::double, {b}::double)" for a, b in PAIRS))
+
+
+def pair_volumes(v: Views):
+    """Volumes per pair of masses and threshold; weights lie log-normally about the pair and sum to 1 over all injections."""
+    names = {f"{a:g}-{b:g}": f"w{i}" for i, (a, b) in enumerate(PAIRS)}
+    near = [F.exp(-(F.pow(F.log(col("mass_1") / a), F.lit(2)) + F.pow(F.log(col("mass_2") / b), F.lit(2))) / 0.5) / (1 + col("redshift")) for a, b in PAIRS]
+    rows = v.camp.select("detection_statistic", "recovered", *(x.alias(n) for x, n in zip(near, names.values())))
+    total = F.broadcast(rows.agg(*(F.sum(n).alias(f"all_{n}") for n in names.values())))
+    rows = rows.join(total).where("recovered").select("detection_statistic", *((col(n) / col(f"all_{n}")).alias(n) for n in names.values()))
     thresholds = v.spark.range(11).select((col("id") * 10.0).alias("threshold"))
-    out = sensitivity.volume(_weights(v).where("recovered"), thresholds, "detection_statistic", "w", 1000.0)
-    return out.select("threshold", r(col("volume")).alias("volume"), r(col("sigma")).alias("sigma"))
+    return sensitivity.volume(rows, thresholds, "detection_statistic", names, 1000.0)
+
+
+@query("sensitive_volume", _PAIR_SQL + " select name, threshold, round(volume, 6) as volume, round(sigma, 6) as sigma from pair_volumes")
+def sensitive_volume(v: Views):
+    return pair_volumes(v).select("name", "threshold", r(col("volume")).alias("volume"), r(col("sigma")).alias("sigma"))
+
+
+#: Volume times time that four searches published per pair of masses, over 149.3747 days.
+PUBLISHED_DAYS = 149.3747
+PUBLISHED = [
+    ("GstLAL", "35-35", 4.1), ("GstLAL", "35-20", 2.3), ("GstLAL", "20-20", 1.34), ("GstLAL", "20-10", 0.6), ("GstLAL", "1.5-1.5", 2.7e-3),
+    ("PyCBC-BBH", "35-35", 4.3), ("PyCBC-BBH", "35-20", 2.5), ("PyCBC-BBH", "20-20", 1.42), ("PyCBC-BBH", "20-10", 0.65), ("PyCBC-BBH", "1.5-1.5", 0.0),
+    ("cWB", "35-35", 2.6), ("cWB", "35-20", 1.35), ("cWB", "20-20", 0.56), ("cWB", "20-10", 0.24), ("cWB", "1.5-1.5", 0.0),
+    ("MBTA", "35-35", 3.3), ("MBTA", "35-20", 1.8), ("MBTA", "20-20", 1.1), ("MBTA", "20-10", 0.51), ("MBTA", "1.5-1.5", 3.4e-3),
+]
+
+
+@query("compare_catalog", _PAIR_SQL + f"""
+, pub as (select * from (values {", ".join(f"('{p}', '{m}', {x!r}::double)" for p, m, x in PUBLISHED)}) t(search, name, vt))
+select search, name, threshold, round(vt * 365 / {PUBLISHED_DAYS}, 6) as published, round(volume, 6) as volume, round(volume / (vt * 365 / {PUBLISHED_DAYS}), 6) as ratio from pub join pair_volumes using (name)
+""")
+def compare_catalog(v: Views):
+    """Published volumes of other searches beside those of this campaign, per pair of masses and threshold."""
+    pub = v.spark.range(1).select(F.inline(F.array(*(F.struct(F.lit(p).alias("search"), F.lit(m).alias("name"), F.lit(x).alias("vt")) for p, m, x in PUBLISHED))))
+    rows = pair_volumes(v).join(F.broadcast(pub), "name").withColumn("published", col("vt") * 365 / PUBLISHED_DAYS)
+    return rows.select("search", "name", "threshold", r(col("published")).alias("published"), r(col("volume")).alias("volume"), r(col("volume") / col("published")).alias("ratio"))
 
 
 @query("far_threshold_grid", f"select detection_statistic as threshold, row_number() over (order by detection_statistic desc) as k, round(row_number() over (order by detection_statistic desc) / {_TB}, 12) as far from ev where slide > 0 order by detection_statistic desc limit 77")
@@ -108,14 +146,15 @@ _D = "(-2.35 * ln(mass_1) - 0.5 * ln(mass_2 + 1) - ln(1 + redshift))"
 
 @query("population_vt", f"""
 , d as (select detection_statistic as s, {_D} as x from camp where recovered), m as (select max(x) as m from d)
-select threshold, round(ln(10.0) - ln((select count(*) from camp)) + m + ln(sum(exp(x - m))), 8) as log_vt, round(pow(sum(exp(x - m)), 2) / sum(exp(2 * (x - m))), 4) as n_eff
+select threshold, round(ln(10.0) - ln((select count(*) from camp)) + m + ln(sum(exp(x - m))), 8) as log_vt, round(ln(10.0) - ln((select count(*) from camp)) + m + ln(sum(exp(2 * (x - m))) - pow(sum(exp(x - m)), 2) / (select count(*) from camp)) / 2, 8) as log_sigma,
+  round(pow(sum(exp(x - m)), 2) / (sum(exp(2 * (x - m))) - pow(sum(exp(x - m)), 2) / (select count(*) from camp)), 4) as n_eff
 from d, m, (select k * 20.0::double as threshold from range(0, 5) t(k)) where s >= threshold group by threshold, m
 """)
 def population_vt(v: Views):
     x = -2.35 * F.log("mass_1") - 0.5 * F.log(col("mass_2") + 1) - F.log(1 + col("redshift"))
     thresholds = v.spark.range(5).select((col("id") * 20.0).alias("threshold"))
     out = sensitivity.log_vt(v.camp.where("recovered").withColumn("x", x), thresholds, "detection_statistic", "x", 10.0, v.camp.count())
-    return out.select("threshold", r(col("log_vt"), 8).alias("log_vt"), r(col("n_eff"), 4).alias("n_eff"))
+    return out.select("threshold", r(col("log_vt"), 8).alias("log_vt"), r(col("log_sigma"), 8).alias("log_sigma"), r(col("n_eff"), 4).alias("n_eff"))
 
 
 @query("population_density", """
@@ -130,25 +169,28 @@ def population_density(v: Views):
     return m.select(r(col("mass_1"), 4).alias("mass_1"), r(col("mass_2"), 4).alias("mass_2"), r(col("redshift"), 4).alias("redshift"), r(density).alias("log_density"))
 
 
-@query("astro_volume", """
-, g as (select k * 0.01 as z, pow(k * 0.01, 2) / (1 + k * 0.01) as y from range(0, 101) t(k)), t as (select z, y, lead(z) over (order by z) as z1, lead(y) over (order by z) as y1 from g)
-select band, round(sum((z1 - z) * (y + y1) / 2) * 2 * pi() * (sin(band) - sin(-band)), 8) as volume from t, (select unnest([0.0, 0.5, pi() / 2]) as band) where z1 is not null group by band
+@query("astro_volume", cosmology.SQL + """
+, b as (select distinct l_discount as z, l_tax * 10 as band from lineitem)
+select round(b.z, 4) as z, round(band, 4) as band, round((volume + (volume1 - volume) * (b.z / 0.0002 - k)) * 2 * pi() * (sin(band) - sin(-band)) / 1e9, 8) as volume from b join cosmos on k = floor(b.z / 0.0002)
 """)
 def astro_volume(v: Views):
-    grid = v.spark.range(101).select((col("id") * 0.01).alias("z")).withColumn("y", F.pow("z", F.lit(2)) / (1 + col("z")))
-    bands = v.spark.range(1).select(F.explode(F.array(F.lit(0.0), F.lit(0.5), F.lit(3.141592653589793 / 2))).alias("band"))
-    return bands.join(F.broadcast(sensitivity.trapezoid(grid, "z", "y"))).select("band", r(col("area") * sensitivity.solid_angle(-col("band"), col("band")), 8).alias("volume"))
+    """Volume in cubic Gpc up to each redshift of the table, within each of its bands about the equator."""
+    b = v.table("lineitem").select(col("l_discount").alias("z"), (col("l_tax") * 10).alias("band")).distinct()
+    out = cosmology.volume_between(b, F.lit(0.0), col("z"), -col("band"), col("band"), "volume")
+    return out.select(r(col("z"), 4).alias("z"), r(col("band"), 4).alias("band"), r(col("volume") / 1e9, 8).alias("volume"))
 
 
-@query("injected_volume", """
-, e as (select min(redshift) as z0, max(redshift) as z1, min(l_tax) - 0.04 as d0, max(l_tax) - 0.04 as d1 from (select l_discount as redshift, l_tax from lineitem))
-select round((pow(z1, 3) - pow(z0, 3)) / 3 * 2 * pi() * (sin(d1) - sin(d0)), 10) as volume from e
+@query("injected_volume", cosmology.SQL + """
+, e as (select min(l_discount) + 0.01 as z0, max(l_discount) as z1, min(l_tax) - 0.04 as d0, max(l_tax) - 0.04 as d1 from lineitem),
+c as (select a.volume + (a.volume1 - a.volume) * (e.z0 / 0.0002 - a.k) as v0, b.volume + (b.volume1 - b.volume) * (e.z1 / 0.0002 - b.k) as v1, d0, d1 from e join cosmos a on a.k = floor(e.z0 / 0.0002) join cosmos b on b.k = floor(e.z1 / 0.0002))
+select round((v1 - v0) * 2 * pi() * (sin(d1) - sin(d0)) / 1e9, 10) as volume from c
 """)
 def injected_volume(v: Views):
+    """Volume in cubic Gpc that the recovered and rejected injections span."""
     rows = v.table("lineitem").select(col("l_discount").alias("redshift"), (col("l_tax") - 0.04).alias("dec"), "l_returnflag")
     both = rows.where("l_returnflag = 'R'").unionByName(rows.where("l_returnflag != 'R'"))
-    e = both.agg(F.min("redshift").alias("z0"), F.max("redshift").alias("z1"), F.min("dec").alias("d0"), F.max("dec").alias("d1"))
-    return e.select(r((F.pow("z1", F.lit(3)) - F.pow("z0", F.lit(3))) / 3 * sensitivity.solid_angle(col("d0"), col("d1")), 10).alias("volume"))
+    e = both.agg((F.min("redshift") + 0.01).alias("z0"), F.max("redshift").alias("z1"), F.min("dec").alias("d0"), F.max("dec").alias("d1"))
+    return cosmology.volume_between(e, col("z0"), col("z1"), col("d0"), col("d1"), "volume").select(r(col("volume") / 1e9, 10).alias("volume"))
 
 
 _KDE = """
@@ -207,28 +249,52 @@ def survival_hist(v: Views):
     return sensitivity.survival(v.ev, "detection_statistic", 100).select("bin", "survivors", r(col("centre")).alias("centre"))
 
 
-@query("latency_stats", "select event_type, round(median(detection_statistic), 6) as median, round(quantile_cont(detection_statistic, 0.9), 6) as p90 from ev where detection_statistic is not null group by event_type")
+@query("latency_stats", """
+, x as (select event_type, detection_statistic as x from ev where detection_statistic > 0), f as (select event_type, min(x) as lo, max(x) as hi, median(x) as median, quantile_cont(x, 0.9) as p90 from x group by event_type),
+n as (select event_type, least(floor(ln(x / lo) / ln(hi / lo) * 29), 28)::bigint as bin, count(*) as n from x join f using (event_type) group by 1, 2)
+select event_type, bin, coalesce(n, 0) as n, round(median, 6) as median, round(p90, 6) as p90 from f cross join range(0, 29) t(bin) left join n using (event_type, bin)
+""")
 def latency_stats(v: Views):
-    return v.ev.groupBy("event_type").agg(r(F.median("detection_statistic")).alias("median"), r(F.percentile("detection_statistic", 0.9)).alias("p90"))
+    return sensitivity.log_bins(v.ev, "event_type", "detection_statistic", 29).select("event_type", "bin", "n", r(col("median")).alias("median"), r(col("p90")).alias("p90"))
 
 
-@query("event_rate", "select epoch_us(h) // 1000000 as hour, count(event_id) as n from (select unnest(generate_series(date_trunc('hour', (select min(ts) from events)), date_trunc('hour', (select max(ts) from events)), interval 4 hour)) as h) left join events on ts >= h and ts < h + interval 4 hour group by 1")
+@query("event_rate", """
+, e as (select date_trunc('hour', min(ts)) as a, max(ts) as b from events),
+s as (select span, step, back from (values ('1 hour', interval 1 hour, interval 1 day), ('4 hours', interval 4 hour, interval 7 day), ('1 day', interval 1 day, interval 1000 day)) t(span, step, back)),
+h as (select span, step, unnest(generate_series(a, b, step)) as h, b, back from e, s)
+select span, epoch_us(h) // 1000000 as hour, count(event_id) as n from (select * from h where epoch_us(h) // 1000000 >= epoch_us(b) // 1000000 - epoch(back)) left join events on ts >= h and ts < h + step group by 1, 2
+""")
 def event_rate(v: Views):
-    return sensitivity.rate(v.events.withColumn("ts", col("ts").cast("timestamp")), "ts", 4 * 3600)
+    """Hours of the last day, four hours of the last week, and days of all time."""
+    rows = v.events.withColumn("ts", col("ts").cast("timestamp"))
+    parts = [sensitivity.rate(rows, "ts", s, back).select(F.lit(name).alias("span"), "hour", "n") for name, s, back in (("1 hour", 3600, 86400), ("4 hours", 4 * 3600, 7 * 86400), ("1 day", 86400, None))]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+_BANDS = ", ".join(f"round(greatest(e * pow(1 - 1 / (9 * e) - {z} / (3 * sqrt(e)), 3) - 0.5, 0), 6) as low_{z}, round((e + 1) * pow(1 - 1 / (9 * (e + 1)) + {z} / (3 * sqrt(e + 1)), 3) + 0.5, 6) as high_{z}" for z in (1, 2, 3))
 
 
-@query("ifar_curve", f", f as (select inj_id, {_TB} / {YEAR} / greatest(nb, 1) as ifar from (select inj_id, (select count(*) from ev where detection_statistic >= snr and slide > 0) as nb from inj)) select round(ifar, 8) as ifar, row_number() over (order by ifar desc, inj_id) as rank from f")
+@query("ifar_curve", f", f as (select inj_id, {_TB} / {YEAR} / greatest(nb, 1) as ifar from (select inj_id, (select count(*) from ev where detection_statistic >= snr and slide > 0) as nb from inj)) select round(ifar, 8) as ifar, row_number() over (order by ifar desc, inj_id) as rank, round(e, 6) as expected, {_BANDS} from (select *, {_TB} / {YEAR} / ifar as e from f)")
 def ifar_curve(v: Views):
+    """Each event's inverse rate and rank, the number of events expected at or above that, and where it lies within 1, 2 and 3 sigma."""
     f = _nb(v).withColumn("ifar", _TB / YEAR / F.greatest("nb", F.lit(1)))
-    return ranks.running(f, "ifar", {"rank": "1L"}, then=("inj_id",)).select(r(col("ifar"), 8).alias("ifar"), "rank")
+    rows = ranks.running(f, "ifar", {"rank": "1L"}, then=("inj_id",)).withColumn("e", _TB / YEAR / col("ifar"))
+    bands = [r(x).alias(f"{n}_{z}") for z in (1, 2, 3) for n, x in zip(("low", "high"), sensitivity.poisson_interval(col("e"), float(z)))]
+    return rows.select(r(col("ifar"), 8).alias("ifar"), "rank", r(col("e")).alias("expected"), *bands)
 
 
 @query("timeslide_auroc", """
-, d as (select score, sum(y) as p, count(*) - sum(y) as n from roc group by score), c as (select *, sum(p) over (order by score desc) as tp, sum(n) over (order by score desc) as fp, sum(p) over () as ap, sum(n) over () as an from d)
-select round(sum((least(fp / an, 0.5) - (fp - n) / an) * ((tp - p) / ap + case when n > 0 then (tp - p) / ap + (p / ap) * (least(fp / an, 0.5) - (fp - n) / an) / (n / an) else tp / ap end) / 2) / 0.5, 8) as auroc from c where (fp - n) / an < 0.5
+, pooled as (select slide, w, max(y) as y from (select slide, i, y, unnest(range(0, 180)) as w from series where slide > 0) where i >= w * 4 and i < w * 4 + 8 and w < 179 group by slide, w),
+scored as (select y as score, 0 as y from pooled union all select avg(detection_statistic) * 3 as score, 1 as y from ev where event_type = 'purchase' group by user_id having avg(detection_statistic) is not null),
+d as (select score, sum(y) as p, count(*) - sum(y) as n from scored group by score), c as (select *, sum(p) over (order by score desc) as tp, sum(n) over (order by score desc) as fp, sum(p) over () as ap, sum(n) over () as an from d)
+select round(sum((least(fp / an, 0.5) - (fp - n) / an) * ((tp - p) / ap + case when n > 0 then (tp - p) / ap + (p / ap) * (least(fp / an, 0.5) - (fp - n) / an) / (n / an) else tp / ap end) / 2) / 0.5, 6) as auroc from c where (fp - n) / an < 0.5
 """)
 def timeslide_auroc(v: Views):
-    return series.auroc(v.roc, "score", "y", 0.5).select(r(col("auroc"), 8).alias("auroc"))
+    """The maxima of pooled background of each shift against the means over the views of each signal, up to half of the false alarms."""
+    background = series.max_pool(v.series.where("slide > 0"), 8, ["slide"]).select(col("y").alias("score"), F.lit(0).alias("label"))
+    views = v.ev.where("event_type = 'purchase'").groupBy("user_id").agg((F.avg("detection_statistic") * 3).alias("score"))
+    rows = background.unionByName(views.where("score is not null").select("score", F.lit(1).alias("label")))
+    return series.auroc(rows, "score", "label", 0.5).select(r(col("auroc"), 6).alias("auroc"))
 
 
 @query("combine_scores", """

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
-from ..operators import intervals, matching, ranks
+from ..operators import cosmology, intervals, matching, ranks
 from ..sources.store import fixed
 from .registry import Views, query
 
@@ -152,13 +152,6 @@ def pair_signals_windows(v: Views):
     return matching.strided(v.ev.select("event_id"), v.inj.select("inj_id"), "event_id", "inj_id")
 
 
-@query("compare_catalog", "select n_name, round(sum(o_totalprice) * 365 / 149.3747, 2) as volume from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey group by n_name")
-def compare_catalog(v: Views):
-    nation, customer = v.table("nation"), v.table("customer")  # a catalogue of fixed size
-    rows = v.table("orders").join(customer, F.expr("o_custkey = c_custkey")).join(F.broadcast(nation), F.expr("c_nationkey = n_nationkey"))
-    return rows.groupBy("n_name").agg(r(F.sum("o_totalprice") * 365 / 149.3747, 2).alias("volume"))
-
-
 @query("common_span", "select max(a) as start, min(b) as stop from (select flag, min(start) as a, max(stop) as b from seg group by flag)")
 def common_span(v: Views):
     return v.seg.groupBy("flag").agg(F.min("start").alias("a"), F.max("stop").alias("b")).agg(F.max("a").alias("start"), F.min("b").alias("stop"))
@@ -175,17 +168,17 @@ def grid_interp(v: Views):
     return matching.interpolate(q, "x", grid, "gx", "gy", "y").select("event_id", r(col("y")).alias("y"))
 
 
-_Z = "(k * 0.001 * (1 + k * 0.0005))"
-
-
-@query("distance_redshift", f"""
-, g as (select k, {_Z} as value, (k + 1) * 0.001 * (1 + (k + 1) * 0.0005) as next from range(0, 200) t(k)), z as (select distinct redshift from camp)
-select round(redshift, 4) as redshift, round(value + (next - value) * (redshift / 0.001 - k), 8) as distance from z join g on floor(redshift / 0.001) = k
+@query("distance_redshift", cosmology.SQL + """
+, z as (select distinct redshift as x from camp), d as (select distinct l_quantity * 10 + 0.5 as x from lineitem)
+select 'distance' as of_what, round(x, 4) as x, round(distance + (distance1 - distance) * (x / 0.0002 - k), 6) as y from z join cosmos on k = floor(x / 0.0002)
+union all select 'redshift', round(x, 4), round(z + (z1 - z) * (x - distance) / (distance1 - distance), 8) from d join cosmos on x >= distance and x < distance1
 """)
 def distance_redshift(v: Views):
-    grid = v.spark.range(200).select(col("id").alias("k"), F.expr(_Z.replace("k", "id")).alias("value"), F.expr(_Z.replace("k", "(id + 1)")).alias("next"))
-    z = v.camp.select("redshift").distinct()
-    return matching.uniform_grid(z, col("redshift"), 0.0, 0.001, grid, "distance").select(r(col("redshift"), 4).alias("redshift"), r(col("distance"), 8).alias("distance"))
+    """Luminosity distances of all redshifts, and redshifts of all distances."""
+    there = cosmology.at_redshift(v.camp.select(col("redshift").alias("x")).distinct(), col("x"), "distance", "y")
+    back = cosmology.redshift_at(v.table("lineitem").select((col("l_quantity") * 10 + 0.5).alias("x")).distinct(), "x", "y")
+    parts = [rows.select(F.lit(name).alias("of_what"), r(col("x"), 4).alias("x"), r(col("y"), n).alias("y")) for rows, name, n in ((there, "distance", 6), (back, "redshift", 8))]
+    return parts[0].unionByName(parts[1])
 
 
 @query("veto_counts", """

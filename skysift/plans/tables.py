@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..sources import ledger
+from ..sources import ledger, logs
 from ..sources.store import folder
 from .registry import Views, query
 
@@ -109,19 +109,29 @@ def ingest_event_artifacts(v: Views):
     return e.join(v.spark.read.parquet(f"{path}/p_astro"), "user_id", "left").join(q, "user_id", "left").select("event_id", "user_id", "detection_time", "p_astro", "submitted")
 
 
-@query("artifact_join", "select o_orderkey, o_custkey, c_nationkey, n_name from orders left join customer on o_custkey = c_custkey left join nation on c_nationkey = n_nationkey")
+@query("artifact_join", """
+, e as (select event_id, user_id from ev where event_type = 'signup'), p as (select user_id, round(avg(detection_statistic), 6) as p_astro from ev where event_type = 'click' group by user_id),
+l as (select user_id, round(max(detection_time) - min(detection_time), 3) as latency from ev where event_type = 'purchase' group by user_id), q as (select user_id, count(*) as samples from ev where event_type = 'error' group by user_id)
+select event_id, user_id, p_astro, latency, samples from e left join p using (user_id) left join l using (user_id) left join q using (user_id)
+""")
 def artifact_join(v: Views):
-    customer, nation = v.table("customer"), v.table("nation")
-    return v.table("orders").join(customer, F.col("o_custkey") == customer.c_custkey, "left").join(nation, F.col("c_nationkey") == nation.n_nationkey, "left").select("o_orderkey", "o_custkey", "c_nationkey", "n_name")
+    """Each event with its probability, latency and posterior; what is missing stays null."""
+    kind = lambda k: v.ev.where(F.col("event_type") == k)
+    p = kind("click").groupBy("user_id").agg(F.round(F.avg("detection_statistic"), 6).alias("p_astro"))
+    latency = kind("purchase").groupBy("user_id").agg(F.round(F.max("detection_time") - F.min("detection_time"), 3).alias("latency"))
+    q = kind("error").groupBy("user_id").agg(F.count(F.lit(1)).alias("samples"))
+    return kind("signup").select("event_id", "user_id").join(p, "user_id", "left").join(latency, "user_id", "left").join(q, "user_id", "left").select("event_id", "user_id", "p_astro", "latency", "samples")
 
 
-@query("scan_logs", "select event_type as day, count(*) as n, min(event_id) as first from ev group by event_type")
+@query("scan_logs", "select row_number() over (order by event_type, event_id) - 1 as line, event_type || ' ' || event_id as value from ev")
 def scan_logs(v: Views):
+    """Logs written before the start are passed over; the others' lines follow each other in the order of the files' names."""
     path = folder(v.spark, "logs")
-    v.ev.select(F.col("event_id").cast("string").alias("value"), "event_type").write.partitionBy("event_type").text(path)
-    lines = v.spark.read.option("recursiveFileLookup", "true").option("modifiedAfter", "2020-01-01T00:00:00").text(path)
-    day = F.regexp_extract(F.col("_metadata.file_path"), "event_type=([^/]+)/", 1)
-    return lines.select(F.col("value").cast("long").alias("event_id"), day.alias("day")).groupBy("day").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first"))
+    lines = v.ev.select(F.concat_ws(" ", "event_type", F.col("event_id").cast("string")).alias("value"), "event_type", "event_id").repartition("event_type").sortWithinPartitions("event_type", "event_id")
+    v.spark.range(3).select(F.concat(F.lit("old "), F.col("id")).alias("value"), F.lit("aaa").alias("event_type")).write.partitionBy("event_type").text(path)
+    start = logs.pause(v.spark, path)
+    lines.drop("event_id").write.mode("append").partitionBy("event_type").text(path)
+    return logs.scan(v.spark, path, start)
 
 
 @query("scan_gates", "select round(center, 3) as center, half::double as window, 0.5::double as taper from (select (start + stop) / 2 as center, (stop - start) / 2 as half from veto where category = 'GATES')")
