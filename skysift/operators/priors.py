@@ -12,13 +12,19 @@ from .sampling import uniform as hashed_uniform
 
 #: A distribution: from a uniform number in [0, 1) to a value.
 Distribution = Callable[[Column], Column]
+#: A hook: from a table to a table.
+Transform = Callable[[DataFrame], DataFrame]
 
 
-def draw(rows: DataFrame, key: str, prior: dict[str, Distribution], seed: int) -> DataFrame:
-    """``rows`` with a column per parameter, in order, so that later ones may depend on earlier ones."""
+def draw(rows: DataFrame, key: str, prior: dict[str, Distribution], seed: int, convert: Transform | None = None, keep: Column | None = None) -> DataFrame:
+    """``rows`` with a column per parameter, in order, so that later ones may depend on earlier ones.
+
+    ``convert`` adds what follows from the drawn parameters; of the rows those stay that ``keep`` holds for.
+    """
     for name, f in prior.items():
         rows = rows.withColumn(name, f(hashed_uniform(F.col(key), name, str(seed))))
-    return rows
+    rows = convert(rows) if convert is not None else rows
+    return rows.where(keep) if keep is not None else rows
 
 
 def uniform(lo: float | Column, hi: float | Column) -> Distribution:

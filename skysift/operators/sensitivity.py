@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.columns import YEAR_FAR
+from .matching import interpolate
 from .ranks import running
 
 
@@ -117,6 +118,23 @@ def kde_with_tail(density: DataFrame, at: str, threshold: float) -> DataFrame:
     return d.join(F.broadcast(line)).select(at, F.when(F.col(at) >= F.col("stop"), F.exp(F.col("intercept") + F.col("slope") * F.col(at))).otherwise(F.col("pdf")).alias("pdf"))
 
 
+class Density:
+    """A density of a statistic: ``fit`` gives its parameters as a table of points, ``apply`` the density at the values of a column.
+
+    With a ``tail`` the density goes on as an exponential from where it falls below ``tail`` over the square root of the number of rows.
+    """
+
+    def __init__(self, stat: str, grid: DataFrame, at: str = "pt", tail: float | None = None):
+        self.stat, self.grid, self.at, self.tail = stat, grid, at, tail
+
+    def fit(self, df: DataFrame) -> DataFrame:
+        points = kde(df, self.stat, self.grid, self.at)
+        return points if self.tail is None else kde_with_tail(points, self.at, self.tail / df.where(F.col(self.stat).isNotNull()).count() ** 0.5)
+
+    def apply(self, df: DataFrame, params: DataFrame, out: str = "pdf") -> DataFrame:
+        return interpolate(df, self.stat, params, self.at, "pdf", out)
+
+
 def p_astro(foreground: Column, background: Column) -> Column:
     return foreground / (foreground + background)
 

@@ -6,7 +6,7 @@ batches, all windows of a batch at once.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -194,6 +194,14 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def kernels(windows: DataFrame, samples: str, size: int, start: Column, augment: Sequence[Callable[[DataFrame], DataFrame]] = (), out: str = "kernel") -> DataFrame:
+    """``windows`` with a kernel of ``size`` samples from ``start`` (0 is the first) on, which each augmentation then makes anew, in order."""
+    cut = windows.withColumn(out, F.slice(F.col(samples), start + 1, F.lit(size)))
+    for f in augment:
+        cut = cut.transform(f)
+    return cut
+
+
 def score_windows(windows: DataFrame, samples: str, scorer: Callable[[Iterator[pd.Series]], Iterator[pd.Series]] | None = None, template: list[float] | None = None, out: str = "score") -> DataFrame:
     """The first output of a user's function of batches of windows; by default the dot product with a template."""
     if scorer is None:

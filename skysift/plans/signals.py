@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
+from ..functions import detectors
 from ..operators import priors, sampling, signal
 from .registry import Views, query
 
@@ -172,22 +173,34 @@ def sample_snr(v: Views):
     return v.ev.select("event_id", r(F.pow(F.pow(lo, F.lit(-2)) + u * (100.0**-2 - F.pow(lo, F.lit(-2))), F.lit(-0.5))).alias("snr"))
 
 
-_DET = "(select unnest(['H1', 'L1', 'V1']) as det, unnest([0.6, -0.4, 0.2]) as fp, unnest([0.3, 0.5, -0.7]) as fc, unnest([0, 3, 7]) as delay)"
-
-
 def _pol(v: Views):
     return v.win.groupBy("block").agg(F.max(F.when(col("ifo") == "H1", col("samples"))).alias("plus"), F.max(F.when(col("ifo") == "L1", col("samples"))).alias("cross"))
 
 
-def _det(v: Views):
-    rows = [F.struct(F.lit(d).alias("det"), F.lit(p).alias("fp"), F.lit(x).alias("fc"), F.lit(k).alias("delay")) for d, p, x, k in (("H1", 0.6, 0.3, 0), ("L1", -0.4, 0.5, 3), ("V1", 0.2, -0.7, 7))]
-    return F.broadcast(v.spark.range(1).select(F.inline(F.array(*rows))))
+#: Where each block's signal comes from, and samples per second; all detectors wait for the last by some samples.
+_SKY = {"ra": "block * 0.37e0", "dec": "asin((block * 61 % 200) / 100.0e0 - 1)", "psi": "block * 0.13e0"}
+_RATE, _AHEAD = 256.0, 6
+_SKY_SQL = ", ".join(f"{e} as {n}" for n, e in _SKY.items())
+_DET_SQL = " union all ".join(
+    "select block, '{d}' as det, {0} as fp, {1} as fc, {ahead} + floor(({2}) * {rate} + 0.5)::bigint as delay from sky".format(*(e for e in (*detectors.antenna(d), detectors.delay(d))), d=d, ahead=_AHEAD, rate=_RATE)
+    for d in detectors.RESPONSE
+)
 
 
-@query("project_detectors", f"select a.block, det, k, round(fp * a.samples[k - delay]::double + fc * b.samples[k - delay]::double, 6) as h from win a join win b on a.block = b.block and a.ifo = 'H1' and b.ifo = 'L1', {_DET}, range(9, 65) t(k)")
+@query("project_detectors", f"""
+, sky as (select block, {_SKY_SQL} from (select distinct block from win)), det as ({_DET_SQL})
+select a.block, det, k, round(case when k > delay then fp * a.samples[k - delay]::double + fc * b.samples[k - delay]::double else 0 end, 6) as h
+from win a join win b on a.block = b.block and a.ifo = 'H1' and b.ifo = 'L1' join det on det.block = a.block, range(1, 65) t(k)
+""")
 def project_detectors(v: Views):
-    h = _pol(v).join(_det(v)).withColumn("h", signal.project(col("plus"), col("cross"), col("fp"), col("fc"), col("delay")))
-    return h.select("block", "det", F.posexplode("h").alias("k", "x")).where("k >= 8").select("block", "det", (col("k") + 1).cast("long").alias("k"), r(col("x")).alias("h"))
+    """Each block's two polarisations as every detector sees them from the block's place in the sky."""
+    sky = _pol(v).withColumns({n: F.expr(e.replace("e0", "D")) for n, e in _SKY.items()})
+    each = [
+        F.struct(F.lit(d).alias("det"), F.expr(fp).alias("fp"), F.expr(fc).alias("fc"), (F.floor(F.expr(detectors.delay(d)) * _RATE + 0.5) + _AHEAD).cast("int").alias("delay"))
+        for d in detectors.RESPONSE for fp, fc in [detectors.antenna(d)]
+    ]
+    h = sky.select("block", "plus", "cross", F.inline(F.array(*each))).withColumn("h", signal.project(col("plus"), col("cross"), col("fp"), col("fc"), col("delay")))
+    return h.select("block", "det", F.posexplode("h").alias("k", "x")).select("block", "det", (col("k") + 1).cast("long").alias("k"), r(col("x")).alias("h"))
 
 
 @query("slice_pad", "select block, ifo, k, case when pos + k - 9 between 0 and 63 then round(samples[pos + k - 8]::double, 6) else 0 end as x from (select *, block % 64 as pos from win), range(1, 21) t(k)")
@@ -205,8 +218,8 @@ def align_waveform(v: Views):
 @query("random_kernel", f"select block, ifo, floor({_U.format('block::varchar || ' + repr('|kernel'))} * 33)::bigint as start, round(samples[floor({_U.format('block::varchar || ' + repr('|kernel'))} * 33)::bigint + 1]::double, 6) as first from win")
 def random_kernel(v: Views):
     start = F.floor(sampling.uniform(col("block"), "kernel") * 33).cast("int")
-    kernel = F.slice("samples", start + 1, F.lit(32))
-    return v.win.select("block", "ifo", start.cast("long").alias("start"), r(kernel[0].cast("double")).alias("first"))
+    cut = signal.kernels(v.win, "samples", 32, start)
+    return cut.select("block", "ifo", start.cast("long").alias("start"), r(col("kernel")[0].cast("double")).alias("first"))
 
 
 @query("make_views", "select block, view, k, round(b::double + case when k - view * 4 between 1 and 64 then s else 0 end::double, 6) as x from (select a.block, view, k, a.samples[k] as b, c.samples[k - view * 4] as s from win a join win c on a.block = c.block and a.ifo = 'H1' and c.ifo = 'L1', range(0, 4) t(view), range(13, 65) u(k))")

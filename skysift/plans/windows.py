@@ -134,7 +134,7 @@ def sample_prior(v: Views):
         "mass_1": priors.power_law(-2.35, 5.0, 100.0), "mass_2": priors.power_law(1.0, 5.0, col("mass_1")),
         "dec": priors.cosine(), "psi": priors.uniform(0.0, 3.141592653589793),
     }
-    drawn = priors.draw(v.ev.select(col("event_id").alias("i")), "i", prior, seed=3).where((col("mass_2") / col("mass_1")).between(0.02, 1))
+    drawn = priors.draw(v.ev.select(col("event_id").alias("i")), "i", prior, seed=3, convert=lambda d: d.withColumn("q", col("mass_2") / col("mass_1")), keep=col("q").between(0.02, 1))
     return drawn.select("i", r(col("mass_1"), 4).alias("mass_1"), r(col("mass_2"), 4).alias("mass_2"), r(col("dec")).alias("dec"), r(col("psi")).alias("psi"))
 
 

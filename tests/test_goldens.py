@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from skysift.functions import columns as c
-from skysift.operators import intervals, matching, priors, ranks, sampling, sensitivity, series, signal
+from skysift.functions import detectors
+from skysift.operators import cosmology, intervals, matching, priors, ranks, sampling, sensitivity, series, signal
 from skysift.sources import ledger
 from skysift.streaming import live
 
@@ -231,6 +232,56 @@ def test_aligned_and_sliced(spark):
     assert x.select(signal.project(F.col("s"), F.col("s"), F.lit(1.0), F.lit(1.0), F.lit(1))).first()[0] == [0.0, 2.0, 4.0, 6.0]
 
 
+def test_detectors_respond_best_to_what_is_overhead(spark):
+    for d, (x, y, z) in detectors.PLACE.items():
+        ra, dec = math.atan2(y, x), math.asin(z / math.sqrt(x * x + y * y + z * z))
+        row = spark.range(1).selectExpr(f"{ra!r} as ra", f"{dec!r} as dec", "0.4 as psi").selectExpr(*detectors.antenna(d), detectors.delay(d)).first()
+        assert math.hypot(row[0], row[1]) == pytest.approx(1, abs=0.01)
+        assert row[2] == pytest.approx(-math.sqrt(x * x + y * y + z * z) / 299792458.0)
+        assert np.trace(detectors.RESPONSE[d]) == pytest.approx(0, abs=1e-5)
+
+
+def test_hooks(spark):
+    half = lambda df: df.withColumn("kernel", F.transform("kernel", lambda x: x / 2))
+    rows = spark.createDataFrame([([1.0, 2.0, 4.0, 8.0],)], "s array<double>")
+    assert signal.kernels(rows, "s", 2, F.lit(1), [half, half]).first().kernel == [0.5, 1.0]
+    drawn = priors.draw(spark.range(500), "id", {"a": priors.uniform(0.0, 2.0)}, 1, lambda d: d.withColumn("b", F.col("a") * 10), F.col("b") > 5)
+    assert 250 < drawn.count() < 500 and drawn.where("b <= 5 or b != a * 10").count() == 0
+    x = np.random.default_rng(4).normal(10, 2, 400)
+    df, grid = spark.createDataFrame([(float(v),) for v in x], "s double"), spark.range(81).selectExpr("id / 4.0D as pt")
+    model = sensitivity.Density("s", grid)
+    got = model.apply(spark.createDataFrame([(10.1,), (13.0,)], "s double"), model.fit(df)).orderBy("s").collect()
+    h = x.std(ddof=1) * 400**-0.2
+    for g in got:
+        assert g.pdf == pytest.approx(np.mean(np.exp(-(((g.s - x) / h) ** 2) / 2)) / h / math.sqrt(2 * math.pi), rel=0.03)
+
+
+def test_cosmology(spark):
+    # distances and redshifts are each other's inverses; at small redshifts distance is z c / H0
+    z = spark.createDataFrame([(v,) for v in (0.001, 0.1, 0.5, 1.0, 1.9)], "z double")
+    d = cosmology.at_redshift(z, F.col("z"), "distance", "d")
+    back = {r.z: (r.d, r.back) for r in cosmology.redshift_at(d, "d", "back").collect()}
+    assert all(b == pytest.approx(k, rel=1e-3) for k, (_, b) in back.items())
+    assert back[0.001][0] == pytest.approx(0.001 * 299792.458 / 67.74, rel=2e-3)
+    # fixed values: luminosity distances of the same model by its integral, in Mpc
+    for k in (0.1, 0.5, 1.0):
+        x = np.linspace(0, k, 20001)
+        f = 1 / np.sqrt(cosmology.MATTER * (1 + x) ** 3 + 1 - cosmology.MATTER)
+        assert back[k][0] == pytest.approx((1 + k) * 299792.458 / 67.74 * np.sum((f[1:] + f[:-1]) / 2) * k / 20000, rel=1e-5)
+    box = spark.createDataFrame([(0.0, 0.05)], "a double, b double")
+    v = cosmology.volume_between(box, F.col("a"), F.col("b"), F.lit(-math.pi / 2), F.lit(math.pi / 2), "v").first().v
+    assert 0.9 < v / (4 / 3 * math.pi * (0.05 * 299792.458 / 67.74) ** 3) < 1
+
+
+def test_alarm_rates_by_cells(spark):
+    r = np.random.default_rng(6)
+    back, y = r.integers(0, 400, 500) / 4.0, [0.0, 10.0, 50.25, 50.3, 99.75, 100.0, 250.0]
+    events = spark.createDataFrame([(v,) for v in y], "y double")
+    for width in (1.0, 7.0):
+        got = {g.y: g.far for g in live.with_far(events.where("y >= 10"), spark.createDataFrame([(float(v),) for v in back], "x double"), "x", 10.0, 2.0, width).collect()}
+        assert got == {v: max((back >= v).sum(), 1) / 2 for v in y if v >= 10}
+
+
 def test_priors(spark):
     draws = {"a": priors.uniform(2.0, 3.0), "b": priors.power_law(-2.0, 5.0, 50.0), "c": priors.cosine(), "d": priors.sine(), "e": priors.log_uniform(1.0, 10.0), "f": priors.triangular(0.0, 1.0, 3.0), "g": priors.normal(1.0, 2.0), "h": priors.in_volume(2.0), "k": priors.log_normal(0.0, 0.1)}
     p = priors.draw(spark.range(4000), "id", draws, 1).toPandas()
