@@ -45,7 +45,15 @@ def snr(v: Views):
     return each.groupBy("block").agg(r(F.sqrt(F.sum(col("snr") * col("snr")))).alias("snr"))
 
 
-@query("whiten")
+@query("whiten", _X + """
+hp as (select block, ifo, s, f, pow(sum(v * w * cos(2 * pi() * f * j / 16)), 2) + pow(sum(v * w * sin(2 * pi() * f * j / 16)), 2) as p
+  from (select block, ifo, s, n - s * 8 as j, v, 0.5 - 0.5 * cos(2 * pi() * (n - s * 8) / 16) as w from x, range(0, 3) t(s) where n between s * 8 and s * 8 + 15), range(0, 9) u(f) group by block, ifo, s, f),
+hm as (select block, ifo, f, median(p) * 2 / (64 * 6.0) as d from hp group by block, ifo, f),
+hd as (select block, ifo, k, 1 / sqrt(greatest(avg(d), 1e-30)) as a from hm, range(0, 17) t(k) where f in (k // 2, (k + 1) // 2) group by block, ifo, k),
+hk as (select block, ifo, t, sum(a * cos(2 * pi() * k * t / 32) * case when k in (0, 16) then 1 else 2 end) / 32 * (0.5 + 0.5 * cos(2 * pi() * t / 8)) as c from hd, range(-4, 4) u(t) group by block, ifo, t),
+hy as (select x.block, x.ifo, o, sum(v * c) * sqrt(2 / 64.0) as y from x join hk using (block, ifo), range(4, 28) u(o) where n - 32 = (o - t + 32) % 32 group by x.block, x.ifo, o)
+select block, ifo, count(*)::int as n, round(sqrt(sum(y * y) / count(*)), 4) as rms from hy group by block, ifo
+""")
 def whiten(v: Views):
     w = signal.whiten(v.win, "samples", 32, 16, 64.0, 8)
     return w.select("block", "ifo", F.size("white").alias("n"), r(F.sqrt(signal.dot(col("white"), col("white")) / F.size("white")), 4).alias("rms"))
@@ -60,7 +68,12 @@ def freq_features(v: Views):
     return z.select("block", "ifo", r(_total(band(col("z.real"))), 5).alias("re"), r(_total(band(col("z.imag"))), 5).alias("im"), r(_total(inverse), 5).alias("inverse_asd"))
 
 
-@query("spectrogram")
+@query("spectrogram", _X + """
+vw as (select block, ifo, case when n < 32 then n // 2 else n - 16 end as m, v from x where n >= 32 or n % 2 = 0),
+p as (select block, ifo, s, f, pow(sum(v * w * cos(2 * pi() * f * j / 16)), 2) + pow(sum(v * w * sin(2 * pi() * f * j / 16)), 2) as p
+  from (select block, ifo, s, m - s * 8 as j, v, 0.5 - 0.5 * cos(2 * pi() * (m - s * 8) / 16) as w from vw, range(0, 5) t(s) where m between s * 8 and s * 8 + 15), range(1, 9) u(f) group by block, ifo, s, f)
+select block, ifo, (s * 3 + case when f < 3 then 0 when f < 5 then 1 else 2 end)::int as tile, round(avg(p), 6) as power from p group by 1, 2, 3
+""")
 def spectrogram(v: Views):
     t = signal.spectrogram(v.win, "samples", 16, 4, 2)
     return t.select("block", "ifo", F.posexplode("tiles").alias("tile", "power")).select("block", "ifo", "tile", r(col("power")).alias("power"))
