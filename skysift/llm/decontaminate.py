@@ -1,20 +1,20 @@
 """Benchmark decontamination by windows of normalised words.
 
-The windows of the benchmark, hashed, are broadcast; tasks hash every window of every
-training text, look it up, and compare the words themselves where a hash is found. The
-benchmark is read to the driver only in slices of at most ``SLICE_BYTES``; a larger one
+Tasks make the benchmark's windows: hashes, and where each stands in its item's normalised
+words. They are broadcast as sorted arrays over one buffer of words; tasks hash every window of
+every training text, look it up, and compare the words themselves where a hash is found. What
+one broadcast holds is at most about ``SLICE_BYTES``, windows included; a larger benchmark
 takes several passes over the training texts, each with its own broadcast, and the
 passes' spans are merged in the row that they belong to. No pass shuffles.
 
 Defined results: null texts and items have no words; an item with fewer words than a
 window is one window; repeated items and rows count each; null item ids are named
-``null``; an empty benchmark contaminates nothing; other columns pass through, but none
-may be called as the columns that ``scan`` adds (they are replaced).
+``null``; an empty benchmark contaminates nothing; other columns pass through, whatever their
+names, but ``scan`` replaces those that are called as the columns that it adds.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,23 +22,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ._store import staged
-from ._vector import BASE, U64, HashIndex, UPPER_TO_LOWER, chunks, mix, powers, text_bytes, word_hashes, word_spans
+from ._vector import _LOWER, BASE, U64, UPPER_TO_LOWER, chunks, mix, powers, text_bytes, word_hashes, word_spans
 
-#: Text of the benchmark that one pass broadcasts.
-SLICE_BYTES = 32 << 20
+#: What one pass broadcasts: words, and WINDOW_BYTES per window.
+SLICE_BYTES = 64 << 20
+WINDOW_BYTES = 28
+#: Windows in a row of the benchmark's table; longer items have several.
+ROW_WINDOWS = 1 << 14
 WINDOW = 10
 #: What stands between words; A-Z count as a-z.
 _BETWEEN = np.ones(256, bool)
 _BETWEEN[0x30:0x3A] = _BETWEEN[0x41:0x5B] = _BETWEEN[0x61:0x7B] = _BETWEEN[0x80:] = False
 
 
-def _words(text: bytes) -> list[bytes]:
-    raw = np.frombuffer(text, np.uint8)
-    starts, ends, _ = word_spans(raw, np.array([0, len(raw)]), _BETWEEN)
-    low = text.translate(UPPER_TO_LOWER)
-    return [low[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
-
-
 def _window_hashes(words: np.ndarray, size: int) -> np.ndarray:
     """A hash of each run of ``size`` words."""
     n = len(words) - size + 1
@@ -50,38 +46,70 @@ def _window_hashes(words: np.ndarray, size: int) -> np.ndarray:
     return mix(out + U64(size))
 
 
+def windows_of(items: DataFrame, size: int) -> DataFrame:
+    """Rows (name, n, text, hashes, starts, stops) of ``items`` (name, text): windows of n words, and their bytes in the normalised text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, offsets = text_bytes(batch.column(1))
+            for lo, hi in chunks(offsets):
+                part, names = raw[offsets[lo] : offsets[hi]], batch.column(0).slice(lo, hi - lo).to_pylist()
+                a, b, rows = word_spans(part, offsets[lo : hi + 1] - offsets[lo], _BETWEEN)
+                h, low = word_hashes(part, a, b), _LOWER[part]
+                ends = np.cumsum(np.bincount(rows, minlength=hi - lo))
+                out = []
+                for name, i, j in zip(names, [0, *ends[:-1].tolist()], ends.tolist()):
+                    n = min(size, j - i)
+                    for k in range(i, j - n + 1 if n else i, ROW_WINDOWS):
+                        to = min(j, k + ROW_WINDOWS + n - 1)
+                        text = b" ".join(low[x:y].tobytes() for x, y in zip(a[k:to].tolist(), b[k:to].tolist()))
+                        stops = np.cumsum(b[k:to] - a[k:to] + 1) - 1
+                        starts = stops - (b[k:to] - a[k:to])
+                        arrays = _window_hashes(h[k:to], n), starts[: to - k - n + 1].astype(np.int32), stops[n - 1 :].astype(np.int32)
+                        out.append((name, n, text, *(x.tobytes() for x in arrays)))
+                if out:
+                    kinds = pa.string(), pa.int32(), *[pa.binary()] * 4
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds)], ["name", "n", "text", "hashes", "starts", "stops"])
+
+    return items.mapInArrow(run, "name string, n int, text binary, hashes binary, starts binary, stops binary")
+
+
 class Windows:
-    """The windows of one slice of items, for lookup by size."""
-
-    def __init__(self, items: list[tuple[str, bytes]], size: int):
-        self.names: list[str] = []
-        number: dict[str, int] = {}
-        found: dict[tuple[int, bytes], set[int]] = {}
-        for name, text in items:
-            words = _words(text)
-            if words:
-                if name not in number:
-                    number[name] = len(self.names)
-                    self.names.append(name)
-                n = min(size, len(words))
-                for i in range(len(words) - n + 1):
-                    found.setdefault((n, b" ".join(words[i : i + n])), set()).add(number[name])
-        self.by_size: dict[int, tuple[HashIndex, list[list[int]], list[tuple[bytes, set[int]]]]] = {}
-        for n in sorted({n for n, _ in found}):
-            texts = [(t, s) for (m, t), s in found.items() if m == n]
-            hashes = np.array([self._hash(t.split(b" ")) for t, _ in texts], U64)
-            keys, group = np.unique(hashes, return_inverse=True)
-            same: list[list[int]] = [[] for _ in keys]
-            for i, g in enumerate(group.tolist()):
-                same[g].append(i)
-            self.by_size[n] = HashIndex(keys, np.arange(len(keys))), same, texts
-
-    @staticmethod
-    def _hash(words: list[bytes]) -> int:
-        raw = np.frombuffer(b" ".join(words), np.uint8)
-        lens = np.array([len(w) for w in words])
-        ends = np.cumsum(lens + 1) - 1
-        return int(_window_hashes(word_hashes(raw, ends - lens, ends), len(words))[0])
+    """The windows of one slice, for lookup by size: sorted hashes, and the words themselves in one buffer."""
+
+    def __init__(self, rows: pa.Table):
+        names = rows.column("name").to_pylist()
+        self.names = sorted(set(names))
+        number = {name: k for k, name in enumerate(self.names)}
+        texts = rows.column("text").to_pylist()
+        base = np.cumsum([0, *map(len, texts)])
+        self.text = b"".join(texts)
+        sizes = rows.column("n").to_numpy()
+        self.by_size: dict[int, tuple[np.ndarray, ...]] = {}
+        for n in sorted(set(sizes.tolist())):
+            some = np.flatnonzero(sizes == n).tolist()
+            hashes, starts, stops = (
+                [np.frombuffer(rows.column(c)[i].as_buffer(), t) for i in some] for c, t in (("hashes", U64), ("starts", np.int32), ("stops", np.int32))
+            )
+            lens = [len(x) for x in hashes]
+            key = np.concatenate(hashes)
+            by = np.argsort(key, kind="stable")
+            at = np.repeat(base[some], lens)
+            name = np.repeat(np.array([number[names[i]] for i in some], np.int32), lens)
+            down = max(0, 64 - (8 * len(key)).bit_length())
+            may = np.zeros((1 << 64 - down) // 8 + 1, np.uint8)
+            slot = key >> U64(down)
+            np.bitwise_or.at(may, (slot >> U64(3)).astype(np.int64), (U64(1) << (slot & U64(7))).astype(np.uint8))
+            self.by_size[n] = key[by], (at + np.concatenate(starts))[by], (np.concatenate(stops) - np.concatenate(starts))[by], name[by], down, may
+
+    def _find(self, n: int, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which hashes occur, and the first place of each."""
+        key, _, _, _, down, may = self.by_size[n]
+        slot = h >> U64(down)
+        maybe = np.flatnonzero(may[(slot >> U64(3)).astype(np.int64)] >> (slot & U64(7)).astype(np.uint8) & 1)
+        at = np.searchsorted(key, h[maybe])
+        there = key[np.minimum(at, len(key) - 1)] == h[maybe]
+        return maybe[there], at[there]
 
     def scan(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, dict[int, tuple[set, set[int]]]]:
         """Words per row; for rows with hits the hit (first word, words, byte from, byte to) and the items."""
@@ -90,20 +118,19 @@ class Windows:
         hashes = word_hashes(raw, starts, ends)
         first = np.cumsum(counts) - counts
         hits: dict[int, tuple[set, set[int]]] = {}
-        for n, (index, same, texts) in self.by_size.items():
-            found = index.find(_window_hashes(hashes, n))
-            if not len(found):
-                continue
-            found[rows[: len(found)] != rows[n - 1 :]] = -1
-            for i in np.flatnonzero(found >= 0).tolist():
-                low = [raw[a:b].tobytes().translate(UPPER_TO_LOWER) for a, b in zip(starts[i : i + n].tolist(), ends[i : i + n].tolist())]
-                here = b" ".join(low)
-                for k in same[found[i]]:
-                    if texts[k][0] == here:
-                        row = int(rows[i])
+        for n, (key, start, length, name, _, _) in self.by_size.items():
+            h = _window_hashes(hashes, n)
+            for i, at in zip(*(x.tolist() for x in self._find(n, h))):
+                row = int(rows[i])
+                if rows[i + n - 1] != row:
+                    continue
+                here = b" ".join(raw[a:b].tobytes() for a, b in zip(starts[i : i + n].tolist(), ends[i : i + n].tolist())).translate(UPPER_TO_LOWER)
+                while at < len(key) and key[at] == h[i]:
+                    if length[at] == len(here) and self.text.startswith(here, int(start[at])):
                         spans, items = hits.setdefault(row, (set(), set()))
                         spans.add((int(i - first[row]), n, int(starts[i] - offsets[row]), int(ends[i + n - 1] - offsets[row])))
-                        items |= texts[k][1]
+                        items.add(int(name[at]))
+                    at += 1
         return counts, hits
 
 
@@ -112,16 +139,16 @@ _SPAN = pa.list_(pa.struct([("word", pa.int32()), ("words", pa.int32()), ("start
 ADDED = ["n_words", "spans", "items"]
 
 
-def _pass(rows: DataFrame, text_col: str, windows, merged: bool) -> DataFrame:
-    """Add a slice's spans and items to ``rows``, whose last column but those is the text in bytes."""
+def _pass(rows: DataFrame, windows: Windows, merged: bool) -> DataFrame:
+    """Add a slice's spans and items to ``rows``, which have the text in bytes."""
     context = rows.sparkSession.sparkContext.broadcast(windows)
-    kept = [c for c in rows.columns if c not in ADDED and c != "_text_bytes"]
-    schema = rows.select(*kept, "_text_bytes").schema
+    kept = [c for c in rows.columns if c not in ADDED]
+    schema = rows.select(*kept).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: Windows = context.value
         for batch in batches:
-            raw, offsets = text_bytes(batch.column("_text_bytes"))
+            raw, offsets = text_bytes(batch.column("bytes"))
             for lo, hi in chunks(offsets):
                 part = batch.slice(lo, hi - lo)
                 counts, hits = known.scan(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
@@ -132,10 +159,10 @@ def _pass(rows: DataFrame, text_col: str, windows, merged: bool) -> DataFrame:
                     s, t = hits.get(i, ((), ()))
                     spans.append(old[i] + [dict(zip(("word", "words", "start", "stop"), x)) for x in sorted(s)])
                     items.append(sorted({*had[i], *(known.names[k] for k in t)}))
-                cols = [part.column(c) for c in [*kept, "_text_bytes"]] + [pa.array(counts, pa.int64()), pa.array(spans, _SPAN), pa.array(items, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays(cols, [*kept, "_text_bytes", *ADDED])
+                cols = [part.column(c) for c in kept] + [pa.array(counts, pa.int64()), pa.array(spans, _SPAN), pa.array(items, pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays(cols, [*kept, *ADDED])
 
-    wide = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+    wide = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema)
     return rows.mapInArrow(run, f"{wide}, n_words long, spans {SPAN}, items array<string>")
 
 
@@ -145,16 +172,18 @@ def scan(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col
         F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("name"),
         F.coalesce(F.col(item_text_col), F.lit("")).cast("binary").alias("text"),
     )
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
-    slices = max(1, -(-size // slice_bytes))
-    rows = docs.drop(*(c for c in ADDED if c != text_col)).withColumn("_text_bytes", F.col(text_col).cast("binary"))
+    found = staged(windows_of(items, window), "windows")
+    size = found.agg(F.coalesce(F.sum(F.octet_length("text") + F.octet_length("hashes") / 8 * WINDOW_BYTES), F.lit(0))).first()[0]
+    slices = max(1, int(-(-size // slice_bytes)))
+    # in between, columns have names of their own
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns) if c not in ADDED}
+    rows = docs.select(*(docs[c].alias(n) for c, n in names.items()), docs[text_col].cast("binary").alias("bytes"))
     for k in range(slices):
-        part = items.where(F.pmod(F.xxhash64("name", "text"), F.lit(slices)) == k) if slices > 1 else items
-        windows = Windows([(r.name, bytes(r.text)) for r in part.toLocalIterator()], window)
-        rows = _pass(rows, text_col, windows, k > 0)
+        part = found.where(F.pmod(F.xxhash64("name", "text"), F.lit(slices)) == k) if slices > 1 else found
+        rows = _pass(rows, Windows(part.toArrow()), k > 0)
         if k + 1 < slices:
             rows = staged(rows, "scanned")
-    return rows.drop("_text_bytes")
+    return rows.select(*(F.col(n).alias(c) for c, n in names.items()), *ADDED)
 
 
 def hit_words(spans: list) -> int:
@@ -162,13 +191,13 @@ def hit_words(spans: list) -> int:
     return len({w for s in spans for w in range(s["word"], s["word"] + s["words"])})
 
 
-def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """Per document the numbers of words, hit words and items, a digest of the items, and whether it is contaminated."""
-    found = scan(docs.select(id_col, "text"), benchmark, **options)
+    found = scan(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), benchmark, **options)
     covered = F.expr("size(array_distinct(flatten(transform(spans, s -> sequence(s.word, s.word + s.words - 1)))))")
     n_hit = F.when(F.size("spans") > 0, covered).otherwise(0).cast("long")
     return found.select(
-        id_col, "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.col("id").alias(id_col), "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
     )
 
@@ -184,11 +213,14 @@ def cut(text: bytes, spans: list) -> bytes:
 
 def remove(docs: DataFrame, benchmark: DataFrame, what: str = "documents", text_col: str = "text", **options) -> DataFrame:
     """Clean rows as they are; contaminated ones are left out, or with ``what="spans"`` lose the hit passages."""
-    found = scan(docs, benchmark, text_col=text_col, **options)
-    if what == "documents":
-        return found.where(F.size("spans") == 0).select(*docs.columns)
-    if what != "spans":
+    if what not in ("documents", "spans"):
         raise ValueError("what must be documents or spans")
-    cleaner = F.pandas_udf(lambda text, spans: text.combine(spans, lambda t, s: cut(t.encode(), list(s)).decode()), "string")
-    clean = F.when(F.size("spans") > 0, cleaner(F.coalesce(text_col, F.lit("")), "spans")).otherwise(F.col(text_col))
-    return found.withColumn(text_col, clean).select(*docs.columns)
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    text = names[text_col]
+    found = scan(docs.select(*(docs[c].alias(n) for c, n in names.items())), benchmark, text_col=text, **options)
+    if what == "documents":
+        found = found.where(F.size("spans") == 0)
+    else:
+        cleaner = F.pandas_udf(lambda text, spans: text.combine(spans, lambda t, s: cut(t.encode(), list(s)).decode()), "string")
+        found = found.withColumn(text, F.when(F.size("spans") > 0, cleaner(F.coalesce(text, F.lit("")), "spans")).otherwise(F.col(text)))
+    return found.select(*(F.col(n).alias(c) for c, n in names.items()))

@@ -1,8 +1,12 @@
 """Windows of the benchmark against brute force."""
 
 import hashlib
+import pickle
 import random
 import re
+import time
+
+import pytest
 
 from skysift.llm import decontaminate as dc
 
@@ -69,5 +73,37 @@ def test_remove(spark):
         assert (cut[i] == t) == (i not in dirty)
 
 
+def test_names_of_other_columns(spark):
+    names = ["n_words", "spans", "items", "bytes", "c1", "_text_bytes"]
+    d = spark.createDataFrame([("one two three", 1, *names), ("none of it", 2, *names)], ["text", "doc_id", *names])
+    b = spark.createDataFrame([(1, "two three")], "item_id long, text string")
+    assert [tuple(r) for r in dc.remove(d, b).collect()] == [("none of it", 2, *names)]
+    assert sorted(tuple(r) for r in dc.remove(d, b, "spans").collect()) == [("none of it", 2, *names), ("one ", 1, *names)]
+    found = dc.scan(d, b)
+    assert {(r.n_words, r.c1, r._text_bytes, tuple(r["items"])) for r in found.collect()} == {(3, "c1", "_text_bytes", ("1",)), (3, "c1", "_text_bytes", ())}
+
+
+def test_slices_of_a_large_benchmark(spark):
+    r = random.Random(5)
+    items = [(k, " ".join(f"w{r.randrange(5000)}" for _ in range(40_000 if k == 7 else 1200))) for k in range(300)]
+    b = spark.createDataFrame(items, "item_id long, text string")
+    bound = 4 << 20
+    sizes = []
+    one_pass = dc._pass
+
+    def measured(rows, windows, merged):
+        sizes.append(len(pickle.dumps(windows)))
+        return one_pass(rows, windows, merged)
+
+    docs = [(i, "x " * 50 + " ".join(items[i][1].split(" ")[-30:]) + " y" * (i % 3)) for i in range(0, 300, 7)]
+    start = time.monotonic()
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(dc, "_pass", measured)
+        got = dc.report(spark.createDataFrame(docs, "doc_id long, text string"), b, slice_bytes=bound).collect()
+    assert len(sizes) > 3 and max(sizes) < 1.5 * bound and sum(sizes) < 1.2 * bound * len(sizes)
+    assert time.monotonic() - start < 60
+    assert {(r.n_hit, r.n_items) for r in got} == {(30, 1)}
+
+
 def test_cut():
     assert dc.cut(b"one two three four", [{"start": 4, "stop": 7}, {"start": 4, "stop": 13}]) == b"one  four"
