@@ -4,25 +4,32 @@ Pass 1 hashes every normalised text to a few positions of a bit array, counts th
 positions (with partial sums before the shuffle) and sets the bits that were hit
 more than once. Pass 2 looks every row up there: a row with a clear bit has no
 equal and passes straight through; only the others shuffle, by their full digest.
-The bit array is broadcast and never larger than ``max_bits``. Beyond the rows
-that it was sized for it only lets more rows through to the exact comparison.
+The bit array is broadcast, has BITS_PER_ROW bits per row at any size and never more than
+``max_bits`` at once: a larger table is cut into slices by hash, each with an array and a pass
+over its own digests, one after the other.
+
+``deduplicate`` decides on ids and digests, and then drops rows by broadcast; where the rows
+that go don't fit ``BROADCAST_BYTES``, all rows shuffle by id for that.
 
 Defined results: null text equals the empty text; among equal texts the smallest
 id stays, a null id only where all are null; of rows with the same id and text
-exactly one stays; an empty table gives an empty table; other columns pass through.
+exactly one stays; an empty table gives an empty table; other columns pass through,
+whatever their names.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ._store import staged
+from ._store import new_path, size_of, staged, unused
 
 #: 32 MiB of bits: the bound of what is broadcast.
 MAX_BITS = 1 << 28
 BITS_PER_ROW = 16
 #: Parts that a group of equal texts may be dealt over.
 SALTS = 64
+#: Lists of rows that go are broadcast up to this size.
+BROADCAST_BYTES = 64 << 20
 #: What ``bitmap_construct_agg`` packs into one row.
 BUCKET = 32768
 
@@ -65,6 +72,33 @@ def maybe_repeated(rows: DataFrame, key: str, filter_rows: DataFrame, bits: int,
     return rows.drop(*(c for c in rows.columns if c.startswith("_bloom_")))
 
 
+def flagged(keys: DataFrame, key: str, n_rows: int, max_bits: int = MAX_BITS) -> DataFrame:
+    """The staged ``keys`` with the column maybe; beyond ``max_bits``, slice by slice of the keys' hashes."""
+    slices = -(-BITS_PER_ROW * n_rows // max(BUCKET, max_bits))
+    if slices <= 1:
+        seen, bits = repeated_positions(keys, key, n_rows, max_bits)
+        return maybe_repeated(keys, key, seen, bits, "maybe")
+    path = new_path(keys.sparkSession, "slices")
+    keys.withColumn("slice", F.pmod(F.xxhash64(key, F.lit(3)), F.lit(slices)).cast("int")).write.partitionBy("slice").parquet(path)
+    out = None
+    for k in range(slices):
+        part = keys.sparkSession.read.parquet(path).where(F.col("slice") == k).select(*keys.columns)
+        seen, bits = repeated_positions(part, key, -(-n_rows // slices), max_bits)
+        part = staged(maybe_repeated(part, key, seen, bits, "maybe"), "flagged")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _groups(rows: DataFrame) -> DataFrame:
+    """Possibly repeated rows (id, row, sha, ...) with first, the struct (none, id, row) of the row that stays, and group_size."""
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "row")
+    left = rows.where("maybe").withColumn("salt", F.pmod(F.xxhash64("id", "row"), F.lit(SALTS)))
+    # a large group is dealt by salt, summed part by part, and each part told the whole's result
+    parts = left.groupBy("sha", "salt").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("group_size"))
+    wholes = parts.groupBy("sha").agg(F.min("first").alias("first"), F.sum("group_size").alias("group_size"))
+    return left.join(parts.select("sha", "salt").join(wholes, "sha"), ["sha", "salt"])
+
+
 def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
     """One row per document, dropped ones too: id, keep_id, group_size, kept, text_sha256.
 
@@ -74,34 +108,28 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
         docs.select(F.col(id_col).alias("id"), digest(F.col(text_col)).alias("sha"), F.monotonically_increasing_id().alias("row")),
         "digests",
     )
-    n = keys.count()
-    seen, bits = repeated_positions(keys, "sha", n, max_bits)
-    rows = maybe_repeated(keys, "sha", seen, bits, "maybe")
-    order = F.struct(F.col("id").isNull().alias("none"), "id", "row")
+    rows = flagged(keys, "sha", keys.count(), max_bits)
     alone = rows.where("not maybe").select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha")
-    left = rows.where("maybe").select("id", "row", "sha", F.pmod(F.xxhash64("id", "row"), F.lit(SALTS)).alias("salt"))
-    # a large group is dealt by salt, summed part by part, and each part told the whole's result
-    parts = left.groupBy("sha", "salt").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("group_size"))
-    wholes = parts.groupBy("sha").agg(F.min("first").alias("first"), F.sum("group_size").alias("group_size"))
-    told = parts.select("sha", "salt").join(wholes, "sha")
-    shared = left.join(told, ["sha", "salt"]).select(
-        "id", F.col("first.id").alias("keep_id"), "group_size", (F.col("row") == F.col("first.row")).alias("kept"), "sha"
-    )
+    shared = _groups(rows).select("id", F.col("first.id").alias("keep_id"), "group_size", (F.col("row") == F.col("first.row")).alias("kept"), "sha")
     return alone.unionByName(shared).select(
         F.col("id").alias(id_col), "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256")
     )
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
-    """The rows that stay, with all their columns; only possibly repeated rows shuffle."""
-    with_key = docs.withColumn("_dedup_sha", digest(F.col(text_col)))
-    keys = staged(with_key.select("_dedup_sha"), "digests")
-    seen, bits = repeated_positions(keys, "_dedup_sha", keys.count(), max_bits)
-    rows = maybe_repeated(with_key, "_dedup_sha", seen, bits, "_dedup_maybe")
-    order = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"))
-    kept = (
-        rows.where("_dedup_maybe").groupBy("_dedup_sha")
-        .agg(F.min_by(F.struct(*docs.columns), order).alias("_dedup_row"))
-        .select("_dedup_row.*")
-    )
-    return rows.where("not _dedup_maybe").select(*docs.columns).unionByName(kept)
+    """The rows that stay, with all their columns. Rows are told apart by their ids and their texts as they are."""
+    here = F.xxhash64(F.col(text_col))
+    keys = docs.select(F.col(id_col).alias("id"), here.alias("raw"), digest(F.col(text_col)).alias("sha"), F.monotonically_increasing_id().alias("row"))
+    keys = staged(keys, "digests")
+    found = _groups(flagged(keys, "sha", keys.count(), max_bits)).groupBy("id", "raw")
+    found = found.agg(F.bool_or(F.col("row") == F.col("first.row")).alias("stays"), F.count(F.lit(1)).alias("n")).where("n > 1 or not stays")
+    i, raw, stays = (unused(docs, f"_dedup_{x}") for x in ("id", "raw", "stays"))
+    marks = staged(found.select(F.col("id").alias(i), F.col("raw").alias(raw), F.col("stays").alias(stays)), "marks")
+    some = F.broadcast(marks) if size_of(marks) <= BROADCAST_BYTES else marks
+    rows = docs.join(some, docs[id_col].eqNullSafe(F.col(i)) & (here == F.col(raw)), "left")
+    columns = [docs[c] for c in docs.columns]
+    out = rows.where(F.col(stays).isNull()).select(*columns)
+    if marks.where(F.col(stays)).limit(1).count():  # of rows with one id and text one stays
+        one = rows.where(F.col(stays)).groupBy(i, raw).agg(F.first(F.struct(*columns)).alias("row"))
+        out = out.unionByName(one.select("row.*"))
+    return out

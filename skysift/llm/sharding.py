@@ -8,8 +8,8 @@ few slots change hands. The table has ``size`` rows whatever the input, is
 broadcast, and gives each row its shard by one lookup: no shuffle.
 
 Defined results: a null key is placed as the empty string; equal keys land together;
-an empty table gives an empty table; other columns pass through, but none may be
-called ``slot`` or ``shard`` (they are replaced).
+an empty table gives an empty table; other columns pass through, but those
+called ``slot`` or ``shard`` are replaced, also where one is the key.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ._store import unused
+
 #: A prime far above 100 times the number of shards keeps their shares even within 1 %.
 TABLE_SIZE = 65537
 
@@ -64,8 +66,9 @@ def slot_of(key: Column, size: int = TABLE_SIZE) -> Column:
 def place(rows: DataFrame, key: str, shards: Sequence[str], size: int = TABLE_SIZE) -> DataFrame:
     """``rows`` with the columns slot and shard."""
     table = F.broadcast(lookup_table(rows.sparkSession, shards, size))
-    rows = rows.drop("slot", "shard") if key not in ("slot", "shard") else rows
-    return rows.withColumn("slot", slot_of(F.col(key), size)).join(table, "slot", "left")
+    slot = unused(rows, "_slot")
+    rows = rows.withColumn(slot, slot_of(F.col(key), size)).drop("slot", "shard").withColumnRenamed(slot, "slot")
+    return rows.join(table, "slot", "left").select(*(c for c in rows.columns if c != "slot"), "slot", "shard")
 
 
 def write(placed: DataFrame, path: str, salts: int = 8) -> None:
