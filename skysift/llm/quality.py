@@ -164,6 +164,14 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
+def gradients(p: list[np.ndarray], z: np.ndarray, y: np.ndarray, decay: float) -> list[np.ndarray]:
+    """Of the mean logistic loss of a network's parameters, with half of ``decay`` times the squares of its weights."""
+    h = np.maximum(z @ p[0] + p[1], 0)
+    g = (_sigmoid(h @ p[2] + p[3]) - y) / len(y)
+    back = np.outer(g, p[2]) * (h > 0)
+    return [z.T @ back + decay * p[0], back.sum(0), h.T @ g + decay * p[2], np.array([g.sum()])]
+
+
 class Network:
     """Features, standardised, through a hidden layer to a logit, divided by a temperature."""
 
@@ -178,10 +186,7 @@ class Network:
         z = self._scaled(x)
         for _ in range(epochs):
             for k in np.array_split(rng.permutation(fit), max(1, len(fit) // 128)):
-                h = np.maximum(z[k] @ p[0] + p[1], 0)
-                g = (_sigmoid(h @ p[2] + p[3]) - y[k]) / len(k)
-                back = np.outer(g, p[2]) * (h > 0)
-                grads = [z[k].T @ back + decay * p[0], back.sum(0), h.T @ g + decay * p[2], np.array([g.sum()])]
+                grads = gradients(p, z[k], y[k], decay)
                 t += 1
                 for i, q in enumerate(grads):
                     m[i] = 0.9 * m[i] + 0.1 * q

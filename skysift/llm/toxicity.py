@@ -20,6 +20,7 @@ majority; repeated rows get equal scores; null ids are scored; other columns are
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -144,11 +145,22 @@ def _examples(known: DataFrame, index: HashIndex) -> DataFrame:
             for lo, hi in chunks(offsets):
                 part = batch.slice(lo, hi - lo)
                 texts = [t or b"" for t in part.column(2).to_pylist()]
-                pairs = [counterfactual(t.decode("utf-8", "replace"), hash((i or 0, 11)) & 0xFFFF) for i, t in zip(part.column(0).to_pylist(), texts)]
+                pairs = [counterfactual(t.decode("utf-8", "replace"), zlib.crc32(f"{i}|11".encode()) & 0xFFFF) for i, t in zip(part.column(0).to_pylist(), texts)]
                 cols = [part.column(0), part.column(1), lists(texts), *(lists([p[k].encode() for p in pairs]) for k in (0, 1))]
                 yield pa.RecordBatch.from_arrays(cols, ["id", "label", "x", "a", "b"])
 
-    return known.select("id", "label", "text").mapInArrow(run, "id long, label int, x array<int>, a array<int>, b array<int>")
+    kind = known.schema["id"].dataType.simpleString()
+    return known.select("id", "label", "text").mapInArrow(run, f"id {kind}, label int, x array<int>, a array<int>, b array<int>")
+
+
+def gradients(w: np.ndarray, bias: float, x: tuple, a: tuple, b: tuple, y: np.ndarray, weight: np.ndarray, decay: float, penalty: float) -> tuple[np.ndarray, float]:
+    """Of the weighted mean logistic loss, half of ``decay`` times the squares of the weights, and half of ``penalty`` times
+    the mean square of what a swap changes; ``x``, ``a`` and ``b`` are features and rows of the texts and of both sentences."""
+    n, size = len(y), len(w)
+    z = np.bincount(x[1], w[x[0]], n) + bias
+    e = weight * (1 / (1 + np.exp(-np.clip(z, -60, 60))) - y) / n
+    d = penalty * (np.bincount(a[1], w[a[0]], n) - np.bincount(b[1], w[b[0]], n)) / n
+    return decay * w + np.bincount(x[0], e[x[1]], size) + np.bincount(a[0], d[a[1]], size) - np.bincount(b[0], d[b[1]], size), float(e.sum())
 
 
 class Model:
@@ -162,17 +174,7 @@ class Model:
         m, v, mb, vb, t = np.zeros(size), np.zeros(size), 0.0, 0.0, 0
         for _ in range(epochs):
             for k in np.array_split(rng.permutation(len(y)), max(1, len(y) // 256)):
-                g, gb = decay * w, 0.0
-                fx, rx = _flat(x, k)
-                z = np.bincount(rx, w[fx], len(k)) + bias
-                e = weight[k] * (1 / (1 + np.exp(-np.clip(z, -60, 60))) - y[k]) / len(k)
-                g = g + np.bincount(fx, e[rx], size)
-                gb += e.sum()
-                # the penalty on half the square of what a swap changes
-                fa, ra = _flat(a, k)
-                fb, rb = _flat(b, k)
-                d = penalty * (np.bincount(ra, w[fa], len(k)) - np.bincount(rb, w[fb], len(k))) / len(k)
-                g = g + np.bincount(fa, d[ra], size) - np.bincount(fb, d[rb], size)
+                g, gb = gradients(w, bias, _flat(x, k), _flat(a, k), _flat(b, k), y[k], weight[k], decay, penalty)
                 t += 1
                 m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
                 mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
@@ -197,7 +199,7 @@ def fit(docs: DataFrame, labels: DataFrame, column: str, modulus: int, held: int
     if len(share) < 2:
         return None
     chosen = F.broadcast(_labels.sample(rows.where("label = 1"), MAX_PER_CLASS, 8).union(_labels.sample(rows.where("label = 0"), MAX_PER_CLASS, 8)))
-    known = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text")).join(chosen, "id")
+    known = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).join(chosen, "id")
     known = staged(known.select("id", "label", "text"), "labelled")
     n = {r.label: r.n for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(n) < 2:

@@ -93,6 +93,99 @@ def test_odd_rows(spark):
     assert lm.score(docs.limit(0)).count() == 0
 
 
+def test_ids_of_other_types(spark):
+    rows = [(f"d{k}", "you idiot scum" if k % 2 else "one fine day here") for k in range(200)]
+    labels = spark.createDataFrame([(i, int("idiot" in t)) for i, t in rows], "doc_id string, toxic int")
+    got = toxicity.score(spark.createDataFrame(rows, "doc_id string, text string"), labels).collect()
+    assert len(got) == 200 and all(r.score > 0.5 if int(r.doc_id[1:]) % 2 else r.score < 0.5 for r in got)
+
+
+def numeric(f, x, at, e=1e-5):
+    was = x[at]
+    x[at] = was + e
+    up = f()
+    x[at] = was - e
+    down = f()
+    x[at] = was
+    return (up - down) / (2 * e)
+
+
+def test_quality_gradients():
+    r = np.random.default_rng(1)
+    z, y = r.normal(size=(20, 7)), (r.random(20) < 0.4).astype(float)
+    p = [r.normal(size=(7, 5)), r.normal(size=5), r.normal(size=5), r.normal(size=1)]
+
+    def loss():
+        logit = np.maximum(z @ p[0] + p[1], 0) @ p[2] + p[3]
+        return np.mean(np.log1p(np.exp(logit)) - y * logit) + 0.01 / 2 * (np.sum(p[0] ** 2) + np.sum(p[2] ** 2))
+
+    for g, q in zip(quality.gradients(p, z, y, 0.01), p):
+        for at in np.ndindex(q.shape):
+            assert g[at] == pytest.approx(numeric(loss, q, at), rel=1e-4, abs=1e-7)
+
+
+def test_toxicity_gradients():
+    r = np.random.default_rng(2)
+    x, a, b = ([np.unique(r.integers(0, 12, 5)) for _ in range(9)] for _ in range(3))
+    y, weight, w, bias = (r.random(9) < 0.5).astype(float), r.random(9) + 0.5, r.normal(size=12), np.array([0.3])
+    total = lambda lists: np.array([w[i].sum() for i in lists])
+
+    def loss():
+        z = total(x) + bias[0]
+        return np.mean(weight * (np.log1p(np.exp(z)) - y * z)) + 0.02 / 2 * np.sum(w**2) + 3.0 / 2 * np.mean((total(a) - total(b)) ** 2)
+
+    flat = lambda lists: toxicity._flat(lists, np.arange(9))
+    g, gb = toxicity.gradients(w, bias[0], flat(x), flat(a), flat(b), y, weight, 0.02, 3.0)
+    for k in range(12):
+        assert g[k] == pytest.approx(numeric(loss, w, k), rel=1e-4, abs=1e-7)
+    assert gb == pytest.approx(numeric(loss, bias, 0), rel=1e-4)
+
+
+def test_vectors_and_pooling_by_hand(spark):
+    texts = ["The cat sat on the MAT 12", "", "a", "the the the dog, dog", None, "été 3x the cat"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    vectors = quality.word_vectors(docs)
+    places, signs = quality.index_vectors()
+
+    def pieces(text):
+        raw = np.frombuffer((text or "").encode(), np.uint8)
+        words, shapes, _ = quality.buckets_of(raw, np.array([0, len(raw)]))
+        return words.tolist(), shapes.tolist()
+
+    table, count = np.zeros((quality.BUCKETS, quality.DIM)), np.zeros(quality.BUCKETS)
+    for t in texts:
+        for ids in pieces(t):
+            for k, i in enumerate(ids):
+                count[i] += 1
+                for j in range(max(0, k - quality.REACH), min(len(ids), k + quality.REACH + 1)):
+                    if j != k:
+                        for p, s in zip(places[ids[j]], signs[ids[j]]):
+                            table[i, p] += s
+    unit = table / np.maximum(np.linalg.norm(table, axis=1, keepdims=True), 1e-9)
+    weight = quality.HALF / (quality.HALF + count / count.sum())
+    assert np.allclose(vectors[:, :-1], unit, atol=1e-6) and np.allclose(vectors[:, -1], weight, rtol=1e-5)
+    got = {r.id: np.frombuffer(bytes(r.x), np.float32) for r in quality.pooled(docs, vectors).collect()}
+    for i, t in enumerate(texts):
+        want = []
+        for ids in pieces(t):
+            w, v = weight[ids][:, None], unit[ids]
+            mean = (w * v).sum(0) / w.sum() if ids else np.zeros(quality.DIM)
+            want += [mean, np.sqrt(np.maximum((w * v * v).sum(0) / w.sum() - mean**2, 0)) if ids else np.zeros(quality.DIM)]
+        words = pieces(t)[0]
+        n = max(len(words), 1)
+        again = sum(a == b for a, b in zip(words, words[1:]))
+        want.append([np.log1p(len(words)), np.log1p(len((t or "").encode())), len(set(words)) / n, again / n])
+        assert np.allclose(got[i], np.concatenate(want), atol=2e-3), t
+
+
+def test_word_hashes_of_thue_and_morse():
+    # words of two letters, complementary, whose sums over powers are equal
+    a = np.array([bin(k).count("1") % 2 for k in range(4096)], np.uint8) + 97
+    raw = np.concatenate((a, [32], 97 + 98 - a)).astype(np.uint8)
+    h = word_hashes(raw, np.array([0, 4097]), np.array([4096, 8193]))
+    assert h[0] != h[1]
+
+
 def tokens_of(text):
     return re.findall(r"[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) + ["\n"]
 
