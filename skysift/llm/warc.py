@@ -12,12 +12,16 @@ Reading. Files come from Spark's binary reader. A member is taken when it inflat
 its checksum holds and its records parse with the lengths and digests that they
 state. After a failure the reader looks for the next gzip member or version line
 from which a whole valid record can be read, goes on there, and gives a row of kind
-``gap`` with the bytes between.
+``gap`` with the bytes between. Of a member that breaks off the records before the break are
+kept, of one with a damaged record within the others; the gap then names the member's bytes,
+and ``reason`` those of its content. Every mark is searched for once, so time is linear
+in the file's size however many places are damaged.
 
 Defined results: null payloads count as empty, null urls as an empty target; equal
 payloads under the same smallest id are all responses; a null id is written as an
-empty id, read back as null and never referred to unless all are null; an empty table
-gives no archives and no rows; other columns are not read.
+empty id, read back as null and never referred to unless all are null; ids are
+percent-encoded in record ids, line breaks in targets; a revisit stays one when the record
+that it refers to is lost; an empty table gives no archives and no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -26,6 +30,7 @@ import base64
 import hashlib
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -36,8 +41,10 @@ from ._store import new_path, size_of, staged
 BROADCAST_BYTES = 64 << 20
 #: About the bytes of one row of archive, many records or one large one.
 RUN_BYTES = 4 << 20
+#: Parts that the pages of one payload are dealt over.
+SALTS = 32
 VERSION = b"WARC/1.1\r\n"
-MAGIC = b"\x1f\x8b\x08"
+MAGIC, MARK = b"\x1f\x8b\x08", b"WARC/1."
 READ_SCHEMA = "kind string, path string, start long, stop long, record_id string, uri string, record_type string, refers_to string, payload_bytes long, payload_digest string, payload binary, reason string"
 
 
@@ -58,10 +65,10 @@ def record(record_id: str, uri: str, payload: bytes, refers_to: str | None) -> b
     """A response, or with ``refers_to`` a revisit, which has the HTTP header but no payload."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http + (payload if refers_to is None else b"")
-    uri = "".join(c for c in uri if c not in "\r\n")
+    uri = uri.replace("\r", "%0D").replace("\n", "%0A")
     head = [
         ("WARC-Type", "response" if refers_to is None else "revisit"),
-        ("WARC-Record-ID", f"<urn:page:{record_id}>"),
+        ("WARC-Record-ID", f"<urn:page:{quote(record_id)}>"),
         ("WARC-Date", "2024-01-01T00:00:00Z"),
         ("WARC-Target-URI", uri),
         ("WARC-Payload-Digest", "sha1:" + base32_sha1(payload)),
@@ -71,19 +78,23 @@ def record(record_id: str, uri: str, payload: bytes, refers_to: str | None) -> b
     ]
     if refers_to is not None:
         head.insert(2, ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))
-        head.insert(3, ("WARC-Refers-To", f"<urn:page:{refers_to}>"))
+        head.insert(3, ("WARC-Refers-To", f"<urn:page:{quote(refers_to)}>"))
     return VERSION + "".join(f"{k}: {v}\r\n" for k, v in head).encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
 def revisits(pages: DataFrame, id_col: str, payload_col: str, min_bytes: int) -> DataFrame:
     """(id, sha, refers_to) of the records that repeat another's payload."""
     payload = F.coalesce(F.col(payload_col), F.lit(""))
+    # a payload that very many pages have is dealt by salt
+    salt = F.pmod(F.xxhash64(F.col(id_col), F.monotonically_increasing_id()), F.lit(SALTS))
     keys = staged(
-        pages.where(F.octet_length(payload) >= min_bytes).select(F.col(id_col).alias("_warc_id"), F.unhex(F.sha2(payload, 256)).alias("_warc_sha")),
+        pages.where(F.octet_length(payload) >= min_bytes).select(F.col(id_col).alias("_warc_id"), F.unhex(F.sha2(payload, 256)).alias("_warc_sha"), salt.alias("_warc_salt")),
         "payloads",
     )
-    firsts = keys.groupBy("_warc_sha").agg(F.min("_warc_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    again = keys.join(firsts, "_warc_sha").where("_warc_id is null or _warc_id > refers_to")
+    parts = keys.groupBy("_warc_sha", "_warc_salt").agg(F.min("_warc_id").alias("refers_to"), F.count(F.lit(1)).alias("n"))
+    firsts = parts.groupBy("_warc_sha").agg(F.min("refers_to").alias("refers_to"), F.sum("n").alias("n")).where("n > 1")
+    told = parts.select("_warc_sha", "_warc_salt").join(firsts, "_warc_sha")
+    again = keys.join(told, ["_warc_sha", "_warc_salt"]).where("_warc_id is null or _warc_id > refers_to")
     return staged(again.select("_warc_id", "_warc_sha", "refers_to").distinct(), "revisits")
 
 
@@ -123,35 +134,54 @@ class Damaged(ValueError):
     pass
 
 
-def _inflate(data: memoryview, at: int) -> tuple[bytes, int]:
-    """One member's content and where it ends."""
-    d, out, fed = zlib.decompressobj(31), [], at
-    try:
-        while not d.eof:
-            if fed >= len(data):
-                raise Damaged("the member breaks off")
-            part = data[fed : fed + 65536]
-            out.append(d.decompress(part))
-            fed += len(part)
-    except zlib.error as e:
-        raise Damaged(str(e)) from None
-    return b"".join(out), fed - len(d.unused_data)
+class _Next:
+    """The next place of a mark at or after a byte; asked in ascending order, a mark costs one pass in all."""
+
+    def __init__(self, data: bytes):
+        self.data, self.known = data, {}
+
+    def __call__(self, mark: bytes, start: int) -> int:
+        asked, found = self.known.get(mark, (0, -1))
+        if not asked <= start <= found:
+            found = self.data.find(mark, start)
+            found = len(self.data) if found < 0 else found
+            self.known[mark] = start, found
+        return found
 
 
-def _parse(data, at: int) -> tuple[dict, int]:
+def _inflate(data: bytes, at: int, find: _Next) -> tuple[bytes, int, str | None]:
+    """One member's content, or as much as it gives, where it ends, and what is wrong with it."""
+    flags = data[at + 3] if at + 3 < len(data) else 0xE0
+    if flags & 0xE0 or (flags & 0x18 and find(b"\0", at + 10) - at > 1 << 16):  # a name or comment ends with a zero
+        raise Damaged("no gzip header")
+    view, d, out, fed, size = memoryview(data), zlib.decompressobj(31), [], at, 256
+    while not d.eof:
+        if fed >= len(data):
+            return b"".join(out), fed, "the member breaks off"
+        part, before = view[fed : fed + size], d.copy() if fed > at else None
+        try:
+            out.append(d.decompress(part))
+        except zlib.error as e:
+            for k in range(0, len(part) if before else 0, 256):  # up to the error, nearly
+                try:
+                    out.append(before.decompress(part[k : k + 256]))
+                except zlib.error:
+                    break
+            return b"".join(out), fed, str(e)
+        fed, size = fed + len(part), min(2 * size, 65536)
+    return b"".join(out), fed - len(d.unused_data), None
+
+
+def _parse(data: bytes, at: int, find: _Next) -> tuple[dict, int]:
     """The record at a version line, checked, and where it ends."""
-    view = memoryview(data)
-    size = 65536
-    top = bytes(view[at : at + size])
-    # a header is as long as its values are
-    while (end := top.find(b"\r\n\r\n")) < 0 and top.startswith(b"WARC/1.") and len(top) == size:
-        size *= 4
-        top = bytes(view[at : at + size])
-    if not top.startswith(b"WARC/1.") or end < 0:
+    end = find(b"\r\n\r\n", at)
+    # a header is as long as its values are, but has one version line
+    if not data.startswith(MARK, at) or end == len(data) or find(b"\n" + MARK, at + 1) < end:
         raise Damaged("no record header")
-    lines = top[:end].split(b"\r\n")[1:]
+    view = memoryview(data)
+    lines = data[at:end].split(b"\r\n")[1:]
     head = {k.strip().lower(): v.strip() for k, _, v in (x.decode("utf-8", "replace").partition(":") for x in lines)}
-    start = at + end + 4
+    start = end + 4
     if not head.get("content-length", "").isdigit():
         raise Damaged("no length")
     stop = start + int(head["content-length"])
@@ -180,40 +210,53 @@ def _parse(data, at: int) -> tuple[dict, int]:
     }, stop + 4
 
 
-def _at(data: memoryview, at: int) -> tuple[list[dict], int]:
-    """All records of the member or plain record that starts at a byte, and where it ends."""
-    if bytes(data[at : at + 3]) == MAGIC:
-        inner, stop = _inflate(data, at)
-        records, k = [], 0
-        while k < len(inner):
-            r, k = _parse(inner, k)
-            records.append(r)
-        return records, stop
-    r, stop = _parse(data, at)
-    return [r], stop
+def _plain(data: bytes) -> Iterator[dict]:
+    """Records and gaps of bytes that aren't compressed, in order."""
+    find, at, bad, why = _Next(data), 0, None, ""
+    while at < len(data):
+        try:
+            r, stop = _parse(data, at, find)
+        except Damaged as e:
+            bad, why = (at, str(e)) if bad is None else (bad, why)
+            at = find(MARK, at + 1)
+            continue
+        if bad is not None:
+            yield {"kind": "gap", "start": bad, "stop": at, "reason": why}
+            bad = None
+        yield {"kind": "record", "start": at, "stop": stop} | r
+        at = stop
+    if bad is not None:
+        yield {"kind": "gap", "start": bad, "stop": len(data), "reason": why}
 
 
 def salvage(data: bytes | memoryview) -> Iterator[dict]:
     """Records and gaps of an archive's bytes, in order."""
-    view = memoryview(data)
-    whole = view.obj if isinstance(view.obj, bytes) and len(view.obj) == len(view) else bytes(view)
-    at, bad, why = 0, None, ""
-    while at < len(view):
+    data = bytes(data)
+    find, at, bad, why = _Next(data), 0, None, ""
+    while at < len(data):
         try:
-            records, stop = _at(view, at)
+            if data.startswith(MAGIC, at):
+                content, stop, wrong = _inflate(data, at, find)
+                found = [r for r in _plain(content) if not wrong or r["kind"] == "record"]
+            else:
+                (r, stop), wrong = _parse(data, at, find), None
+                found = [{"kind": "record"} | r]
         except Damaged as e:
-            if bad is None:
-                bad, why = at, str(e)
-            hits = [i for i in (whole.find(MAGIC, at + 1), whole.find(b"WARC/1.", at + 1)) if i >= 0]
-            at = min(hits, default=len(view))
-            continue
-        if bad is not None:
+            found, wrong = [], str(e)
+        if bad is not None and (found or not wrong):
             yield {"kind": "gap", "start": bad, "stop": at, "reason": why}
             bad = None
-        yield from ({"kind": "record", "start": at, "stop": stop} | r for r in records)
-        at = stop
+        for r in found:
+            within = {"reason": f"{r['reason']}: bytes {r['start']} to {r['stop']} of the member's content"} if r["kind"] == "gap" else {}
+            yield r | within | {"start": at, "stop": stop}
+        if not wrong:
+            at = stop
+            continue
+        if bad is None:
+            bad, why = at, wrong + (f", after {len(found)} records" if found else "")
+        at = min(find(MAGIC, at + 1), find(MARK, at + 1))
     if bad is not None:
-        yield {"kind": "gap", "start": bad, "stop": len(view), "reason": why}
+        yield {"kind": "gap", "start": bad, "stop": len(data), "reason": why}
 
 
 def read_archives(spark: SparkSession, path: str, with_payload: bool = False) -> DataFrame:
@@ -231,10 +274,10 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = False) ->
             for i in range(batch.num_rows):
                 found: list[dict] = []
                 size = 0
-                for r in salvage(bytes(memoryview(batch.column(1)[i].as_buffer()))):
+                for r in salvage(memoryview(batch.column(1)[i].as_buffer())):
                     for k in ("record_id", "refers_to"):
                         if r.get(k):
-                            r[k] = re.sub(r"^<urn:page:|>$", "", r[k]) or None
+                            r[k] = unquote(re.sub(r"^<urn:page:|>$", "", r[k])) or None
                     size += len(r.get("payload", b"")) if with_payload else 200
                     found.append(r | {"path": batch.column(0)[i].as_py()} | ({} if with_payload else {"payload": None}))
                     if size > RUN_BYTES:

@@ -4,8 +4,11 @@ import base64
 import gzip
 import hashlib
 import re
+import time
 from collections import Counter, defaultdict
 
+import pytest
+
 from skysift.llm import exact_dedup, sharding, warc
 
 DOCS = "doc_id long, text string, keep_id string, maybe int"
@@ -54,6 +57,28 @@ def test_only_possible_repeats_shuffle(spark):
     assert exact_dedup.maybe_repeated(keys, "sha", seen, bits, "maybe").where("maybe").count() < 800
 
 
+def test_bits_per_row_hold_beyond_the_filter(spark):
+    docs = spark.range(40000).selectExpr("id as doc_id", "concat('text ', id) as text")
+    docs = docs.unionByName(docs.where("doc_id < 100").selectExpr("doc_id + 50000 as doc_id", "text"))
+    keys = exact_dedup.staged(docs.select(exact_dedup.digest(docs.text).alias("sha")), "keys")
+    assert 200 <= exact_dedup.flagged(keys, "sha", 40100, 1 << 17).where("maybe").count() < 2500  # five slices
+    got = exact_dedup.decisions(docs, max_bits=1 << 17)
+    assert got.count() == 40100 and got.where("not kept").count() == 100 == got.where("keep_id != doc_id").count()
+    assert exact_dedup.deduplicate(docs, max_bits=1 << 17).count() == 40000
+
+
+def test_clashing_names(spark):
+    names = ["_bloom_x", "_dedup_sha", "_dedup_id", "_dedup_raw", "_dedup_stays", "sha", "row", "id"]
+    docs = spark.createDataFrame([(i, t, *(f"{n} {i}" for n in names)) for i, t in [(3, "a"), (1, "a"), (2, "a "), (5, "b"), (5, "b")]], ["doc_id", "text", *names])
+    got = exact_dedup.deduplicate(docs)
+    assert got.columns == docs.columns
+    assert sorted(tuple(r) for r in got.collect()) == [(i, t, *(f"{n} {i}" for n in names)) for i, t in [(1, "a"), (2, "a "), (5, "b")]]
+    for key in ("slot", "shard"):
+        rows = spark.createDataFrame([("p", 1), ("q", 2)], [key, "x"])
+        owner = sharding.fill(["x", "y"], 101)
+        assert {(r.x, owner[r.slot] == r.shard) for r in sharding.place(rows, key, ["x", "y"], 101).collect()} == {(1, True), (2, True)}
+
+
 def test_lookup_table():
     names = [f"s{i}" for i in range(7)]
     owner = sharding.fill(names, 1009)
@@ -122,7 +147,7 @@ def test_salvage():
     wrong = plain[1].replace(b"payload 6", b"payload x")
     data = b"junk" + parts[0] + broken + parts[2] + plain[0] + wrong + plain[2] + parts[3] + parts[4][:-9]
     found = list(warc.salvage(data))
-    assert [r["record_id"] for r in found if r["kind"] == "record"] == [f"<urn:page:{i}>" for i in (0, 2, 5, 7, 3)]
+    assert [r["record_id"] for r in found if r["kind"] == "record"] == [f"<urn:page:{i}>" for i in (0, 2, 5, 7, 3, 4)]
     gaps = [(r["start"], r["stop"]) for r in found if r["kind"] == "gap"]
     assert [b - a for a, b in gaps] == [4, len(broken), len(wrong), len(parts[4]) - 9]
     assert sum(b - a for a, b in gaps) + len(parts[0] + parts[2] + plain[0] + plain[2] + parts[3]) == len(data)
@@ -136,3 +161,36 @@ def test_long_urls(spark):
     uris = [u for _, u, _ in pages[:2]]
     whole = b"".join(warc.record(str(i), u, b"p", None) for i, u in enumerate(uris))  # without compression, too
     assert [r["uri"] for r in warc.salvage(whole)] == uris
+
+
+def test_records_of_damaged_members():
+    three = [warc.record(str(i), "u", b"payload %d" % i * 9, None) for i in range(3)]
+    wrong = three[1].replace(b"payload 1", b"payload x", 1)
+    data = warc.member(three[0] + wrong + three[2]) + warc.member(three[1])
+    found = list(warc.salvage(data))
+    assert [r["record_id"][10:-1] for r in found if r["kind"] == "record"] == ["0", "2", "1"]
+    (gap,) = [r for r in found if r["kind"] == "gap"]
+    assert f"bytes {len(three[0])} to {len(three[0] + wrong)} of" in gap["reason"] and gap["stop"] == len(warc.member(three[0] + wrong + three[2]))
+    # a member that breaks off keeps what came before
+    whole = warc.member(b"".join(three))
+    found = list(warc.salvage(whole[:-9] + warc.member(three[0])))
+    assert [r["record_id"][10:-1] for r in found if r["kind"] == "record"] == ["0", "1", "2", "0"]
+    assert [(r["start"], r["stop"]) for r in found if r["kind"] == "gap"] == [(0, len(whole) - 9)]
+    # a whole member without records is a gap of its own
+    assert [r["kind"] for r in warc.salvage(warc.member(b"junk") + warc.member(three[0]))] == ["gap", "record"]
+
+
+@pytest.mark.parametrize("kind", ["member", "version", "header", "magic"])
+def test_damage_takes_linear_time(kind):
+    one = {"member": warc.member(b"x" * 30)[:-3], "version": b"WARC/1.1\r\nContent-Length: 9999999999\r\n\r\n", "header": b"WARC/1.1\r\nx", "magic": warc.MAGIC}[kind]
+    start = time.process_time()
+    good = warc.member(warc.record("1", "u", b"p", None))
+    found = list(warc.salvage(one * 100_000 + good))
+    assert [r["kind"] for r in found][-1] == "record" and sum(r["stop"] - r["start"] for r in found) == len(one) * 100_000 + len(good)
+    assert time.process_time() - start < 30
+
+
+def test_ids_of_any_text(spark):
+    rows = [("a\r\nb", "u", "x"), ("é> %41", "u\n", "y"), ("z", "u", "x")]
+    got = warc.round_trip(spark.createDataFrame(rows, "page_id string, url string, html string")).collect()
+    assert {(r.page_id, r.refers_to) for r in got} == {("a\r\nb", None), ("é> %41", None), ("z", "a\r\nb")}
