@@ -11,7 +11,7 @@ the most frequent ones first: with e empty segments and d of the first c that ha
 two shingles or more, links keep a weight of m - e + d - h in equal
 segments, and all but one of that may go. As all documents rank keys alike, the rarest segment of
 a link is kept by both sides. Documents that have nothing to spare emit their empty
-segments too, and meet each other there. m and c are chosen per band, among all pairs that
+segments too, and meet each other there; those for which even that is too little have one key together. m and c are chosen per band, among all pairs that
 suffice, for the least expected number of keys.
 
 Keys that many rows have are found in a sample and dealt by salt wherever rows meet by key; the
@@ -174,6 +174,8 @@ def keys_of(hashes: np.ndarray, num: int, den: int) -> tuple[np.ndarray, list[in
         over = m - int((size == 0).sum()) + bought - h - 1
         if over < 0:
             firm.append((salt ^ U64(0x5BD1E995))[size == 0])  # the empty ones too
+            if m + bought <= h:  # and all who have too few even so meet on one key
+                firm.append(salt[:1] ^ U64(0xC2B2AE35))
         for part, free in ((content * U64(BASE | 1) ^ salt)[plain], 1), (np.concatenate(firm) if firm else np.zeros(0, U64), 0):
             out.append(mix(part) << U64(8) | U64(k << 1 | free))
         spare += [k, max(0, over)]
@@ -403,8 +405,11 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             label = connected(links.union(same))
     # the smallest id of each component that has several
     named = of.select("id", "set").join(label.withColumnRenamed("id", "set"), "set", "left").select("id", F.coalesce("component", "set").alias("part"))
-    least = named.groupBy("part").agg(F.min("id").alias("component"), F.max("id").alias("last")).where("component != last").select("part", "component")
-    named = named.join(least, "part").select("id", "component").distinct()
+    named = named.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
+    parts = named.groupBy("part", "salt").agg(F.min("id").alias("component"), F.max("id").alias("last"))
+    least = parts.groupBy("part").agg(F.min("component").alias("component"), F.max("last").alias("last")).where("component != last")
+    told = parts.select("part", "salt").join(least.select("part", "component"), "part")
+    named = named.join(told, ["part", "salt"]).select("id", "component").distinct()
     out = rows.where("id is not null").select("id", "n").join(named, "id", "left").unionByName(rows.where("id is null").select("id", "n", F.lit(None).cast("long").alias("component")))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 

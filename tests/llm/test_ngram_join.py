@@ -75,8 +75,17 @@ def kept_keys(sets):
     return out
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_linked_sets_keep_a_common_key(seed):
+def fewer_segments(k, num, den):
+    """Three segments for four differences, and one-deletion keys for what is missing."""
+    h = nj.differences(nj.band_edges(k)[1], k, num, den)
+    m = -(-3 * (h + 1) // 4)
+    return m, min(m, h + 2 - m + m // 20)
+
+
+@pytest.mark.parametrize("seed,plan", [(0, None), (1, None), (2, None), (3, fewer_segments), (4, fewer_segments), (5, lambda k, num, den: (1, 1))])
+def test_linked_sets_keep_a_common_key(monkeypatch, seed, plan):
+    if plan:
+        monkeypatch.setattr(nj, "plan", plan)
     r = np.random.default_rng(seed)
     for size in [*range(1, 40), 55, 80, 130, 333, 900]:
         base = np.unique(r.integers(0, 2**63, size).astype(np.uint64))
@@ -92,6 +101,16 @@ def test_linked_sets_keep_a_common_key(seed):
                     assert np.array_equal(a, b) or kept[i] & kept[j]
 
 
+def test_plans_suffice():
+    deleting = set()
+    for num, den in ((85, 100), (80, 100), (50, 100)):
+        for k in range(34):
+            m, c = nj.plan(k, num, den)
+            assert m + c >= nj.ROOM * (nj.differences(nj.band_edges(k)[1], k, num, den) + 1) and c <= m
+            deleting |= {(num, nj.band_edges(k)[0])} if c else set()
+    assert max(lo for num, lo in deleting if num == 80) > 17 and any(num == 85 for num, _ in deleting)
+
+
 def test_differences():
     for a in range(1, 60):
         for k in nj.bands_of(a, 85, 100):
