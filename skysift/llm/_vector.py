@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +30,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+_BLOCK = 1 << 17
 #: Random numbers of a byte in the first places of a word.
 _BY_PLACE = mix(np.arange(64 << 8, dtype=U64) + U64(BASE))
 
@@ -54,14 +56,24 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
-def chunks(offsets: np.ndarray, limit: int = 2 << 20) -> Iterator[tuple[int, int]]:
-    """Row ranges of at most ``limit`` bytes each; a longer row stands alone."""
+def give_back() -> None:
+    """Return what arrays of a batch left free to the machine: workers live on beside the next stage's memory."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
+
+
+def chunks(offsets: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Row ranges of at most ``limit`` bytes each; a longer row stands alone. Memory is given back when all are done."""
     n, lo = len(offsets) - 1, 0
     while lo < n:
         hi = int(np.searchsorted(offsets, offsets[lo] + limit, "right")) - 1
         hi = min(n, max(hi, lo + 1))
         yield lo, hi
         lo = hi
+    if n > 0:
+        give_back()
 
 
 def word_spans(raw: np.ndarray, offsets: np.ndarray, white: np.ndarray = _WHITE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -87,18 +99,24 @@ def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bo
     """
     if not len(starts):
         return np.zeros(0, U64)
-    kind = np.int32 if len(raw) < 1 << 22 else np.int64
-    code = np.zeros(len(raw), kind)
-    code[starts] = starts
-    np.subtract(np.arange(len(raw), dtype=kind), np.maximum.accumulate(code, out=code), out=code)
-    far = int((ends - starts).max()) > len(_BY_PLACE) >> 8
-    code <<= 8
-    code |= _LOWER[raw] if lower else raw
-    b = _BY_PLACE.take(code, mode="clip")
-    if far:
-        late = code >= len(_BY_PLACE)
-        b[late] = mix(code[late].astype(U64) + U64(BASE))
-    total = np.concatenate((np.zeros(1, U64), np.cumsum(b, dtype=U64)))
+    total, last = np.zeros(len(raw) + 1, U64), 0
+    for i in range(0, len(raw), _BLOCK):  # little memory beside the sums
+        part = raw[i : i + _BLOCK]
+        place = np.zeros(len(part), np.int64)
+        here = starts[np.searchsorted(starts, i) : np.searchsorted(starts, i + _BLOCK)]
+        place[here - i] = here
+        np.maximum.accumulate(np.maximum(place, last, out=place), out=place)
+        last = int(place[-1])
+        np.subtract(np.arange(i, i + len(part)), place, out=place)
+        far = int(place.max()) >= len(_BY_PLACE) >> 8
+        place <<= 8
+        place |= _LOWER[part] if lower else part
+        b = _BY_PLACE.take(place, mode="clip")
+        if far:
+            late = place >= len(_BY_PLACE)
+            b[late] = mix(place[late].astype(U64) + U64(BASE))
+        b[0] += total[i]
+        np.cumsum(b, out=total[i + 1 : i + 1 + len(part)])
     return mix(total[ends] - total[starts] + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
 
 

@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ._store import small_batches
 from ._vector import U64, HashIndex
 
 MARK = "▁"
@@ -252,6 +253,7 @@ def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
 
     One narrow pass: no shuffle, and a worker holds one part of one batch at a time.
     """
+    small_batches(docs.sparkSession)
     schema = f"{id_col} {docs.schema[id_col].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string"
     if with_ids:
         schema += ", ids array<int>, decoded string"

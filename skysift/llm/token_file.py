@@ -327,7 +327,7 @@ def _ids_table(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str, t
 
         for batch in batches:
             raw, offsets = text_bytes(batch.column(1))
-            for lo, hi in chunks(offsets):
+            for lo, hi in chunks(offsets, 2 << 20):
                 ids, n = coder.encode(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], end_id)
                 ends, named, at = np.cumsum(n), batch.column(0).slice(lo, hi - lo).to_pylist(), 0
                 while at < hi - lo:
