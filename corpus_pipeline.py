@@ -34,8 +34,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of every document that is left."""
-    return sentencepiece_codec.encode_decode(docs, q.piece_model())
+    """The ids of every document that is left, with their count and digests."""
+    return sentencepiece_codec.encode_decode(docs, q.piece_model(), with_ids=True).drop("decoded")
 
 
 STAGES = [
