@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, exact_dedup, language_model, ngram_join, quality, sentencepiece_codec, sharding, token_file, toxicity, warc
+from . import alignment, decontaminate, exact_dedup, language_model, ngram_join, quality, sentencepiece_codec, sharding, token_file, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +70,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op13_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.report(table(spark, sf_dir, "documents"), byte_tokenizer(), piece_model())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_model": op1_language_model,
@@ -82,6 +86,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_sharding": op8_sharding,
         "op9_toxicity": op9_toxicity,
         "op10_warc": op10_warc,
+        "op13_cross_tokenizer": op13_cross_tokenizer,
     }
 
 

@@ -127,12 +127,13 @@ class _Pool:
 
 
 class Encoder:
-    """The tokenizers library with a memo of pieces."""
+    """The tokenizers library with a memo of pieces; with ``plain``, special tokens' strings are ordinary text."""
 
-    def __init__(self, path: str, memo: int = MEMO):
+    def __init__(self, path: str, memo: int = MEMO, plain: bool = False):
         from tokenizers import Tokenizer
 
         self.lib, self.memo = Tokenizer.from_file(path), memo
+        self.lib.encode_special_tokens = plain
         size = self.lib.get_vocab_size(with_added_tokens=True)
         self.kind = np.uint16 if size <= 1 << 16 else np.uint32
         #: Bytes that each id stands for; the vocabulary has one character per byte, added tokens their own text.
@@ -211,8 +212,8 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def encoder(path: str, plain: bool = False) -> Encoder:
+    return Encoder(path, plain=plain)
 
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
