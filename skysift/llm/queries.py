@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import alignment, decontaminate, exact_dedup, language_model, ngram_join, quality, sentencepiece_codec, sharding, token_file, toxicity, warc
+from . import alignment, decontaminate, exact_dedup, filter_audit, language_model, ngram_join, quality, sentencepiece_codec, sharding, token_file, toxicity, url_filters, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +70,14 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.verdicts(table(spark, sf_dir, "pages"))
+
+
 def op13_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.report(table(spark, sf_dir, "documents"), byte_tokenizer(), piece_model())
 
@@ -86,6 +94,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_sharding": op8_sharding,
         "op9_toxicity": op9_toxicity,
         "op10_warc": op10_warc,
+        "op11_filter_audit": op11_filter_audit,
+        "op12_url_filters": op12_url_filters,
         "op13_cross_tokenizer": op13_cross_tokenizer,
     }
 
@@ -147,5 +157,73 @@ from p
 """
 
 
+OP11_SQL = r"""
+with d as (
+  select doc_id, coalesce(lang, '') as part, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents
+), l as (select doc_id, bool_or(quality = 1) as good, bool_or(toxic = 1) as toxic from labels group by doc_id
+), f as (
+  select part, coalesce(good, false) as good, coalesce(toxic, false) as toxic, (case when len(w) < 200 then 'A' else '' end)
+    || (case when 100 * len(list_distinct(w)) < 50 * len(w) then 'B' else '' end)
+    || (case when 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) then 'C' else '' end)
+    || (case when regexp_matches(t, '[#$%&*|]') then 'D' else '' end)
+    || (case when doc_id > min(doc_id) over (partition by t) then 'E' else '' end) as fails
+  from d left join l using (doc_id)
+), n as (select part, good, toxic, fails, count(*) as n from f group by all
+), x as (select unnest(['A', 'B', 'C', 'D', 'E']) as x
+), o as (
+  select a.x || b.x || c.x || d.x || e.x as filter_order from x a, x b, x c, x d, x e where len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+), s as (select filter_order, unnest(range(1, 6)) as step from o
+), fate as (  -- the step at which a document goes, 6 if it stays
+  select part, good, toxic, fails, n, filter_order, coalesce(list_min(list_filter(range(1, 6), lambda i: contains(fails, filter_order[i]))), 6) as goes from n, o
+), steps as (
+  select part, filter_order, step, filter_order[step] as letter, coalesce(sum(n) filter (goes > step), 0) as kept, coalesce(sum(n) filter (goes = step), 0) as removed,
+    coalesce(sum(n) filter (goes < step and contains(fails, filter_order[step])), 0) as redundant, coalesce(sum(n) filter (fails = filter_order[step]), 0) as unique_fails,
+    coalesce(sum(n) filter (goes = step and good), 0) as good_lost, coalesce(sum(n) filter (goes = step and toxic), 0) as toxic_lost
+  from fate join s using (filter_order) group by all
+)
+select part, filter_order, step, kept::bigint as kept, removed::bigint as removed, redundant::bigint as redundant, unique_fails::bigint as unique_fails,
+  good_lost::bigint as good_lost, toxic_lost::bigint as toxic_lost, (sum(removed) over (partition by part, letter))::bigint as shapley
+from steps
+"""
+
+_SITE = r"""regexp_extract({url}, '(?s)^(.*?://[^/?#]*)', 1)"""
+_VALUE = r"""replace(regexp_replace(regexp_extract({tag}, '(?i)[\s"'']{name}\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+)', 1), '^["'']|["'']$', '', 'g'), '&amp;', '&')"""
+_PLAIN = r"""
+  case when contains({url}, '://') then translate(regexp_extract({url}, '(?s)^(.*?)://', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || '://'
+    || translate(regexp_extract({url}, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
+    || case when regexp_matches({url}, '(?s)^.*?://[^/?#]*/') then '' else '/' end || regexp_extract({url}, '(?s)^.*?://[^/?#]*([^#]*)', 1) end"""
+_HOST = """translate(regexp_extract({url}, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"""
+_PATH = """regexp_extract({url}, '(?s)^.*?://[^/?#]*([^?#]*)', 1)"""
+OP12_SQL = rf"""
+with recursive rules(verdict, h, p) as (values ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')
+), tags as (
+  select url, unnest(regexp_extract_all(regexp_replace(coalesce(html, ''), '(?s)<!--.*?-->', '', 'g'), '(?i)<(?:link|meta)[\s/][^>]*>')) as tag from pages where contains(url, '://')
+), raw as (
+  select url, trim({_VALUE.format(tag="tag", name="href")}, E' \t\n') as t from tags
+  where regexp_matches(tag, '(?i)^<link') and list_contains(regexp_split_to_array(lower(trim({_VALUE.format(tag="tag", name="rel")})), '\s+'), 'canonical')
+  union all
+  select url, trim(regexp_replace(regexp_extract({_VALUE.format(tag="tag", name="content")}, '(?is)^[^;,]*[;,]\s*url\s*=\s*(.*)$', 1), '^["'']|["'']$', '', 'g')) from tags
+  where regexp_matches(tag, '(?i)^<meta') and lower(trim({_VALUE.format(tag="tag", name="http-equiv")})) = 'refresh'
+), targets as (
+  select url, case when t = '' then null when regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://') then t when starts_with(t, '//') then regexp_extract(url, '(?s)^(.*?:)//', 1) || t
+    when starts_with(t, '/') then {_SITE.format(url="url")} || t when starts_with(t, '?') then {_SITE.format(url="url")} || {_PATH.format(url="url")} || t when starts_with(t, '#') then null
+    else {_SITE.format(url="url")} || coalesce(nullif(regexp_extract({_PATH.format(url="url")}, '(?s)^(.*/)', 1), ''), '/') || t end as t
+  from raw
+), edges as (select {_PLAIN.format(url="url")} as a, {_PLAIN.format(url="t")} as b from targets
+), pairs as (select a, b from edges where a <> b union select b, a from edges where a <> b
+), reach as (select distinct a as node, a as other from pairs union select node, b from reach join pairs on other = a
+), ends as (select distinct a as node, {_HOST.format(url="a")} as host, {_PATH.format(url="a")} as path from pairs
+), judged as (
+  select node, arg_max(verdict, len(h || p)) as verdict from ends join rules on ('.' || host) like ('%.' || h) and starts_with(path, p) group by node
+), resource as (
+  select reach.node, bool_or(verdict = 'block') and not bool_or(verdict = 'allow') as bad from reach join judged on other = judged.node group by reach.node
+), rows as (select row_number() over () as k, page_id, coalesce({_HOST.format(url="url")}, '') as host, coalesce({_PATH.format(url="url")}, '') as path, {_PLAIN.format(url="url")} as node from pages
+), own as (
+  select k, arg_max(h || p, len(h || p)) as rule, arg_max(verdict, len(h || p)) as verdict from rows join rules on ('.' || host) like ('%.' || h) and starts_with(path, p) group by k
+)
+select page_id, host, path, rule, coalesce(verdict, case when bad then 'block' end, 'allow') as verdict from rows left join own using (k) left join resource using (node)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": OP4_SQL, "op6_ngram_join": OP6_SQL, "op7_decontaminate": OP7_SQL, "op10_warc": OP10_SQL}
+    return {"op4_exact_dedup": OP4_SQL, "op6_ngram_join": OP6_SQL, "op7_decontaminate": OP7_SQL, "op10_warc": OP10_SQL, "op11_filter_audit": OP11_SQL, "op12_url_filters": OP12_SQL}
