@@ -32,6 +32,13 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+def id_name(id_col: str, results: list[str]) -> str:
+    """What a result calls the id: its name, with underscores behind it where the result has a column of that name."""
+    while id_col.lower() in {c.lower() for c in results}:
+        id_col += "_"
+    return id_col
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 

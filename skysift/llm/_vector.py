@@ -115,7 +115,7 @@ def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bo
         if far:
             late = place >= len(_BY_PLACE)
             b[late] = mix(place[late].astype(U64) + U64(BASE))
-        b[0] += total[i]
+        b[:1] += total[i : i + 1]
         np.cumsum(b, out=total[i + 1 : i + 1 + len(part)])
     return mix(total[ends] - total[starts] + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
 

@@ -4,9 +4,9 @@ Pass 1 hashes every normalised text to a few positions of a bit array, counts th
 positions (with partial sums before the shuffle) and sets the bits that were hit
 more than once. Pass 2 looks every row up there: a row with a clear bit has no
 equal and passes straight through; only the others shuffle, by their full digest.
-The bit array is broadcast, has BITS_PER_ROW bits per row at any size and never more than
-``max_bits`` at once: a larger table is cut into slices by hash, each with an array and a pass
-over its own digests, one after the other.
+The bit array has BITS_PER_ROW bits per row at any size. Up to ``max_bits`` it is broadcast; a
+larger one stays a table of pieces of ``BUCKET`` bits, and digests (never texts) are joined to the
+piece of each of their positions, all in one job.
 
 ``deduplicate`` decides on ids and digests, and then drops rows by broadcast; where the rows
 that go don't fit ``BROADCAST_BYTES``, all rows shuffle by id for that.
@@ -14,16 +14,17 @@ that go don't fit ``BROADCAST_BYTES``, all rows shuffle by id for that.
 Defined results: null text equals the empty text; among equal texts the smallest
 id stays, a null id only where all are null; of rows with the same id and text
 exactly one stays; an empty table gives an empty table; other columns pass through,
-whatever their names.
+whatever their names; in ``decisions`` an id column called like a column of the result gets an
+underscore behind its name.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ._store import new_path, size_of, staged, unused
+from ._store import id_name, size_of, staged, unused
 
-#: 32 MiB of bits: the bound of what is broadcast.
+#: 32 MiB of bits: the bound of a filter that is broadcast.
 MAX_BITS = 1 << 28
 BITS_PER_ROW = 16
 #: Parts that a group of equal texts may be dealt over.
@@ -43,10 +44,10 @@ def _positions(key: Column, bits: int) -> list[Column]:
     return [F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(bits)) for seed in (1, 2)]
 
 
-def repeated_positions(keys: DataFrame, key: str, n_rows: int, max_bits: int = MAX_BITS) -> tuple[DataFrame, int]:
+def repeated_positions(keys: DataFrame, key: str, n_rows: int) -> tuple[DataFrame, int]:
     """The filter's rows (bucket, set_bits) over positions that are hit more than once, and its size."""
     bits = BUCKET
-    while bits < min(max_bits, BITS_PER_ROW * n_rows):
+    while bits < BITS_PER_ROW * n_rows:
         bits *= 2
     twice = (
         keys.select(F.explode(F.array(*_positions(F.col(key), bits))).alias("position"))
@@ -58,35 +59,25 @@ def repeated_positions(keys: DataFrame, key: str, n_rows: int, max_bits: int = M
     return staged(packed, "repeated"), bits
 
 
-def maybe_repeated(rows: DataFrame, key: str, filter_rows: DataFrame, bits: int, flag: str) -> DataFrame:
+def maybe_repeated(rows: DataFrame, key: str, filter_rows: DataFrame, bits: int, flag: str, max_bits: int = MAX_BITS) -> DataFrame:
     """``rows`` with the column ``flag``: whether all positions of the key are set."""
     found = F.lit(True)
-    small = F.broadcast(filter_rows)  # at most bits / 8 bytes
+    some = F.broadcast(filter_rows) if bits <= max_bits else filter_rows  # at most bits / 8 bytes
     for i, position in enumerate(_positions(F.col(key), bits)):
         b, s, p = (f"_bloom_{x}{i}" for x in "bsp")
         rows = rows.withColumn(p, position).withColumn(b, F.expr(f"{p} div {BUCKET}"))
-        rows = rows.join(small.select(F.col("bucket").alias(b), F.col("set_bits").alias(s)), b, "left")
+        rows = rows.join(some.select(F.col("bucket").alias(b), F.col("set_bits").alias(s)), b, "left")
         byte = F.conv(F.hex(F.expr(f"substring({s}, int({p} % {BUCKET} div 8) + 1, 1)")), 16, 10).cast("int")
-        found = found & (F.coalesce(byte, F.lit(0)).bitwiseAND(F.expr(f"shiftleft(1, int({p} % 8))")) != 0)
-    rows = rows.withColumn(flag, found)
-    return rows.drop(*(c for c in rows.columns if c.startswith("_bloom_")))
+        bit = F.coalesce(byte, F.lit(0)).bitwiseAND(F.expr(f"shiftleft(1, int({p} % 8))")) != 0
+        rows = rows.withColumn(f"_bloom_f{i}", bit).drop(s, b, p)  # pieces don't move on
+        found = found & F.col(f"_bloom_f{i}")
+    return rows.withColumn(flag, found).drop("_bloom_f0", "_bloom_f1")
 
 
 def flagged(keys: DataFrame, key: str, n_rows: int, max_bits: int = MAX_BITS) -> DataFrame:
-    """The staged ``keys`` with the column maybe; beyond ``max_bits``, slice by slice of the keys' hashes."""
-    slices = -(-BITS_PER_ROW * n_rows // max(BUCKET, max_bits))
-    if slices <= 1:
-        seen, bits = repeated_positions(keys, key, n_rows, max_bits)
-        return maybe_repeated(keys, key, seen, bits, "maybe")
-    path = new_path(keys.sparkSession, "slices")
-    keys.withColumn("slice", F.pmod(F.xxhash64(key, F.lit(3)), F.lit(slices)).cast("int")).write.partitionBy("slice").parquet(path)
-    out = None
-    for k in range(slices):
-        part = keys.sparkSession.read.parquet(path).where(F.col("slice") == k).select(*keys.columns)
-        seen, bits = repeated_positions(part, key, -(-n_rows // slices), max_bits)
-        part = staged(maybe_repeated(part, key, seen, bits, "maybe"), "flagged")
-        out = part if out is None else out.unionByName(part)
-    return out
+    """The staged ``keys`` with the column maybe."""
+    seen, bits = repeated_positions(keys, key, n_rows)
+    return maybe_repeated(keys, key, seen, bits, "maybe", max_bits)
 
 
 def _groups(rows: DataFrame) -> DataFrame:
@@ -111,9 +102,9 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     rows = flagged(keys, "sha", keys.count(), max_bits)
     alone = rows.where("not maybe").select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha")
     shared = _groups(rows).select("id", F.col("first.id").alias("keep_id"), "group_size", (F.col("row") == F.col("first.row")).alias("kept"), "sha")
-    return alone.unionByName(shared).select(
-        F.col("id").alias(id_col), "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256")
-    )
+    results = ["keep_id", "group_size", "kept", "text_sha256"]
+    out = alone.unionByName(shared).withColumn("text_sha256", F.lower(F.hex("sha")))
+    return out.select(F.col("id").alias(id_name(id_col, results)), *results)
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
