@@ -8,8 +8,8 @@ sentence of each labelled document an identity term is swapped for another of it
 (a sentence without one is given one), and the squared change of the score is penalised.
 So naming a group, by itself, moves no score.
 
-The model is fitted on at most ``MAX_PER_CLASS`` labelled rows of either class, weighted
-to the classes' true shares. Counting, fitting and scoring read whole texts; scoring is
+The model is fitted on at most ``MAX_PER_CLASS`` labelled ids of either class, one row of
+each (that with the smallest hash of its text), weighted to the classes' true shares. Counting, fitting and scoring read whole texts; scoring is
 one narrow pass.
 
 Defined results: null text counts as empty, empty texts get the intercept's score; without
@@ -200,7 +200,10 @@ def fit(docs: DataFrame, labels: DataFrame, column: str, modulus: int, held: int
         return None
     chosen = F.broadcast(_labels.sample(rows.where("label = 1"), MAX_PER_CLASS, 8).union(_labels.sample(rows.where("label = 0"), MAX_PER_CLASS, 8)))
     known = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).join(chosen, "id")
-    known = staged(known.select("id", "label", "text"), "labelled")
+    known = staged(known.select("id", "label", "text", F.monotonically_increasing_id().alias("row")), "labelled")
+    # however many rows an id has, one teaches: at most as many rows as ids
+    one = known.groupBy("id").agg(F.min_by("row", F.struct(F.xxhash64("text"), "row")).alias("row")).select("row")
+    known = known.join(F.broadcast(one), "row", "left_semi")
     n = {r.label: r.n for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(n) < 2:
         return None
@@ -210,7 +213,7 @@ def fit(docs: DataFrame, labels: DataFrame, column: str, modulus: int, held: int
     listed = often.where(f"odds >= {LEAST_ODDS} and sure >= {LEAST_SURE}").orderBy(F.desc("sure"), "feature").limit(MAX_FEATURES).select("feature").collect()
     keys = np.union1d(np.array([r.feature for r in listed], np.int64).view(U64), identity_features())
     index = HashIndex(keys, np.arange(len(keys)))
-    data = _examples(known, index).orderBy("id", "label", "x").collect()
+    data = sorted(_examples(known, index).collect(), key=lambda r: r.id)  # at most MAX_PER_CLASS rows of each class
     y = np.array([r.label for r in data], np.float64)
     weight = np.where(y > 0, share[1] / n[1], share[0] / n[0])
     model = Model([r.x for r in data], [r.a for r in data], [r.b for r in data], y, weight, len(keys), penalty=penalty)
