@@ -17,8 +17,9 @@ by hash, and compared byte by byte with those that the memo's ids are of.
 
 Defined results: null text counts as empty and has only the end id; bytes that aren't
 UTF-8 count as U+FFFD; null document ids
-come first; rows with the same id stand next to each other, ordered by text; an empty
-table gives an empty file; other columns are not read.
+come first; rows with the same id stand next to each other, ordered by a hash of the text and
+then as they are read; ids are whole numbers, others are an error; an empty table gives an
+empty file; other columns are not read.
 """
 
 from __future__ import annotations
@@ -312,7 +313,10 @@ def _ids_table(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str, t
     from pyspark import TaskContext
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
-    rows = rows.repartitionByRange("id").sortWithinPartitions("id", "text")
+    # rows that share an id, or all of it, may stand in several ranges
+    order = "id", "hash", "row"
+    rows = rows.withColumns({"hash": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(tokenizer_path)
@@ -399,7 +403,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = END_ID,
     blocks.mapInArrow(run, schema).write.option("compression", "zstd").parquet(f"{path}/blocks")
 
 
-def read(spark: SparkSession, path: str, id_type: str = "long", with_ids: bool = False) -> DataFrame:
+def read(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
     """Per document: doc_id, start, n_tokens, ids_crc32, and with ``with_ids`` the ids; blocks are read in any order."""
     rows = spark.read.parquet(f"{path}/codes").orderBy("id").collect()
     context = spark.sparkContext.broadcast((np.array([r.id for r in rows], np.int64), np.array([r.bits for r in rows], np.int64)))
