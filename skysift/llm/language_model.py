@@ -20,7 +20,8 @@ document's end, which is scored as a token.
 
 Defined results: null text counts as empty; an empty text has one token, the end; without
 training documents all words are unknown; repeated rows get equal scores; null ids count
-as the empty text for the fold; other columns are not read.
+as the empty text for the fold; an id column called like a column of the result gets an
+underscore behind its name; other columns are not read.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import _labels
-from ._store import staged
+from ._store import id_name, staged
 from ._vector import U64, HashIndex, _LOWER, chunks, mix, text_bytes, word_hashes, word_spans
 
 #: The bound of what is broadcast of the counts.
@@ -403,20 +404,28 @@ class Trainer:
 
 
 def _average(rows: DataFrame) -> tuple[np.ndarray, int] | None:
-    """The mean of the rows' weights by their tokens; tasks take means of 32 until few are left."""
+    """The mean of the weights of ``rows`` (task, weights, n) by their tokens; tasks take means of 32 until few are left, always in the order of tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = None, 0
+        task, total, count = -1, None, 0
+
+        def mean() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([task], pa.int32()), pa.array([(total / count).astype(np.float32).tobytes()], pa.binary()), pa.array([count], pa.int64())], ["task", "weights", "n"])
+
         for batch in batches:
-            for w, k in zip(batch.column(0), batch.column(1).to_pylist()):
+            for t, w, k in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+                if t // 32 != task and total is not None:
+                    yield mean()
+                    total, count = None, 0
                 x = np.frombuffer(w.as_buffer(), np.float32).astype(np.float64) * k
-                total, n = (x if total is None else total + x), n + k
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array([(total / n).astype(np.float32).tobytes()], pa.binary()), pa.array([n], pa.int64())], ["weights", "n"])
+                task, total, count = t // 32, (x if total is None else total + x), count + k
+        if total is not None:
+            yield mean()
 
     while (k := rows.count()) > 32:
-        rows = staged(rows.repartition(-(-k // 32)).mapInArrow(run, "weights binary, n long"), "weights")
-    got = rows.collect()
+        dealt = rows.repartition(-(-k // 32), F.expr("task div 32")).sortWithinPartitions("task")
+        rows = staged(dealt.mapInArrow(run, "task int, weights binary, n long"), "weights")
+    got = sorted(rows.collect(), key=lambda r: r.task)
     if not got:
         return None
     n = sum(r.n for r in got)
@@ -433,16 +442,18 @@ def train(docs: DataFrame, vocabulary: Vocabulary, text_col: str) -> Gru:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn = TaskContext.get().partitionId()
         for batch in batches:
-            raw, offsets = text_bytes(batch.column(0))
+            raw, offsets = text_bytes(batch.column(1))
             for lo, hi in chunks(offsets):
                 h, shared, rows = tokens(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                 units = known.value.units(h, shared)[0].astype(np.uint16)
                 ends = np.cumsum(np.bincount(rows, minlength=hi - lo))
                 turns = pa.array((turn + np.arange(hi - lo)) % ROUNDS, pa.int32())
                 turn += hi - lo
-                yield pa.RecordBatch.from_arrays([turns, pa.array([units[a:b].tobytes() for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())], pa.binary())], ["turn", "units"])
+                parts = pa.array([units[a:b].tobytes() for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), turns, parts], ["row", "turn", "units"])
 
-    coded = staged(docs.select(F.col(text_col).cast("binary")).mapInArrow(encode, "turn int, units binary"), "units")
+    source = docs.select(F.monotonically_increasing_id().alias("row"), F.col(text_col).cast("binary").alias("text"))
+    coded = staged(source.mapInArrow(encode, "row long, turn int, units binary"), "units")
     sizes = {r.turn: r.size for r in coded.groupBy("turn").agg(F.sum(F.octet_length("units")).alias("size")).collect()}
     net, end = Gru.fresh(vocabulary), vocabulary.end
     for turn in sorted(sizes):
@@ -452,10 +463,12 @@ def train(docs: DataFrame, vocabulary: Vocabulary, text_col: str) -> Gru:
             trainer = Trainer(Gru({n: getattr(start.value, n).copy() for n in Gru.NAMES}), RATE / (turn + 1))
             n = trainer.run((np.frombuffer(x.as_buffer(), np.uint16).astype(np.int64) for b in batches for x in b.column(0)), end)
             if n:
-                yield pa.RecordBatch.from_arrays([pa.array([trainer.net.flat().tobytes()], pa.binary()), pa.array([n], pa.int64())], ["weights", "n"])
+                cols = [pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([trainer.net.flat().tobytes()], pa.binary()), pa.array([n], pa.int64())]
+                yield pa.RecordBatch.from_arrays(cols, ["task", "weights", "n"])
 
-        dealt = coded.where(F.col("turn") == turn).select("units").repartition(-(-sizes[turn] // TASK_BYTES))
-        mean = _average(staged(dealt.mapInArrow(learn, "weights binary, n long"), "weights"))
+        # a row's task, and its place there, are the same however often it runs
+        dealt = coded.where(F.col("turn") == turn).repartition(-(-sizes[turn] // TASK_BYTES), F.xxhash64("row")).sortWithinPartitions("row").select("units")
+        mean = _average(staged(dealt.mapInArrow(learn, "task int, weights binary, n long"), "weights"))
         if mean is not None:
             net = net.like(mean[0])
     return net
@@ -548,8 +561,9 @@ def score(docs: DataFrame, modulus: int = 7, held: int = 2, id_col: str = "doc_i
     more = asked.join(tail, "word").groupBy("row").agg(F.sum("times").alias("more_known"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("more_logs"))
     out = rows.drop("words", "times").join(more, "row", "left").na.fill(0, ["more_known"]).na.fill(0.0, ["more_logs"])
     smooth = float(np.log10(vocabulary.tokens + vocabulary.types + 1.0))
+    name = id_name(id_col, ["held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
     return out.select(
-        F.col("id").alias(id_col), (_labels.remainder(F.col("id"), modulus) == held).alias("held_out"), "n_tokens",
+        F.col("id").alias(name), (_labels.remainder(F.col("id"), modulus) == held).alias("held_out"), "n_tokens",
         (F.col("n_known") + F.col("more_known")).alias("n_known"), F.lit(int(vocabulary.tokens)).cast("long").alias("train_tokens"),
         (F.col("count_logs") + F.col("more_logs") - F.col("n_tokens") * F.lit(smooth)).alias("base_score"),
         (F.col("net_logs") + F.col("rare_logs") + F.col("more_logs")).alias("score"),
