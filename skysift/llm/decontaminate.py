@@ -3,9 +3,11 @@
 Tasks make the benchmark's windows: hashes, and where each stands in its item's normalised
 words. They are broadcast as sorted arrays over one buffer of words; tasks hash every window of
 every training text, look it up, and compare the words themselves where a hash is found. What
-one broadcast holds is at most about ``SLICE_BYTES``, windows included; a larger benchmark
-takes several passes over the training texts, each with its own broadcast, and the
-passes' spans are merged in the row that they belong to. No pass shuffles.
+one broadcast holds is at most about ``SLICE_BYTES``, windows included. Equal windows are one
+entry with a list of items, and a row takes each such list once, however often its windows
+occur. A larger benchmark takes several passes, each with its own broadcast, over the training
+texts, which are numbered and written once before; passes keep rows with hits only, whose
+spans meet by row. With one pass nothing shuffles.
 
 Defined results: null texts and items have no words; an item with fewer words than a
 window is one window; repeated items and rows count each; null item ids are named
@@ -18,6 +20,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -84,6 +87,9 @@ class Windows:
         texts = rows.column("text").to_pylist()
         base = np.cumsum([0, *map(len, texts)])
         self.text = b"".join(texts)
+        #: Lists of items, each once, by number.
+        self.lists: list[tuple[int, ...]] = []
+        known: dict[tuple[int, ...], int] = {}
         sizes = rows.column("n").to_numpy()
         self.by_size: dict[int, tuple[np.ndarray, ...]] = {}
         for n in sorted(set(sizes.tolist())):
@@ -94,13 +100,35 @@ class Windows:
             lens = [len(x) for x in hashes]
             key = np.concatenate(hashes)
             by = np.argsort(key, kind="stable")
-            at = np.repeat(base[some], lens)
-            name = np.repeat(np.array([number[names[i]] for i in some], np.int32), lens)
+            key, at = key[by], (np.repeat(base[some], lens) + np.concatenate(starts))[by]
+            length = (np.concatenate(stops) - np.concatenate(starts))[by]
+            name = np.repeat(np.array([number[names[i]] for i in some], np.int32), lens)[by]
+            first, items = self._distinct(key, at, length, name)
+            key, at, length = key[first], at[first], length[first]
+            listed = np.array([known.setdefault(x, len(known)) for x in items], np.int32)
             down = max(0, 64 - (8 * len(key)).bit_length())
             may = np.zeros((1 << 64 - down) // 8 + 1, np.uint8)
             slot = key >> U64(down)
             np.bitwise_or.at(may, (slot >> U64(3)).astype(np.int64), (U64(1) << (slot & U64(7))).astype(np.uint8))
-            self.by_size[n] = key[by], (at + np.concatenate(starts))[by], (np.concatenate(stops) - np.concatenate(starts))[by], name[by], down, may
+            self.by_size[n] = key, at, length, listed, down, may
+        self.lists = list(known)
+
+    def _distinct(self, key: np.ndarray, at: np.ndarray, length: np.ndarray, name: np.ndarray) -> tuple[np.ndarray, list[tuple[int, ...]]]:
+        """The first place of every distinct window, and its items; keys are in order, and different windows may share one."""
+        first, items = [], []
+        starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+        for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(key)]):
+            if hi == lo + 1:
+                first.append(lo)
+                items.append((int(name[lo]),))
+                continue
+            same: dict[bytes, tuple[int, set[int]]] = {}
+            for i in range(lo, hi):
+                same.setdefault(self.text[at[i] : at[i] + length[i]], (i, set()))[1].add(int(name[i]))
+            for i, found in same.values():
+                first.append(i)
+                items.append(tuple(sorted(found)))
+        return np.array(first, np.int64), items
 
     def _find(self, n: int, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which hashes occur, and the first place of each."""
@@ -112,13 +140,13 @@ class Windows:
         return maybe[there], at[there]
 
     def scan(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, dict[int, tuple[set, set[int]]]]:
-        """Words per row; for rows with hits the hit (first word, words, byte from, byte to) and the items."""
+        """Words per row; for rows with hits the hit (first word, words, byte from, byte to) and the numbers of lists of items."""
         starts, ends, rows = word_spans(raw, offsets, _BETWEEN)
         counts = np.bincount(rows, minlength=len(offsets) - 1)
         hashes = word_hashes(raw, starts, ends)
         first = np.cumsum(counts) - counts
         hits: dict[int, tuple[set, set[int]]] = {}
-        for n, (key, start, length, name, _, _) in self.by_size.items():
+        for n, (key, start, length, listed, _, _) in self.by_size.items():
             h = _window_hashes(hashes, n)
             for i, at in zip(*(x.tolist() for x in self._find(n, h))):
                 row = int(rows[i])
@@ -127,9 +155,10 @@ class Windows:
                 here = b" ".join(raw[a:b].tobytes() for a, b in zip(starts[i : i + n].tolist(), ends[i : i + n].tolist())).translate(UPPER_TO_LOWER)
                 while at < len(key) and key[at] == h[i]:
                     if length[at] == len(here) and self.text.startswith(here, int(start[at])):
-                        spans, items = hits.setdefault(row, (set(), set()))
+                        spans, lists = hits.setdefault(row, (set(), set()))
                         spans.add((int(i - first[row]), n, int(starts[i] - offsets[row]), int(ends[i + n - 1] - offsets[row])))
-                        items.add(int(name[at]))
+                        lists.add(int(listed[at]))
+                        break
                     at += 1
         return counts, hits
 
@@ -139,10 +168,10 @@ _SPAN = pa.list_(pa.struct([("word", pa.int32()), ("words", pa.int32()), ("start
 ADDED = ["n_words", "spans", "items"]
 
 
-def _pass(rows: DataFrame, windows: Windows, merged: bool) -> DataFrame:
-    """Add a slice's spans and items to ``rows``, which have the text in bytes."""
+def _pass(rows: DataFrame, windows: Windows, hits_only: bool) -> DataFrame:
+    """``rows``, which have the text in bytes, with n_words, spans and items; or of the rows with hits only the number and what is added."""
     context = rows.sparkSession.sparkContext.broadcast(windows)
-    kept = [c for c in rows.columns if c not in ADDED]
+    kept = ["row"] if hits_only else [c for c in rows.columns if c not in ADDED]
     schema = rows.select(*kept).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,13 +181,14 @@ def _pass(rows: DataFrame, windows: Windows, merged: bool) -> DataFrame:
             for lo, hi in chunks(offsets):
                 part = batch.slice(lo, hi - lo)
                 counts, hits = known.scan(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                old = part.column("spans").to_pylist() if merged else [[]] * (hi - lo)
-                had = part.column("items").to_pylist() if merged else [[]] * (hi - lo)
+                some = sorted(hits) if hits_only else range(hi - lo)
                 spans, items = [], []
-                for i in range(hi - lo):
+                for i in some:
                     s, t = hits.get(i, ((), ()))
-                    spans.append(old[i] + [dict(zip(("word", "words", "start", "stop"), x)) for x in sorted(s)])
-                    items.append(sorted({*had[i], *(known.names[k] for k in t)}))
+                    spans.append([dict(zip(("word", "words", "start", "stop"), x)) for x in sorted(s)])
+                    items.append(sorted(known.names[k] for k in set().union(*(known.lists[x] for x in t))))
+                if hits_only:
+                    part, counts = part.take(pa.array(some, pa.int64())), counts[some]
                 cols = [part.column(c) for c in kept] + [pa.array(counts, pa.int64()), pa.array(spans, _SPAN), pa.array(items, pa.list_(pa.string()))]
                 yield pa.RecordBatch.from_arrays(cols, [*kept, *ADDED])
 
@@ -166,6 +196,18 @@ def _pass(rows: DataFrame, windows: Windows, merged: bool) -> DataFrame:
     return rows.mapInArrow(run, f"{wide}, n_words long, spans {SPAN}, items array<string>")
 
 
+def _count_words(rows: DataFrame) -> DataFrame:
+    """``rows`` without their bytes, with n_words."""
+
+    @F.pandas_udf("long")
+    def n_words(column: pd.Series) -> pd.Series:
+        raw, offsets = text_bytes(pa.array(column, pa.binary()))
+        out = [np.bincount(word_spans(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], _BETWEEN)[2], minlength=j - i) for i, j in chunks(offsets)]
+        return pd.Series(np.concatenate([*out, np.zeros(0, np.int64)]))
+
+    return rows.withColumn("n_words", n_words("bytes")).drop("bytes")
+
+
 def scan(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """``docs`` with n_words, spans (of hit words, and their bytes in the text) and the sorted items that occur."""
     items = benchmark.select(
@@ -178,11 +220,17 @@ def scan(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col
     # in between, columns have names of their own
     names = {c: f"c{i}" for i, c in enumerate(docs.columns) if c not in ADDED}
     rows = docs.select(*(docs[c].alias(n) for c, n in names.items()), docs[text_col].cast("binary").alias("bytes"))
-    for k in range(slices):
-        part = found.where(F.pmod(F.xxhash64("name", "text"), F.lit(slices)) == k) if slices > 1 else found
-        rows = _pass(rows, Windows(part.toArrow()), k > 0)
-        if k + 1 < slices:
-            rows = staged(rows, "scanned")
+    if slices == 1:
+        rows = _pass(rows, Windows(found.toArrow()), False)
+    else:
+        rows = staged(rows.withColumn("row", F.monotonically_increasing_id()), "numbered")
+        hits = None
+        for k in range(slices):
+            part = found.where(F.pmod(F.xxhash64("name", "text"), F.lit(slices)) == k)
+            got = staged(_pass(rows.select("row", "bytes"), Windows(part.toArrow()), True), "hits")
+            hits = got if hits is None else hits.unionByName(got)
+        met = hits.groupBy("row").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+        rows = _count_words(rows).join(met, "row", "left").withColumns({c: F.coalesce(c, F.array().cast(t)) for c, t in (("spans", SPAN), ("items", "array<string>"))})
     return rows.select(*(F.col(n).alias(c) for c, n in names.items()), *ADDED)
 
 

@@ -6,6 +6,8 @@ import random
 import re
 import time
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from skysift.llm import decontaminate as dc
@@ -91,9 +93,9 @@ def test_slices_of_a_large_benchmark(spark):
     sizes = []
     one_pass = dc._pass
 
-    def measured(rows, windows, merged):
+    def measured(rows, windows, hits_only):
         sizes.append(len(pickle.dumps(windows)))
-        return one_pass(rows, windows, merged)
+        return one_pass(rows, windows, hits_only)
 
     docs = [(i, "x " * 50 + " ".join(items[i][1].split(" ")[-30:]) + " y" * (i % 3)) for i in range(0, 300, 7)]
     start = time.monotonic()
@@ -105,5 +107,24 @@ def test_slices_of_a_large_benchmark(spark):
     assert {(r.n_hit, r.n_items) for r in got} == {(30, 1)}
 
 
+@pytest.mark.parametrize("repeated", [False, True])
+def test_popular_windows(repeated):
+    """Items that share their windows, and texts that repeat them: work grows with their number, not with its square."""
+    r = random.Random(2)
+    shared = " ".join(f"w{r.randrange(10**6)}" for _ in range(10))
+    table = []
+    for k in range(2000):
+        raw = " ".join([shared] * 4 if repeated else [shared, f"own{k}", f"tail{k}"]).encode()
+        a, b, _ = dc.word_spans(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), dc._BETWEEN)
+        h = dc._window_hashes(dc.word_hashes(np.frombuffer(raw, np.uint8), a, b), 10)
+        table.append((str(k), 10, raw, h.tobytes(), a[: len(h)].astype(np.int32).tobytes(), b[9:].astype(np.int32).tobytes()))
+    windows = dc.Windows(pa.table(dict(zip(["name", "n", "text", "hashes", "starts", "stops"], map(list, zip(*table))))))
+    text = " ".join([shared, "x"] * 2000).encode()
+    start = time.monotonic()
+    counts, hits = windows.scan(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    assert time.monotonic() - start < 2 and counts.tolist() == [22000]
+    assert len(hits[0][0]) == 2000 and {windows.names[k] for x in hits[0][1] for k in windows.lists[x]} == {str(k) for k in range(2000)}
+
+
 def test_cut():
     assert dc.cut(b"one two three four", [{"start": 4, "stop": 7}, {"start": 4, "stop": 13}]) == b"one  four"
