@@ -21,7 +21,8 @@ Defined results: null and empty texts, texts whose tokens don't spell a space an
 text (such as ones with the piece model's own space mark) and bytes that aren't UTF-8
 have no tokens: zeros and an empty groups string. Strings of special tokens are plain
 text. Repeated rows, null and repeated ids give a row each and count each as a document;
-an empty table gives an empty table; other columns are not read.
+an empty table gives an empty table; an id column called like a column of the result gets
+an underscore behind its name; other columns are not read.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ._store import small_batches, staged
+from ._store import id_name, small_batches, staged
 from ._vector import HashIndex, U64, chunks, lists_of, text_bytes
 from .sentencepiece_codec import MARK, agenda
 from .token_file import _spread, encoder
@@ -259,7 +260,7 @@ def links(docs: DataFrame, byte_path: str, piece_path: str, id_col: str = "doc_i
             yield pa.RecordBatch.from_arrays(cols, ["id", "a", "b", "group_a", "group_b", "over_a", "over_b", "n_shared"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, _LINKS.format(kind)).withColumnRenamed("id", id_col)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, _LINKS.format(kind)).withColumnRenamed("id", id_name(id_col, [x.split()[0] for x in _LINKS.split(", ")[1:]]))
 
 
 _PAIRED = "row long, id {}, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs binary, times binary"
@@ -354,7 +355,8 @@ def report(docs: DataFrame, byte_path: str, piece_path: str, id_col: str = "doc_
         low = counts.where(F.col("n") < 1 << least).withColumn("a", F.expr(f"pair div {n_b}")).join(F.broadcast(best), "a").select("pair", "n", (F.col("n") == F.col("best")).alias("top"))
         more = rare.join(low, "pair").groupBy("row").agg(F.sum(F.when(F.col("top"), F.col("times")).otherwise(0)).alias("more_best"), F.sum(F.col("times") * F.col("n")).alias("more_sum"))
         out = out.join(more, "row", "left").na.fill(0, ["more_best", "more_sum"]).withColumns({"n_best": F.expr("n_best + more_best"), "count_sum": F.expr("count_sum + more_sum")})
-    return out.select(F.col("id").alias(id_col), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+    results = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
+    return out.select(F.col("id").alias(id_name(id_col, results)), *results)
 
 
 def _sum(row: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:

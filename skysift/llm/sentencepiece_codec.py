@@ -10,8 +10,8 @@ side in numpy; very long ones through a heap. What the agenda gives for the new
 words of a batch is checked against the sentencepiece library in that batch.
 
 Defined results: null text counts as empty; an empty text has no ids and decodes
-to the empty string; repeated rows and null ids give a row each; other columns
-are not read.
+to the empty string; repeated rows and null ids give a row each; an id column called like
+a column of the result gets an underscore behind its name; other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ._store import small_batches
+from ._store import id_name, small_batches
 from ._vector import U64, HashIndex
 
 MARK = "▁"
@@ -254,7 +254,7 @@ def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
     One narrow pass: no shuffle, and a worker holds one part of one batch at a time.
     """
     small_batches(docs.sparkSession)
-    schema = f"{id_col} {docs.schema[id_col].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    schema = f"id {docs.schema[id_col].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string"
     if with_ids:
         schema += ", ids array<int>, decoded string"
 
@@ -273,10 +273,11 @@ def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
                         all_ids.append(ids)
                         decoded.append(text)
                 cols = [batch.column(0).slice(start, len(texts)), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(dsha, pa.string())]
-                names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"]
+                names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if with_ids:
                     cols += [pa.array(all_ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())]
                     names += ["ids", "decoded"]
                 yield pa.RecordBatch.from_arrays(cols, names)
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
+    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return out.withColumnRenamed("id", id_name(id_col, out.columns[1:]))

@@ -16,8 +16,8 @@ Urls are compared with scheme and host in lower case, without fragment, an empty
 ``/``. Defined results: of a null url, or one without ``://``, host and path are empty, it
 fits no rule, has no alias and is allowed; a relative link is resolved against the page's
 url, its dots not; links within comments don't count; equal urls are one, whatever rows they stand
-in; a null page id is a row like others; an empty table gives an empty table; other columns
-are not read.
+in; a null page id is a row like others; an empty table gives an empty table; an id column
+called like a column of the result gets an underscore behind its name; other columns are not read.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ._store import size_of, staged
+from ._store import id_name, size_of, staged
 from .ngram_join import connected
 
 Rule = tuple[str, str, str]
@@ -159,4 +159,5 @@ def verdicts(
         some = F.broadcast(blocked) if size_of(blocked) <= BROADCAST_BYTES else blocked
         rows = rows.withColumn("node", F.when(F.col("rule").isNull(), _node(F.col("url"))))
         rows = rows.join(some.withColumn("alias", F.lit("block")), "node", "left").withColumn("decision", F.coalesce("decision", "alias"))
-    return rows.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("decision", F.lit("allow")).alias("verdict"))
+    results = ["host", "path", "rule", "verdict"]
+    return rows.withColumn("verdict", F.coalesce("decision", F.lit("allow"))).select(F.col("id").alias(id_name(id_col, results)), *results)
