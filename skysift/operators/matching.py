@@ -35,6 +35,22 @@ def beside(left: DataFrame, right: DataFrame, by: Sequence[str], left_order: str
     return joined.select(*by, "_l", F.coalesce("_before", "_earlier").alias("_before"), F.coalesce("_after", "_later").alias("_after"))
 
 
+def earlier(df: DataFrame, by: Sequence[str], order: str, values: dict[str, Column], width: float, then: Sequence[str] = ()) -> DataFrame:
+    """``df`` with the last value before each row, null ones passed over, of each named expression; ``then`` makes the order total.
+
+    Rows are laid in ranges of ``width``; a row per range tells what earlier ranges end with. Rows without a place see nothing.
+    """
+    rows = df.withColumns({f"_v_{k}": v for k, v in values.items()} | {"_cell": F.floor(F.col(order) / width).cast("long")})
+    inside = Window.partitionBy(*by, "_cell").orderBy(order, *then).rowsBetween(Window.unboundedPreceding, -1)
+    last = lambda k: F.max_by(f"_v_{k}", F.when(F.col(f"_v_{k}").isNotNull(), F.struct(order, *then)))
+    ends = rows.where("_cell is not null").groupBy(*by, "_cell").agg(*(last(k).alias(f"_e_{k}") for k in values))
+    cells = Window.partitionBy(*by).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    ends = ends.select(*by, "_cell", *(F.last(f"_e_{k}", ignorenulls=True).over(cells).alias(f"_e_{k}") for k in values))
+    rows = rows.withColumns({f"_i_{k}": F.last(f"_v_{k}", ignorenulls=True).over(inside) for k in values}).join(ends, [*by, "_cell"], "left")
+    found = lambda k: F.when(F.col("_cell").isNotNull(), F.coalesce(f"_i_{k}", f"_e_{k}"))
+    return rows.select(*df.columns, *(found(k).alias(k) for k in values))
+
+
 def nearest(left: DataFrame, right: DataFrame, by: Sequence[str], left_time: str, right_time: str, right_id: str, width: float = 3600.0) -> DataFrame:
     """Each row of ``left`` with the row of ``right`` nearest in time and equal in ``by``; rows without any are left out.
 

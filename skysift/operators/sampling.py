@@ -21,10 +21,12 @@ def contiguous_runs(df: DataFrame, file: str, order: str, draws: int, size: int)
 
     A draw's file is found by counting the files that begin at or before the picked row, over ranges as all ranks are.
     """
-    from .ranks import counts_at_least, running
+    from .ranks import counts_at_least, row_ids, running
 
-    rows = df.withColumn("row_id", F.row_number().over(Window.partitionBy(file).orderBy(order)).cast("long") - 1)
     files = running(df.groupBy(file).agg(F.count(F.lit(1)).alias("n")), file, {"upto": "n", "number": "1L"}, descending=False)
+    # numbers over the whole table, less where the file begins
+    rows = row_ids(df.withColumn("_place", F.struct(file, order)), "_place", name="_row").drop("_place")
+    rows = rows.join(files.select(file, (F.col("upto") - F.col("n")).alias("_begin")), file).withColumn("row_id", F.col("_row") - F.col("_begin")).drop("_row", "_begin")
     total = df.count()
     asked = df.sparkSession.range(draws).select(F.col("id").alias("draw"), (-(hashed(F.col("id"), "file") % total)).alias("pick"), hashed(F.col("id"), "row").alias("h"))
     begun = files.select((F.col("n") - F.col("upto")).alias("start"))

@@ -21,14 +21,24 @@ def significance(nb: Column, tb: Column, span: float) -> Column:
     return 1 - F.exp(-span * (1 + nb) / tb)
 
 
-def shifts_for_livetime(segments: DataFrame, tb: float, shift: float, psd_length: float, most: int) -> DataFrame:
-    """The least number of shifts whose background reaches ``tb``; null where ``most`` don't."""
+def shifts_for_livetime(segments: DataFrame, tb: float, shift: float, psd_length: float) -> DataFrame:
+    """The least number of shifts whose background reaches ``tb``; null where all that leave any segment something don't.
+
+    A segment gives shift k what it is longer than k shifts; those it outlasts are counted segment by segment, so the background up to
+    each such count is a sum in closed form, and only the shifts between the two counts that enclose ``tb`` are listed.
+    """
     if tb <= 0:
         return segments.sparkSession.range(1).select(F.lit(0).cast("long").alias("shifts"))
-    k = segments.withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(most).cast("long"))))
-    each = k.groupBy("k").agg(F.sum(F.greatest(F.col("stop") - F.col("start") - psd_length - F.col("k") * shift, F.lit(0.0))).alias("tb"))
-    total = each.withColumn("total", F.sum("tb").over(Window.orderBy("k")))  # ``most`` rows
-    return total.where(F.col("total") >= tb).agg(F.min("k").alias("shifts"))
+    rows = segments.select((F.col("stop") - F.col("start") - psd_length).alias("room")).where(f"room >= {shift!r}D")
+    # a row per number of shifts: at most the longest segment over the shift
+    most = rows.groupBy(F.floor(F.col("room") / shift).cast("long").alias("k1")).agg(F.count(F.lit(1)).alias("n"), F.sum("room").alias("s"))
+    down = Window.orderBy(F.desc("k1"))
+    most = most.select("k1", F.lead("k1", 1, 0).over(down).alias("k0"), F.sum("n").over(down).alias("n"), F.sum("s").over(down).alias("s"))
+    upto = lambda k: (k - F.col("k0")) * F.col("s") - shift * F.col("n") * (k * (k + 1) - F.col("k0") * (F.col("k0") + 1)) / 2
+    most = most.withColumn("gain", upto(F.col("k1"))).withColumn("total", F.sum("gain").over(Window.orderBy("k1")))
+    here = most.where(F.col("total") >= tb).agg(F.min(F.struct("k1", "k0", "n", "s", (F.col("total") - F.col("gain")).alias("before"))).alias("m")).select("m.*")
+    listed = here.where("k1 is not null").withColumn("k", F.explode(F.sequence(F.col("k0") + 1, F.col("k1"))))
+    return listed.where((F.col("k") == F.col("k1")) | (F.col("before") + upto(F.col("k")) >= tb)).agg(F.min("k").alias("shifts"))
 
 
 def shifts_for_signals(segments: DataFrame, spacing: float, shift: float, buffer: float, duration: float, n: int) -> DataFrame:

@@ -11,10 +11,17 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..sources.store import fixed
 
 
-def boxcar(df: DataFrame, width: int, by: Sequence[str], order: str = "i", value: str = "y") -> DataFrame:
-    """Trailing mean over ``width`` samples with zeros before the start; a width of 1 changes nothing."""
-    w = Window.partitionBy(*by).orderBy(order).rowsBetween(-(width - 1), 0)
-    return df.withColumn(value, F.sum(value).over(w) / width)
+def boxcar(df: DataFrame, width: int, by: Sequence[str], order: str = "i", value: str = "y", length: int = 1 << 16) -> DataFrame:
+    """Trailing mean over ``width`` samples with zeros before the start and for missing ones; a width of 1 changes nothing.
+
+    ``order`` numbers the samples. A series is cut into ranges, each with the tail of the one before beside it.
+    """
+    length = max(length, width)
+    k = F.floor(F.col(order) / length).cast("long")
+    tails = F.when(F.col(order) - k * length > length - width, F.array(k, k + 1)).otherwise(F.array(k))
+    rows = df.withColumn("_range", F.explode(tails)).withColumn("_own", F.col("_range") == k)
+    w = Window.partitionBy(*by, "_range").orderBy(order).rangeBetween(-(width - 1), 0)
+    return rows.withColumn("_mean", F.sum(value).over(w) / width).where("_own").select(*(F.col("_mean").alias(c) if c == value else F.col(c) for c in df.columns))
 
 
 def drop_burn_in(df: DataFrame, offset: int, order: str = "i") -> DataFrame:
@@ -178,17 +185,17 @@ def max_pool(df: DataFrame, size: int, by: Sequence[str], order: str = "i", valu
     return rows.groupBy(*by, "w").agg(F.max(value).alias(value))
 
 
-def livetime(df: DataFrame, events: dict[str, str], by: Sequence[str], time: str, kind: str) -> DataFrame:
+def livetime(df: DataFrame, events: dict[str, str], by: Sequence[str], time: str, kind: str, then: Sequence[str] = (), width: float = 3600.0) -> DataFrame:
     """Live seconds per group: open from the first line, closed by some kinds, reopened by another, until the last line.
 
-    ``events`` maps kinds to ``close`` or ``open``.
+    ``events`` maps kinds to ``close`` or ``open``; ``then`` orders simultaneous lines. Ranges of ``width`` seconds are worked side by side.
     """
+    from .matching import earlier
+
     step = F.when(F.col(kind).isin(*(k for k, s in events.items() if s == "close")), 0).when(F.col(kind).isin(*(k for k, s in events.items() if s == "open")), 1)
-    w = Window.partitionBy(*by).orderBy(time)
-    rows = df.withColumn("_state", step)
-    before = F.coalesce(F.last("_state", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(1))
-    gap = F.col(time) - F.lag(time).over(w)
-    return rows.withColumn("_live", F.when(before == 1, F.coalesce(gap, F.lit(0.0))).otherwise(0.0)).groupBy(*by).agg(F.sum("_live").alias("live"))
+    rows = earlier(df, by, time, {"_before": step, "_last": F.col(time)}, width, then)
+    live = F.when(F.coalesce("_before", F.lit(1)) == 1, F.coalesce(F.col(time) - F.col("_last"), F.lit(0.0))).otherwise(0.0)
+    return rows.groupBy(*by).agg(F.sum(live).alias("live"))
 
 
 def last_state(df: DataFrame, ready: str, failed: str, by: Sequence[str], time: str, kind: str) -> DataFrame:

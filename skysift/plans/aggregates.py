@@ -56,12 +56,12 @@ def livetime(v: Views):
 
 
 @query("num_shifts_for_Tb", """
-, k as (select k, sum(greatest(stop - start - 64 - k * 1000, 0)) as tb from seg, range(1, 201) t(k) group by k),
+, k as (select k, sum(greatest(stop - start - 64 - k * 1000, 0)) as tb from (select *, unnest(range(1, greatest(ceil((stop - start) / 1000), 1)::bigint + 1)) as k from seg) group by k),
 s as (select k, sum(tb) over (order by k) as total from k)
 select min(k) as shifts from s where total >= 10000000000
 """)
 def num_shifts_for_tb(v: Views):
-    return sensitivity.shifts_for_livetime(v.seg, 10000000000.0, 1000.0, 64.0, 200)
+    return sensitivity.shifts_for_livetime(v.seg, 10000000000.0, 1000.0, 64.0)
 
 
 @query("num_shifts_for_signals", """

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
 from ..functions import columns as c
-from ..operators import priors, ranks, sampling, sensitivity, series
+from ..operators import matching, priors, ranks, sampling, sensitivity, series
 from .registry import Views, query
 
 col = F.col
@@ -76,19 +76,22 @@ def accept_until_quota(v: Views):
     return sampling.accept_until(v.inj.select("inj_id", (col("snr") >= 50).alias("ok")), "ok", 300, "inj_id")
 
 
-@query("train_val_split", ", n as (select o_orderkey, sum(stop - start) over (order by start desc, o_orderkey desc) - (stop - start) as before from seg) select o_orderkey, before < 20000000 as validation from n where abs(before - 20000000) > 1")
+@query("train_val_split", """
+, d as (select o_orderkey, start, round((stop - start) * 1000000)::bigint as d from seg),
+n as (select o_orderkey, sum(d) over (order by start desc, o_orderkey desc) - d as before from d)
+select o_orderkey, before < 20000000000000 as validation from n
+""")
 def train_val_split(v: Views):
-    """Newest segments validate until they add up to the least duration."""
-    rows = v.seg.withColumn("duration", col("stop") - col("start"))
+    """Newest segments validate until they add up to the least duration, in whole microseconds: so sums are exact in any order."""
+    rows = v.seg.select("o_orderkey", "start", F.round((col("stop") - col("start")) * 1000000).cast("long").alias("duration"))
     n = ranks.running(rows.withColumn("back", -col("o_orderkey")), "start", {"total": "duration"}, then=("back",))
-    before = col("total") - col("duration")
-    return n.where(F.abs(before - 20000000) > 1).select("o_orderkey", (before < 20000000).alias("validation"))
+    return n.select("o_orderkey", (col("total") - col("duration") < 20000000000000).alias("validation"))
 
 
 @query("prev_ready", "select event_id, ifo, coalesce(lag(event_type = 'signup') over (partition by ifo order by t, event_id), true) as ready from states")
 def prev_ready(v: Views):
-    before = F.lag(col("event_type") == "signup").over(Window.partitionBy("ifo").orderBy("t", "event_id"))
-    return v.states.select("event_id", "ifo", F.coalesce(before, F.lit(True)).alias("ready"))
+    rows = matching.earlier(v.states, ["ifo"], "t", {"ready": col("event_type") == "signup"}, 3600.0, ("event_id",))
+    return rows.select("event_id", "ifo", F.coalesce("ready", F.lit(True)).alias("ready"))
 
 
 @query("decimate", "select block, ifo, k, samples[k * 4 + 1]::double as v from (select *, unnest(range(0, 16)) as k from win)")

@@ -37,11 +37,55 @@ def test_ranks_with_ties(spark):
     assert ranks.kth_largest(df, "x", 0).first()[0] is None and ranks.kth_largest(df, "x", 0, compat=True).first()[0] == 0
 
 
+def test_no_hot_range(spark, monkeypatch):
+    """One value in 90 % of the rows, and many nulls: ranges stay even, with ties counted together and without."""
+    sizes = []
+    fixed = ranks.fixed
+    monkeypatch.setattr(ranks, "fixed", lambda df, name: (out := fixed(df, name), sizes.append([r.n for r in out.groupBy("_range").agg(F.count("*").alias("n")).collect()]))[0])
+    x = F.when(F.col("id") % 10 < 9, 7.0).when(F.col("id") % 20 == 9, F.lit(None)).otherwise(F.col("id").cast("double"))
+    df = spark.range(40_000).select(x.alias("x"), F.col("id").alias("i")).repartition(8)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = ranks.running(df, "x", {"n": "1L"}, ties=True)
+        assert {r.n: r.k for r in got.where("x = 7.0 or x is null").groupBy("x", "n").agg(F.count("*").alias("k")).collect()} == {38_000: 36_000, 40_000: 2_000}
+        assert ranks.row_ids(df, "x", ("i",)).select("row_id").distinct().count() == 40_000
+        assert ranks.kth_largest(df, "x", 2_001).first()[0] == 7.0
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert all(max(n) <= 2 * sum(n) / len(n) + 1 for n in sizes) and max(map(len, sizes)) > 1
+
+
+def test_values_before(spark):
+    rng = np.random.default_rng(1)
+    rows = [(k, k % 3, float(t), None if rng.random() < 0.4 else int(rng.integers(9))) for k, t in enumerate(rng.integers(0, 300, 400))] + [(999, 0, None, 5)]
+    df = spark.createDataFrame(rows, "id long, g long, t double, v long")
+    got = {r.id: r.before for r in matching.earlier(df, ["g"], "t", {"before": F.col("v")}, 20.0, ("id",)).collect()}
+    for k, g, t, _ in rows:
+        past = sorted((s, i, v) for i, h, s, v in rows if t is not None and s is not None and h == g and (s, i) < (t, k) and v is not None)
+        assert got[k] == (past[-1][2] if past else None)
+
+
+def test_boxcar_over_ranges(spark):
+    y = np.random.default_rng(2).random(1000)
+    df = spark.createDataFrame([("a", i, float(v)) for i, v in enumerate(y) if i % 17], "s string, i long, y double")
+    y[::17] = 0
+    for width, length in ((1, 64), (7, 64), (100, 64), (7, 1 << 16)):
+        want = np.convolve(y, np.ones(width))[:1000] / width
+        assert all(r.y == pytest.approx(want[r.i]) for r in series.boxcar(df, width, ["s"], length=length).collect())
+
+
 def test_shifts(spark):
     seg = lambda *xs: spark.createDataFrame([(float(a), float(b)) for a, b in xs], "start double, stop double")
-    tb = lambda s, t: sensitivity.shifts_for_livetime(s, t, 1.0, 64.0, 50).first()[0]
+    tb = lambda s, t: sensitivity.shifts_for_livetime(s, t, 1.0, 64.0).first()[0]
     assert tb(seg((0, 1000)), 0) == 0 and tb(seg((0, 1000)), 1) == 1 and tb(seg((0, 200)), 1000) == 8 and tb(seg((0, 600), (1000, 1600)), 2000) == 2
     assert tb(seg((0, 65)), 1e9) is None
+    rng = np.random.default_rng(4)
+    many = [(0.0, float(n)) for n in rng.integers(10, 3000, 60)] + [(0.0, 3000.0)]
+    for want in (1, 7, 40, 500, 2936):
+        total = lambda k: sum(max(b - 64 - j, 0) for _, b in many for j in range(1, k + 1))
+        assert tb(seg(*many), total(want)) == (want if want < 2936 else 2935)  # the last shift leaves nothing
+        assert tb(seg(*many), total(want) - 0.5) <= want
+    assert tb(seg(*many), total(2936) + 1) is None
     sig = lambda s, n: sensitivity.shifts_for_signals(s, 16.0, 1.0, 8.0, 8.0, n).first()[0]
     assert sig(seg((0, 10000)), 0) == 0 and sig(seg((0, 10000)), 1) == 1 and sig(seg((0, 5000), (10000, 15000)), 1000) == 3
 
