@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .sampling import uniform
 
@@ -141,26 +141,6 @@ def heterodyne(windows: DataFrame, grid: DataFrame, samples: str, rate: float, k
     return both.withColumn("turned", F.slice(turned, F.greatest(n - keep + 1, F.lit(1)), keep))
 
 
-def spectrogram(windows: DataFrame, samples: str, frame: int, tiles: int, factor: int, out: str = "tiles") -> DataFrame:
-    """Of the first view (the window's first half decimated by ``factor``, the second kept as it is) mean power in log-spaced tiles, frame by frame."""
-
-    @F.pandas_udf("array<double>")
-    def f(column: pd.Series) -> pd.Series:
-        edges = np.unique(np.geomspace(1, frame // 2 + 1, tiles + 1).astype(int))
-
-        def one(x: np.ndarray) -> np.ndarray:
-            view = np.concatenate((x[:, : x.shape[1] // 2 : factor], x[:, x.shape[1] // 2 :]), 1)
-            parts = []
-            for s in range(0, view.shape[1] - frame + 1, frame // 2):
-                p = np.abs(np.fft.rfft(view[:, s : s + frame] * hann(frame), axis=1)) ** 2
-                parts.append(np.stack([p[:, a:b].mean(1) for a, b in zip(edges[:-1], edges[1:])], 1))
-            return np.concatenate(parts, 1)
-
-        return pd.Series(_rows(column, one))
-
-    return windows.withColumn(out, f(F.col(samples)))
-
-
 def lowpass(taps: int, factor: int) -> list[float]:
     """A Hamming-windowed sinc that passes what a rate lower by ``factor`` can hold."""
     k = np.arange(taps) - (taps - 1) / 2
@@ -170,14 +150,13 @@ def lowpass(taps: int, factor: int) -> list[float]:
 
 def resample(blocks: DataFrame, by: str, order: str, samples: str, factor: int, taps: int = 61) -> DataFrame:
     """Every ``factor``-th sample after a symmetric filter; a block borrows its edges from its neighbours, gaps in the order count as zeros."""
+    from .strain import beside
+
     h, half = lowpass(taps, factor), (taps - 1) // 2
-    w = Window.partitionBy(by).orderBy(order)
     zeros = F.array_repeat(F.lit(0.0), half)
-    doubled = F.transform(samples, lambda x: x.cast("double"))
-    rows = blocks.withColumn("_x", doubled)
-    before = F.when(F.lag(order).over(w) == F.col(order) - 1, F.lag("_x").over(w))
-    after = F.when(F.lead(order).over(w) == F.col(order) + 1, F.lead("_x").over(w))
-    rows = rows.withColumns({"_a": F.coalesce(F.slice(before, -half, half), zeros), "_b": F.coalesce(F.slice(after, 1, half), zeros)})
+    rows = blocks.withColumn(samples, F.transform(samples, lambda x: x.cast("double")))
+    rows = beside(rows, [by], order, samples, half, half)
+    rows = rows.withColumns({"_a": F.coalesce("_before", zeros), "_b": F.slice(F.concat(F.coalesce("_after", zeros), zeros), 1, half)})
 
     @F.pandas_udf("array<double>")
     def f(column: pd.Series) -> pd.Series:
@@ -187,7 +166,7 @@ def resample(blocks: DataFrame, by: str, order: str, samples: str, factor: int,
 
         return pd.Series(_rows(column, one))
 
-    return rows.withColumn(samples, f(F.concat("_a", "_x", "_b"))).drop("_a", "_b", "_x")
+    return rows.withColumn(samples, f(F.concat("_a", samples, "_b"))).select(*blocks.columns)
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -214,6 +193,11 @@ def score_windows(windows: DataFrame, samples: str, scorer: Callable[[Iterator[p
     return windows.withColumn(out, F.pandas_udf(f, "double")(F.col(samples)))
 
 
+def paired(scored: DataFrame, by: Sequence[str], kind: str, kinds: Sequence[str], score: str) -> DataFrame:
+    """(by, a column per kind): the scores of one place side by side; null where a kind has none."""
+    return scored.groupBy(*by).agg(*(F.first(F.when(F.col(kind) == k, F.col(score)), ignorenulls=True).alias(k) for k in kinds))
+
+
 def flip(samples: Column, *key: Column | str, p: float = 0.5) -> Column:
     """Inverted and reversed in time, each with its own chance."""
     a = F.when(uniform(*key, "sign") < p, F.transform(samples, lambda x: -x)).otherwise(samples)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
-from ..operators import cosmology, intervals, matching, ranks
+from ..operators import cosmology, intervals, matching, ranks, strain
 from ..sources.store import fixed
 from .registry import Views, query
 
@@ -103,29 +103,42 @@ def injections_for_segment(v: Views):
     return s.select("o_orderkey").join(n, "o_orderkey", "left").na.fill(0).withColumn("foreground", col("n") > 0)
 
 
-@query("inject_signals", """
-, sig as (select inj_id, (injection_time - 1704067200)::bigint // 64 as block, (injection_time::bigint % 64) as pos, snr from inj),
-s as (select block * 64 + pos + j as i, sum(snr * (1 - abs(j - 2) / 3.0)) as v from sig, range(0, 5) t(j) group by 1)
-select i // 64 as block, count(*) as n, round(sum(v), 4) as total, round(max(v), 4) as peak from s group by 1
-""")
+#: Waveforms: of each injection a block's samples of each detector, scaled; they end ten samples after the injection's time, which spans the strain.
+_INJECTED = """
+, nb as (select max(block) + 1 as n from win),
+sig as (select w.ifo, floor((injection_time - 1704067200) * (n * 64 / 2592000.0::double))::bigint - 54 as first, w.samples as wave, snr from inj, nb join win w on w.block = inj_id % n where snr is not null),
+pc as (select ifo, first + k - 1 as i, snr / 100 * wave[k]::double as v from (select *, unnest(range(1, 65)) as k from sig)),
+ad as (select ifo, i, sum(v) as v from pc group by 1, 2),
+ix as (select block, w.ifo, k - 1 as n, samples[k]::double + coalesce(v, 0) as v from (select *, unnest(range(1, 65)) as k from win) w left join ad on ad.ifo = w.ifo and ad.i = block * 64 + k - 1)
+"""
+
+
+def injected(v: Views):
+    """The strain of ``win`` with the injections' waveforms in it."""
+    n = v.win.agg(F.max("block")).first()[0] + 1
+    at = F.floor((col("injection_time") - 1704067200) * F.lit(n * 64 / 2592000.0)).cast("long") - 54
+    waves = v.win.select(col("block").alias("source"), "ifo", "samples")
+    signals = v.inj.where("snr is not null").select((col("inj_id") % n).alias("source"), at.alias("first"), "snr").join(waves, "source")
+    signals = signals.select("ifo", "first", F.transform("samples", lambda x: col("snr") / 100 * x.cast("double")).alias("wave"))
+    strain_rows = v.win.select("block", "ifo", F.transform("samples", lambda x: x.cast("double")).alias("samples"))
+    return strain.add_signals(strain_rows, signals, ["ifo"], "block", "samples", 64)
+
+
+@query("inject_signals", _INJECTED + "select block, ifo, n, round(v, 5) as x from ix")
 def inject_signals(v: Views):
-    """Waveforms of five samples, added where they overlap; a waveform may reach into the next block."""
-    sig = v.inj.select(F.expr("bigint(round(injection_time - 1704067200)) div 64").alias("block"), (F.round("injection_time").cast("long") % 64).alias("at"), "snr")
-    wave = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda j: col("snr") * (1 - F.abs(j - 2) / 3.0))
-    samples = sig.select("block", "at", F.posexplode(wave).alias("j", "v")).groupBy((col("block") * 64 + col("at") + col("j")).alias("i")).agg(F.sum("v").alias("v"))
-    return samples.groupBy(F.expr("i div 64").alias("block")).agg(F.count(F.lit(1)).alias("n"), r(F.sum("v"), 4).alias("total"), r(F.max("v"), 4).alias("peak"))
+    """Waveforms added to the strain where they overlap; one may reach into other blocks, and its ends beyond the strain are cut."""
+    return injected(v).select("block", "ifo", F.posexplode("samples").alias("n", "x")).select("block", "ifo", col("n").cast("long").alias("n"), r(col("x"), 5).alias("x"))
 
 
 @query("align_shifted", """
 , x as (select ifo, block * 64 + k - 1 as i, samples[k]::double as v from (select *, unnest(range(1, 65)) as k from win))
-select a.i // 64 as block, count(*) as n, round(sum(a.v * b.v), 5) as product from x a join x b on a.ifo = 'H1' and b.ifo = 'L1' and b.i = a.i + 16 group by 1
+select a.i // 64 as block, count(*) as n, round(sum(a.v * b.v), 5) as product from x a join x b on a.ifo = 'H1' and b.ifo = 'L1' and b.i = a.i + 80 group by 1
 """)
 def align_shifted(v: Views):
-    """H1's sample i with L1's sample i + shift, block by block: of L1 only the head of the next block is carried over."""
-    wide = v.win.groupBy("block").pivot("ifo", ["H1", "L1"]).agg(F.first("samples"))
-    head = v.win.where("ifo = 'L1'").select((col("block") - 1).alias("block"), F.slice("samples", 1, 16).alias("next"))
-    both = wide.join(head, "block", "left").withColumn("L1", F.concat(F.slice("L1", 17, 48), F.coalesce("next", F.array().cast("array<float>"))))
-    product = F.zip_with("H1", "L1", lambda a, b: a.cast("double") * b.cast("double"))
+    """H1's sample i with L1's sample i + shift, block by block: of L1 the block a whole one on, and of the next the head."""
+    there = strain.shifted(v.win.where("ifo = 'L1'"), [], "block", "samples", 80, 64).select("block", col("samples").alias("theirs"))
+    both = v.win.where("ifo = 'H1'").join(there, "block")
+    product = F.zip_with("samples", "theirs", lambda a, b: a.cast("double") * b.cast("double"))
     total = F.aggregate(product, F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0)))
     return both.select("block", F.size(F.filter(product, lambda x: x.isNotNull())).cast("long").alias("n"), r(total, 5).alias("product"))
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
 from ..functions import detectors
-from ..operators import priors, sampling, signal
+from ..operators import priors, qtransform, sampling, signal, strain
+from .joins import _INJECTED, injected
 from .registry import Views, query
 
 col = F.col
@@ -45,18 +46,36 @@ def snr(v: Views):
     return each.groupBy("block").agg(r(F.sqrt(F.sum(col("snr") * col("snr")))).alias("snr"))
 
 
-@query("whiten", _X + """
+#: Both series whitened: medians over the 28 frames of the four blocks before, a filter of eight samples.
+_WHITE = _INJECTED.rstrip() + ", " + _X.removeprefix(", ").rstrip(", ") + """,
+allx as materialized (select 'background' as kind, block, ifo, block * 64 + n as i, n, v from x union all select 'injected', block, ifo, block * 64 + n, n, v from ix),
 hp as (select block, ifo, s, f, pow(sum(v * w * cos(2 * pi() * f * j / 16)), 2) + pow(sum(v * w * sin(2 * pi() * f * j / 16)), 2) as p
-  from (select block, ifo, s, n - s * 8 as j, v, 0.5 - 0.5 * cos(2 * pi() * (n - s * 8) / 16) as w from x, range(0, 3) t(s) where n between s * 8 and s * 8 + 15), range(0, 9) u(f) group by block, ifo, s, f),
-hm as (select block, ifo, f, median(p) * 2 / (64 * 6.0) as d from hp group by block, ifo, f),
-hd as (select block, ifo, k, 1 / sqrt(greatest(avg(d), 1e-30)) as a from hm, range(0, 17) t(k) where f in (k // 2, (k + 1) // 2) group by block, ifo, k),
-hk as (select block, ifo, t, sum(a * cos(2 * pi() * k * t / 32) * case when k in (0, 16) then 1 else 2 end) / 32 * (0.5 + 0.5 * cos(2 * pi() * t / 8)) as c from hd, range(-4, 4) u(t) group by block, ifo, t),
-hy as (select x.block, x.ifo, o, sum(v * c) * sqrt(2 / 64.0) as y from x join hk using (block, ifo), range(4, 28) u(o) where n - 32 = (o - t + 32) % 32 group by x.block, x.ifo, o)
-select block, ifo, count(*)::int as n, round(sqrt(sum(y * y) / count(*)), 4) as rms from hy group by block, ifo
+  from (select block, ifo, s, n - s * 8 as j, v, 0.5 - 0.5 * cos(2 * pi() * (n - s * 8) / 16) as w from x, range(0, 7) t(s) where n between s * 8 and s * 8 + 15), range(0, 9) u(f) group by block, ifo, s, f),
+hm as materialized (select block + ahead as block, ifo, f, median(p) * 2 / (64 * 6.0) as d from hp, range(1, 5) t(ahead) group by 1, ifo, f having count(distinct block) = 4),
+hd as materialized (select block, ifo, k, 1 / sqrt(greatest(d + (coalesce(d1, d) - d) * (k * 8 / 36.0 - f), 1e-30)) as a from (select *, lead(d) over (partition by block, ifo order by f) as d1 from hm) join (select k, floor(k * 8 / 36.0) as f from range(0, 37) u(k)) using (f)),
+hk as materialized (select block, ifo, t, sum(a * cos(2 * pi() * k * t / 72) * case when k in (0, 36) then 1 else 2 end) / 72 * (0.5 + 0.5 * cos(2 * pi() * t / 8)) as c from hd, range(-4, 4) u(t) group by block, ifo, t),
+taps as materialized (select kind, ifo, block, n, i - t as i, c from allx join hk using (block, ifo) where block < (select max(block) from win)),
+hy as materialized (select kind, ifo, taps.block, taps.n, taps.block * 64 + taps.n as i, sum(v * c) * sqrt(2 / 64.0) as y from taps join allx using (kind, ifo, i) group by kind, ifo, taps.block, taps.n)
+"""
+
+
+def whitened(v: Views):
+    """(kind, block, ifo, white): the strain and the strain with signals, under one density of the blocks before, which that without signals gives."""
+    plain = v.win.select("block", "ifo", F.transform("samples", lambda x: x.cast("double")).alias("samples"))
+    psd = strain.rolling_psd(plain, ["ifo"], "block", "samples", 16, 64.0, 4)
+    both = plain.select(F.lit("background").alias("kind"), "block", "ifo", "samples").unionByName(injected(v).select(F.lit("injected").alias("kind"), "block", "ifo", "samples"))
+    return strain.whiten(both, psd, ["ifo"], "block", "samples", 64.0, 8, apart=["kind"])
+
+
+@query("whiten", _WHITE + """
+select kind, ifo, block, n // 16 as k, round(sqrt(sum(y * y) / 32), 4) as rms
+from (select a.kind, a.ifo, a.block, a.n, b.y from (select *, unnest(range(i, i + 32)) as j from hy where n % 16 = 0) a join hy b on a.kind = b.kind and a.ifo = b.ifo and b.i = j)
+group by kind, ifo, block, n having count(*) = 32
 """)
 def whiten(v: Views):
-    w = signal.whiten(v.win, "samples", 32, 16, 64.0, 8)
-    return w.select("block", "ifo", F.size("white").alias("n"), r(F.sqrt(signal.dot(col("white"), col("white")) / F.size("white")), 4).alias("rms"))
+    """Windows of 32 whitened samples, 16 apart, of both series."""
+    each = strain.windows(whitened(v), ["kind", "ifo"], "block", "white", 32, 16)
+    return each.select("kind", "ifo", "block", col("k").cast("long").alias("k"), r(F.sqrt(signal.dot(col("window"), col("window")) / 32), 4).alias("rms"))
 
 
 @query("freq_features", _FT + "select block, ifo, round(sum(re), 5) as re, round(sum(im), 5) as im, round(sum(1 / sqrt(1 + f)), 5) as inverse_asd from ft where f > 2 and f < 30 group by block, ifo")
@@ -68,15 +87,30 @@ def freq_features(v: Views):
     return z.select("block", "ifo", r(_total(band(col("z.real"))), 5).alias("re"), r(_total(band(col("z.imag"))), 5).alias("im"), r(_total(inverse), 5).alias("inverse_asd"))
 
 
-@query("spectrogram", _X + """
-vw as (select block, ifo, case when n < 32 then n // 2 else n - 16 end as m, v from x where n >= 32 or n % 2 = 0),
-p as (select block, ifo, s, f, pow(sum(v * w * cos(2 * pi() * f * j / 16)), 2) + pow(sum(v * w * sin(2 * pi() * f * j / 16)), 2) as p
-  from (select block, ifo, s, m - s * 8 as j, v, 0.5 - 0.5 * cos(2 * pi() * (m - s * 8) / 16) as w from vw, range(0, 5) t(s) where m between s * 8 and s * 8 + 15), range(1, 9) u(f) group by block, ifo, s, f)
-select block, ifo, (s * 3 + case when f < 3 then 0 when f < 5 then 1 else 2 end)::int as tile, round(avg(p), 6) as power from p group by 1, 2, 3
+#: The first view: 96 samples from a block's first on, every other one; planes of two Q.
+_QS, _VIEW, _QRATE, _CYCLES = (4.0, 6.0), 48, 32.0, 4.0
+_QROWS = ", ".join(f"({q!r}::double, {k}, {x.bin}, {x.half}, {x.tiles})" for q in _QS for k, x in enumerate(qtransform.rows(q, _VIEW, _QRATE, cycles=_CYCLES)))
+
+
+@query("spectrogram", _X.rstrip(", ") + f"""
+, vw as (select a.block, a.ifo, (b.block - a.block) * 32 + b.n // 2 as m, b.v from (select distinct block, ifo from x) a join x b on a.ifo = b.ifo and b.block in (a.block, a.block + 1) and b.n % 2 = 0 and (b.block = a.block or b.n < 32)),
+full_ as (select block, ifo from vw group by block, ifo having count(*) = {_VIEW}),
+ft as (select block, ifo, f, sum(v * cos(2 * pi() * f * m / {_VIEW})) as re, -sum(v * sin(2 * pi() * f * m / {_VIEW})) as im from vw join full_ using (block, ifo), range(0, {_VIEW // 2 + 1}) t(f) group by block, ifo, f),
+qr(q, row, bin, half, tiles) as (values {_QROWS}),
+w as (select block, ifo, q, row, tiles, d, re * pow(1 - pow(d / half::double, 2), 2) as re, im * pow(1 - pow(d / half::double, 2), 2) as im from (select *, unnest(range(-half, half + 1)) as d from qr) join ft on f = bin + d),
+z as (select block, ifo, q, row, tile, pow(sum(re * cos(2 * pi() * d * tile / tiles) - im * sin(2 * pi() * d * tile / tiles)), 2) + pow(sum(re * sin(2 * pi() * d * tile / tiles) + im * cos(2 * pi() * d * tile / tiles)), 2) as e
+  from (select *, unnest(range(0, tiles)) as tile from w) group by block, ifo, q, row, tile),
+n as (select *, e / median(e) over (partition by block, ifo, q, row) as energy from z), best as (select block, ifo, arg_max(q, energy) as q from n group by block, ifo)
+select block, ifo, q, row, tile, round(energy, 5) as energy from n join best using (block, ifo, q)
 """)
 def spectrogram(v: Views):
-    t = signal.spectrogram(v.win, "samples", 16, 4, 2)
-    return t.select("block", "ifo", F.posexplode("tiles").alias("tile", "power")).select("block", "ifo", "tile", r(col("power")).alias("power"))
+    """Tiles of the plane with the loudest one, of windows that go on into the next block."""
+    rows = strain.beside(v.win, ["ifo"], "block", "samples", after=32).where("size(_after) = 32")
+    line = F.concat("samples", "_after")
+    view = F.transform(F.sequence(F.lit(0), F.lit(_VIEW - 1)), lambda m: F.element_at(line, 2 * m + 1))
+    q = rows.select("block", "ifo", qtransform.scan(view, _QS, _QRATE, cycles=_CYCLES).alias("s"))
+    tiles = q.select("block", "ifo", "s.q", F.posexplode("s.tiles").alias("row", "line")).select("block", "ifo", "q", "row", F.posexplode("line").alias("tile", "energy"))
+    return tiles.select("block", "ifo", "q", "row", col("tile").cast("long").alias("tile"), r(col("energy"), 5).alias("energy"))
 
 
 @query("heterodyne", _X + """
@@ -250,11 +284,17 @@ def stack_channels(v: Views):
     return s.select("block", col("s.ifo").alias("ifos"), r(col("s.samples")[0][0].cast("double")).alias("h1"), r(col("s.samples")[1][63].cast("double")).alias("l1"))
 
 
-@query("score_windows", _X + "s as (select block, ifo, sum(v * sin(n / 5.0)) as y from x group by block, ifo) select block, ifo, round(y, 6) as score from s")
+@query("score_windows", _WHITE + """
+, sc as (select kind, ifo, block, sum(y * sin(n / 5.0)) as y from hy group by kind, ifo, block)
+select ifo, block, round(any_value(y) filter (kind = 'background'), 4) as background, round(any_value(y) filter (kind = 'injected'), 4) as injected from sc group by ifo, block
+""")
 def score_windows(v: Views):
+    """The scores of each whitened block without and with the signals in it."""
     import math
 
-    return signal.score_windows(v.win, "samples", template=[math.sin(n / 5.0) for n in range(64)]).select("block", "ifo", r(col("score")).alias("score"))
+    scored = signal.score_windows(whitened(v), "white", template=[math.sin(n / 5.0) for n in range(64)])
+    pairs = signal.paired(scored, ["ifo", "block"], "kind", ["background", "injected"], "score")
+    return pairs.select("ifo", "block", *(r(col(k), 4).alias(k) for k in ("background", "injected")))
 
 
 @query("build_training_set", f"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import columns as c
-from ..operators import matching, priors, ranks, sampling, sensitivity, series
+from ..operators import matching, priors, ranks, sampling, sensitivity, series, strain
 from .registry import Views, query
 
 col = F.col
@@ -55,10 +55,14 @@ def search(v: Views):
     return out.select("slide", "i", r(col("y")).alias("y"), "nb", "far")
 
 
-@query("unfold_windows", "select block, ifo, k, round(list_sum(list_transform(samples[k * 8 + 1 : k * 8 + 16], lambda x: x::double)), 5) as total from (select *, unnest(range(0, 7)) as k from win)")
+@query("unfold_windows", """
+, x as (select ifo, block * 64 + k - 1 as i, samples[k]::double as v from (select *, unnest(range(1, 65)) as k from win))
+select i0 // 64 as block, ifo, i0 % 64 // 8 as k, round(sum(v), 5) as total from (select a.ifo, a.i as i0, b.v from (select *, unnest(range(i, i + 16)) as j from x where i % 8 = 0) a join x b on a.ifo = b.ifo and b.i = j) group by ifo, i0 having count(*) = 16
+""")
 def unfold_windows(v: Views):
-    each = v.win.select("block", "ifo", F.posexplode(series.unfold(col("samples"), 16, 8)).alias("k", "w"))
-    return each.select("block", "ifo", col("k").cast("long").alias("k"), r(F.aggregate("w", F.lit(0.0), lambda a, x: a + x.cast("double")), 5).alias("total"))
+    """Windows of 16 samples, 8 apart, across the blocks' borders."""
+    each = strain.windows(v.win, ["ifo"], "block", "samples", 16, 8)
+    return each.select("block", "ifo", col("k").cast("long").alias("k"), r(F.aggregate("window", F.lit(0.0), lambda a, x: a + x.cast("double")), 5).alias("total"))
 
 
 @query("drop_burn_in", "select slide, i - 64 as i, y from series where i >= 64")

@@ -27,6 +27,7 @@ def plain(x):
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
+    con.execute("set temp_directory = ''")  # nothing is spilled to the working folder
     for p in Path(SF).glob("*.parquet"):
         con.execute(f"create view {p.stem} as select * from '{p}'")
     return con
