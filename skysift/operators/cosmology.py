@@ -12,17 +12,18 @@ STEPS, FARTHEST = 10_000, 2.0
 
 
 def grid(spark: SparkSession, farthest: float = FARTHEST, steps: int = STEPS) -> DataFrame:
-    """(k, z, distance, volume) of ``steps`` + 1 redshifts: luminosity distance in Mpc, and Mpc**3 per steradian up to z, time dilated.
+    """(k, z, distance, rate, volume, comoving) of ``steps`` + 1 redshifts: luminosity distance in Mpc; Mpc**3 per steradian and unit of z at z,
+    time dilated, and up to z with and without the dilation.
 
-    Comoving distance and volume are summed by trapezoids; the table has a fixed size.
+    Comoving distance and volumes are summed by trapezoids; the table has a fixed size.
     """
     step = farthest / steps
     w = Window.orderBy("k")
     trapezoids = lambda df, x, out: df.withColumn("_s", F.coalesce((F.col(x) + F.lag(x).over(w)) / 2 * step, F.lit(0.0))).withColumn(out, F.sum("_s").over(w)).drop("_s")
     rows = spark.range(steps + 1).select(F.col("id").alias("k"), (F.col("id") * step).alias("z"))
     rows = rows.withColumn("_d", LIGHT / HUBBLE / F.sqrt(MATTER * F.pow(1 + F.col("z"), F.lit(3)) + (1 - MATTER)))
-    rows = trapezoids(rows, "_d", "_c").withColumn("_v", F.col("_c") * F.col("_c") * F.col("_d") / (1 + F.col("z")))
-    return trapezoids(rows, "_v", "volume").select("k", "z", (F.col("_c") * (1 + F.col("z"))).alias("distance"), "volume")
+    rows = trapezoids(rows, "_d", "_c").withColumn("_u", F.col("_c") * F.col("_c") * F.col("_d")).withColumn("rate", F.col("_u") / (1 + F.col("z")))
+    return trapezoids(trapezoids(rows, "rate", "volume"), "_u", "comoving").select("k", "z", (F.col("_c") * (1 + F.col("z"))).alias("distance"), "rate", "volume", "comoving")
 
 
 def at_redshift(df: DataFrame, z: Column, value: str, out: str, farthest: float = FARTHEST, steps: int = STEPS) -> DataFrame:
@@ -50,6 +51,6 @@ SQL = f"""
 , cosmos0 as (select k, k * {FARTHEST / STEPS!r}::double as z, {LIGHT!r}::double / {HUBBLE!r}::double / sqrt({MATTER!r}::double * pow(1 + k * {FARTHEST / STEPS!r}::double, 3) + {1 - MATTER!r}::double) as d from range(0, {STEPS + 1}) t(k)),
 cosmos1 as (select *, sum(s) over (order by k) as c from (select *, coalesce((d + lag(d) over (order by k)) / 2 * {FARTHEST / STEPS!r}::double, 0) as s from cosmos0)),
 cosmos2 as (select k, z, c * (1 + z) as distance, c * c * d / (1 + z) as v from cosmos1),
-cosmos3 as (select k, z, distance, sum(s) over (order by k) as volume from (select *, coalesce((v + lag(v) over (order by k)) / 2 * {FARTHEST / STEPS!r}::double, 0) as s from cosmos2)),
-cosmos as (select *, coalesce(lead(z) over (order by k), z) as z1, coalesce(lead(distance) over (order by k), distance) as distance1, coalesce(lead(volume) over (order by k), volume) as volume1 from cosmos3)
+cosmos3 as (select k, z, distance, v as rate, sum(s) over (order by k) as volume from (select *, coalesce((v + lag(v) over (order by k)) / 2 * {FARTHEST / STEPS!r}::double, 0) as s from cosmos2)),
+cosmos as (select *, coalesce(lead(z) over (order by k), z) as z1, coalesce(lead(distance) over (order by k), distance) as distance1, coalesce(lead(volume) over (order by k), volume) as volume1, coalesce(lead(rate) over (order by k), rate) as rate1 from cosmos3)
 """

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..sources.store import fixed
 from .ranks import running
-from .sampling import uniform as hashed_uniform
+from .sampling import accept_until, uniform as hashed_uniform
 
 #: A distribution: from a uniform number in [0, 1) to a value.
 Distribution = Callable[[Column], Column]
@@ -82,6 +85,54 @@ def in_volume(hi: float) -> Distribution:
     return lambda u: hi * F.pow(u, F.lit(1 / 3))
 
 
+def tabulated(values: Sequence[float], cumulated: Sequence[float]) -> Distribution:
+    """Values by a table of how much of the distribution lies below each, which is searched by halving; between two, linearly.
+
+    ``cumulated`` begins with 0 and doesn't fall; what it ends with counts as all. The table is sent with the tasks, so it should be of fixed size.
+    """
+    x, c = np.asarray(values, np.float64), np.asarray(cumulated, np.float64)
+    if len(x) < 2 or len(x) != len(c) or c[0] != 0 or (np.diff(c) < 0).any() or not c[-1] > 0:
+        raise ValueError("a table needs two values at least, and sums that begin with 0 and don't fall")
+
+    @F.pandas_udf("double")
+    def f(u: pd.Series) -> pd.Series:
+        at = u.to_numpy(np.float64) * c[-1]
+        below = np.clip(np.searchsorted(c, at, "right") - 1, 0, len(c) - 2)
+        width = c[below + 1] - c[below]
+        part = np.divide(at - c[below], width, out=np.zeros(len(at)), where=width > 0)
+        return pd.Series(x[below] + (x[below + 1] - x[below]) * part)
+
+    return f
+
+
+def in_universe(spark: SparkSession, farthest: float, of: str = "z", dilated: bool = True) -> Distribution:
+    """A redshift, or with ``of="distance"`` a luminosity distance, uniform in comoving volume up to a redshift on the grid; by default in time, too, at the source."""
+    from . import cosmology
+
+    table = cosmology.grid(spark).where(F.col("z") <= farthest + 1e-9).select("k", of, F.col("volume" if dilated else "comoving").alias("c")).toPandas().sort_values("k")
+    return tabulated(table[of], table["c"])
+
+
+def until_accepted(spark: SparkSession, quota: int, make: Transform, accepted: str, most: int) -> DataFrame:
+    """Draws in the order of their id (from 0 on), rejected ones too, up to and with the one that fills the quota; so all that were drawn are counted.
+
+    ``make`` makes a row with the flag ``accepted`` of every id of a table, by hashes of the id, so what a draw gives doesn't depend on rounds. The first round has as many as
+    are wanted; what the next ones have follows from the share accepted so far. Rounds are written once. More than ``most`` draws are an error.
+    """
+    done, got, size = 0, 0, quota
+    out = make(spark.range(0)).limit(0)
+    while got < quota:
+        size = min(size, most - done)
+        if size <= 0:
+            raise ValueError(f"of {done} draws only {got} are accepted, {quota} are wanted")
+        part = fixed(make(spark.range(done, done + size)), "draws")
+        out = out.unionByName(part) if done else part
+        got += part.where(F.col(accepted)).count()
+        done += size
+        size = math.ceil(1.1 * (quota - got) * done / max(got, 1))
+    return accept_until(out, accepted, quota, "id")
+
+
 def injection_grid(segments: DataFrame, spacing: float, buffer: float, duration: float, max_shift: float) -> DataFrame:
     """(segment's columns, k, t): times from start + buffer on, before stop - shift - buffer, half a duration's room added."""
     b, step = buffer + duration // 2, spacing + duration

@@ -78,12 +78,12 @@ def welch(windows: DataFrame, by: str, samples: str, length: int, rate: float, a
     return bins.groupBy(by, F.col("bin").cast("long").alias("bin")).agg((F.median("power") if average == "median" else F.avg("power")).alias("psd"))
 
 
-def snr(windows: DataFrame, psd: DataFrame, key: list[str], samples: str, low: int, high: int, df: float) -> DataFrame:
-    """(key, snr): of each window against a density by bin (bounded, broadcast), in a band."""
+def snr(windows: DataFrame, psd: DataFrame, key: list[str], samples: str, low: int, high: int, df: float, of: Sequence[str] = ()) -> DataFrame:
+    """(key, snr): of each window against a density by bin (bounded, broadcast), in a band; ``of`` names the columns of the key that a density is for."""
     z = rfft(F.col(samples))
     power = F.zip_with(z["real"], z["imag"], lambda a, b: a * a + b * b)
     bins = windows.select(*key, F.posexplode(power).alias("bin", "power")).where(F.col("bin").between(low, high))
-    got = bins.join(F.broadcast(psd), "bin").groupBy(*key).agg(F.sqrt(4 * F.sum(F.col("power") / F.col("psd")) * df).alias("snr"))
+    got = bins.join(F.broadcast(psd), ["bin", *of]).groupBy(*key).agg(F.sqrt(4 * F.sum(F.col("power") / F.col("psd")) * df).alias("snr"))
     return got
 
 

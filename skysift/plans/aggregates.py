@@ -157,15 +157,19 @@ def population_vt(v: Views):
     return out.select("threshold", r(col("log_vt"), 8).alias("log_vt"), r(col("log_sigma"), 8).alias("log_sigma"), r(col("n_eff"), 4).alias("n_eff"))
 
 
-@query("population_density", """
-, m as (select distinct mass_1, mass_2, redshift from camp where mass_1 > mass_2)
+@query("population_density", cosmology.SQL + """
+, m as (select distinct mass_1, mass_2, redshift from camp where mass_1 > mass_2),
+z as (select m.*, rate + (rate1 - rate) * (redshift / 0.0002 - k) as rate, (select max(volume) from cosmos) as volume from m join cosmos on k = floor(redshift / 0.0002))
 select round(mass_1, 4) as mass_1, round(mass_2, 4) as mass_2, round(redshift, 4) as redshift,
-  round(-2.35 * ln(mass_1) + ln(mass_2) - ln(mass_1 * mass_1) - ln(4 * pi()) - ln(case when mass_1 < 20 then 0.4 else 0.99 end) - ln(0.04) - ln(1 + redshift), 6) as log_density from m
+  round(-2.35 * ln(mass_1) + ln(mass_2) - ln(mass_1 * mass_1) - ln(4 * pi()) - ln(case when mass_1 < 20 then 0.4 else 0.99 end) - ln(0.04) + case when rate > 0 then ln(rate / volume) end, 6) as log_density from z
 """)
 def population_density(v: Views):
+    """Log density in masses, spins and redshift: in redshift that of comoving volume, time dilated, of which there is none at 0."""
     m = v.camp.where("mass_1 > mass_2").select("mass_1", "mass_2", "redshift").distinct()
     mass = -2.35 * F.log("mass_1") + F.log("mass_2") - F.log(col("mass_1") * col("mass_1"))
-    density = mass + sensitivity.log_spin_density(F.lit(0.2), F.when(col("mass_1") < 20, 0.4).otherwise(0.99)) - F.log(1 + col("redshift"))
+    m = cosmology.at_redshift(m, col("redshift"), "rate", "_rate").join(F.broadcast(cosmology.grid(v.spark).agg(F.max("volume").alias("_all"))))
+    far = F.when(col("_rate") > 0, F.log(col("_rate") / col("_all")))
+    density = mass + sensitivity.log_spin_density(F.lit(0.2), F.when(col("mass_1") < 20, 0.4).otherwise(0.99)) + far
     return m.select(r(col("mass_1"), 4).alias("mass_1"), r(col("mass_2"), 4).alias("mass_2"), r(col("redshift"), 4).alias("redshift"), r(density).alias("log_density"))
 
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import columns as c
-from ..operators import matching, priors, ranks, sampling, sensitivity, series, strain
+from ..functions import detectors
+from ..operators import cosmology, matching, priors, ranks, sampling, sensitivity, series, signal, strain
+from ..sources.store import fixed
 from .registry import Views, query
 
 col = F.col
@@ -128,33 +130,73 @@ def injection_grid(v: Views):
     return rows.select("o_orderkey", "k", r(12 + col("k") * 25000.0 + jitter, 4).alias("since_start"))
 
 
-@query("sample_prior", """
-, u as (select i, ('0x' || substr(md5(i::varchar || '|mass_1|3'), 1, 12))::bigint / 281474976710656.0 as u1, ('0x' || substr(md5(i::varchar || '|mass_2|3'), 1, 12))::bigint / 281474976710656.0 as u2,
-  ('0x' || substr(md5(i::varchar || '|dec|3'), 1, 12))::bigint / 281474976710656.0 as u3, ('0x' || substr(md5(i::varchar || '|psi|3'), 1, 12))::bigint / 281474976710656.0 as u4 from (select event_id as i from ev)),
-m as (select *, pow(pow(5, -1.35) + u1 * (pow(100, -1.35) - pow(5, -1.35)), 1 / -1.35) as m1 from u),
-p as (select i, m1, pow(pow(5, 2) + u2 * (pow(m1, 2) - pow(5, 2)), 0.5) as m2, asin(2 * u3 - 1) as dec, pi() * u4 as psi from m)
-select i, round(m1, 4) as mass_1, round(m2, 4) as mass_2, round(dec, 6) as dec, round(psi, 6) as psi from p where m2 / m1 between 0.02 and 1
+_HASH = "('0x' || substr(md5(i::varchar || '|{}'), 1, 12))::bigint / 281474976710656.0"
+
+
+@query("sample_prior", cosmology.SQL + f"""
+, u as (select i, {_HASH.format('mass_1|3')} as u1, {_HASH.format('mass_2|3')} as u2, {_HASH.format('dec|3')} as u3, {_HASH.format('psi|3')} as u4, {_HASH.format('redshift|3')} as u5 from (select event_id as i from ev)),
+m as (select *, pow(pow(5, -1.35) + u1 * (pow(100, -1.35) - pow(5, -1.35)), 1 / -1.35) as m1, u5 * (select volume from cosmos where k = 2500) as t from u),
+p as (select i, m1, pow(pow(5, 2) + u2 * (pow(m1, 2) - pow(5, 2)), 0.5) as m2, asin(2 * u3 - 1) as dec, pi() * u4 as psi, z + (z1 - z) * (t - volume) / (volume1 - volume) as redshift from m asof join cosmos on t >= volume)
+select i, round(m1, 4) as mass_1, round(m2, 4) as mass_2, round(dec, 6) as dec, round(psi, 6) as psi, round(redshift, 7) as redshift, round(m1 * (1 + redshift), 4) as detector_mass_1 from p where m2 / m1 between 0.02 and 1
 """)
 def sample_prior(v: Views):
-    """Draws for every event's id from a named population, by hashes instead of a generator's state."""
+    """Draws for every event's id from a named population, by hashes instead of a generator's state; redshifts uniform in comoving volume and time."""
     prior = {
         "mass_1": priors.power_law(-2.35, 5.0, 100.0), "mass_2": priors.power_law(1.0, 5.0, col("mass_1")),
-        "dec": priors.cosine(), "psi": priors.uniform(0.0, 3.141592653589793),
+        "dec": priors.cosine(), "psi": priors.uniform(0.0, 3.141592653589793), "redshift": priors.in_universe(v.spark, 0.5),
     }
-    drawn = priors.draw(v.ev.select(col("event_id").alias("i")), "i", prior, seed=3, convert=lambda d: d.withColumn("q", col("mass_2") / col("mass_1")), keep=col("q").between(0.02, 1))
-    return drawn.select("i", r(col("mass_1"), 4).alias("mass_1"), r(col("mass_2"), 4).alias("mass_2"), r(col("dec")).alias("dec"), r(col("psi")).alias("psi"))
-
-
-@query("reject_by_snr", """
-, d as (select event_id as i, coalesce(detection_statistic, 0) * (('0x' || substr(md5(event_id::varchar || '|z|5'), 1, 12))::bigint / 281474976710656.0) as snr from ev),
-s as (select *, sum((snr >= 8)::int) over (order by i) as n from d)
-select i, round(snr, 6) as snr, snr >= 8 as accepted from s where n - (snr >= 8)::int < 1500
+    derived = lambda d: d.withColumns({"q": col("mass_2") / col("mass_1"), "detector": col("mass_1") * (1 + col("redshift"))})
+    drawn = priors.draw(v.ev.select(col("event_id").alias("i")), "i", prior, seed=3, convert=derived, keep=col("q").between(0.02, 1))
+    return drawn.select(
+        "i", r(col("mass_1"), 4).alias("mass_1"), r(col("mass_2"), 4).alias("mass_2"), r(col("dec")).alias("dec"), r(col("psi")).alias("psi"),
+        r(col("redshift"), 7).alias("redshift"), r(col("detector"), 4).alias("detector_mass_1"),
+    )
+
+
+#: A burst's two polarisations, sample by sample: an envelope about sample 32 with a tone under it.
+_BURST = {p: f"amp * exp(-pow(({{n}} - 32) / tau, 2)) * {f}(6.283185307179586e0 * freq * ({{n}} - 32) / 64 + phase)" for p, f in (("plus", "cos"), ("cross", "sin"))}
+_IFOS = {"H1": "H1", "L1": "L1"}
+_ANTENNA_SQL = " union all ".join(f"select *, '{i}' as ifo, {detectors.antenna(d)[0]} as fp, {detectors.antenna(d)[1]} as fc, 6 + floor(({detectors.delay(d)}) * 256 + 0.5)::bigint as delay from dr" for i, d in _IFOS.items())
+
+
+@query("reject_by_snr", f"""
+, quota as (select count(*) // 4 as quota from inj),
+x as (select block, ifo, k - 1 as n, samples[k]::double * (0.5 - 0.5 * cos(2 * pi() * (k - 1) / 64)) as v from (select *, unnest(range(1, 65)) as k from win)),
+fp as (select block, ifo, f, (pow(sum(v * cos(2 * pi() * f * n / 64)), 2) + pow(sum(v * sin(2 * pi() * f * n / 64)), 2)) * case when f in (0, 32) then 1 else 2 end / (64 * 24.0) as p from x, range(0, 33) t(f) group by block, ifo, f),
+psd as (select ifo, f, median(p) as psd from fp group by ifo, f),
+dr as (select i, 0.3 * pow(10 / 0.3, {_HASH.format('amp|5')}) as amp, 3 + 7 * {_HASH.format('tau|5')} as tau, 4 + 20 * {_HASH.format('freq|5')} as freq, 2 * pi() * {_HASH.format('phase|5')} as phase,
+  2 * pi() * {_HASH.format('ra|5')} as ra, asin(2 * {_HASH.format('dec|5')} - 1) as dec, pi() * {_HASH.format('psi|5')} as psi from (select unnest(range(0, (select quota * 8 + 100 from quota))) as i)),
+an as ({_ANTENNA_SQL}),
+h as (select i, ifo, n, case when n >= delay then fp * {_BURST['plus'].format(n='(n - delay)')} + fc * {_BURST['cross'].format(n='(n - delay)')} else 0 end as v from an, range(0, 64) t(n)),
+ft as (select i, ifo, f, pow(sum(v * cos(2 * pi() * f * n / 64)), 2) + pow(sum(v * sin(2 * pi() * f * n / 64)), 2) as p from h, range(2, 31) t(f) group by i, ifo, f),
+s as (select i, sqrt(sum(4 * p / psd / 4096)) as snr from ft join psd using (ifo, f) group by i),
+n as (select *, sum((snr >= 8)::int) over (order by i) - (snr >= 8)::int as before from s)
+select i, round(snr, 5) as snr, snr >= 8 as accepted from n, quota where before < quota
 """)
 def reject_by_snr(v: Views):
-    """Candidates in order until the quota of loud ones is reached; quiet ones before that are the rejected ones."""
-    drawn = priors.draw(v.ev.select(col("event_id").alias("i"), F.coalesce("detection_statistic", F.lit(0.0)).alias("loud")), "i", {"z": priors.uniform(0.0, 1.0)}, seed=5)
-    drawn = drawn.withColumn("snr", col("loud") * col("z")).withColumn("accepted", col("snr") >= 8)
-    return sampling.accept_until(drawn, "accepted", 1500, "i").select("i", r(col("snr")).alias("snr"), "accepted")
+    """Bursts drawn until a quota is loud in the noise of ``win``, seen by two detectors; quiet ones before that are the rejected ones."""
+    noise = signal.welch(v.win, "ifo", "samples", 64, 64.0).withColumn("bin", col("bin").cast("int"))
+    noise = fixed(noise, "psd")  # a row per detector and bin
+    two_pi = 6.283185307179586
+    prior = {
+        "amp": priors.log_uniform(0.3, 10.0), "tau": priors.uniform(3.0, 10.0), "freq": priors.uniform(4.0, 24.0), "phase": priors.uniform(0.0, two_pi),
+        "ra": priors.uniform(0.0, two_pi), "dec": priors.cosine(), "psi": priors.uniform(0.0, two_pi / 2),
+    }
+    seen = F.array(*(
+        F.struct(F.lit(i).alias("ifo"), F.expr(detectors.antenna(d)[0]).alias("fp"), F.expr(detectors.antenna(d)[1]).alias("fc"), (F.floor(F.expr(detectors.delay(d)) * 256 + 0.5) + 6).cast("int").alias("delay"))
+        for i, d in _IFOS.items()
+    ))
+    waves = {p: F.expr(f"transform(sequence(0, 63), n -> {e.format(n='n').replace('e0', 'D')})") for p, e in _BURST.items()}
+
+    def make(ids):
+        d = priors.draw(ids, "id", prior, seed=5).withColumns(waves).select("id", "plus", "cross", F.inline(seen))
+        d = d.withColumn("h", signal.project(col("plus"), col("cross"), col("fp"), col("fc"), col("delay")))
+        each = signal.snr(d, noise, ["id", "ifo"], "h", 2, 30, 1 / 4096, of=["ifo"])
+        return each.groupBy("id").agg(F.sqrt(F.sum(col("snr") * col("snr"))).alias("snr")).withColumn("accepted", col("snr") >= 8)
+
+    quota = v.inj.count() // 4
+    drawn = priors.until_accepted(v.spark, quota, make, "accepted", most=8 * quota + 100)
+    return drawn.select(col("id").alias("i"), r(col("snr"), 5).alias("snr"), "accepted")
 
 
 @query("enumerate_timeslides", """
