@@ -1,6 +1,6 @@
 """The live search: blocks of samples as they arrive, by detector, with state across micro-batches.
 
-State is a value per key and bounded by the longest buffer; rows of a micro-batch are sorted
+Walkers' state is a small value per key, processors' (``stateful``) is kept piece by piece; rows of a micro-batch are sorted
 before they meet it, so results don't depend on where batches end. Lateness is what the
 watermark allows; a block that comes after a newer one of its detector is dropped, as the
 search has moved on.
@@ -9,13 +9,13 @@ search has moved on.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from datetime import datetime
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..sources.store import folder
+from ..sources.store import fixed, folder
 
 LATENESS = "10 seconds"
 
@@ -28,29 +28,70 @@ def follow(spark: SparkSession, path: str, schema: str, files_per_batch: int | N
     return reader.parquet(path)
 
 
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+class rocks:
+    """While a stream starts, its session keeps state in RocksDB: off the heap, and a change at a time. Then the setting is as before."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.was = spark, spark.conf.get(_PROVIDER, None)
+
+    def __enter__(self) -> None:
+        self.spark.conf.set(_PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+    def __exit__(self, *_: object) -> None:
+        if self.was is None:
+            self.spark.conf.unset(_PROVIDER)
+        else:
+            self.spark.conf.set(_PROVIDER, self.was)
+
+
+def sink(path: str) -> Callable[[DataFrame, int], None]:
+    """Writes micro-batches to a folder each, by number: a batch that comes again after a failure replaces its own."""
+    return lambda batch, number: batch.write.mode("overwrite").parquet(f"{path}/_batch={number}")
+
+
 def drain(stream: DataFrame, mode: str = "append", each: Callable[[DataFrame, int], None] | None = None) -> DataFrame:
     """Run a stream over all that is there and give its rows, with the number of the micro-batch that made them."""
     spark = stream.sparkSession
     path = folder(spark, "stream")
+    keep = sink(f"{path}/rows")
 
     def put(batch: DataFrame, number: int) -> None:
         if each is not None:
             batch.persist()
             each(batch, number)
-        batch.withColumn("_batch", F.lit(number)).write.mode("append").parquet(f"{path}/rows")
+        keep(batch, number)
         if each is not None:
             batch.unpersist()
 
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").foreachBatch(put)
-    writer.trigger(availableNow=True).start().awaitTermination()
+    with rocks(spark):
+        query = writer.trigger(availableNow=True).start()
+    query.awaitTermination()
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema)
     return spark.read.schema(f"{kinds}, _batch int").parquet(f"{path}/rows")
 
 
-def assemble(blocks: DataFrame, time: str, span: str, detectors: int) -> DataFrame:
-    """(second, n, total, complete): what all detectors have for each span of time, in update mode."""
+def ending(spark: SparkSession, path: str, schema: str, time: str, at: datetime) -> None:
+    """Close a folder's stream: a row that has nothing but a time, so late that the watermark passes all that still waits.
+
+    It must reach the watermark, so nothing after it may filter it out; it joins nothing, and as an event waits for ever.
+    """
+    row = spark.range(1).select(F.lit(at).cast("timestamp").alias(time))
+    kinds = [f.split(" ", 1) for f in schema.split(", ")]
+    row.select(*(F.col(n) if n == time else F.lit(None).cast(t).alias(n) for n, t in kinds)).write.mode("append").parquet(path)
+
+
+def assemble(blocks: DataFrame, time: str, span: str, key: str, samples: str, detectors: int) -> DataFrame:
+    """(second, parts, complete): for each span of time the samples of the detectors that have come, by detector, in update mode.
+
+    A block that is sent again counts once.
+    """
     rows = blocks.withWatermark(time, LATENESS).groupBy(F.window(time, span).alias("w"))
-    return rows.agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("total")).select(F.col("w.start").alias("second"), "n", "total", (F.col("n") == detectors).alias("complete"))
+    parts = rows.agg(F.sort_array(F.collect_set(F.struct(key, samples))).alias("parts"))  # a block per detector
+    return parts.select(F.col("w.start").alias("second"), "parts", (F.size(F.array_distinct(F.transform("parts", lambda p: p[key]))) == detectors).alias("complete"))
 
 
 def newest(rows: DataFrame, key: str) -> DataFrame:
@@ -132,23 +173,6 @@ class Gaps(Walker):
             yield state[0] + 1, None
 
 
-class Rolling(Walker):
-    """The last ``size`` blocks; ready once as many came without a gap and all ready."""
-
-    state, output = "last long, buffer array<double>", "ifo long, i long, filled long, full boolean, total double"
-
-    def __init__(self, size: int):
-        self.size = size
-
-    def start(self):
-        return -1, []
-
-    def block(self, state, i, y, ready):
-        kept = list(state[1]) if i == state[0] + 1 else []
-        state[1] = (kept + [y])[-self.size :] if ready else []
-        yield i, len(state[1]), len(state[1]) == self.size, float(sum(state[1]))
-
-
 class Boxcar(Walker):
     """Trailing means of the last ``width`` scores, zeros before the first; with ``every`` only of every so-manieth score, averaged over ``width`` of those."""
 
@@ -197,52 +221,6 @@ class Status(Walker):
             yield i, state[1]
 
 
-class Detect(Walker):
-    """Events from frames of ``frame`` blocks.
-
-    A frame whose largest score reaches the threshold makes an event at its peak, unless the peak is its
-    last block: then the score may still rise and the next frame decides. After an event others are
-    suppressed for ``period`` blocks, and detecting ends then, too. Losing readiness while detecting makes the event at the last block.
-    """
-
-    state, output = "last long, buffer array<double>, first long, detecting boolean, event long", "ifo long, i long, y double, partial boolean"
-
-    def __init__(self, threshold: float, frame: int, period: int):
-        self.threshold, self.frame, self.period = threshold, frame, period
-
-    def start(self):
-        return -1, [], 0, False, -(10**9)
-
-    def _event(self, state, i, y, partial):
-        state[3] = False
-        if i - state[4] >= self.period:
-            state[4] = i
-            yield i, float(y), partial
-
-    def block(self, state, i, y, ready):
-        buffer = list(state[1])
-        if not ready:
-            if state[3] and buffer:
-                yield from self._event(state, state[2] + len(buffer) - 1, max(buffer), True)
-            state[1], state[3] = [], False
-            return
-        if buffer and i != state[2] + len(buffer):
-            buffer = []
-        if not buffer:
-            state[2] = i
-        buffer.append(y)
-        if len(buffer) == self.frame:
-            top = int(np.argmax(buffer))
-            if max(buffer) >= self.threshold:
-                if top < len(buffer) - 1:
-                    yield from self._event(state, state[2] + top, buffer[top], False)
-                else:
-                    state[3] = True
-            state[1], state[2] = (buffer[-1:], i) if state[3] else ([], i)
-        else:
-            state[1] = buffer
-
-
 def around(events: DataFrame, blocks: DataFrame, before: str, after: str) -> DataFrame:
     """Stream-stream join: the blocks of an event's detector from ``before`` it to ``after`` it."""
     e = events.select(F.col("ifo").alias("e_ifo"), F.col("i").alias("e_i"), F.col("ts").alias("e_ts")).withWatermark("e_ts", LATENESS)
@@ -251,53 +229,109 @@ def around(events: DataFrame, blocks: DataFrame, before: str, after: str) -> Dat
 
 
 def awaited(events: DataFrame, posteriors: DataFrame, keys: Sequence[str], wait: str) -> DataFrame:
-    """Left outer stream-stream join: each event with its posterior if that comes at most ``wait`` after it, else with nulls."""
-    e = events.withWatermark("ts", LATENESS)
-    p = posteriors.select(*(F.col(k).alias(f"p_{k}") for k in keys), *(c for c in posteriors.columns if c not in keys)).withWatermark("p_ts", LATENESS)
-    same = " and ".join(f"{k} = p_{k}" for k in keys)
-    return e.join(p, F.expr(f"{same} and p_ts >= ts and p_ts <= ts + interval {wait}"), "left").drop(*(f"p_{k}" for k in keys))
+    """Left outer stream-stream join: each event with its posterior if that comes at most ``wait`` after it, else with nulls; a null key equals none.
+
+    The join is on one text that names the keys, which is never null: rows whose key is null can stop others of their partition from being let go.
+    """
+    name = F.to_json(F.struct(*keys))
+    whole = F.lit(True)
+    for k in keys:
+        whole = whole & F.col(k).isNotNull()
+    e = events.withColumn("_name", name).withWatermark("ts", LATENESS)
+    p = posteriors.select(F.when(whole, name).otherwise("").alias("p_name"), *(c for c in posteriors.columns if c not in keys)).withWatermark("p_ts", LATENESS)
+    return e.join(p, F.expr(f"_name = p_name and p_ts >= ts and p_ts <= ts + interval {wait}"), "left").drop("_name", "p_name")
 
 
-def far_steps(background: DataFrame, stat: str, threshold: float, width: float) -> DataFrame:
-    """Of a background from the threshold on, per cell of ``width``: _cell, _above (how many lie in higher cells), _steps (value and number of each).
+#: Values in a node of a table of steps.
+NODE = 256
 
-    As large as there are different values; cells without any are there, too.
+
+def far_steps(background: DataFrame, stat: str, threshold: float, node: int = NODE) -> list[DataFrame]:
+    """How many of a background, from the threshold on, are at least a value: a tree of tables, from the root's to the leaves'.
+
+    Rows are nodes (_node, _keys, _upto) of equal depth, made from ranks: a leaf has ``node`` of the background's different values in falling order and the counts up to each,
+    an inner node the largest value of each of as many nodes below. So rows have a fixed size, and a look-up reads one per level.
     """
     from ..operators.ranks import running
 
-    values = background.where(F.col(stat) >= threshold).groupBy(F.col(stat).cast("double").alias("x")).agg(F.count(F.lit(1)).alias("n"))
-    cells = values.groupBy(F.floor(F.col("x") / width).cast("long").alias("_cell")).agg(F.collect_list(F.struct("x", "n")).alias("_steps"), F.sum("n").alias("_n"))
-    last = cells.agg(F.max("_cell").alias("last"))
-    every = last.select(F.explode(F.sequence(F.lit(int(threshold // width)).cast("long"), F.greatest("last", F.lit(int(threshold // width)).cast("long")))).alias("_cell"))
-    cells = every.join(cells, "_cell", "left").withColumn("_n", F.coalesce("_n", F.lit(0).cast("long")))
-    return running(cells, "_cell", {"_upto": "_n"}).select("_cell", (F.col("_upto") - F.col("_n")).alias("_above"), "_steps")
+    values = background.where(F.col(stat) >= threshold).groupBy(F.col(stat).cast("double").alias("_x")).agg(F.count(F.lit(1)).alias("_n"))
+    ranked = fixed(running(values, "_x", {"_upto": "_n", "_rank": "1L"}), "steps").withColumn("_child", F.col("_rank") - 1)
+    levels, entries, n = [], ranked, ranked.count()
+    while True:
+        rows = entries.groupBy(F.expr(f"_child div {node}").alias("_node")).agg(F.sort_array(F.collect_list(F.struct("_child", "_x", "_upto"))).alias("_e"))
+        rows = fixed(rows.select("_node", F.col("_e._x").alias("_keys"), F.col("_e._upto").alias("_upto")), "steps")
+        levels.insert(0, rows)
+        if n <= node:
+            return levels
+        n = -(-n // node)
+        entries = rows.select(F.col("_node").alias("_child"), F.col("_keys")[0].alias("_x"), F.lit(None).cast("long").alias("_upto"))
+
+
+def with_far(events: DataFrame, background: DataFrame, stat: str, threshold: float, tb: float, node: int = NODE) -> DataFrame:
+    """Alarms per second of events (y) by a background: down the tree of ``far_steps`` by an equi-join per level."""
+    levels = far_steps(background, stat, threshold, node)
+    names = events.columns
+    found = events.withColumns({"_y": F.greatest(F.col("y"), F.lit(threshold)), "_node": F.lit(0).cast("long")})
+    for depth, rows in enumerate(levels):
+        # the upper levels have a bounded size
+        rows = F.broadcast(rows) if node ** (depth + 1) <= 1 << 16 else rows
+        at = F.size(F.filter(F.coalesce("_keys", F.array().cast("array<double>")), lambda k: k >= F.col("_y")))
+        found = found.join(rows, "_node", "left").withColumn("_at", at)
+        if depth < len(levels) - 1:
+            found = found.withColumn("_node", F.when(F.col("_at") > 0, F.col("_node") * node + F.col("_at") - 1)).select(*names, "_y", "_node")
+    count = F.when(F.col("_at") > 0, F.element_at("_upto", F.greatest(F.col("_at"), F.lit(1))))
+    return found.withColumn("far", F.greatest(F.coalesce(count, F.lit(0)), F.lit(1)) / tb).select(*names, "far")
+
+
+def _newest(rows: DataFrame, key: str, version: Sequence[str], sums: Sequence[str]) -> DataFrame:
+    last = F.max_by("newest", F.struct(*(f"newest.{c}" for c in version))).alias("newest")
+    return rows.groupBy(F.col(f"newest.{key}").alias("_key")).agg(last, *(F.sum(k).alias(k) for k in sums)).drop("_key")
 
 
-def with_far(events: DataFrame, background: DataFrame, stat: str, threshold: float, tb: float, width: float = 1.0) -> DataFrame:
-    """Alarms per second of events (y) by a background: an equi-join on cells, then the exact count within a cell."""
-    steps = far_steps(background, stat, threshold, width)
-    found = events.withColumn("_cell", F.floor(F.greatest(F.col("y"), F.lit(threshold)) / width).cast("long")).join(steps, "_cell", "left")
-    here = F.aggregate(F.coalesce("_steps", F.array().cast("array<struct<x:double,n:bigint>>")), F.lit(0).cast("long"), lambda k, p: k + F.when(p.x >= F.col("y"), p.n).otherwise(0))
-    return found.withColumn("far", F.greatest(F.coalesce("_above", F.lit(0)) + here, F.lit(1)) / tb).drop("_cell", "_above", "_steps")
+def _has(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
-def upsert(path: str, key: str, version: Sequence[str], sums: dict[str, str]) -> Callable[[DataFrame, int], None]:
-    """For ``drain`` or ``monitor``: per micro-batch and key the newest row and sums of expressions; a batch that comes again replaces its own."""
+def _kept(spark: SparkSession, path: str, before: int | None = None) -> tuple[DataFrame | None, int]:
+    """All rows that count: the last base (of those before a batch) and the batches after it; and that base's number, -1 for none."""
+    base, rows = -1, None
+    if _has(spark, f"{path}/bases"):
+        bases = spark.read.parquet(f"{path}/bases")
+        last = bases.where(F.col("_base") < before if before is not None else F.lit(True)).agg(F.max("_base")).first()[0]
+        if last is not None:
+            base, rows = int(last), bases.where(F.col("_base") == last).drop("_base")
+    if _has(spark, f"{path}/batches"):
+        more = spark.read.parquet(f"{path}/batches")
+        more = more.where((F.col("_batch") > base) & (F.col("_batch") <= before if before is not None else F.lit(True))).drop("_batch")
+        rows = more if rows is None else rows.unionByName(more)
+    return rows, base
+
+
+def upsert(path: str, key: str, version: Sequence[str], sums: dict[str, str], every: int = 64) -> Callable[[DataFrame, int], None]:
+    """For ``drain`` or ``monitor``: per micro-batch and key the newest row and sums of expressions; a batch that comes again replaces its own.
+
+    After ``every`` batches all so far become one base, so what ``current`` reads stays as many rows as there are keys, and as many batches as ``every``.
+    """
 
     def put(batch: DataFrame, number: int) -> None:
         newest = F.max_by(F.struct(*batch.columns), F.struct(*version)).alias("newest")
-        batch.groupBy(key).agg(newest, *(F.sum(F.expr(e)).alias(k) for k, e in sums.items())).drop(key).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        rows = batch.groupBy(key).agg(newest, *(F.sum(F.expr(e)).alias(k) for k, e in sums.items())).drop(key)
+        rows.write.mode("overwrite").parquet(f"{path}/batches/_batch={number}")
+        if number % every == every - 1:
+            kept, _ = _kept(batch.sparkSession, path, before=number)
+            _newest(kept, key, version, list(sums)).write.mode("overwrite").parquet(f"{path}/bases/_base={number}")
 
     return put
 
 
 def current(spark: SparkSession, path: str, key: str, version: Sequence[str], sums: Sequence[str]) -> DataFrame:
     """The table that ``upsert`` keeps: of all batches the newest row per key, and the sums over all."""
-    last = F.max_by("newest", F.struct(*(f"newest.{c}" for c in version))).alias("newest")
-    rows = spark.read.parquet(path).groupBy(F.col(f"newest.{key}").alias("_key"))
-    return rows.agg(last, *(F.sum(k).alias(k) for k in sums)).select("newest.*", *sums)
+    rows, _ = _kept(spark, path)
+    return _newest(rows, key, version, sums).select("newest.*", *sums)
 
 
 def monitor(stream: DataFrame, path: str, cadence: str, put: Callable[[DataFrame, int], None]) -> StreamingQuery:
     """Run ``put`` on what has come every ``cadence``, until the query is stopped."""
-    return stream.writeStream.option("checkpointLocation", f"{path}/_state").foreachBatch(put).trigger(processingTime=cadence).start()
+    with rocks(stream.sparkSession):
+        return stream.writeStream.option("checkpointLocation", f"{path}/_state").foreachBatch(put).trigger(processingTime=cadence).start()

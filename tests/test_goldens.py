@@ -315,15 +315,6 @@ def test_cosmology(spark):
     assert 0.9 < v / (4 / 3 * math.pi * (0.05 * 299792.458 / 67.74) ** 3) < 1
 
 
-def test_alarm_rates_by_cells(spark):
-    r = np.random.default_rng(6)
-    back, y = r.integers(0, 400, 500) / 4.0, [0.0, 10.0, 50.25, 50.3, 99.75, 100.0, 250.0]
-    events = spark.createDataFrame([(v,) for v in y], "y double")
-    for width in (1.0, 7.0):
-        got = {g.y: g.far for g in live.with_far(events.where("y >= 10"), spark.createDataFrame([(float(v),) for v in back], "x double"), "x", 10.0, 2.0, width).collect()}
-        assert got == {v: max((back >= v).sum(), 1) / 2 for v in y if v >= 10}
-
-
 def test_priors(spark):
     draws = {"a": priors.uniform(2.0, 3.0), "b": priors.power_law(-2.0, 5.0, 50.0), "c": priors.cosine(), "d": priors.sine(), "e": priors.log_uniform(1.0, 10.0), "f": priors.triangular(0.0, 1.0, 3.0), "g": priors.normal(1.0, 2.0), "h": priors.in_volume(2.0), "k": priors.log_normal(0.0, 0.1)}
     p = priors.draw(spark.range(4000), "id", draws, 1).toPandas()
@@ -352,38 +343,3 @@ def test_max_pool_and_auroc(spark):
     assert series.auroc(roc, "score", "y").first()[0] == pytest.approx(3.5 / 6)
 
 
-def detector(rows):
-    return [(0, i, None, float(y), ok) for i, y, ok in rows]
-
-
-@pytest.mark.parametrize("files", [1, 4])
-def test_stream_does_not_depend_on_batches(spark, tmp_path, files):
-    r = np.random.default_rng(2)
-    rows = [(i, r.integers(0, 10), r.random() > 0.1) for i in range(120) if r.random() > 0.08]
-    for k, part in enumerate(np.array_split(np.arange(len(rows)), files)):
-        d = spark.createDataFrame(detector([rows[j] for j in part.tolist()]), "ifo long, i long, ts timestamp, y double, ready boolean")
-        d.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        import time
-
-        time.sleep(1.1 if files > 1 else 0)  # files are taken in order of their times
-    stream = live.follow(spark, str(tmp_path / "in"), "ifo long, i long, ts timestamp, y double, ready boolean", 1)
-    got = live.drain(live.Rolling(6).apply(stream)).orderBy("i").collect()
-    buffer, last, want = [], None, []
-    for i, y, ok in rows:
-        buffer = (buffer if last is not None and i == last + 1 else []) + [float(y)]
-        buffer, last = (buffer[-6:] if ok else []), i
-        want.append((0, i, len(buffer), len(buffer) == 6, sum(buffer)))
-    assert [tuple(g)[:5] for g in got] == want
-
-
-def test_detections():
-    d = live.Detect(5.0, 4, 6)
-    state = list(d.start())
-    out = []
-    scores = [0, 1, 7, 2, 0, 0, 1, 9, 10, 3, 0, 0, 0, 0, 8]
-    for i, y in enumerate(scores):
-        out += list(d.block(state, i, float(y), True))
-        state[0] = i
-    # the peak at 2; that at 7 ends its frame, so the next frame, which begins with it, decides for 8; that at 14 still rises
-    assert [(i, y) for i, y, _ in out] == [(2, 7.0), (8, 10.0)] and state[3]
-    assert list(d.block(state, 15, 0.0, False)) == [(14, 8.0, True)] and not state[3]
