@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -64,6 +64,23 @@ def give_back() -> None:
         trim(0)
 
 
+#: What a worker remembers between tasks, by operator: how to forget it.
+_REMEMBERED: dict[str, Callable[[], None]] = {}
+
+
+def remember(name: str, forget: Callable[[], None]) -> None:
+    _REMEMBERED[name] = forget
+
+
+def forget_others(*names: str) -> None:
+    """Forget what tasks of other operators left in this worker, which lives on from stage to stage."""
+    others = [k for k in _REMEMBERED if k not in names]
+    for k in others:
+        _REMEMBERED.pop(k)()
+    if others:
+        give_back()
+
+
 def chunks(offsets: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of at most ``limit`` bytes each; a longer row stands alone. Memory is given back when all are done."""
     n, lo = len(offsets) - 1, 0

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ._store import id_name, small_batches, staged
-from ._vector import HashIndex, U64, chunks, lists_of, text_bytes
+from ._vector import HashIndex, U64, chunks, lists_of, remember, text_bytes
 from .sentencepiece_codec import MARK, agenda
 from .token_file import _spread, encoder
 
@@ -225,10 +225,16 @@ class Aligner:
 
 
 @lru_cache(maxsize=1)
-def aligner(byte_path: str, piece_path: str) -> Aligner:
+def _aligner(byte_path: str, piece_path: str) -> Aligner:
     return Aligner(byte_path, piece_path)
 
 
+def aligner(byte_path: str, piece_path: str) -> Aligner:
+    """A worker's own, which remembers words from task to task."""
+    remember("aligner", _aligner.cache_clear)
+    return _aligner(byte_path, piece_path)
+
+
 def _text_chunks(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     for batch in batches:
         raw, offsets = text_bytes(batch.column(column))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ._store import staged
-from ._vector import _LOWER, BASE, U64, UPPER_TO_LOWER, chunks, mix, powers, text_bytes, word_hashes, word_spans
+from ._vector import _LOWER, BASE, U64, UPPER_TO_LOWER, chunks, forget_others, mix, powers, text_bytes, word_hashes, word_spans
 
 #: What one pass broadcasts: words, and WINDOW_BYTES per window.
 SLICE_BYTES = 64 << 20
@@ -175,6 +175,7 @@ def _pass(rows: DataFrame, windows: Windows, hits_only: bool) -> DataFrame:
     schema = rows.select(*kept).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others()
         known: Windows = context.value
         for batch in batches:
             raw, offsets = text_bytes(batch.column("bytes"))

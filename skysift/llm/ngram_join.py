@@ -42,7 +42,7 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ._store import size_of, staged, unused
-from ._vector import BASE, U64, chunks, mix, powers, text_bytes, word_hashes, word_spans
+from ._vector import BASE, U64, chunks, forget_others, mix, powers, text_bytes, word_hashes, word_spans
 
 SHINGLE = 4
 #: A similarity of at least NUM / DEN links.
@@ -193,6 +193,7 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, size: int, what: str, num
     column = {"keys": "keys array<long>, spare array<int>", "hashes": "hashes array<long>"}[what]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others()
         seen: set[int] = set()
         for batch in batches:
             raw, offsets = text_bytes(batch.column(2))

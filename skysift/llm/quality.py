@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import _labels
 from ._store import staged
-from ._vector import U64, chunks, mix, text_bytes, word_hashes, word_spans
+from ._vector import U64, chunks, forget_others, mix, text_bytes, word_hashes, word_spans
 
 BUCKETS = 8192
 DIM = 32
@@ -88,6 +88,7 @@ def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     places, signs = index_vectors()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others()
         total = np.zeros((BUCKETS, DIM + 1))
         for batch in batches:
             raw, offsets = text_bytes(batch.column(0))
@@ -150,6 +151,7 @@ def pooled(docs: DataFrame, vectors: np.ndarray, id_col: str = "doc_id", text_co
     context = docs.sparkSession.sparkContext.broadcast(vectors)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others()
         for batch in batches:
             raw, offsets = text_bytes(batch.column(1))
             for lo, hi in chunks(offsets, PART):
@@ -228,6 +230,7 @@ def score(docs: DataFrame, labels: DataFrame, column: str = "quality", modulus:
     context = docs.sparkSession.sparkContext.broadcast(fit(rows, labels, column, modulus, held))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others()
         net = context.value
         for batch in batches:
             n = batch.num_rows
@@ -254,6 +257,7 @@ def keep(docs: DataFrame, labels: DataFrame, column: str = "quality", modulus: i
     columns = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others()
         vectors, net = context.value
         for batch in batches:
             raw, offsets = text_bytes(batch.column(columns.index(text_col)))

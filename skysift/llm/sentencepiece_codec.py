@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ._store import id_name, small_batches
-from ._vector import U64, HashIndex
+from ._vector import U64, HashIndex, give_back, remember
 
 MARK = "▁"
 #: Symbols from here on are characters that are no piece; they become bytes.
@@ -230,11 +230,17 @@ class _Both(dict):
 
 
 @lru_cache(maxsize=2)
-def agenda(path: str) -> Agenda:
+def _agenda(path: str) -> Agenda:
     return Agenda(path)
 
 
-def _pieces(column: pa.Array, limit: int = 2 << 20) -> Iterator[tuple[int, list[str]]]:
+def agenda(path: str) -> Agenda:
+    """A worker's own, which remembers words from task to task."""
+    remember("agenda", _agenda.cache_clear)
+    return _agenda(path)
+
+
+def _pieces(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, list[str]]]:
     """Runs of texts of about ``limit`` characters, with the row they start at."""
     batch, size, start = [], 0, 0
     for i in range(len(column)):
@@ -278,6 +284,7 @@ def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
                     cols += [pa.array(all_ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())]
                     names += ["ids", "decoded"]
                 yield pa.RecordBatch.from_arrays(cols, names)
+            give_back()
 
     out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
     return out.withColumnRenamed("id", id_name(id_col, out.columns[1:]))

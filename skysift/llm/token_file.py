@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ._store import new_path, staged
-from ._vector import HashIndex, U64, chunks, text_bytes, word_hashes
+from ._vector import HashIndex, U64, chunks, remember, text_bytes, word_hashes
 
 END_ID = 0
 #: Ids in a block, about; a longer document stands in a block of its own.
@@ -213,10 +213,16 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str, plain: bool = False) -> Encoder:
+def _encoder(path: str, plain: bool) -> Encoder:
     return Encoder(path, plain=plain)
 
 
+def encoder(path: str, plain: bool = False) -> Encoder:
+    """A worker's own, which remembers pieces from task to task."""
+    remember("encoder", _encoder.cache_clear)
+    return _encoder(path, plain)
+
+
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
     """Bits per symbol of an optimal prefix code of at most ``limit`` bits; counts are above 0 (package-merge)."""
     n = len(counts)

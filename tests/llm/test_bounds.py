@@ -96,3 +96,14 @@ def test_ids_named_like_results(spark):
     pages = spark.createDataFrame([(1, "http://x.net/", None)], "host long, url string, html string")
     assert [tuple(r) for r in url_filters.verdicts(pages, id_col="host").collect()] == [(1, "x.net", "/", "net/", "block")]
     assert "score_" in lm.score(docs.withColumnRenamed("n_tokens", "score"), id_col="score").columns
+
+
+def test_workers_forget_what_others_remembered():
+    from skysift.llm import _vector
+
+    coder = sentencepiece_codec.agenda(q.piece_model())
+    assert sentencepiece_codec.agenda(q.piece_model()) is coder
+    _vector.forget_others("agenda")
+    assert sentencepiece_codec.agenda(q.piece_model()) is coder
+    _vector.forget_others()
+    assert sentencepiece_codec.agenda(q.piece_model()) is not coder
