@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions import poisson
 from ..functions.columns import YEAR_FAR
 from .matching import interpolate
 from .ranks import running
@@ -186,8 +187,12 @@ def log_bins(df: DataFrame, by: str, value: str, bins: int) -> DataFrame:
     return every.join(n, [by, "bin"], "left").select(by, "bin", F.coalesce("n", F.lit(0).cast("long")).alias("n"), "median", "p90")
 
 
-def poisson_interval(mean: Column, z: float) -> tuple[Column, Column]:
-    """About where a count of this mean lies within z standard deviations (Wilson and Hilferty), half a count wider and not below 0."""
-    low = mean * F.pow(1 - 1 / (9 * mean) - z / (3 * F.sqrt(mean)), F.lit(3))
-    up = mean + 1
-    return F.greatest(low - 0.5, F.lit(0.0)), up * F.pow(1 - 1 / (9 * up) + z / (3 * F.sqrt(up)), F.lit(3)) + 0.5
+def count_band(mean: Column, share: float) -> tuple[Column, Column]:
+    """Where a count of this mean lies with a probability of ``share``, half a count wider and not below 0."""
+    band = poisson.interval(mean, share)
+    return F.greatest(band["low"] - 0.5, F.lit(0.0)), band["high"] + 0.5
+
+
+def scale_factor(recovered: int | Column, generated: int | Column, volume: Column, density: float) -> Column:
+    """Signals per year to find: events per year and volume, times the volume of the injections, times the share of them that is recovered."""
+    return density * volume * recovered / generated

@@ -193,6 +193,51 @@ def score_windows(windows: DataFrame, samples: str, scorer: Callable[[Iterator[p
     return windows.withColumn(out, F.pandas_udf(f, "double")(F.col(samples)))
 
 
+def network_snr(windows: DataFrame, psd: DataFrame, key: Sequence[str], detector: str, samples: str, low: int, high: int, df: float) -> DataFrame:
+    """(key, snr): the root of the sum of squares of what all detectors see, each against its own density."""
+    each = snr(windows, psd, [*key, detector], samples, low, high, df, of=[detector])
+    return each.groupBy(*key).agg(F.sqrt(F.sum(F.col("snr") * F.col("snr"))).alias("snr"))
+
+
+def target_snrs(snrs: DataFrame, key: str, seed: str, floor: float | None = None, most: float = 1000.0) -> DataFrame:
+    """(key, snr, target): every signal gets the SNR of another one, by a permutation from hashes; with ``floor`` no target is below it, or above ``most``."""
+    from .ranks import row_ids
+
+    mixed = snrs.withColumn("_mix", F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(seed))))
+    other = row_ids(mixed.select("_mix", key, F.col("snr").alias("target")), "_mix", (key,), name="_k").select("_k", "target")
+    both = row_ids(snrs, key, name="_k").join(other, "_k").drop("_k")
+    return both if floor is None else both.withColumn("target", clamped(F.col("target"), floor, most))
+
+
+def clamped(snr: Column, floor: float, most: float = 1000.0) -> Column:
+    return F.greatest(F.least(snr, F.lit(most)), F.lit(floor))
+
+
+def rescaled(windows: DataFrame, targets: DataFrame, key: Sequence[str], samples: str) -> DataFrame:
+    """``windows`` with their samples times target over SNR, the same for all detectors of a key; a signal of no SNR stays as it is."""
+    factor = F.when(F.col("snr") > 0, F.col("target") / F.col("snr")).otherwise(1.0)
+    return windows.join(targets.select(*key, "snr", "target"), list(key)).withColumn(samples, F.transform(samples, lambda x: x * factor))
+
+
+def roles(rows: DataFrame, key: str, seed: str, signal: float, swapped: float, muted: float) -> DataFrame:
+    """(key, k, role, partner): who takes part in what, in exact numbers, by one rank of hashes.
+
+    The first of an even number are swapped, the k-th of one half with the k-th of the other, the next are muted, then come
+    the signals until all three shares together are used up, and the rest is background.
+    """
+    from .ranks import row_ids
+
+    ranked = row_ids(rows.select(key).distinct().withColumn("_mix", F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(seed)))), "_mix", (key,), name="k").drop("_mix")
+    n = rows.select(key).distinct().count()
+    half, quiet, chosen = int(n * swapped / 2), int(n * muted), int(n * (signal + swapped + muted))
+    k = F.col("k")
+    role = F.when(k < 2 * half, "swapped").when(k < 2 * half + quiet, "muted").when(k < chosen, "signal").otherwise("background")
+    with_role = ranked.withColumn("role", role)
+    place = F.when(k < half, k + half).when(k < 2 * half, k - half)
+    partner = ranked.select(k.alias("_at"), F.col(key).alias("partner"))
+    return with_role.withColumn("_at", place).join(partner, "_at", "left").select(key, "k", "role", "partner")
+
+
 def paired(scored: DataFrame, by: Sequence[str], kind: str, kinds: Sequence[str], score: str) -> DataFrame:
     """(by, a column per kind): the scores of one place side by side; null where a kind has none."""
     return scored.groupBy(*by).agg(*(F.first(F.when(F.col(kind) == k, F.col(score)), ignorenulls=True).alias(k) for k in kinds))

@@ -191,10 +191,13 @@ select round((v1 - v0) * 2 * pi() * (sin(d1) - sin(d0)) / 1e9, 10) as volume fro
 """)
 def injected_volume(v: Views):
     """Volume in cubic Gpc that the recovered and rejected injections span."""
-    rows = v.table("lineitem").select(col("l_discount").alias("redshift"), (col("l_tax") - 0.04).alias("dec"), "l_returnflag")
-    both = rows.where("l_returnflag = 'R'").unionByName(rows.where("l_returnflag != 'R'"))
-    e = both.agg((F.min("redshift") + 0.01).alias("z0"), F.max("redshift").alias("z1"), F.min("dec").alias("d0"), F.max("dec").alias("d1"))
-    return cosmology.volume_between(e, col("z0"), col("z1"), col("d0"), col("d1"), "volume").select(r(col("volume") / 1e9, 10).alias("volume"))
+    return _injected(v).select(r(col("volume") / 1e9, 10).alias("volume"))
+
+
+def _injected(v: Views):
+    rows = v.table("lineitem").select(col("l_discount").alias("redshift"), (col("l_tax") - 0.04).alias("dec"))
+    e = rows.agg((F.min("redshift") + 0.01).alias("z0"), F.max("redshift").alias("z1"), F.min("dec").alias("d0"), F.max("dec").alias("d1"))
+    return cosmology.volume_between(e, col("z0"), col("z1"), col("d0"), col("d1"), "volume")
 
 
 _KDE = """
@@ -225,13 +228,28 @@ def kde_poly_background(v: Views):
     return sensitivity.kde_with_tail(sensitivity.kde(v.inj, "snr", _grid(v), "pt"), "pt", 0.02 / n**0.5).select(r(col("pt"), 3).alias("pt"), r(col("pdf"), 10).alias("pdf"))
 
 
-@query("p_astro", _KDE + """
-, b as (select pt, sum(exp(-pow((pt - detection_statistic) / (select stddev_samp(detection_statistic) * pow(count(detection_statistic), -0.2) from ev), 2) / 2)) / ((select stddev_samp(detection_statistic) * pow(count(detection_statistic), -0.2) * count(detection_statistic) from ev) * sqrt(2 * pi())) as pdf from g, ev group by pt)
-select round(pt, 3) as pt, round(0.3 * f.pdf / (0.3 * f.pdf + b.pdf), 8) as p_astro from f join b using (pt)
+@query("p_astro", cosmology.SQL + _KDE + f"""
+, bx as (select detection_statistic as x from ev where slide > 0 and detection_statistic is not null), bh as (select stddev_samp(x) * pow(count(*), -0.2) as h, count(*) as n from bx),
+b0 as (select pt, sum(exp(-pow((pt - x) / h, 2) / 2)) / (any_value(n) * any_value(h) * sqrt(2 * pi())) as pdf from g, bx, bh group by pt),
+bp as (select arg_max(pt, pdf) as peak from b0), bt as (select 0.02 / sqrt(n) as thr from bh),
+bs as (select min(pt) filter (pt > peak and pdf <= 10 * thr) as start, min(pt) filter (pt > peak and pdf <= thr) as stop from b0, bp, bt),
+bl as (select regr_slope(ln(pdf), pt) as slope, regr_intercept(ln(pdf), pt) as intercept from b0, bs where pt >= start and pt < stop),
+b as (select pt, case when pt >= stop then exp(intercept + slope * pt) else pdf end * n / {_TB} * {YEAR} as rate from b0, bs, bl, bh),
+e as (select min(l_discount) + 0.01 as z0, max(l_discount) as z1, min(l_tax) - 0.04 as d0, max(l_tax) - 0.04 as d1, avg((l_returnflag <> 'R')::int) as found from lineitem),
+c as (select a.volume + (a.volume1 - a.volume) * (e.z0 / 0.0002 - a.k) as v0, b.volume + (b.volume1 - b.volume) * (e.z1 / 0.0002 - b.k) as v1, d0, d1, found from e join cosmos a on a.k = floor(e.z0 / 0.0002) join cosmos b on b.k = floor(e.z1 / 0.0002)),
+fg as (select pt, 30 * found * (v1 - v0) * 2 * pi() * (sin(d1) - sin(d0)) / 1e9 * pdf as rate from f, c)
+select round(pt, 3) as pt, round(fg.rate, 10) as foreground, round(b.rate, 8) as background, round(fg.rate / (fg.rate + b.rate), 8) as p_astro from fg join b using (pt)
 """)
 def p_astro(v: Views):
-    fg, bg = sensitivity.kde(v.inj, "snr", _grid(v), "pt"), sensitivity.kde(v.ev.where("detection_statistic is not null"), "detection_statistic", _grid(v), "pt")
-    return fg.join(bg.withColumnRenamed("pdf", "bg"), "pt").select(r(col("pt"), 3).alias("pt"), r(sensitivity.p_astro(0.3 * col("pdf"), col("bg")), 8).alias("p_astro"))
+    """Signals per year by statistic, of 30 a year and cubic Gpc and the share of the injections that is found, beside the background's events per year with its tail."""
+    louder = v.ev.where("slide > 0 and detection_statistic is not null")
+    n = louder.count()
+    tail = sensitivity.kde_with_tail(sensitivity.kde(louder, "detection_statistic", _grid(v), "pt"), "pt", 0.02 / n**0.5)
+    seen = v.table("lineitem").agg(F.count(F.lit(1)).alias("all"), F.count_if(col("l_returnflag") != "R").alias("found"))
+    once = F.broadcast(_injected(v).join(F.broadcast(seen)).select(sensitivity.scale_factor(col("found"), col("all"), col("volume") / 1e9, 30.0).alias("scale")))
+    both = sensitivity.kde(v.inj, "snr", _grid(v), "pt").join(tail.withColumnRenamed("pdf", "bg"), "pt").join(once)
+    both = both.select("pt", (col("scale") * col("pdf")).alias("fg"), (col("bg") * n / _TB * YEAR).alias("bg"))
+    return both.select(r(col("pt"), 3).alias("pt"), r(col("fg"), 10).alias("foreground"), r(col("bg"), 8).alias("background"), r(sensitivity.p_astro(col("fg"), col("bg")), 8).alias("p_astro"))
 
 
 @query("class_probs", """
@@ -275,15 +293,23 @@ def event_rate(v: Views):
     return parts[0].union(parts[1]).union(parts[2])
 
 
-_BANDS = ", ".join(f"round(greatest(e * pow(1 - 1 / (9 * e) - {z} / (3 * sqrt(e)), 3) - 0.5, 0), 6) as low_{z}, round((e + 1) * pow(1 - 1 / (9 * (e + 1)) + {z} / (3 * sqrt(e + 1)), 3) + 0.5, 6) as high_{z}" for z in (1, 2, 3))
+#: The shares within 1, 2 and 3 sigma; and in SQL the least counts that have enough of the distribution at or below them.
+_SHARES = {1: 0.682689, 2: 0.954499, 3: 0.997300}
+_IFAR = f"""
+, f as (select inj_id, {_TB} / {YEAR} / greatest(nb, 1) as ifar from (select inj_id, (select count(*) from ev where detection_statistic >= snr and slide > 0) as nb from inj)),
+fe as (select *, {_TB} / {YEAR} / ifar as e from f), es as (select distinct e from fe),
+pm as (select e, k, exp(k * ln(e) - e - lgamma(k + 1)) as p from (select e, unnest(range(greatest(floor(e - 9 * sqrt(e)) - 20, 0)::bigint, ceil(e + 9 * sqrt(e))::bigint + 30)) as k from es)),
+cd as (select e, k, sum(p) over (partition by e order by k) as c from pm),
+bd as (select e, {", ".join(f"greatest(min(k) filter (c >= {(1 - q) / 2!r}) - 0.5, 0)::double as low_{z}, (min(k) filter (c >= {(1 + q) / 2!r}) + 0.5)::double as high_{z}" for z, q in _SHARES.items())} from cd group by e)
+"""
 
 
-@query("ifar_curve", f", f as (select inj_id, {_TB} / {YEAR} / greatest(nb, 1) as ifar from (select inj_id, (select count(*) from ev where detection_statistic >= snr and slide > 0) as nb from inj)) select round(ifar, 8) as ifar, row_number() over (order by ifar desc, inj_id) as rank, round(e, 6) as expected, {_BANDS} from (select *, {_TB} / {YEAR} / ifar as e from f)")
+@query("ifar_curve", _IFAR + "select round(ifar, 8) as ifar, row_number() over (order by ifar desc, inj_id) as rank, round(e, 6) as expected, bd.* exclude (e) from fe join bd using (e)")
 def ifar_curve(v: Views):
     """Each event's inverse rate and rank, the number of events expected at or above that, and where it lies within 1, 2 and 3 sigma."""
     f = _nb(v).withColumn("ifar", _TB / YEAR / F.greatest("nb", F.lit(1)))
     rows = ranks.running(f, "ifar", {"rank": "1L"}, then=("inj_id",)).withColumn("e", _TB / YEAR / col("ifar"))
-    bands = [r(x).alias(f"{n}_{z}") for z in (1, 2, 3) for n, x in zip(("low", "high"), sensitivity.poisson_interval(col("e"), float(z)))]
+    bands = [x.alias(f"{n}_{z}") for z, share in _SHARES.items() for n, x in zip(("low", "high"), sensitivity.count_band(col("e"), share))]
     return rows.select(r(col("ifar"), 8).alias("ifar"), "rank", r(col("e")).alias("expected"), *bands)
 
 

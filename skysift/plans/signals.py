@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import detectors
 from ..operators import priors, qtransform, sampling, signal, strain
+from ..sources.store import fixed
 from .joins import _INJECTED, injected
 from .registry import Views, query
 
@@ -195,21 +196,41 @@ def mute_channels(v: Views):
     return out.select("block", "ifo", F.coalesce("muted", F.lit(False)).alias("muted"), r(quiet[0]).alias("first"))
 
 
-@query("rescale_snr", """
-, s as (select block, ifo, sqrt(list_sum(list_transform(samples, lambda x: x::double * x::double))) as snr, samples from win),
-n as (select *, row_number() over (order by block, ifo) - 1 as k, row_number() over (order by md5(block::varchar || '|' || ifo), block, ifo) - 1 as p from s)
-select a.block, a.ifo, round(b.snr, 6) as target, round(a.samples[1]::double * b.snr / a.snr, 6) as first from n a join n b on a.k = b.p
+#: Noise by detector and bin: medians of whole blocks' power.
+_NOISE = """
+, nx as (select block, ifo, k - 1 as n, samples[k]::double * (0.5 - 0.5 * cos(2 * pi() * (k - 1) / 64)) as v from (select *, unnest(range(1, 65)) as k from win)),
+np as (select block, ifo, f, (pow(sum(v * cos(2 * pi() * f * n / 64)), 2) + pow(sum(v * sin(2 * pi() * f * n / 64)), 2)) * case when f in (0, 32) then 1 else 2 end / (64 * 24.0) as p from nx, range(0, 33) t(f) group by block, ifo, f),
+psd as materialized (select ifo, f, median(p) as psd from np group by ifo, f)
+"""
+#: Network SNRs of a table hh (block, ifo, n, v), then what a permutation gives them.
+_SNRS = """
+hf as (select block, ifo, f, pow(sum(v * cos(2 * pi() * f * n / 64)), 2) + pow(sum(v * sin(2 * pi() * f * n / 64)), 2) as p from hh, range(2, 31) t(f) group by block, ifo, f),
+sn as (select block, sqrt(sum(4 * p / psd / 4096)) as snr from hf join psd using (ifo, f) group by block),
+pn as (select *, row_number() over (order by block) as a, row_number() over (order by md5(block::varchar || '|snr'), block) as b from sn),
+tg as materialized (select x.block, x.snr, y.snr as target from pn x join pn y on x.a = y.b)
+"""
+
+
+def _noise(v: Views):
+    psd = signal.welch(v.win, "ifo", "samples", 64, 64.0)
+    return fixed(psd.withColumn("bin", col("bin").cast("int")), "psd")  # a row per detector and bin
+
+
+def _targets(v: Views, windows, floor=None):
+    snrs = signal.network_snr(windows, _noise(v), ["block"], "ifo", "samples", 2, 30, 1 / 4096)
+    return signal.target_snrs(fixed(snrs, "snrs"), "block", "snr", floor)
+
+
+@query("rescale_snr", _NOISE + """
+, hh as (select block, ifo, k - 1 as n, samples[k]::double as v from (select *, unnest(range(1, 65)) as k from win)),
+""" + _SNRS + """
+select block, ifo, round(target, 5) as target, round(greatest(least(snr, 1000), 12), 5) as clamped, round(samples[1]::double * target / snr, 6) as first from win join tg using (block)
 """)
 def rescale_snr(v: Views):
-    """Every window gets the SNR of another one, by a permutation from hashes."""
-    from ..operators.ranks import row_ids
-
-    x = F.transform("samples", lambda s: s.cast("double"))
-    s = v.win.select("block", "ifo", x.alias("x")).withColumn("snr", F.sqrt(signal.dot(col("x"), col("x")))).withColumn("mix", F.md5(F.concat_ws("|", col("block").cast("string"), "ifo")))
-    other = row_ids(s.select("mix", "block", "ifo", col("snr").alias("target")), "mix", ("block", "ifo"), name="k").select("k", "target")
-    both = row_ids(s, "block", ("ifo",), name="k").join(other, "k")
-    scaled = F.transform("x", lambda s: s * col("target") / col("snr"))
-    return both.select("block", "ifo", r(col("target")).alias("target"), r(scaled[0]).alias("first"))
+    """Every block's signal, in both detectors, gets the network SNR of another one; or its own, but 12 at least."""
+    x = v.win.select("block", "ifo", F.transform("samples", lambda s: s.cast("double")).alias("samples"))
+    scaled = signal.rescaled(x, _targets(v, x), ["block"], "samples")
+    return scaled.select("block", "ifo", r(col("target"), 5).alias("target"), r(signal.clamped(col("snr"), 12.0), 5).alias("clamped"), r(col("samples")[0]).alias("first"))
 
 
 @query("sample_snr", f"select event_id, round(pow(pow(lo, -2) + u * (pow(100, -2) - pow(lo, -2)), -0.5), 6) as snr from (select event_id, greatest(12 - 8 * (event_id % 100) / 80.0, 4) as lo, {_U.format(chr(101) + 'vent_id::varchar || ' + repr('|snr|1'))} as u from ev)")
@@ -297,16 +318,37 @@ def score_windows(v: Views):
     return pairs.select("ifo", "block", *(r(col(k), 4).alias(k) for k in ("background", "injected")))
 
 
-@query("build_training_set", f"""
-, k as (select block, {_U.format('block::varchar || ' + repr('|role'))} as u from (select distinct block from win)),
-l as (select block, case when u < 0.3 then 'signal' when u < 0.4 then 'swapped' when u < 0.5 then 'muted' else 'background' end as role from k)
-select block, role, (role = 'signal')::int as label, round(case when role = 'muted' then 0 else a.samples[9]::double end + case when role = 'background' then 0 when role = 'muted' then 0 else 0.6 * a.samples[9]::double + 0.3 * b.samples[9]::double end, 6) as x from l join win a using (block) join win b using (block) where a.ifo = 'H1' and b.ifo = 'L1'
+@query("build_training_set", _NOISE + """
+, n as (select block, row_number() over (order by md5(block::varchar || '|role'), block) - 1 as k from (select distinct block from win)),
+m as (select floor(count(*) * 0.1 / 2)::bigint as half, floor(count(*) * 0.1)::bigint as quiet, floor(count(*) * (0.3 + 0.1 + 0.1))::bigint as chosen from n),
+ro as materialized (select block, k, case when k < half then k + half when k < 2 * half then k - half end as other,
+  case when k < 2 * half then 'swapped' when k < 2 * half + quiet then 'muted' when k < chosen then 'signal' else 'background' end as role, case when k < half then k when k < 2 * half then k - half end as pair from n, m),
+hh as materialized (select ro.block, i.ifo, t.n, i.a * p.samples[t.n + 1]::double + i.b * c.samples[t.n + 1]::double as v from ro join win p on p.block = ro.block and p.ifo = 'H1' join win c on c.block = ro.block and c.ifo = 'L1', (values ('H1', 0.6, 0.3), ('L1', -0.4, 0.5)) i(ifo, a, b), range(0, 64) t(n) where role <> 'background'),
+""" + _SNRS + """
+, sc as (select block, ifo, n, v * greatest(least(target, 1000), 12) / snr as v from hh join tg using (block)),
+ch as (select ro.*, case when ('0x' || substr(md5(coalesce(l.block, ro.block)::varchar || '|channel'), 1, 12))::bigint % 2 = 0 then 'H1' else 'L1' end as channel from ro left join ro l on l.k = ro.pair and ro.pair is not null),
+kn as (select ch.block, s.ifo, s.n, case when ch.role = 'muted' and s.ifo = ch.channel then 0 when ch.role = 'swapped' and s.ifo = ch.channel then o.v else s.v end as v
+  from ch join sc s on s.block = ch.block left join ch h on h.k = ch.other left join sc o on o.block = h.block and o.ifo = s.ifo and o.n = s.n)
+select w.block, w.ifo, role, (role = 'signal')::int as label, round(sum(pow(w.samples[t.n + 1]::double + coalesce(kn.v, 0), 2)), 4) as energy, round(any_value(w.samples[9]::double + coalesce(kn.v, 0)) filter (t.n = 8), 6) as x
+from win w join ro using (block) cross join range(0, 64) t(n) left join kn on kn.block = w.block and kn.ifo = w.ifo and kn.n = t.n group by w.block, w.ifo, role
 """)
 def build_training_set(v: Views):
-    """Rows chosen by hash get a projected signal; swapped and muted ones count as background."""
-    u = sampling.uniform(col("block"), "role")
-    rows = _pol(v).withColumn("role", F.when(u < 0.3, "signal").when(u < 0.4, "swapped").when(u < 0.5, "muted").otherwise("background"))
-    h = signal.project(col("plus"), col("cross"), F.lit(0.6), F.lit(0.3), F.lit(0))
-    noise = F.transform("plus", lambda x: x.cast("double"))
-    made = F.when(col("role") == "muted", F.array_repeat(F.lit(0.0), 64)).when(col("role") == "background", noise).otherwise(F.zip_with(noise, h, lambda a, b: a + b))
-    return rows.select("block", "role", (col("role") == "signal").cast("int").alias("label"), r(made[8]).alias("x"))
+    """Background windows with projected and rescaled signals in exactly half of them; those with one channel swapped or muted count as background."""
+    who = fixed(signal.roles(v.win, "block", "role", 0.3, 0.1, 0.1), "roles")
+    pol = _pol(v).join(who.where("role != 'background'").select("block"), "block")
+    see = lambda a, b: signal.project(col("plus"), col("cross"), F.lit(a), F.lit(b), F.lit(0))
+    seen = pol.select("block", F.inline(F.array(*(F.struct(F.lit(i).alias("ifo"), see(a, b).alias("samples")) for i, a, b in (("H1", 0.6, 0.3), ("L1", -0.4, 0.5))))))
+    scaled = signal.rescaled(seen, _targets(v, seen, floor=12.0), ["block"], "samples").select("block", "ifo", "samples")
+    # of two partners the first says which channel they exchange
+    first = F.when((col("role") == "swapped") & (col("place") >= col("half")), col("partner")).otherwise(col("block"))
+    half = F.broadcast(who.agg((F.count_if(col("role") == "swapped") / 2).alias("half")))
+    chosen = who.withColumnRenamed("k", "place").join(half).withColumn("channel", F.when(sampling.hashed(first, "channel") % 2 == 0, "H1").otherwise("L1")).select("block", "role", "partner", "channel")
+    here = scaled.join(chosen, "block").withColumn("touched", col("ifo") == col("channel"))
+    theirs = scaled.select(col("block").alias("partner"), "ifo", col("samples").alias("theirs"))
+    kernels = here.join(theirs, ["partner", "ifo"], "left")
+    kernel = F.when(col("touched") & (col("role") == "muted"), F.transform("samples", lambda x: x * 0)).when(col("touched") & (col("role") == "swapped"), col("theirs")).otherwise(col("samples"))
+    rows = v.win.select("block", "ifo", F.transform("samples", lambda x: x.cast("double")).alias("noise")).join(who.select("block", "role"), "block")
+    rows = rows.join(kernels.select("block", "ifo", kernel.alias("kernel")), ["block", "ifo"], "left")
+    made = F.when(col("kernel").isNull(), col("noise")).otherwise(F.zip_with("noise", "kernel", lambda a, b: a + b))
+    rows = rows.withColumn("made", made)
+    return rows.select("block", "ifo", "role", (col("role") == "signal").cast("int").alias("label"), r(signal.dot(col("made"), col("made")), 4).alias("energy"), r(col("made")[8]).alias("x"))

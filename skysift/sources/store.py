@@ -11,13 +11,16 @@ _OWN: dict[str, str] = {}
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    """A new path in ``spark.checkpoint.dir``; where that is unset and all runs on one machine, as in tests, in a folder of our own."""
+    """A new path in the application's folder in ``spark.checkpoint.dir``; where that is unset and all runs on one machine, as in tests, in a folder of our own.
+
+    What queries read later stays there; when the application has ended its folder can be deleted.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base and not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not base:
         base = _OWN.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="spark-skysift-"))
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def fixed(df: DataFrame, name: str) -> DataFrame:
