@@ -40,7 +40,8 @@ def id_name(id_col: str, results: list[str]) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new place in the application's own folder: all that is left when it has ended can be deleted with that."""
+    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -65,9 +66,3 @@ def staged(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
 def size_of(df: DataFrame) -> int:
     """Catalyst's size estimate in bytes; for a staged table, that of its files."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def drop_table(spark: SparkSession, path: str) -> None:
-    """Delete a staged table that no later plan reads."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
