@@ -1,4 +1,4 @@
-"""Training-data operators: scoring, tokens, deduplication, decontamination, archives.
+"""Training-data operators: scoring, tokens, deduplication, decontamination, archives, audits, url filters, alignment.
 
 Nothing else in the library imports this subpackage; ``queries`` registers
 its queries and SQL.
