@@ -107,3 +107,45 @@ def test_workers_forget_what_others_remembered():
     assert sentencepiece_codec.agenda(q.piece_model()) is coder
     _vector.forget_others()
     assert sentencepiece_codec.agenda(q.piece_model()) is not coder
+
+
+def test_whole_texts_scored_token_by_token(spark, monkeypatch):
+    """The score from the text to the number: words, their units and shares of them, states carried to the end, both factors of the output."""
+    import zlib
+
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(["the cat sat. The Dog sat!", "a dog, a cat", None, "", "zyx unheard of here", "the the the " * 90] * 12)], "doc_id long, text string")
+    kept = {}
+    train = lm.train
+
+    def trained(rows, vocabulary, text_col):
+        kept["net"], kept["words"] = train(rows, vocabulary, text_col), vocabulary
+        return kept["net"]
+
+    monkeypatch.setattr(lm, "train", trained)
+    got = {r.doc_id: r for r in lm.score(docs).collect()}
+    net, vocabulary = kept["net"], kept["words"]
+    words_of = lambda t: [re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in re.findall("[^\x20\x09-\x0d]+", t or "")] + [None]
+    rows = [(r.doc_id, words_of(r.text)) for r in docs.collect()]
+    counts = Counter(w for k, ws in rows if zlib.crc32(str(k).encode()) % 7 != 2 for w in ws)
+    soft = lambda x, i: float(x[i] - x.max() - np.log(np.exp(x - x.max()).sum()))
+    for k, ws in rows[:6]:
+        h, came, total, base = np.zeros(lm.HIDDEN), vocabulary.end, 0.0, 0.0
+        for w in ws:
+            raw = np.frombuffer((w or "").encode(), np.uint8)
+            name, shared, _ = lm.tokens(raw, np.array([0, len(raw)]))
+            unit = int(vocabulary.unit.find(name[:1])[0])
+            if unit < 0:
+                unit = int(vocabulary.shared_unit[shared[0]])
+                total += math.log10(counts[w] + 1) - math.log10(vocabulary.space[shared[0]])
+            a, b = net.wx[came].astype(np.float64), h @ net.wh.astype(np.float64)
+            n = lm.HIDDEN
+            z, r = (1 / (1 + np.exp(-(a[i : i + n] + b[i : i + n]))) for i in (0, n))
+            m = np.tanh(a[2 * n :] + r * b[2 * n :])
+            h = m + z * (h - m)
+            c, place = divmod(unit, lm.PER_CLASS)
+            total += (soft(h @ net.wc + net.bc, c) + soft(h @ net.wo[c] + net.bo[c], place)) / math.log(10)
+            base += math.log10((counts[w] + 1) / (sum(counts.values()) + len(counts) + 1))
+            came = unit
+        assert got[k].n_tokens == len(ws)
+        assert got[k].base_score == pytest.approx(base, rel=1e-9)
+        assert got[k].score == pytest.approx(total, rel=1e-4, abs=1e-4)
