@@ -81,6 +81,14 @@ def forget_others(*names: str) -> None:
         give_back()
 
 
+def keep_freed() -> None:
+    """Let this worker's allocator keep what arrays free for those that come next, up to ``give_back``: else a loop over small batches faults the same pages in again and again."""
+    tune = getattr(ctypes.CDLL(None), "mallopt", None)  # glibc has it
+    if tune is not None:
+        tune(-3, 1 << 30)  # arrays below this come from the heap
+        tune(-1, 1 << 30)  # whose top is not returned below this
+
+
 def chunks(offsets: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of at most ``limit`` bytes each; a longer row stands alone. Memory is given back when all are done."""
     n, lo = len(offsets) - 1, 0

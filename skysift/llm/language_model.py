@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import _labels
 from ._store import id_name, staged
-from ._vector import U64, HashIndex, _LOWER, chunks, mix, text_bytes, word_hashes, word_spans
+from ._vector import U64, HashIndex, _LOWER, chunks, keep_freed, mix, text_bytes, word_hashes, word_spans
 
 #: The bound of what is broadcast of the counts.
 BROADCAST_WORDS = 1_000_000
@@ -460,6 +460,7 @@ def train(docs: DataFrame, vocabulary: Vocabulary, text_col: str) -> Gru:
         start = spark.sparkContext.broadcast(net)
 
         def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            keep_freed()
             trainer = Trainer(Gru({n: getattr(start.value, n).copy() for n in Gru.NAMES}), RATE / (turn + 1))
             n = trainer.run((np.frombuffer(x.as_buffer(), np.uint16).astype(np.int64) for b in batches for x in b.column(0)), end)
             if n:
@@ -523,6 +524,7 @@ def score(docs: DataFrame, modulus: int = 7, held: int = 2, id_col: str = "doc_i
     context = spark.sparkContext.broadcast((vocabulary, net))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_freed()
         vocabulary, net = context.value
         space = np.log10(vocabulary.space)
         for batch in batches:
