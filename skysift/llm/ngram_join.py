@@ -235,25 +235,41 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, size: int, what: str, num
     ).mapInArrow(run, f"{_SETS}, {column}")
 
 
-def connected(edges: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+def connected(edges: DataFrame) -> DataFrame:
     """(id, component): the smallest id that each id of the edges (a, b) reaches.
 
-    Labels spread along edges and then jump to their label's label, so chains halve
-    in every round; each round is written, its rows are as many as the ids.
+    Each id is named by its least neighbour, that one's least neighbour and so on, names jumping to
+    their names' names. Then edges lead from name to name, and only those between different names
+    are left: an edge whose ends have met is no row of later rounds.
     """
-    both = staged(edges.select("a", "b").union(edges.select("b", "a")).where("a != b").distinct(), "edges")
-    label = staged(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.min("a")).alias("component")), "labels")
-    while True:
-        near = both.join(label.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
-        low = label.join(near, "id").select("id", F.least("component", "near").alias("to"), F.col("component").alias("old"))
-        # the label's own neighbourhood: hang the old label below the new one, too
-        hang = low.where("to < old").groupBy(F.col("old").alias("id")).agg(F.min("to").alias("up"))
-        low = low.join(hang, "id", "left").select("id", F.least("to", F.coalesce("up", "to")).alias("to"), "old")
-        up = low.select(F.col("id").alias("to"), F.col("to").alias("top"))
-        new = staged(low.join(up, "to").select("id", F.least("to", "top").alias("component"), (F.least("to", "top") < F.col("old")).alias("moved")), "labels")
-        label = new.select("id", "component")
-        if not new.where("moved").limit(1).count():
-            return label
+    ends = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+    left, label = staged(edges.where("a != b").select(*ends("a", "b")).distinct(), "edges"), None
+    while label is None or left.limit(1).count():
+        both = left.union(left.select("b", "a"))
+        low, moved = staged(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.min("a")).alias("component")), "labels"), True
+        while moved:
+            top = low.select(F.col("id").alias("component"), F.col("component").alias("top"))
+            new = staged(low.join(top, "component").select("id", F.col("top").alias("component"), (F.col("top") != F.col("component")).alias("moved")), "labels")
+            low, moved = new.select("id", "component"), new.where("moved").limit(1).count()
+        label = low if label is None else _renamed(label, low)
+        named = left.join(low.select(F.col("id").alias("a"), F.col("component").alias("x")), "a").join(low.select(F.col("id").alias("b"), F.col("component").alias("y")), "b")
+        left = staged(named.where("x != y").select(*ends("x", "y")).distinct(), "edges")
+    return label
+
+
+def _renamed(label: DataFrame, low: DataFrame) -> DataFrame:
+    """``label`` (id, component), whose components have the names that ``low`` (id, component) gives them."""
+    to = low.select(F.col("id").alias("component"), F.col("component").alias("to"))
+    return staged(label.join(to, "component", "left").select("id", F.coalesce("to", "component").alias("component")), "labels")
+
+
+def _joined(label: DataFrame, links: DataFrame) -> DataFrame:
+    """``label`` (id, component) after more ``links`` (a, b): they are edges between components, ids without a label being their own."""
+    for end in ("a", "b"):
+        name = label.select(F.col("id").alias(end), "component")
+        links = links.join(name, end, "left").withColumn(end, F.coalesce("component", end)).drop("component")
+    low = connected(links)
+    return _renamed(label.unionByName(low.join(label, "id", "left_anti").select("id", F.col("id").alias("component"))), low)
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -290,7 +306,7 @@ def _told(rows: DataFrame, facts: DataFrame) -> DataFrame:
 
 
 def _within_families(at: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Links between members of one family in different components.
+    """Links that join members of one family in different components: all that links is joined by them.
 
     ``at`` has (key, salt, id, component). A family is what hangs together by keys; its members outside
     its largest component are compared with all its members, a block of each at a time. So a
@@ -320,7 +336,11 @@ def _within_families(at: DataFrame, sets: DataFrame, num: int, den: int) -> Data
 
 
 def _block_links(some: pa.Table, others: pa.Table, num: int, den: int) -> tuple[list, list]:
-    """Links between rows of two blocks that are in different components: shared shingles are counted for a whole block at once."""
+    """Links between rows of two blocks that are in different components: shared shingles are counted for a whole block at once.
+
+    Of the links between two components, or through others that the block has joined, the first is given: fewer
+    than the block has components, not all pairs, and they join the same ones.
+    """
     if not some.num_rows or not others.num_rows:
         return [], []
     ids, comp = others.column("id").to_numpy(), others.column("component").to_numpy()
@@ -329,6 +349,14 @@ def _block_links(some: pa.Table, others: pa.Table, num: int, den: int) -> tuple[
     starts = np.cumsum(size) - size
     names, place = np.unique(values, return_inverse=True)
     here = np.zeros(len(names) + 1, np.int32)
+    joined: dict[int, int] = {}
+
+    def root(c: int) -> int:
+        while (up := joined.get(c, c)) != c:
+            joined[c] = joined.get(up, up)
+            c = up
+        return c
+
     a, b = [], []
     for i, c, x in zip(some.column("id").to_pylist(), some.column("component").to_pylist(), some.column("hashes")):
         x = x.values.to_numpy()
@@ -338,9 +366,12 @@ def _block_links(some: pa.Table, others: pa.Table, num: int, den: int) -> tuple[
         common = np.add.reduceat(here[place], starts)
         here[at] = 0
         hit = (comp != c) & (den * common.astype(np.int64) >= num * (len(x) + size - common))
-        for j in ids[hit].tolist():
-            a.append(i)
-            b.append(j)
+        to, first = np.unique(comp[hit], return_index=True)
+        for other, j in zip(to.tolist(), ids[hit][first].tolist()):
+            if (x := root(c)) != (y := root(other)):
+                joined[max(x, y)] = min(x, y)
+                a.append(i)
+                b.append(j)
     return a, b
 
 
@@ -402,8 +433,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         else:
             found = staged(_within_families(at, sets, num, den), "links")
         if found.limit(1).count():
-            links = links.union(found)
-            label = connected(links.union(same))
+            label = _joined(label, found)
     # the smallest id of each component that has several
     named = of.select("id", "set").join(label.withColumnRenamed("id", "set"), "set", "left").select("id", F.coalesce("component", "set").alias("part"))
     named = named.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))

@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from skysift.llm import ngram_join as nj
@@ -166,3 +167,60 @@ def test_every_text_of_an_id_links(spark, seed):
     root = {i: c for i, _, c in brute(rows)}
     assert {i: c for i, _, c in got} == root and len(got) == sum(i is not None for i, _ in rows)
     assert root[9007] == root[9005] == 9003
+
+
+def roots(edges):
+    parent = {}
+
+    def root(i):
+        while parent.setdefault(i, i) != i:
+            i = parent[i]
+        return i
+
+    for p, q in edges:
+        p, q = sorted((root(p), root(q)))
+        parent[q] = p
+    return {i: root(i) for i in parent}
+
+
+def test_edges_within_components_are_no_rows_of_later_rounds(spark, monkeypatch):
+    rounds, write = [], nj.staged
+
+    def staged(df, name):
+        out = write(df, name)
+        if name == "edges":
+            rounds.append(out.count())
+        return out
+
+    monkeypatch.setattr(nj, "staged", staged)
+    r = random.Random(8)
+    lines = [(k, k + 1) for k in range(60)] + [(1000 - k, 999 - k) for k in range(60)]
+    star = [(2000, 1900 + k) for k in range(50)]
+    clique = [(i, j) for i in range(3000, 3040) for j in range(3000, i)]
+    edges = [e if r.random() < 0.5 else e[::-1] for e in [*lines, *star, *clique, *((r.randrange(4000, 4300), r.randrange(4000, 4300)) for _ in range(200))]]
+    edges += edges[:30] + [(5000, 5000)]
+    got = nj.connected(spark.createDataFrame(edges, "a long, b long"))
+    want = roots((a, b) for a, b in edges if a != b)
+    assert dict(map(tuple, got.collect())) == want and got.count() == len(want)
+    assert rounds[0] == len({tuple(sorted(e)) for e in edges if e[0] != e[1]}) and sum(rounds[1:]) < rounds[0] / 4
+    more = [(5, 3005), (7000, 7001), (7001, 3039), (8000, 4000), (0, 60), (8001, 8002)]
+    known = {i: want.get(i, i) for e in more for i in e} | want
+    joined = nj._joined(got, spark.createDataFrame(more, "a long, b long"))
+    end = roots([*edges[:-1], *more])
+    assert dict(map(tuple, joined.collect())) == {i: end[i] for i in known} and joined.count() == len(known)
+
+
+def test_a_block_gives_fewer_links_than_components():
+    r = np.random.default_rng(9)
+    base = np.unique(r.integers(0, 2**63, 200))
+    sets = [np.sort(np.concatenate((r.permutation(base)[:198], r.integers(0, 2**63, 1)))) for _ in range(60)]
+    sets += [np.unique(r.integers(0, 2**63, 200)) for _ in range(3)]
+    ids = np.arange(len(sets))
+    component = np.where(ids < 60, ids % 30, ids)
+    block = pa.table({"id": ids, "component": component, "hashes": pa.array(sets, pa.list_(pa.int64()))})
+    links = list(zip(*nj._block_links(block, block, 80, 100)))
+    assert len(links) == 29
+    for i, j in links:
+        assert 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))
+    joined = roots([*((int(i), int(i) % 30) for i in ids[:60]), *links])
+    assert {joined[i] for i in range(60)} == {0} and not any(i >= 60 for e in links for i in e)
