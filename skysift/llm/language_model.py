@@ -53,6 +53,8 @@ LIMIT = 60
 TASK_BYTES = 8 << 20
 #: Documents that are scored side by side.
 BESIDE = 512
+#: Rows of a unit in a window up to which units are summed side by side.
+FEW = 12
 END = int(mix(np.array([0xE17D], U64))[0])
 RATE = 2e-3
 
@@ -271,6 +273,30 @@ def by_class(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list
     return by, kind[by], (unit % PER_CLASS)[by], [(k, i, j) for k, (i, j) in enumerate(zip(cuts, cuts[1:])) if i < j]
 
 
+def sums_by_unit(unit: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """The sum of the rows of each of n units: the first, second, ... rows of units with few at once, other units one by one."""
+    unit = unit.astype(np.uint16)
+    by = np.argsort(unit, kind="stable")
+    unit = unit[by]
+    starts = np.flatnonzero(np.concatenate(([True], unit[1:] != unit[:-1])))
+    size = np.diff(np.append(starts, len(unit)))
+    starts = starts[most := np.argsort(-size, kind="stable")]
+    size = size[most]
+    sums = np.empty((len(starts), rows.shape[1]), rows.dtype)
+    many = int(np.searchsorted(-size, -FEW, "left"))  # units with more than FEW
+    for k, a, m in zip(range(many), starts.tolist(), size.tolist()):
+        np.add.reduce(rows.take(by[a : a + m], 0), 0, out=sums[k])
+    rows.take(by[starts[many:]], 0, out=sums[many:], mode="clip")
+    for j in range(1, FEW):
+        upto = int(np.searchsorted(-size, -j, "left"))  # units with more than j
+        if upto <= many:
+            break
+        sums[many:upto] += rows.take(by[starts[many:upto] + j], 0)
+    out = np.zeros((n, rows.shape[1]), rows.dtype)
+    out[unit[starts]] = sums
+    return out
+
+
 class Trainer:
     """Adam over windows of LANES streams; the state runs on from window to window and starts anew with each document."""
 
@@ -332,12 +358,7 @@ class Trainer:
             back = d
         grads["wh"] = np.matmul(before, db.transpose(0, 2, 1)).sum(0)
         db[:, 2 * HIDDEN :] = dn
-        units = came.ravel().astype(np.uint16)
-        by = np.argsort(units, kind="stable")
-        units = units[by]
-        starts = np.flatnonzero(np.concatenate(([True], units[1:] != units[:-1])))
-        grads["wx"] = np.zeros_like(net.wx)
-        grads["wx"][units[starts]] = np.add.reduceat(db.transpose(1, 0, 2).reshape(3 * HIDDEN, count)[:, by], starts, 1).T
+        grads["wx"] = sums_by_unit(came.ravel(), np.ascontiguousarray(db.transpose(0, 2, 1)).reshape(count, 3 * HIDDEN), len(net.wx))
         return hs[-1].T.copy(), grads
 
     def update(self, g: dict) -> None:

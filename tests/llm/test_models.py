@@ -265,6 +265,16 @@ def test_gradients():
             assert g[n][at] == pytest.approx((up - down) / (2 * e), rel=2e-2, abs=1e-5), n
 
 
+def test_sums_by_unit():
+    r = np.random.default_rng(3)
+    cases = [np.zeros(40, np.int64), np.arange(50), r.integers(0, 9, 300), np.minimum(r.geometric(0.02, 3072), lm.UNITS - 1), np.repeat(np.arange(30), np.arange(30)), np.array([5])]
+    for unit in cases:
+        rows = r.normal(0, 1, (len(unit), 7))
+        want = np.zeros((lm.UNITS, 7))
+        np.add.at(want, unit, rows)
+        assert np.allclose(lm.sums_by_unit(unit, rows, lm.UNITS), want, atol=1e-12)
+
+
 def test_all_training_documents_fit_the_weights(spark, monkeypatch):
     rows = [(i, f"alpha w{i} omega " * (1 + i % 5)) for i in range(60)] + [(None, "nameless"), (60, ""), (61, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
