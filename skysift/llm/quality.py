@@ -41,8 +41,10 @@ FEATURES = 4 * DIM + 4
 MAX_LABELLED = 20_000
 THRESHOLD = 0.3
 HIDDEN = 32
-#: Bytes of text that are worked on at once; each takes some hundred bytes of arrays.
+#: Bytes of text whose words are counted at once; each takes some thirty bytes of arrays.
 PART = 1 << 20
+#: Bytes of text that are pooled at once; each takes some hundred bytes of arrays.
+POOLED = 1 << 18
 
 #: Shapes: a byte's class; marks stand for themselves.
 _SHAPE = np.arange(256, dtype=np.uint8)
@@ -146,6 +148,12 @@ def features(raw: np.ndarray, offsets: np.ndarray, vectors: np.ndarray) -> np.nd
     return out
 
 
+def features_by_part(raw: np.ndarray, offsets: np.ndarray, vectors: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Ranges of texts of at most ``POOLED`` bytes, or one text, and their features."""
+    for lo, hi in chunks(offsets, POOLED):
+        yield lo, hi, features(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], vectors)
+
+
 def pooled(docs: DataFrame, vectors: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, x): the features of every document, as bytes of 32-bit floats."""
     context = docs.sparkSession.sparkContext.broadcast(vectors)
@@ -154,8 +162,7 @@ def pooled(docs: DataFrame, vectors: np.ndarray, id_col: str = "doc_id", text_co
         forget_others()
         for batch in batches:
             raw, offsets = text_bytes(batch.column(1))
-            for lo, hi in chunks(offsets, PART):
-                x = features(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], context.value)
+            for lo, hi, x in features_by_part(raw, offsets, context.value):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([r.tobytes() for r in x], pa.binary())], ["id", "x"])
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -260,12 +267,12 @@ def keep(docs: DataFrame, labels: DataFrame, column: str = "quality", modulus: i
         forget_others()
         vectors, net = context.value
         for batch in batches:
+            if net is None:
+                yield pa.RecordBatch.from_arrays(batch.columns, columns)
+                continue
             raw, offsets = text_bytes(batch.column(columns.index(text_col)))
-            for lo, hi in chunks(offsets, PART):
-                part = batch.slice(lo, hi - lo)
-                if net is not None:
-                    x = features(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], vectors)
-                    part = part.filter(pa.array(net.score(x.astype(np.float64)) >= threshold))
+            for lo, hi, x in features_by_part(raw, offsets, vectors):
+                part = batch.slice(lo, hi - lo).filter(pa.array(net.score(x.astype(np.float64)) >= threshold))
                 yield pa.RecordBatch.from_arrays(part.columns, columns)
 
     return docs.mapInArrow(run, docs.schema)

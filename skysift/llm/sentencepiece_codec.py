@@ -34,6 +34,8 @@ RAW = 1 << 21
 WIDE = 40
 #: Distinct words that a worker keeps; frequent words come early, so later ones are just not kept.
 MEMO = 400_000
+#: Characters of text that are encoded at once; with ids in full, each of which is a Python object for a while, and texts decoded, fewer.
+PART, PART_WITH_IDS = 1 << 20, 1 << 18
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -240,7 +242,7 @@ def agenda(path: str) -> Agenda:
     return _agenda(path)
 
 
-def _pieces(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, list[str]]]:
+def _pieces(column: pa.Array, limit: int = PART) -> Iterator[tuple[int, list[str]]]:
     """Runs of texts of about ``limit`` characters, with the row they start at."""
     batch, size, start = [], 0, 0
     for i in range(len(column)):
@@ -268,7 +270,7 @@ def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
         coder = agenda(model_path)
         name = [str(i) for i in range(coder.lib.get_piece_size())].__getitem__
         for batch in batches:
-            for start, texts in _pieces(batch.column(1)):
+            for start, texts in _pieces(batch.column(1), PART_WITH_IDS if with_ids else PART):
                 n, sha, dsha, all_ids, decoded = [], [], [], [], []
                 for ids in coder.encode(texts):
                     text = coder.lib.decode(ids) if ids else ""

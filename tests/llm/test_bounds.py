@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from skysift.llm import alignment, exact_dedup, sentencepiece_codec, toxicity, url_filters
+from skysift.llm import alignment, exact_dedup, quality, sentencepiece_codec, toxicity, url_filters
 from skysift.llm import language_model as lm
 from skysift.llm import queries as q
 from skysift.llm._vector import U64, mix, word_hashes
@@ -109,6 +109,28 @@ def test_workers_forget_what_others_remembered():
     assert sentencepiece_codec.agenda(q.piece_model()) is not coder
 
 
+def test_features_take_little_memory():
+    """Two workers stand beside an executor's heap: what a part of the texts takes there is bounded, and parts don't change a row."""
+    import tracemalloc
+
+    texts = [b"%d met the Fox, they ran%d " % (k, k % 97) * 8 for k in range(10_000)]
+    raw, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    vectors = np.random.default_rng(1).random((quality.BUCKETS, quality.DIM + 1), np.float32)
+    seen, end = {}, 0
+    tracemalloc.start()
+    try:
+        for lo, hi, x in quality.features_by_part(raw, offsets, vectors):
+            assert lo == end
+            seen[lo], end = x[0], hi
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert end == len(texts) and len(raw) > 2 << 20
+    assert peak < 50 << 20
+    for lo, x in seen.items():
+        assert x == pytest.approx(quality.features(np.frombuffer(texts[lo], np.uint8), np.array([0, len(texts[lo])]), vectors)[0], abs=1e-6)
+
+
 def test_whole_texts_scored_token_by_token(spark, monkeypatch):
     """The score from the text to the number: words, their units and shares of them, states carried to the end, both factors of the output."""
     import zlib
