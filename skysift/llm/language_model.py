@@ -12,10 +12,12 @@ softmax is factored into classes of units. Its first state of training, with out
 weights of zero and biases from the counts, is the unigram model.
 
 Training. All training documents take part, each in one of ROUNDS rounds. A round deals its
-documents to tasks of about TASK_BYTES; each runs truncated backpropagation with state
-carried from window to window, and the next round starts from the mean of their weights.
+documents to tasks of about TASK_BYTES; each deals them to lanes of about one length and runs
+truncated backpropagation with state carried from window to window, and the next round starts
+from the mean of their weights.
 
-Scoring. Documents of a batch run side by side, in windows; the state is carried to the
+Scoring. Texts are read twice, for the counts and as units; training and scoring read those.
+Documents of pooled batches run side by side, in windows; the state is carried to the
 document's end, which is scored as a token.
 
 Defined results: null text counts as empty; an empty text has one token, the end; without
@@ -31,11 +33,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from . import _labels
 from ._store import id_name, staged
-from ._vector import U64, HashIndex, _LOWER, chunks, keep_freed, mix, text_bytes, word_hashes, word_spans
+from ._vector import U64, HashIndex, _LOWER, chunks, give_back, keep_freed, mix, text_bytes, word_hashes, word_spans
 
 #: The bound of what is broadcast of the counts.
 BROADCAST_WORDS = 1_000_000
@@ -51,8 +54,8 @@ LANES, WINDOW = 128, 24
 LIMIT = 60
 #: Bytes of units (two per token) that one training task gets, about.
 TASK_BYTES = 8 << 20
-#: Documents that are scored side by side.
-BESIDE = 512
+#: Lanes that are scored side by side, and bytes of units (two per token) of the documents that are dealt to them at once, about.
+BESIDE, POOLED = 512, 8 << 20
 #: Rows of a unit in a window up to which units are summed side by side.
 FEW = 12
 END = int(mix(np.array([0xE17D], U64))[0])
@@ -110,8 +113,11 @@ def count_words(docs: DataFrame, text_col: str) -> DataFrame:
             raw, offsets = text_bytes(batch.column(0))
             for lo, hi in chunks(offsets):
                 h, s, _ = tokens_in_parts(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                h, first, n = np.unique(h, return_index=True, return_counts=True)
-                held.append((h, s[first], n.astype(np.int64)))
+                by = np.argsort(h)  # which of equal words comes first doesn't matter
+                h = h[by]
+                first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+                h, n = h[first], np.diff(np.append(first, len(h)))
+                held.append((h, s[by[first]], n))
                 size += len(h)
                 if size > 1_000_000:
                     held = [merged()]
@@ -216,33 +222,34 @@ class Gru:
         n = np.tanh(a[:, 2 * HIDDEN :] + r * u)
         return n + z * (h - n), z, r, u, n
 
-    def forward(self, came: np.ndarray, first: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-        """States (steps x HIDDEN x lanes) over a window of units (steps x lanes) from ``h`` (HIDDEN x lanes), and what going back needs."""
+    def forward(self, came: np.ndarray, first: np.ndarray, h: np.ndarray, back: bool = True) -> tuple[np.ndarray, ...]:
+        """States (steps x HIDDEN x lanes) over a window of units (steps x lanes) from ``h`` (HIDDEN x lanes), and, for ``back``, what going back needs."""
         steps, lanes = came.shape
+        gates, kept = 2 * HIDDEN, steps if back else 1
         # a step's values lie unit by unit, lanes side by side
         keep = (~first)[:, None, :].astype(h.dtype)
-        a = np.ascontiguousarray(self.wx.take(came.ravel(), 0).reshape(steps, lanes, 3 * HIDDEN).transpose(0, 2, 1))
-        zr, n = a[:, : 2 * HIDDEN], a[:, 2 * HIDDEN :]  # in place
-        before, hs, u = (np.empty((steps, HIDDEN, lanes), h.dtype) for _ in range(3))
-        w = np.ascontiguousarray(self.wh.T)
-        b = np.empty((3 * HIDDEN, lanes), h.dtype)
+        # a sigmoid is the tanh of the half, scaled
+        half = np.where(np.arange(3 * HIDDEN) < gates, 0.5, 1).astype(h.dtype)
+        x, w = self.wx * half, np.ascontiguousarray((self.wh * half).T)
+        a, b = np.empty((kept, 3 * HIDDEN, lanes), h.dtype), np.empty((3 * HIDDEN, lanes), h.dtype)
+        before, ru = (np.empty((kept, HIDDEN, lanes), h.dtype) for _ in range(2))
+        hs = np.empty((steps, HIDDEN, lanes), h.dtype)
         for t in range(steps):
-            was = np.multiply(h, keep[t], out=before[t])
+            i = t % kept
+            np.copyto(a[i], x.take(came[t], 0).T)
+            g, m = a[i, :gates], a[i, gates:]
+            was = np.multiply(h, keep[t], out=before[i])
             np.matmul(w, was, out=b)
-            g, m = zr[t], n[t]
-            g += b[: 2 * HIDDEN]
-            np.negative(g, g)
-            np.minimum(g, LIMIT, g)
-            np.exp(g, g)
-            g += 1
-            np.reciprocal(g, g)
-            u[t] = b[2 * HIDDEN :]
-            m += np.multiply(g[HIDDEN:], u[t], out=b[:HIDDEN])
+            g += b[:gates]
+            np.tanh(g, g)
+            g *= 0.5
+            g += 0.5
+            m += np.multiply(g[HIDDEN:], b[gates:], out=ru[i])
             np.tanh(m, m)
             h = np.subtract(was, m, out=hs[t])
             h *= g[:HIDDEN]
             h += m
-        return hs, before, zr, u, n, keep
+        return hs, before, a[:, :gates], a[:, gates:], ru, keep
 
     def log_probs(self, h: np.ndarray, unit: np.ndarray) -> np.ndarray:
         """Natural log-probabilities of units after states (a row each), class by class."""
@@ -252,7 +259,7 @@ class Gru:
         c += self.bc
         o = self.within(x, spans)
         out = np.empty(len(h), h.dtype)
-        head, tail = ((picked := y[at, want]) - np.log(np.exp(y, y) @ np.ones(y.shape[1], y.dtype)) for y, want in ((np.clip(c, -LIMIT, LIMIT, c), kind), (o, place)))
+        head, tail = ((picked := y[at, want]) - np.log(np.exp(y, y) @ np.ones(y.shape[1], y.dtype)) for y, want in ((within_limit(c), kind), (o, place)))
         out[by] = head + tail
         return out
 
@@ -262,15 +269,23 @@ class Gru:
         for k, i, j in spans:
             np.matmul(x[i:j], self.wo[k], out=o[i:j])
             o[i:j] += self.bo[k]
-        return np.clip(o, -LIMIT, LIMIT, o)
+        return within_limit(o)
+
+
+def within_limit(y: np.ndarray) -> np.ndarray:
+    """Logits, clipped in place if any is beyond LIMIT: to see that takes less than to clip them all."""
+    if y.size and (y.max() > LIMIT or y.min() < -LIMIT):
+        np.clip(y, -LIMIT, LIMIT, y)
+    return y
 
 
 def by_class(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
     """The order of tokens by class, their classes and places in that order, and where each class stands (class, from, to)."""
     kind = (unit // PER_CLASS).astype(np.uint8)
     by = np.argsort(kind, kind="stable")
-    cuts = np.concatenate(([0], np.cumsum(np.bincount(kind, minlength=CLASSES)))).tolist()
-    return by, kind[by], (unit % PER_CLASS)[by], [(k, i, j) for k, (i, j) in enumerate(zip(cuts, cuts[1:])) if i < j]
+    kind = kind[by].astype(np.int64)
+    cuts = np.searchsorted(kind, np.arange(CLASSES + 1)).tolist()
+    return by, kind, unit[by] - kind * PER_CLASS, [(k, i, j) for k, (i, j) in enumerate(zip(cuts, cuts[1:])) if i < j]
 
 
 def sums_by_unit(unit: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
@@ -297,6 +312,28 @@ def sums_by_unit(unit: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def deal(lens: np.ndarray, most: int) -> list[list[int]]:
+    """Documents dealt to at most so many lanes, the longest first, each to the lane that is shortest so far; the longest lane comes first."""
+    dealt: list[list[int]] = [[] for _ in range(min(most, len(lens)))]
+    load = [(0, k) for k in range(len(dealt))]
+    for i in np.argsort(-lens, kind="stable").tolist():
+        size, k = load[0]
+        dealt[k].append(i)
+        heapq.heapreplace(load, (size + int(lens[i]), k))
+    return [dealt[k] for _, k in sorted(load, reverse=True)]
+
+
+def side_by_side(documents: list[np.ndarray], lanes: list[list[int]]) -> tuple[np.ndarray, ...]:
+    """The units of all documents lane by lane, whether each begins a document, and where each lane begins and how long it is."""
+    order = [i for lane in lanes for i in lane]
+    lens = np.array([len(documents[i]) for i in order], np.int64)
+    along = np.array([sum(len(documents[i]) for i in lane) for lane in lanes], np.int64)
+    units = np.concatenate([documents[i] for i in order]) if order else np.zeros(0, np.uint16)
+    first = np.zeros(len(units), bool)
+    first[(np.cumsum(lens) - lens)[lens > 0]] = True
+    return units, first, np.cumsum(along) - along, along
+
+
 class Trainer:
     """Adam over windows of LANES streams; the state runs on from window to window and starts anew with each document."""
 
@@ -308,12 +345,12 @@ class Trainer:
     def window(self, came: np.ndarray, goes: np.ndarray, first: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, dict]:
         """The state (lanes x HIDDEN) after a window (steps x lanes) and the gradients of its mean loss."""
         net, (steps, lanes) = self.net, came.shape
-        hs, before, zr, u, n, keep = net.forward(came, first, h.T)
+        hs, before, zr, n, ru, keep = net.forward(came, first, h.T)
         count = came.size
         # the class of each token
         c = np.matmul(net.wc.T, hs)
         c += net.bc[:, None]
-        np.clip(c, -LIMIT, LIMIT, c)
+        within_limit(c)
         np.exp(c, c)
         c *= 1 / (count * c.sum(1, keepdims=True))
         c[np.arange(steps)[:, None], goes // PER_CLASS, np.arange(lanes)] -= 1 / count
@@ -340,8 +377,7 @@ class Trainer:
         to_n, to_z, to_r = free * (1 - n * n), np.subtract(before, n, out=n), 1 - r
         to_z *= z
         to_z *= free
-        to_r *= r
-        to_r *= u
+        to_r *= ru
         db, dn, back = np.empty((steps, 3 * HIDDEN, lanes), hs.dtype), np.empty_like(hs), None
         for t in range(steps - 1, -1, -1):
             d = dh[t]
@@ -382,46 +418,19 @@ class Trainer:
             w -= x
 
     def run(self, documents: Iterator[np.ndarray], end: int) -> int:
-        """Train over a stream of documents (their units); gives the number of tokens."""
-        held: list[list[np.ndarray]] = [[] for _ in range(LANES)]  # documents, or what is left of one, lane by lane
-        size, fresh = np.zeros(LANES, np.int64), np.ones(LANES, bool)
-        h, seen, more = np.zeros((LANES, HIDDEN), np.float32), 0, True
-        last = np.full(LANES, end)
-        while True:
-            # lanes are filled for many windows at once
-            for k in range(LANES):
-                while more and size[k] < 16 * WINDOW:
-                    x = next(documents, None)
-                    if x is None:
-                        more = False
-                        break
-                    held[k].append(x)
-                    size[k] += len(x)
-            live = np.flatnonzero(size)
-            if not len(live):
-                return seen
-            steps = int(size[live].min())
-            steps = steps // WINDOW * WINDOW or steps
-            goes, first = np.empty((steps, len(live)), np.int64), np.zeros((steps, len(live)), bool)
-            for i, k in enumerate(live.tolist()):
-                lens = np.array([len(x) for x in held[k]])
-                at = np.cumsum(lens) - lens
-                line = np.concatenate(held[k])
-                starts = at[(at < steps) & (lens > 0)]
-                first[starts[0 if fresh[k] else 1 :], i] = True
-                goes[:, i] = line[:steps]
-                cut = int(np.searchsorted(at + lens, steps, "right"))  # documents that are over
-                fresh[k] = cut == len(lens) or at[cut] == steps
-                held[k] = [] if cut == len(lens) else [held[k][cut][steps - at[cut] :], *held[k][cut + 1 :]]
-                size[k] -= steps
-            came = np.where(first, end, np.concatenate((last[live][None], goes[:-1])))
-            state = h[live]
-            for t in range(0, steps, WINDOW):
-                w = slice(t, t + WINDOW)
-                state, g = self.window(came[w], goes[w], first[w], state)
-                self.update(g)
-            h[live], last[live] = state, goes[-1]
-            seen += goes.size
+        """Train over documents (their units), dealt to lanes of about one length, where they keep their order; gives the number of tokens."""
+        documents = [x for x in documents if len(x)]
+        lanes = deal(np.array([len(x) for x in documents], np.int64), LANES)
+        goes, first, at, along = side_by_side(documents, [sorted(lane) for lane in lanes])
+        came = np.where(first, end, np.concatenate((goes[-1:], goes[:-1])))
+        h, t = np.zeros((len(lanes), HIDDEN), np.float32), 0
+        while live := int(np.searchsorted(-along, -t, "left")):  # lanes longer than t
+            steps = min(WINDOW, int(along[live - 1]) - t)
+            w = at[:live] + np.arange(t, t + steps)[:, None]
+            h, g = self.window(came[w], goes[w], first[w], h[:live])
+            self.update(g)
+            t += steps
+        return len(goes)
 
 
 def _average(rows: DataFrame) -> tuple[np.ndarray, int] | None:
@@ -453,29 +462,12 @@ def _average(rows: DataFrame) -> tuple[np.ndarray, int] | None:
     return sum(np.frombuffer(bytes(r.weights), np.float32).astype(np.float64) * (r.n / n) for r in got), n
 
 
-def train(docs: DataFrame, vocabulary: Vocabulary, text_col: str) -> Gru:
-    """Fit the network on all ``docs``."""
+def train(coded: DataFrame, vocabulary: Vocabulary, units_col: str) -> Gru:
+    """Fit the network on all ``coded`` documents (row, turn and their units)."""
     from pyspark import TaskContext
 
-    spark = docs.sparkSession
-    known = spark.sparkContext.broadcast(vocabulary)
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn = TaskContext.get().partitionId()
-        for batch in batches:
-            raw, offsets = text_bytes(batch.column(1))
-            for lo, hi in chunks(offsets):
-                h, shared, rows = tokens(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                units = known.value.units(h, shared)[0].astype(np.uint16)
-                ends = np.cumsum(np.bincount(rows, minlength=hi - lo))
-                turns = pa.array((turn + np.arange(hi - lo)) % ROUNDS, pa.int32())
-                turn += hi - lo
-                parts = pa.array([units[a:b].tobytes() for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), turns, parts], ["row", "turn", "units"])
-
-    source = docs.select(F.monotonically_increasing_id().alias("row"), F.col(text_col).cast("binary").alias("text"))
-    coded = staged(source.mapInArrow(encode, "row long, turn int, units binary"), "units")
-    sizes = {r.turn: r.size for r in coded.groupBy("turn").agg(F.sum(F.octet_length("units")).alias("size")).collect()}
+    spark = coded.sparkSession
+    sizes = {r.turn: r.size for r in coded.groupBy("turn").agg(F.sum(F.octet_length(units_col)).alias("size")).collect()}
     net, end = Gru.fresh(vocabulary), vocabulary.end
     for turn in sorted(sizes):
         start = spark.sparkContext.broadcast(net)
@@ -483,13 +475,13 @@ def train(docs: DataFrame, vocabulary: Vocabulary, text_col: str) -> Gru:
         def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keep_freed()
             trainer = Trainer(Gru({n: getattr(start.value, n).copy() for n in Gru.NAMES}), RATE / (turn + 1))
-            n = trainer.run((np.frombuffer(x.as_buffer(), np.uint16).astype(np.int64) for b in batches for x in b.column(0)), end)
+            n = trainer.run((np.frombuffer(x.as_buffer(), np.uint16) for b in batches for x in b.column(0)), end)
             if n:
                 cols = [pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([trainer.net.flat().tobytes()], pa.binary()), pa.array([n], pa.int64())]
                 yield pa.RecordBatch.from_arrays(cols, ["task", "weights", "n"])
 
         # a row's task, and its place there, are the same however often it runs
-        dealt = coded.where(F.col("turn") == turn).repartition(-(-sizes[turn] // TASK_BYTES), F.xxhash64("row")).sortWithinPartitions("row").select("units")
+        dealt = coded.where(F.col("turn") == turn).repartition(-(-sizes[turn] // TASK_BYTES), F.xxhash64("row")).sortWithinPartitions("row").select(units_col)
         mean = _average(staged(dealt.mapInArrow(learn, "task int, weights binary, n long"), "weights"))
         if mean is not None:
             net = net.like(mean[0])
@@ -497,59 +489,46 @@ def train(docs: DataFrame, vocabulary: Vocabulary, text_col: str) -> Gru:
 
 
 def log_likelihoods(net: Gru, end: int, units: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Natural log-probability of each document's units, the state carried to its end.
-
-    Documents are dealt to lanes, the longest first, each to the lane that is shortest so far; lanes run side by side.
-    """
+    """Natural log-probability of each document's units, the state carried to its end; lanes of documents run side by side."""
     n, lens = len(starts), ends - starts
     if not n:
         return np.zeros(0)
-    dealt: list[list[int]] = [[] for _ in range(min(BESIDE, n))]
-    load = [(0, k) for k in range(len(dealt))]
-    for i in np.argsort(-lens, kind="stable").tolist():
-        size, k = load[0]
-        dealt[k].append(i)
-        heapq.heapreplace(load, (size + int(lens[i]), k))
-    dealt = [dealt[k] for _, k in sorted(load, reverse=True)]
+    dealt = deal(lens, BESIDE)
+    goes, first, lane_at, along = side_by_side([units[a:b] for a, b in zip(starts.tolist(), ends.tolist())], dealt)
     order = np.array([i for lane in dealt for i in lane])
-    along = np.array([sum(lens[i] for i in lane) for lane in dealt])
-    lane_at = np.cumsum(along) - along
-    at = np.cumsum(lens[order]) - lens[order]
-    goes = units[np.repeat(starts[order] - at, lens[order]) + np.arange(int(lens.sum()))]
-    first = np.zeros(len(goes), bool)
-    first[at[lens[order] > 0]] = True
-    came = np.where(first, end, np.concatenate(([end], goes[:-1])))
+    came = np.where(first, end, np.concatenate((goes[-1:], goes[:-1])))
     logs = np.zeros(len(goes), np.float32)
     h = np.zeros((HIDDEN, len(dealt)), net.wx.dtype)
     for t0 in range(0, int(along[0]), WINDOW):
         live = int(np.searchsorted(-along, -t0, "left"))  # lanes longer than t0
         t = t0 + np.arange(min(WINDOW, int(along[0]) - t0))[:, None]
-        here = t < along[:live]
+        here = (t < along[:live]).ravel()
         where = np.minimum(lane_at[:live] + t, len(goes) - 1)
-        hs = net.forward(came[where], first[where], h[:, :live])[0]
+        hs = net.forward(came[where], first[where], h[:, :live], back=False)[0]
         h = hs[-1]
-        logs[where[here]] = net.log_probs(hs.transpose(0, 2, 1)[here], goes[where[here]])
+        rows, where = hs.transpose(0, 2, 1).reshape(-1, HIDDEN), where.ravel()
+        if not here.all():
+            rows, where = rows[here], where[here]
+        logs[where] = net.log_probs(rows, goes[where])
     return np.bincount(np.repeat(order, lens[order]), logs, n)
 
 
-_SCORED = "row long, id {}, n_tokens long, n_known long, count_logs double, rare_logs double, net_logs double, words array<long>, times array<int>"
+_CODED = "row long, id {}, turn int, n_tokens long, n_known long, count_logs double, rare_logs double, units binary, words array<long>, times array<int>"
 
 
-def score(docs: DataFrame, modulus: int = 7, held: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    spark = docs.sparkSession
-    learn = docs.where(_labels.remainder(F.col(id_col), modulus) != held)
-    counts = count_words(learn, text_col)
-    vocabulary = Vocabulary(counts)
-    net = train(learn, vocabulary, text_col)
-    context = spark.sparkContext.broadcast((vocabulary, net))
+def encode(docs: DataFrame, vocabulary: Vocabulary, learns: Column, id_col: str, text_col: str) -> DataFrame:
+    """Documents as units, with the round of training of those that the model ``learns`` from, and sums over their words; words without a broadcast count with how often they occur."""
+    from pyspark import TaskContext
+
+    known = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep_freed()
-        vocabulary, net = context.value
+        vocabulary, turn = known.value, TaskContext.get().partitionId()
         space = np.log10(vocabulary.space)
         for batch in batches:
-            raw, offsets = text_bytes(batch.column(2))
+            raw, offsets = text_bytes(batch.column(3))
+            learned = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
             for lo, hi in chunks(offsets, 8 << 20):
                 n = hi - lo
                 h, shared, rows = tokens_in_parts(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
@@ -558,8 +537,9 @@ def score(docs: DataFrame, modulus: int = 7, held: int = 2, id_col: str = "doc_i
                 found = c >= 0
                 logs = np.where(found, np.log10(np.maximum(c, 0) + 1.0), 0.0)
                 sizes = np.bincount(rows, minlength=n)
-                ends = np.cumsum(sizes)
-                net_logs = log_likelihoods(net, vocabulary.end, units, ends - sizes, ends)
+                turns = np.where(learned[lo:hi], (turn + np.cumsum(learned[lo:hi]) - 1) % ROUNDS, -1)
+                turn += int(learned[lo:hi].sum())
+                ends = np.concatenate(([0], np.cumsum(sizes * 2))).astype(np.int32)  # no more bytes than the text has, and two
                 left = np.flatnonzero(~found)
                 by = left[np.lexsort((h[left], rows[left]))]
                 new = np.ones(len(by), bool)
@@ -568,21 +548,63 @@ def score(docs: DataFrame, modulus: int = 7, held: int = 2, id_col: str = "doc_i
                 times = np.diff(np.append(first, len(by)))
                 off = pa.array(np.concatenate(([0], np.cumsum(np.bincount(rows[by[first]], minlength=n)))).astype(np.int32))
                 cols = [
-                    batch.column(0).slice(lo, n), batch.column(1).slice(lo, n), pa.array(sizes, pa.int64()),
+                    batch.column(0).slice(lo, n), batch.column(1).slice(lo, n), pa.array(turns, pa.int32()), pa.array(sizes, pa.int64()),
                     pa.array(np.bincount(rows[found], minlength=n), pa.int64()), pa.array(np.bincount(rows, logs, n).astype(np.float64)),
-                    pa.array(np.bincount(rows[rare], (logs - space[shared])[rare], n).astype(np.float64)), pa.array(net_logs / np.log(10.0)),
+                    pa.array(np.bincount(rows[rare], (logs - space[shared])[rare], n).astype(np.float64)),
+                    pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends), pa.py_buffer(units.astype(np.uint16))]),
                     pa.ListArray.from_arrays(off, pa.array(h[by[first]].view(np.int64))), pa.ListArray.from_arrays(off, pa.array(times.astype(np.int32))),
                 ]
-                yield pa.RecordBatch.from_arrays(cols, ["row", "id", "n_tokens", "n_known", "count_logs", "rare_logs", "net_logs", "words", "times"])
+                yield pa.RecordBatch.from_arrays(cols, ["row", "id", "turn", "n_tokens", "n_known", "count_logs", "rare_logs", "units", "words", "times"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    source = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    rows = staged(source.mapInArrow(run, _SCORED.format(kind)), "scored")
+    source = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), learns.alias("learns"), F.col(text_col).cast("binary").alias("text"))
+    return staged(source.mapInArrow(run, _CODED.format(kind)), "units")
+
+
+def score(docs: DataFrame, modulus: int = 7, held: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per document: id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    spark = docs.sparkSession
+    learns = _labels.remainder(F.col(id_col), modulus) != held
+    counts = count_words(docs.where(learns), text_col)
+    vocabulary = Vocabulary(counts)
+    coded = encode(docs, vocabulary, learns, id_col, text_col)
+    net = train(coded.where("turn >= 0").select("row", "turn", "units"), vocabulary, "units")
+    context = spark.sparkContext.broadcast((vocabulary.end, net))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_freed()
+        end, net = context.value
+        # batches are pooled: lanes then end together, though some documents are long
+        held, size = [], 0
+
+        def scored() -> Iterator[pa.RecordBatch]:
+            parts = [text_bytes(b.column(0)) for b in held]
+            units = np.concatenate([raw for raw, _ in parts]).view(np.uint16)
+            sizes = np.concatenate([np.diff(offsets) for _, offsets in parts]) // 2
+            ends = np.cumsum(sizes)
+            logs, at = log_likelihoods(net, end, units, ends - sizes, ends) / np.log(10.0), 0
+            for b in held:
+                yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(logs[at : at + len(b)])], [*b.schema.names[1:], "net_logs"])
+                at += len(b)
+
+        for batch in batches:
+            held.append(batch)
+            size += batch.nbytes
+            if size >= POOLED:
+                yield from scored()
+                held, size = [], 0
+        if held:
+            yield from scored()
+        give_back()
+
+    sums = "row", "id", "n_tokens", "n_known", "count_logs", "rare_logs"
+    fields = [coded.schema[name] for name in sums]
+    rows = staged(coded.select("units", *sums).mapInArrow(run, StructType([*fields, StructField("net_logs", DoubleType())])), "scored")
     # words below the broadcast bound: their counts come by a join
-    asked = rows.where("size(words) > 0").select("row", F.explode(F.arrays_zip("words", "times")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.times").alias("times"))
+    asked = coded.where("size(words) > 0").select("row", F.explode(F.arrays_zip("words", "times")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.times").alias("times"))
     tail = counts.where(F.col("n") < vocabulary.least).select("word", "n")
     more = asked.join(tail, "word").groupBy("row").agg(F.sum("times").alias("more_known"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("more_logs"))
-    out = rows.drop("words", "times").join(more, "row", "left").na.fill(0, ["more_known"]).na.fill(0.0, ["more_logs"])
+    out = rows.join(more, "row", "left").na.fill(0, ["more_known"]).na.fill(0.0, ["more_logs"])
     smooth = float(np.log10(vocabulary.tokens + vocabulary.types + 1.0))
     name = id_name(id_col, ["held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
     return out.select(

@@ -300,6 +300,47 @@ def test_state_is_carried_to_the_end():
         assert x == pytest.approx(want, rel=1e-4)
 
 
+def test_long_documents_do_not_leave_lanes_alone():
+    """A window costs about as much for one lane as for all: documents are dealt so that lanes end together, each document once and in order."""
+    r = np.random.default_rng(5)
+    docs = [r.integers(0, lm.UNITS, n).astype(np.uint16) for n in [*r.integers(1, 200, 2000).tolist(), 1500, 1200]]
+    trainer, seen, shapes = lm.Trainer(network()), [], []
+
+    def window(came, goes, first, h):
+        shapes.append(came.shape)
+        seen.append(goes[first].size)
+        assert (came[first] == 7).all()
+        return h, {}
+
+    trainer.window, trainer.update = window, lambda g: None
+    total = sum(len(d) for d in docs)
+    assert trainer.run(iter(docs), 7) == total == sum(s * k for s, k in shapes) and sum(seen) == len(docs)
+    assert sum(s * k for s, k in shapes if k == lm.LANES) > 0.9 * total
+    assert len(shapes) < 1.2 * total / (lm.LANES * lm.WINDOW) + 10
+
+
+def test_texts_are_read_twice(spark, monkeypatch):
+    """For the counts and as units; scoring reads the units of pooled batches, which changes no score."""
+    docs = spark.createDataFrame([(k, f"alpha w{k % 7} omega " * (1 + k % 9)) for k in range(90)] + [(90, None), (91, "")], "doc_id long, text string")
+    places, staged = {}, lm.staged
+
+    def noted(df, name):
+        places[name] = staged(df, name)
+        return places[name]
+
+    monkeypatch.setattr(lm, "staged", noted)
+    pooled = {r.doc_id: r.score for r in lm.score(docs).collect()}
+    assert "text" not in places["scored"].columns and places["units"].count() == len(pooled) == 92
+    monkeypatch.setattr(lm, "POOLED", 1)
+    monkeypatch.setattr(lm, "staged", staged)
+    assert {r.doc_id: r.score for r in lm.score(docs).collect()} == pytest.approx(pooled, rel=1e-5)
+
+
+def test_logits_within_the_limit():
+    y = np.array([[-90.0, 1.0, 70.0]], np.float32)
+    assert lm.within_limit(y).tolist() == [[-lm.LIMIT, 1, lm.LIMIT]] and lm.within_limit(y[:0]).size == 0
+
+
 def test_words_and_hashes():
     texts = ["", " a\tbb  CCC\n", "x", "é É", "bb a"]
     data = "".join(texts).encode()
